@@ -1,0 +1,4 @@
+"""Registered queries of the engine and their DuckDB SQL."""
+
+QUERIES: dict = {}
+SQL: dict = {}
