@@ -1,13 +1,93 @@
 """DuckDB SQL for the queries that SQL can express."""
 
+from . import secrets, url_filter
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-LOWERED = f"translate(coalesce(text, ''), '{UPPER}', '{LOWER}')"
+
+
+def lowered(column: str) -> str:
+    return f"translate(coalesce({column}, ''), '{UPPER}', '{LOWER}')"
+
+
+def quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
 
 OP3 = f"""
-WITH t AS (SELECT doc_id, sha256({LOWERED}) AS text_sha256 FROM documents),
+WITH t AS (SELECT doc_id, sha256({lowered("text")}) AS text_sha256 FROM documents),
 g AS (SELECT text_sha256, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY text_sha256)
 SELECT t.doc_id, g.keep_id, g.group_size, t.doc_id = g.keep_id AS kept, t.text_sha256
 FROM t JOIN g USING (text_sha256)
 """
 
-SQL = {"op3_exact_dedup": OP3}
+
+def _hits(kind: secrets.Kind, rank: int) -> str:
+    pattern = quoted(kind.pattern)
+    value = f"regexp_extract(hit, {quoted(kind.value)}, 1)" if kind.value else "hit"
+    needs = "".join(f" AND regexp_matches(value, {quoted(n)})" for n in kind.needs)
+    return f"""
+SELECT doc_id, owner, repository, start, start + length(hit) AS stop, {rank} AS rank, {quoted(kind.name)} AS kind, {kind.base} AS base, sha256(value) AS hash
+FROM (SELECT doc_id, owner, repository, hit, start, {value} AS value FROM (
+    SELECT doc_id, owner, repository, hits[i] AS hit,
+        list_sum(list_transform(gaps[1:i], lambda x: length(x)))::BIGINT + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0)::BIGINT AS start
+    FROM (SELECT doc_id, owner, repository, hits, gaps, unnest(range(1, len(hits) + 1)) AS i FROM (
+        SELECT doc_id, source AS owner, concat_ws('/', source, lang) AS repository,
+            regexp_extract_all(coalesce(text, ''), {pattern}) AS hits, string_split_regex(coalesce(text, ''), {pattern}) AS gaps
+        FROM documents))))
+WHERE length(value) >= {kind.least}{needs}"""
+
+
+OP4 = f"""
+WITH hits AS ({" UNION ALL ".join(_hits(k, rank) for rank, k in enumerate(secrets.KINDS))}),
+owned AS (SELECT hash, count(DISTINCT coalesce(owner, '\x01')) AS owners FROM hits GROUP BY hash),
+rated AS (SELECT hits.*, owners < {secrets.COPIED} AS live, concat_ws(':', kind, start, stop) AS span FROM hits JOIN owned USING (hash)),
+spans AS (
+    SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+        coalesce(string_agg(span, ',' ORDER BY start, rank) FILTER (base), '') AS base,
+        string_agg(span, ',' ORDER BY start, rank) AS spans, count(*) FILTER (live) AS n_live
+    FROM rated WHERE base OR live GROUP BY doc_id)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+    sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live
+FROM documents LEFT JOIN spans USING (doc_id)
+"""
+
+
+def _rule_sql(out: str) -> str:
+    ordered = sorted(url_filter.RULES, key=lambda r: -len(r[1] + r[2]))
+    whens = " ".join(f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{h + p if out == 'rule' else v}'" for v, h, p in ordered)
+    return f"CASE {whens} END"
+
+
+def _mixed(n: str, total: str) -> str:
+    p = f"1.0::DOUBLE / {url_filter.ALPHABET}"
+    for k in range(1, url_filter.ORDER + 1):
+        p = f"({n}{k} + {url_filter.MIX}::DOUBLE * ({p})) / ({total}{k} + {url_filter.MIX}::DOUBLE)"
+    return p
+
+
+_K = range(1, url_filter.ORDER + 1)
+_GRAMS = ", ".join(map(str, _K))
+_WIDE = ", ".join(f"max({n}) FILTER (k = {k}) AS {n}{k}" for k in _K for n in ("a", "ta", "b", "tb"))
+_O = url_filter.ORDER
+OP10 = f"""
+WITH u0 AS (SELECT DISTINCT coalesce(url, '') AS url FROM pages),
+u1 AS (SELECT url, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM u0),
+u2 AS (SELECT url, translate(regexp_extract(rest, '^([^/?#]*)', 1), '{UPPER}', '{LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u1),
+u AS (SELECT *, {_rule_sql("rule")} AS rule, {_rule_sql("verdict")} AS ruled, ('0x' || substr(md5(url), 1, 6))::INT % {url_filter.HOLD} = 0 AS held FROM u2),
+padded AS (SELECT url, ruled, held, repeat(chr(2), {_O - 1}) || {lowered("url")} || chr(3) AS text FROM u),
+positions AS (SELECT url, ruled, held, substr(text, i, {_O}) AS win FROM (SELECT *, unnest(range(1, length(text) - {_O - 2})) AS i FROM padded)),
+seen AS (SELECT win, count(*) FILTER (ruled = 'allow' AND NOT held) AS allow, count(*) FILTER (ruled = 'block' AND NOT held) AS block FROM positions GROUP BY win),
+grams AS (SELECT win, allow, block, k, substr(win, {_O} + 1 - k, k) AS gram FROM (SELECT *, unnest([{_GRAMS}]) AS k FROM seen)),
+counts AS (SELECT k, gram, substr(gram, 1, k - 1) AS context, sum(allow) AS a, sum(block) AS b FROM grams GROUP BY k, gram),
+totals AS (SELECT k, context, sum(a) AS ta, sum(b) AS tb FROM counts GROUP BY k, context),
+wide AS (SELECT win, {_WIDE} FROM grams JOIN counts USING (k, gram) JOIN totals USING (k, context) GROUP BY win),
+ratios AS (SELECT win, ln(({_mixed("a", "ta")}) / ({_mixed("b", "tb")})) AS ratio FROM wide),
+scores AS (SELECT url, avg(ratio) AS score FROM positions JOIN ratios USING (win) GROUP BY url),
+spread AS (SELECT avg(score) FILTER (ruled = 'allow') AS ma, stddev_pop(score) FILTER (ruled = 'allow') AS sa, avg(score) FILTER (ruled = 'block') AS mb, stddev_pop(score) FILTER (ruled = 'block') AS sb
+    FROM u JOIN scores USING (url) WHERE held),
+level AS (SELECT CASE WHEN ma IS NULL OR mb IS NULL THEN 0 WHEN sa + sb > 0 THEN (ma * sb + mb * sa) / (sa + sb) ELSE (ma + mb) / 2 END AS level FROM spread)
+SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN score >= (SELECT level FROM level) THEN 'allow' ELSE 'block' END) AS verdict
+FROM pages JOIN u ON coalesce(pages.url, '') = u.url JOIN scores ON u.url = scores.url
+"""
+
+SQL = {"op3_exact_dedup": OP3, "op4_secrets": OP4, "op10_url_filter": OP10}
