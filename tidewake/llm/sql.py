@@ -1,6 +1,6 @@
 """DuckDB SQL for the queries that SQL can express."""
 
-from . import secrets, url_filter
+from . import licenses, secrets, url_filter
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -13,6 +13,28 @@ def quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
+def _phrase(phrase: str) -> str:
+    words = phrase.split()
+    test = " AND ".join(f"words[i + {k + 1}] = '{w}'" for k, w in enumerate(words))
+    return f"list_filter(range(0, len(words)), lambda i: {test})"
+
+
+_FOUND = ", ".join(f"{_phrase(p)} AS p{k}" for k, (p, _) in enumerate(licenses.BASE))
+_BASE_LABELS = ", ".join(f"CASE WHEN len(p{k}) > 0 THEN '{label}' END" for k, (_, label) in enumerate(licenses.BASE))
+_LABELS = ", ".join(f"CASE WHEN regexp_matches(framed, '{licenses.as_regex(t)}') THEN '{label}' END" for label, t in licenses.TEMPLATES)
+_ALL = " || ".join(f"p{k}" for k in range(len(licenses.BASE)))
+OP2 = f"""
+WITH w AS (SELECT doc_id, regexp_extract_all({lowered("text")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS words FROM documents),
+f AS (SELECT doc_id, words, ' ' || array_to_string(words, '  ') || ' ' AS framed, {_FOUND} FROM w),
+l AS (SELECT doc_id, len(words) AS n_words, {_ALL} AS places,
+    list_sort(list_distinct(list_filter([{_BASE_LABELS}], lambda x: x IS NOT NULL))) AS named,
+    list_distinct(list_filter([{_LABELS}], lambda x: x IS NOT NULL)) AS accepted FROM f)
+SELECT doc_id, n_words, len(places) AS n_base, list_min(places) AS first_word, list_max(places) AS last_word,
+    array_to_string(named, ',') AS base_labels, array_to_string(list_sort(list_distinct(named || accepted)), ',') AS labels,
+    1 - 0.6::DOUBLE ** len(named) * 0.4::DOUBLE ** len(accepted) AS score
+FROM l
+"""
+
 OP3 = f"""
 WITH t AS (SELECT doc_id, sha256({lowered("text")}) AS text_sha256 FROM documents),
 g AS (SELECT text_sha256, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY text_sha256)
@@ -90,4 +112,4 @@ SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN score >= (SELECT lev
 FROM pages JOIN u ON coalesce(pages.url, '') = u.url JOIN scores ON u.url = scores.url
 """
 
-SQL = {"op3_exact_dedup": OP3, "op4_secrets": OP4, "op10_url_filter": OP10}
+SQL = {"op2_licenses": OP2, "op3_exact_dedup": OP3, "op4_secrets": OP4, "op10_url_filter": OP10}
