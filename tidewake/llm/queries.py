@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, licenses, media, packing, secrets, simhash, url_filter
+from . import exact_dedup, licenses, media, packing, secrets, simhash, toxicity, url_filter
 from .common import table
 
 
@@ -32,6 +32,10 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"), live)
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -49,6 +53,7 @@ QUERIES = {
     "op2_licenses": op2_licenses,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_secrets": op4_secrets,
+    "op7_toxicity": op7_toxicity,
     "op8_packing": op8_packing,
     "op9_media": op9_media,
     "op10_url_filter": op10_url_filter,
