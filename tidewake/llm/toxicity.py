@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -36,6 +37,8 @@ CUT = 0.7
 #: Lengths in bytes of the word beginnings that are mined.
 STEMS = (5, 6, 7, 8)
 HASH_BITS = 22
+#: Twice the log-likelihood ratio from which a feature is no chance find among a million.
+CHANCE = 28.0
 
 _CLASSES = bytes(c if c >= 0x80 or chr(c).isalnum() else 0x20 for c in range(256))
 _SECOND_PERSON = re.compile(r"\byou (?:are|re) (?:a |an |so |such |all )?\w+|\bshut up\b|\bgo away\b")
@@ -46,10 +49,15 @@ def words(text: str) -> set[bytes]:
 
 
 def features(found: set[bytes]) -> set[bytes]:
-    """The words themselves and their beginnings, marked by a star."""
+    """The words themselves and their beginnings, with a star for each of up to three words that share one."""
     out = set(found)
     for k in STEMS:
-        out |= {w[:k] + b"*" for w in found if len(w) >= k}
+        for stem, n in Counter([w[:k] for w in found if len(w) >= k]).items():
+            out.add(stem + b"*")
+            if n > 1:
+                out.add(stem + b"**")
+                if n > 2:
+                    out.add(stem + b"***")
     return out
 
 
@@ -183,12 +191,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     n, shapes = np.array([g[2] for g in got]), np.array([g[3:] for g in got], np.float64)
     size = 1 << HASH_BITS
     pos, neg = (sum_counts([s for s, v in zip(sets, y, strict=True) if v == k], size) for k in (1, 0))
-    # lower bound of a feature's log odds; its support must be more than chance
-    a, b = pos + 0.5, neg + 0.5
-    odds = np.log(a / (y.sum() + 1)) - np.log(b / (len(y) - y.sum() + 1)) - 1.5 * np.sqrt(1 / a + 1 / b)
-    odds[pos < 3] = -1
-    chosen = np.argsort(-odds, kind="stable")[:LEXICON]
-    chosen = np.sort(chosen[odds[chosen] > 0.7])
+    chosen = mined(pos, neg, y.sum(), len(y) - y.sum())
     if not len(chosen):
         return EMPTY
 
@@ -215,8 +218,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     hits = x.sum(1)
     density = hits / np.maximum(1, n)
     votes = np.column_stack([np.where(x > 0, 1, -1), _pattern_votes(hits, density, shapes)])
-    # the voters start from their rates on a guess: how many entries occur
-    posterior = LabelModel().fit(votes, np.where(hits >= 2, 0.9, np.where(hits == 1, 0.3, 0.02)))
+    # the voters start from their rates on the labels
+    posterior = LabelModel().fit(votes, np.where(y > 0, 0.95, 0.02))
     soft = posterior.posterior(votes)
     dense = _dense(hits, density, shapes)
     w = _logistic(np.column_stack([x, dense]), soft)
@@ -226,6 +229,18 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return Model(lexicon, tuple(w[len(chosen) : -1].tolist()), float(w[-1]), 1.0, cut)
 
 
+def mined(pos: np.ndarray, neg: np.ndarray, n_pos: float, n_neg: float) -> np.ndarray:
+    """Features that toxic rows have more often than chance allows (likelihood-ratio test), strongest first cut at LEXICON."""
+    def part(k: np.ndarray, n: float) -> np.ndarray:
+        r, all_r = np.clip(k / n, 1e-12, 1 - 1e-12), np.clip((pos + neg) / (n_pos + n_neg), 1e-12, 1 - 1e-12)
+        return k * np.log(r / all_r) + (n - k) * np.log((1 - r) / (1 - all_r))
+
+    test = 2 * (part(pos, n_pos) + part(neg, n_neg))
+    test[(pos + 0.5) / (n_pos + 1) < 4 * (neg + 0.5) / (n_neg + 1)] = 0
+    chosen = np.argsort(-test, kind="stable")[:LEXICON]
+    return np.sort(chosen[test[chosen] >= CHANCE])
+
+
 def hash_of(feature: bytes) -> int:
     import xxhash
 
