@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, licenses, media, packing, secrets, simhash, toxicity, url_filter
-from .common import table
+from . import exact_dedup, hmm, licenses, media, packing, secrets, simhash, toxicity, url_filter
+from .common import fold, table
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,6 +32,12 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"), live)
 
 
+def op6_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = fold(2, 7, F.col("doc_id"))
+    found = hmm.score(table(spark, sf_dir, "documents"), ~held)
+    return found.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -53,6 +59,7 @@ QUERIES = {
     "op2_licenses": op2_licenses,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_secrets": op4_secrets,
+    "op6_hmm": op6_hmm,
     "op7_toxicity": op7_toxicity,
     "op8_packing": op8_packing,
     "op9_media": op9_media,
