@@ -267,15 +267,17 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     Null texts are scored like empty ones; equal texts get equal scores;
     repeated rows are each scored; an empty table gives no row.
     """
-    kept = [c for c in keep if c != id_col]
+    kept = [id_col, *(c for c in keep if c != id_col)]
+    named = "score" if "score" not in kept else "score__"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text__scored"):
-            scores = [model.score(x.decode("utf-8", "replace")) for x in payloads(batch.column(batch.num_columns - 1))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores, pa.float64())], [*batch.schema.names[:-1], "score"])
+        for batch in slices(batches, text_name):
+            scores = [model.score(x.decode("utf-8", "replace")) for x in payloads(batch.column(at))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(scores, pa.float64())], [*kept, named])
 
-    rows = docs.select(id_col, *kept, F.col(text_col).cast("string").alias("text__scored"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[:-1]) + ", score double"
+    rows = docs.select(*[F.col(f"`{c}`") for c in kept], *[F.col(text_col).cast("string").alias("text__scored")] * (text_col not in kept))
+    text_name, at = (text_col, kept.index(text_col)) if text_col in kept else ("text__scored", len(kept))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[: len(kept)]) + f", {named} double"
     return rows.mapInArrow(run, schema)
 
 
