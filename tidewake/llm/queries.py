@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, hmm, licenses, media, packing, secrets, simhash, toxicity, url_filter
+from . import exact_dedup, hmm, licenses, media, packing, pieces, secrets, simhash, toxicity, url_filter
 from .common import fold, table
 
 
@@ -32,6 +32,12 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"), live)
 
 
+def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pieces.sample(table(spark, sf_dir, "documents"))
+    rounded = [F.round(c, 6).alias(c) for c in ("log_prob", "perturbed", "inclusion")]
+    return found.select("doc_id", "sample", "n_pieces", *rounded, "ids_crc32", "round_trip")
+
+
 def op6_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = fold(2, 7, F.col("doc_id"))
     found = hmm.score(table(spark, sf_dir, "documents"), ~held)
@@ -59,6 +65,7 @@ QUERIES = {
     "op2_licenses": op2_licenses,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_secrets": op4_secrets,
+    "op5_pieces": op5_pieces,
     "op6_hmm": op6_hmm,
     "op7_toxicity": op7_toxicity,
     "op8_packing": op8_packing,
