@@ -52,8 +52,10 @@ def rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 
 def windows(url: Column) -> Column:
     """One window of ORDER characters for each character and the end mark."""
-    text = F.concat(F.lit(START * (ORDER - 1)), ascii_lower(F.coalesce(url, F.lit(""))), F.lit(END))
-    return F.transform(F.sequence(F.lit(1), F.length(text) - (ORDER - 1)), lambda i: F.substring(text, i, F.lit(ORDER)))
+    chars = F.split(F.concat(F.lit(START * (ORDER - 1)), ascii_lower(F.coalesce(url, F.lit(""))), F.lit(END)), "")
+    # bound as a lambda's variable, the characters are split off once and not for every window
+    cut = lambda c: F.transform(F.sequence(F.lit(0), F.size(c) - ORDER), lambda i: F.concat(*[F.get(c, i + k) for k in range(ORDER)]))
+    return F.transform(F.array(chars), cut)[0]
 
 
 def _count(label: str) -> Column:
