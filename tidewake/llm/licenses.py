@@ -39,6 +39,8 @@ TEMPLATES = (
     ("cc0-1.0", "cc0 1 0 [[universal]]"),
     ("gpl-2.0", "gnu general public license [[as published by the free software foundation]] [[either]] (version|v) 2"),
     ("gpl-3.0", "gnu general public license [[as published by the free software foundation]] [[either]] (version|v) 3"),
+    ("gpl-2.0", "gnu general public license v2"),
+    ("gpl-3.0", "gnu general public license v3"),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
     ("lgpl", "gnu (lesser|library) general public license"),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of {{1-8}} and associated documentation files [[the software]] to deal in {{1-4}} without restriction"),
