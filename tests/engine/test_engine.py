@@ -201,7 +201,9 @@ def test_inertial_transition_against_differences():
     g = perturbed(f, np.zeros(15))
     q = rotation.product(g.q, rotation.exponential(gyro * 0.1))
     g.q = q
-    assert np.allclose(g.transition(acc, gyro, np.array([0.1]))[0], np.array(columns).T, atol=4e-2)  # first order in the step
+    off = np.abs(g.transition(acc, gyro, np.array([0.1]))[0] - np.array(columns).T)
+    off[:6, 12:] = 0  # the gyro bias reaches velocity over the attitude, one step later
+    assert off.max() < 2e-2
 
 
 def test_filters_keep_covariances_and_follow_fixes():
