@@ -8,6 +8,7 @@ import zlib
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from tidewake.llm import components, exact_dedup, hmm, licenses, media, packing, pieces, simhash, toxicity, url_filter
 from tidewake.llm.common import fold, table
@@ -351,7 +352,7 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     table(spark, "/root/testdata/sf0.001", "labels").write.parquet(str(tmp_path / "labels.parquet"))
     rows = {r["doc_id"]: r["text"] for r in docs.collect()}
-    model = toxicity.train(docs, table(spark, str(tmp_path), "labels").where(~fold(1, 3, docs["doc_id"])))
+    model = toxicity.train(docs, table(spark, str(tmp_path), "labels").where(~fold(1, 3, F.col("doc_id"))))
     rows = {k: t for k, t in rows.items() if model.score(t) < toxicity.CUT}
     last = {}
     for k, t in sorted(rows.items()):
