@@ -82,7 +82,7 @@ def test_secret_patterns_on_tricky_texts(spark):
 
 
 def test_ownership_separates_examples(spark):
-    shared, own = "token = 'aaaaaaaaaaaaaaaa1'", "token = 'zzzzzzzzzzzzzzzz9'"
+    shared, own = "token = 'ggggggggggggggg1'", "token = 'zzzzzzzzzzzzzzzz9'"
     rows = [(i, shared, f"s{i}", "l") for i in range(4)] + [(9, own, "s1", "l")]
     docs = spark.createDataFrame(rows, "doc_id int, text string, source string, lang string")
     live = {r["doc_id"]: [s["live"] for s in r["spans"]] for r in secrets.find_secrets(docs).collect()}
