@@ -34,11 +34,11 @@ def agg_02(spark, sf_dir):
     return scaled.select("vec_id", F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x), 3).alias("total"), F.round(F.array_max("embedding"), 4).alias("most"))
 
 
-@query("agg_03_nav_metrics", _ERR + " SELECT drive_id, round(sum(step), 4) AS distance, round(arg_max(err, idx), 4) AS final, round(100 * arg_max(err, idx) / greatest(sum(step), 1), 4) AS drift, round(sqrt(avg(err * err)), 4) AS rmse, round(avg(err), 4) AS mae, round(max(err), 4) AS worst, round(quantile_cont(err, 0.5), 4) AS cep50, round(quantile_cont(err, 0.95), 4) AS p95 FROM e GROUP BY drive_id")
+@query("agg_03_nav_metrics", _ERR + " SELECT drive_id, round(sum(step), 7) AS distance, round(arg_max(err, idx), 7) AS final, round(100 * arg_max(err, idx) / greatest(sum(step), 1), 7) AS drift, round(sqrt(avg(err * err)), 7) AS rmse, round(avg(err), 7) AS mae, round(max(err), 7) AS worst, round(quantile_cont(err, 0.5), 7) AS cep50, round(quantile_cont(err, 0.95), 7) AS p95 FROM e GROUP BY drive_id")
 def agg_03(spark, sf_dir):
     from ..operators.metrics import navigation
 
-    return navigation(errors(spark, sf_dir), ["drive_id"], "err", "step", "idx")
+    return navigation(errors(spark, sf_dir), ["drive_id"], "err", "step", "idx", digits=7)
 
 
 @query("agg_04_blackout_metrics", _ERR + " SELECT drive_id, round(sqrt(avg(pow(speed - 12, 2))), 4) AS speed_rmse, round(avg(abs(speed - 12)), 4) AS speed_mae, round(sqrt(avg(pow(least(abs(gz), 2 * pi() - abs(gz)), 2))), 6) AS heading_rmse, 100 * arg_max(err, idx) / greatest(sum(step), 1) < 10 AS pass FROM e GROUP BY drive_id")
@@ -105,14 +105,14 @@ def agg_11(spark, sf_dir):
 _BANDS = {"all": "true", "slow": "speed < 1", "mid": "speed BETWEEN 1 AND 10", "fast": "speed > 10"}
 
 
-@query("agg_12_speed_accuracy", "SELECT " + ", ".join(f"round(avg(abs(ay)) FILTER ({w}), 5) AS mae_{n}, round(sqrt(avg(ay * ay) FILTER ({w})), 5) AS rmse_{n}, round(avg(ay) FILTER ({w}), 5) AS bias_{n}" for n, w in _BANDS.items()) + " FROM s")
+@query("agg_12_speed_accuracy", "SELECT " + ", ".join(f"round(avg(abs(ay)) FILTER ({w}), 5) AS mae_{n}, round(sqrt(avg(ay * ay) FILTER ({w})), 5) AS rmse_{n}, round(avg(ay) FILTER ({w}), 5) + 0 AS bias_{n}" for n, w in _BANDS.items()) + " FROM s")
 def agg_12(spark, sf_dir):
     from ..operators.metrics import banded
 
     return stream(spark, sf_dir).agg(*banded(F.col("ay"), {n: F.expr(w) for n, w in _BANDS.items()}))
 
 
-@query("agg_13_model_comparison", "SELECT kind AS checkpoint, " + ", ".join(f"round(avg(abs(ay)) FILTER ({w}), 5) AS mae_{n}, round(sqrt(avg(ay * ay) FILTER ({w})), 5) AS rmse_{n}, round(avg(ay) FILTER ({w}), 5) AS bias_{n}" for n, w in _BANDS.items()) + " FROM s GROUP BY kind")
+@query("agg_13_model_comparison", "SELECT kind AS checkpoint, " + ", ".join(f"round(avg(abs(ay)) FILTER ({w}), 5) AS mae_{n}, round(sqrt(avg(ay * ay) FILTER ({w})), 5) AS rmse_{n}, round(avg(ay) FILTER ({w}), 5) + 0 AS bias_{n}" for n, w in _BANDS.items()) + " FROM s GROUP BY kind")
 def agg_13(spark, sf_dir):
     from ..operators.metrics import banded
 
@@ -154,7 +154,7 @@ def agg_18(spark, sf_dir):
     return found.select("drive_id", *[F.round(c, 6).alias(c) for c in ("bias_ax", "bias_ay", "scale_ax", "scale_az")])
 
 
-@query("agg_19_gyro_bias", ", g AS (SELECT *, count(*) FILTER (speed < 10) OVER (PARTITION BY drive_id) AS slow FROM s), k AS (SELECT * FROM g WHERE CASE WHEN slow >= 20 THEN speed < 10 ELSE idx < 10 END) SELECT drive_id, round(avg(gz), 6) AS bias, round(stddev_pop(gz), 6) AS noise, round(degrees(stddev_pop(gz)) * sqrt(0.1) * 60, 5) AS arw FROM k GROUP BY drive_id")
+@query("agg_19_gyro_bias", ", g AS (SELECT *, count(*) FILTER (speed < 10) OVER (PARTITION BY drive_id) AS slow FROM s), k AS (SELECT * FROM g WHERE CASE WHEN slow >= 20 THEN speed < 10 ELSE idx < 10 END) SELECT drive_id, round(avg(gz), 6) + 0 AS bias, round(stddev_pop(gz), 6) AS noise, round(degrees(stddev_pop(gz)) * sqrt(0.1) * 60, 5) AS arw FROM k GROUP BY drive_id")
 def agg_19(spark, sf_dir):
     rows = stream(spark, sf_dir).withColumn("idx", F.row_number().over(by_time()) - 1)
     slow = F.count_if(F.col("speed") < 10).over(Window.partitionBy("drive_id"))
@@ -181,7 +181,7 @@ def agg_22(spark, sf_dir):
     return means.where("kind <> 'view'").join(F.broadcast(base)).select(F.col("kind").alias("oracle"), R4((1 - F.col("m") / F.greatest(F.lit(1e-3), F.col("base"))) * 100, "pct"))
 
 
-@query("agg_23_yaw_budget", "SELECT kind AS regime, count(*) AS n, round(quantile_cont(abs(gz), 0.5), 6) AS median, round(quantile_cont(abs(gz), 0.9), 6) AS p90, round(avg(gz), 6) AS mean FROM s GROUP BY kind")
+@query("agg_23_yaw_budget", "SELECT kind AS regime, count(*) AS n, round(quantile_cont(abs(gz), 0.5), 6) AS median, round(quantile_cont(abs(gz), 0.9), 6) AS p90, round(avg(gz), 6) + 0 AS mean FROM s GROUP BY kind")
 def agg_23(spark, sf_dir):
     a = F.abs("gz")
     return stream(spark, sf_dir).groupBy(F.col("kind").alias("regime")).agg(F.count("*").alias("n"), F.round(F.percentile(a, F.lit(0.5)), 6).alias("median"), F.round(F.percentile(a, F.lit(0.9)), 6).alias("p90"), F.round(F.avg("gz"), 6).alias("mean"))

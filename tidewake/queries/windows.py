@@ -117,7 +117,7 @@ def win_12(spark, sf_dir):
     return stream(spark, sf_dir).select("event_id", *[F.round(F.coalesce(F.col("val") - F.lag("val", k).over(by_time()), F.lit(0.0)), 6).alias(f"d{k}") for k in (5, 10, 20)])
 
 
-@query("win_13_trailing_integral", "SELECT event_id, round(coalesce(sum(gz) OVER (PARTITION BY drive_id ORDER BY t, event_id ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING), 0) * 0.1, 6) AS yaw FROM s")
+@query("win_13_trailing_integral", "SELECT event_id, round(coalesce(sum(gz) OVER (PARTITION BY drive_id ORDER BY t, event_id ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING), 0) * 0.1, 6) + 0 AS yaw FROM s")
 def win_13(spark, sf_dir):
     return stream(spark, sf_dir).select("event_id", F.round(F.coalesce(F.sum("gz").over(by_time().rowsBetween(-10, -1)), F.lit(0.0)) * 0.1, 6).alias("yaw"))
 
