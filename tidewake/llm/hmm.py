@@ -181,6 +181,25 @@ def word_counts(docs: DataFrame, text_col: str = "text", held: int = HELD) -> Da
     return rows.mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def frequent(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
+    """At most ``most`` of the most frequent words, by falling count.
+
+    A histogram over 32 steps an octave (some thousand rows at any size) gives
+    the count from which words are few enough; only those reach the driver.
+    """
+    step = F.floor(F.log2(F.col("n").cast("double")) * 32)
+    low, found = None, 0
+    for r in sorted(counts.groupBy(step.alias("step")).count().collect(), reverse=True):
+        found += r["count"]
+        if found > most:
+            break
+        low = r["step"]
+    if low is None:
+        return []
+    words = [(bytes(r[0]), r[1]) for r in counts.where(step >= low).select("word", "n").collect()]
+    return sorted(words, key=lambda x: (-x[1], x[0]))
+
+
 def _fit(symbols: DataFrame, counts: np.ndarray, rounds: int) -> HMM:
     """``symbols``: the training rows' ``syms`` (binary of uint16)."""
     model = HMM.first(counts)
@@ -189,7 +208,7 @@ def _fit(symbols: DataFrame, counts: np.ndarray, rounds: int) -> HMM:
 
         def run(batches: Iterator[pa.RecordBatch], model: HMM = model) -> Iterator[pa.RecordBatch]:
             total = np.zeros(states + states * states + size * states)
-            for batch in slices(batches, "syms", 2_000_000):
+            for batch in slices(batches, "syms", 1_000_000):
                 parts, firsts = [], []
                 for raw in batch.column(0).to_pylist():
                     whole = np.frombuffer(raw, np.uint16)
@@ -224,7 +243,7 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     counts = saved(word_counts(rows.where("train"), "text"), "lm-counts")
     learned = rows.where("train").count()
     classed = counts.select("word", "n", class_column(F.col("word")).alias("class"))
-    top = [(bytes(r[0]), r[1]) for r in counts.orderBy(F.desc("n"), "word").limit(head).collect()]
+    top = frequent(counts, head)
     size = SYMBOLS + CLASSES + 1
     end = SYMBOLS + CLASSES
     freq = np.zeros(size)
@@ -241,12 +260,12 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     shares = np.log10(class_tokens + class_types + 1)
     n_all, v_all = all_words + learned, distinct + (learned > 0)
     sent = docs.sparkSession.sparkContext.broadcast({w: (k, n) for k, (w, n) in enumerate(top)})
-    whole = len(top) < head  # then every known word is at hand
+    whole = len(top) == distinct  # then every known word is at hand
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = sent.value
         log = [math.log10(n + 1) for n in range(65_536)]
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 8_000_000):
             out = []
             for text in payloads(batch.column(3)):
                 words = tokens(text)
