@@ -30,36 +30,51 @@ def aligned(df: DataFrame, keys: list[str], gravity_rows: int | None = None, mot
 
 
 def fused(df: DataFrame, keys: list[str], kind: str = "planar", dark: str | None = None) -> DataFrame:
-    """The fusion step over a recording's rows: predict, standstill, position fix or sideways and model-speed updates.
+    """The fusion step over recordings' rows: predict, standstill, position fix or sideways and model-speed updates.
 
-    Returns per row position, speed, heading and the position deviation.
+    Returns per row position, speed and the position deviation. Recordings are
+    dealt into buckets, and a bucket's recordings advance side by side.
     """
+    names = ("ax", "ay", "az", "gx", "gy", "gz", "east", "north", "speed", "dark")
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["t", "event_id"])
-        f = Planar.start(1) if kind == "planar" else Inertial.start(1)
-        rows = []
-        for r in pdf.itertuples():
-            acc, gyro = np.array([[r.ax, r.ay, r.az]]), np.array([[r.gx, r.gy, r.gz]])
+        pdf = pdf.sort_values([*keys, "t", "event_id"])
+        run = pdf.groupby(keys, sort=False).ngroup().to_numpy()
+        step = pdf.groupby(keys, sort=False).cumcount().to_numpy()
+        n, width = int(run.max()) + 1, int(step.max()) + 1
+        lengths = np.bincount(run, minlength=n)
+        batch = {}
+        for c in names:
+            batch[c] = np.zeros((n, width))
+            batch[c][run, step] = pdf[c].astype(float).to_numpy()
+        f = Planar.start(n) if kind == "planar" else Inertial.start(n)
+        out = np.empty((n, width, 4))
+        for t in range(width):
+            at = {c: v[:, t] for c, v in batch.items()}
+            on = t < lengths
+            acc, gyro = (np.stack([at[c] for c in group], 1) for group in (("ax", "ay", "az"), ("gx", "gy", "gz")))
             if kind == "planar":
                 f.predict(acc[:, 0], gyro[:, 2])
             else:
                 f.predict(acc, gyro)
-            if r.speed < 0.5:
-                f.standstill(gyro[:, 2] if kind == "planar" else gyro)
-            if not r.dark:
-                f.position(np.array([[r.east, r.north, 0.0]]))
-            else:
-                f.sideways()
-                f.speed(np.array([r.speed]), 3.0)
-            x = f.x[0] if kind == "planar" else np.r_[f.p[0], f.v[0]]
-            cov = f.p[0] if kind == "planar" else f.cov[0]
-            rows.append((r.event_id, x[0], x[1], float(np.hypot(x[3], x[4])), float(np.sqrt(max(cov[0, 0], 0)))))
-        return pd.DataFrame(rows, columns=["event_id", "pe", "pn", "v", "sd"])
-
-    columns = ["t", "event_id", "ax", "ay", "az", "gx", "gy", "gz", "east", "north", "speed"]
+            still, hidden = on & (at["speed"] < 0.5), on & (at["dark"] > 0.5)
+            if still.any():
+                f.standstill(gyro[:, 2] if kind == "planar" else gyro, where=still)
+            f.position(np.stack([at["east"], at["north"], np.zeros(n)], 1), where=on & ~hidden)
+            if hidden.any():
+                f.sideways(where=hidden)
+                f.speed(at["speed"], 3.0, where=hidden)
+            x = f.x if kind == "planar" else np.concatenate([f.p, f.v], 1)
+            cov = f.p if kind == "planar" else f.cov
+            out[:, t] = np.stack([x[:, 0], x[:, 1], np.hypot(x[:, 3], x[:, 4]), np.sqrt(np.maximum(cov[:, 0, 0], 0))], 1)
+        found = out[run, step]
+        return pd.DataFrame({"event_id": pdf["event_id"].to_numpy(), **{c: found[:, k] for k, c in enumerate(("pe", "pn", "v", "sd"))}})
+
+    columns = ["t", "event_id", *names[:-1]]
     dark_column = F.expr(dark) if dark else F.lit(False)
-    return df.select(*keys, *columns, dark_column.alias("dark")).groupBy(*keys).applyInPandas(work, "event_id long, pe double, pn double, v double, sd double")
+    buckets = 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.select(*keys, *columns, dark_column.alias("dark")).withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)))
+    return dealt.groupBy("_bucket").applyInPandas(work, "event_id long, pe double, pn double, v double, sd double")
 
 
 def gain_triples(spark, n: int, seed: int = 42) -> DataFrame:
