@@ -227,3 +227,67 @@ def str_07(spark, sf_dir):
 def str_09(spark, sf_dir):
     out = _answer(spark, live.rates(_events_stream(spark, sf_dir)), "str_09", "complete")
     return out.select("drive_id", F.unix_seconds("window.start").alias("sec"), "n")
+
+
+@query("pipe_23_state_export")
+def pipe_23(spark, sf_dir):
+    """Mean deviations of the inertial filter's blocks after each recording's rows."""
+    import pandas as pd
+
+    def work(pdf: pd.DataFrame) -> pd.DataFrame:
+        import numpy as np
+
+        from ..operators.kernels.inertial import Inertial
+
+        pdf = pdf.sort_values(["t", "event_id"])
+        f = Inertial.start(1)
+        for r in pdf.itertuples():
+            f.predict(np.array([[r.ax, r.ay, r.az]]), np.array([[r.gx, r.gy, r.gz]]))
+            f.position(np.array([[r.east, r.north, 0.0]]))
+        return pd.DataFrame({"drive_id": [pdf["drive_id"].iloc[0]], **{k: np.round(v, 6) for k, v in f.deviations().items()}})
+
+    rows = stream(spark, sf_dir).select("drive_id", "t", "event_id", "ax", "ay", "az", "gx", "gy", "gz", "east", "north")
+    return rows.groupBy("drive_id").applyInPandas(work, "drive_id long, position double, velocity double, attitude double, acc_bias double, gyro_bias double")
+
+
+@query("str_03_out_of_order", "SELECT event_id, coalesce(t < max(t) OVER (PARTITION BY drive_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS late FROM s")
+def str_03(spark, sf_dir):
+    from pyspark.sql import Window
+
+    before = F.max("t").over(Window.partitionBy("drive_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, -1))
+    return stream(spark, sf_dir).select("event_id", F.coalesce(F.col("t") < before, F.lit(False)).alias("late"))
+
+
+@query("src_06_window_files", _SEG + "SELECT count(*) AS windows FROM k WHERE rn >= 4 AND (rn - 4) % 2 = 0")
+def src_06(spark, sf_dir):
+    from .sources import _folder
+
+    path = f"{_folder(spark)}/windows"
+    prepare.windows(stream(spark, sf_dir), split_column(), 5, 2, 43200.0).write.mode("overwrite").partitionBy("split").parquet(path)
+    return spark.read.parquet(path).agg(F.count("*").alias("windows"))
+
+
+@query("gov_01_training_gate", "SELECT 'authentic' AS authenticity, true AS allowed UNION ALL SELECT 'synthetic', false UNION ALL SELECT 'field', true", stream=False)
+def gov_01(spark, sf_dir):
+    from ..operators.models import require_training_data
+
+    def allowed(kind: str) -> bool:
+        try:
+            require_training_data(kind)
+        except ValueError:
+            return False
+        return True
+
+    return spark.createDataFrame([(k, allowed(k)) for k in ("authentic", "synthetic", "field")], "authenticity string, allowed boolean")
+
+
+@query("gov_02_map_source_gate", "SELECT true AS refused", stream=False)
+def gov_02(spark, sf_dir):
+    """A map made of the truth is refused."""
+    from ..operators.mapmatch import waypoint_graph
+
+    try:
+        waypoint_graph(stream(spark, sf_dir))
+    except ValueError:
+        return spark.createDataFrame([(True,)], "refused boolean")
+    return spark.createDataFrame([(False,)], "refused boolean")
