@@ -122,6 +122,39 @@ def test_templates(text, labels):
     assert licenses.scan(text.encode(), licenses.BASE, automata)[5] == labels
 
 
+_BSD_2 = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+"""
+_BSD_3 = _BSD_2 + "{n}Neither the name of {name} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n"
+_ADVERTISING = "3. All advertising materials mentioning features or use of this software must display the following acknowledgement: This product includes software developed by the organization.\n"
+_AS_IS = 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES ARE DISCLAIMED.'
+_AS_PUBLISHED = "General Public License as published by the Free Software Foundation, either version {v} of the License, or (at your option) any later version."
+
+
+@pytest.mark.parametrize("label, text", [
+    ("bsd-2-clause", _BSD_2 + _AS_IS), ("bsd-3-clause", _BSD_3.format(n="3. ", name="the copyright holder") + _AS_IS), ("bsd-3-clause", _BSD_3.format(n="* ", name="the copyright holder") + _AS_IS),
+    ("bsd-3-clause", _BSD_3.format(n="3. ", name="the Regents of the University of California, Lawrence Berkeley National Laboratory, U.S. Dept. of Energy,")),
+    ("mit", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy'),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software."),
+    ("unlicense", "This is free and unencumbered software released into the public domain."), ("apache-2.0", "Apache License\nVersion 2.0, January 2004\nhttp://www.apache.org/licenses/"),
+    ("mpl-2.0", "Mozilla Public License Version 2.0\n1. Definitions"), ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("agpl-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE\nVersion 3, 19 November 2007"), ("agpl-3.0", "GNU Affero " + _AS_PUBLISHED.format(v=3)),
+    ("gpl-2.0", "GNU GENERAL PUBLIC LICENSE\nVersion 2, June 1991"), ("gpl-2.0", "GNU " + _AS_PUBLISHED.format(v=2)), ("gpl-3.0", "GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007"), ("gpl-3.0", "GNU " + _AS_PUBLISHED.format(v=3)),
+    ("lgpl", "GNU LESSER GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007"), ("cc0-1.0", "CC0 1.0 Universal"), ("cc-by-4.0", "Creative Commons Attribution 4.0 International Public License"),
+])
+def test_published_wording(label, text):
+    automata = tuple(licenses.compile_template(*t) for t in licenses.TEMPLATES)
+    assert label in licenses.scan(text.encode(), licenses.BASE, automata)[5].split(",")
+
+
+def test_other_bsd_licences_are_not_the_three_clause_one():
+    automata = tuple(licenses.compile_template(*t) for t in licenses.TEMPLATES)
+    for text in (_BSD_2 + _AS_IS, _BSD_3.format(n=_ADVERTISING + "4. ", name="the organization")):
+        assert licenses.scan(text.encode(), licenses.BASE, automata)[5] == "bsd-2-clause"
+
+
 def test_automata_and_regular_expressions_agree():
     import random
     import re

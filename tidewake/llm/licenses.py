@@ -29,6 +29,7 @@ TEMPLATES = (
     ("apache-2.0", "apache license [[version]] 2 0"),
     ("bsd-2-clause", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met {{20-120}} provided with the distribution"),
     ("bsd-3-clause", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met {{20-120}} provided with the distribution {{1-12}} may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("bsd-3-clause", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met {{20-120}} provided with the distribution {{0-1}} neither the (name|names) of {{1-40}} nor the names of {{1-6}} contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
     ("cc-by-4.0", "cc by [[version]] 4 0"),
     ("cc-by-nc", "cc by nc"),
     ("cc-by-nc-4.0", "cc by nc [[version]] 4 0"),
@@ -36,6 +37,7 @@ TEMPLATES = (
     ("cc-by-sa", "cc by [[nc]] sa"),
     ("cc-by-sa-4.0", "cc by sa [[version]] 4 0"),
     ("cc-by-4.0", "creative commons attribution [[4 0]] [[international]] (license|licence) [[version]] 4 0"),
+    ("cc-by-4.0", "creative commons attribution 4 0 [[international]] [[public]] (license|licence)"),
     ("cc0-1.0", "cc0 1 0 [[universal]]"),
     ("gpl-2.0", "gnu general public license [[as published by the free software foundation]] [[either]] (version|v) 2"),
     ("gpl-3.0", "gnu general public license [[as published by the free software foundation]] [[either]] (version|v) 3"),
