@@ -236,6 +236,11 @@ def test_toxicity_on_held_out_labels(spark):
     assert hit / sum(r["predicted"] for r in rows) > 0.9 and hit / sum(r["toxic"] for r in rows) > 0.85
 
 
+@pytest.mark.parametrize("text, share", [("YOU IDIOT", 8 / 9), ("Anouble thwh.", 1 / 13), ("aaaaaaB" * 5, 1 / 7), ("Baaaaaa" * 5, 1 / 7), ("ÉA é", 0.5), ("A", 1.0), ("", 0.0)])
+def test_shouting_is_a_share_of_the_whole_text(text, share):
+    assert toxicity.shape(text, 1)[0] == pytest.approx(share)
+
+
 def test_label_model_finds_good_voters():
     rng = np.random.default_rng(3)
     y = rng.random(4000) < 0.2

@@ -63,8 +63,8 @@ def features(found: set[bytes]) -> set[bytes]:
 
 def shape(text: str, n_words: int) -> tuple[float, ...]:
     """What the fixed patterns look at: shouting, exclamation marks a word, second-person insults."""
-    upper, letters = sum(map(str.isupper, text[::7])), max(1, len(text) // 7)
-    return upper / letters, text.count("!") / max(1, n_words), float(bool(_SECOND_PERSON.search(text.lower())))
+    upper = sum(map(str.isupper, text))
+    return upper / max(1, len(text)), text.count("!") / max(1, n_words), float(bool(_SECOND_PERSON.search(text.lower())))
 
 
 def _hashed(found: set[bytes]) -> np.ndarray:
