@@ -296,6 +296,18 @@ def test_stream_equals_batch(spark, sf_dir):
     assert batch == live
 
 
+def test_scenarios_come_from_every_drive(spark, sf_dir):
+    from tidewake import queries
+    from tidewake.session import table
+
+    counts = {r["user_id"]: r["count"] for r in table(spark, sf_dir, "events").groupBy("user_id").count().collect()}
+    grid = queries.QUERIES["join_13_scenario_grid"](spark, sf_dir).collect()
+    assert sorted((r["drive_id"], r["first"], r["config"]) for r in grid) == sorted((d, 10, c) for d in counts for c in ("raw", "nhc", "full"))
+    samples = queries.QUERIES["join_12_window_samples"](spark, sf_dir).collect()
+    assert len(samples) == sum(len(range(5, min(n, 22))) for n in counts.values())
+    assert sum(r["inside"] for r in samples) == sum(len(range(10, min(n, 20))) for n in counts.values())
+
+
 def test_entry_and_registry(spark):
     import __spark_entry__
 

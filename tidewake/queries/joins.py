@@ -128,7 +128,7 @@ _SPECS = ", sp AS (SELECT drive_id, min(idx) + 10 AS first, min(idx) + 20 AS las
 
 
 def specs(spark, sf_dir):
-    return stream(spark, sf_dir).where("drive_id % 3 = 0").select("drive_id").distinct().withColumns({"first": F.lit(10), "last": F.lit(20)})
+    return stream(spark, sf_dir).select("drive_id").distinct().withColumns({"first": F.lit(10), "last": F.lit(20)})
 
 
 @query("join_12_window_samples", _SPECS + " SELECT sp.drive_id, s.event_id, s.idx >= sp.first AND s.idx < sp.last AS inside FROM sp JOIN s ON sp.drive_id = s.drive_id AND s.idx BETWEEN sp.first - 5 AND sp.last + 1")
