@@ -10,7 +10,7 @@ from tidewake.operators import align, mapmatch, machines, metrics, models, quali
 from tidewake.operators.kernels import alignment, rotation, unscented
 from tidewake.operators.kernels.inertial import POLICIES, Inertial
 from tidewake.operators.kernels.planar import Planar
-from tidewake.operators.simulate import CHANNELS, Config, run
+from tidewake.operators.simulate import BASELINES, CHANNELS, Config, run
 from tidewake.sources import files, schema, sinks
 
 
@@ -308,6 +308,18 @@ def test_scenarios_come_from_every_drive(spark, sf_dir):
     assert sum(r["inside"] for r in samples) == sum(len(range(10, min(n, 20))) for n in counts.values())
 
 
+def test_studies_hold_every_run_and_configuration(spark, sf_dir):
+    from tidewake import queries
+    from tidewake.queries.estimators import scenario_samples
+
+    runs = {r["run"] for r in scenario_samples(spark, sf_dir).where("inside").select("run").distinct().collect()}
+    names = {c.name for c in BASELINES}
+    found = queries.QUERIES["pipe_04_scenario_configs"](spark, sf_dir).collect()
+    assert sorted((r["run"], r["config"]) for r in found) == sorted((r, n) for r in runs for n in names)
+    counts = {r["config"]: r["n"] for r in queries.QUERIES["pipe_05_monte_carlo"](spark, sf_dir).collect()}
+    assert counts == {**dict.fromkeys(names, len(runs)), None: len(runs) * len(names)}
+
+
 def test_entry_and_registry(spark):
     import __spark_entry__
 
