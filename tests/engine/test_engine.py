@@ -320,6 +320,18 @@ def test_studies_hold_every_run_and_configuration(spark, sf_dir):
     assert counts == {**dict.fromkeys(names, len(runs)), None: len(runs) * len(names)}
 
 
+def test_speed_model_learns_from_every_window(spark):
+    from tidewake.queries.estimators import speed_model
+
+    rng = np.random.default_rng(8)
+    windows = rng.normal(0, 1, (900, 6, 10))
+    targets = np.r_[np.full(600, 3.0), windows[600:, 0].mean(1) * 3 + 5]  # a long first drive tells nothing of the others
+    data = [(1 if i < 600 else 2, 0, i, w.tolist(), float(y)) for i, (w, y) in enumerate(zip(windows, targets, strict=True))]
+    table = spark.createDataFrame(data, "drive_id int, segment int, start int, window array<array<double>>, target double")
+    assert np.allclose(speed_model(table.repartition(5)).weights, models.Linear.fit(windows, targets).weights, atol=1e-9)
+    assert not speed_model(table.limit(0)).weights.any()
+
+
 def test_entry_and_registry(spark):
     import __spark_entry__
 

@@ -8,7 +8,7 @@ built-in stand-in and trains with least squares.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,6 +17,39 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def ridge(xx: np.ndarray, xy: np.ndarray, l2: float) -> np.ndarray:
+    return np.linalg.solve(xx + l2 * np.eye(len(xx)), xy)
+
+
+def normal_equations(df: DataFrame, design: Callable[[pd.DataFrame], tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray] | None:
+    """X'X and X'Y over all rows (None if there are none): summed inside partitions, then across them.
+
+    ``design`` makes (X, Y) of a batch. Rows with a value that is not finite
+    are left out. The driver gets one number per entry, however many rows.
+    """
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = 0.0
+        for pdf in batches:
+            if len(pdf):
+                x, y = design(pdf)
+                both = np.concatenate([x, y], 1)
+                good = np.isfinite(both).all(1)
+                total = total + x[good].T @ both[good]
+        if np.ndim(total):
+            i, j = np.indices(total.shape)
+            yield pd.DataFrame({"i": i.ravel(), "j": j.ravel(), "v": total.ravel()})
+
+    entries = df.mapInPandas(work, "i int, j int, v double").groupBy("i", "j").agg(F.sum("v").alias("v")).collect()
+    if not entries:
+        return None
+    n = max(r["i"] for r in entries) + 1
+    out = np.zeros((n, max(r["j"] for r in entries) + 1))
+    for r in entries:
+        out[r["i"], r["j"]] = r["v"]
+    return out[:, :n], out[:, n:]
+
+
 @dataclass
 class Linear:
     """Ridge regression on a window's channel means, deviations and last values."""
@@ -32,7 +65,17 @@ class Linear:
     @staticmethod
     def fit(windows: np.ndarray, targets: np.ndarray, l2: float = 1e-3, **bounds) -> Linear:
         x = Linear.features(windows)
-        return Linear(np.linalg.solve(x.T @ x + l2 * np.eye(x.shape[1]), x.T @ targets.reshape(len(x), -1)), **bounds)
+        return Linear(ridge(x.T @ x, x.T @ targets.reshape(len(x), -1), l2), **bounds)
+
+    @staticmethod
+    def fit_all(df: DataFrame, window: str, target: str, l2: float = 1e-3, **bounds) -> Linear:
+        """Fit on all rows of a distributed table; without rows the weights are 0."""
+
+        def design(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+            return Linear.features(np.asarray([np.stack(w) for w in pdf[window]], float)), pdf[[target]].to_numpy(float)
+
+        found = normal_equations(df.select(window, target), design)
+        return Linear(np.zeros((19, 1)) if found is None else ridge(*found, l2), **bounds)
 
     def predict(self, windows: np.ndarray) -> np.ndarray:
         out = self.features(windows) @ self.weights

@@ -124,9 +124,7 @@ def window_rows(spark, sf_dir):
 
 
 def speed_model(rows) -> models.Linear:
-    sample = rows.orderBy("drive_id", "segment", "start").limit(500).toPandas()  # a bounded training sample
-    windows = np.asarray([np.stack(w) for w in sample["window"]], float) if len(sample) else np.zeros((1, 6, 10))
-    return models.Linear.fit(windows, sample["target"].to_numpy(float) if len(sample) else np.zeros(1))
+    return models.Linear.fit_all(rows, "window", "target")
 
 
 @query("ml_01_speed_model")
