@@ -332,6 +332,22 @@ def test_speed_model_learns_from_every_window(spark):
     assert not speed_model(table.limit(0)).weights.any()
 
 
+def test_learned_gains_are_fitted_and_blended(spark, sf_dir):
+    from tidewake import queries
+    from tidewake.operators import recordings
+
+    triples = recordings.gain_triples(spark, 256).toPandas()
+    x = np.column_stack([np.stack(triples["innovation"]), np.stack(triples["state"]), np.ones(256)])
+    gain = np.stack(triples["gain"])
+    learned = x @ np.linalg.solve(x.T @ x + 1e-3 * np.eye(x.shape[1]), x.T @ gain)
+    got = {n: np.array(sorted(r["innovation"] + r["gain"] for r in queries.QUERIES[n](spark, sf_dir).collect())) for n in ("ml_07_gain_model", "est_17_learned_gain")}
+    for name, want in (("ml_07_gain_model", learned), ("est_17_learned_gain", 0.8 * learned + 0.2 * gain)):
+        assert np.allclose(got[name], np.array(sorted(np.column_stack([x[:, :3], want]).tolist())), atol=2e-6)
+    one = np.ones((3, 9, 3))
+    wild = np.stack([2 * one[0], 11 * one[0], np.full((9, 3), np.nan)])
+    assert np.allclose(recordings.blended_gain(one, wild)[:, 0, 0], [1.8, 1, 1])
+
+
 def test_entry_and_registry(spark):
     import __spark_entry__
 

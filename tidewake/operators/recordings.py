@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .kernels import alignment
 from .kernels.inertial import Inertial
 from .kernels.planar import Planar
+from .models import normal_equations, ridge
 from .simulate import Config, simulate
 
 
@@ -97,9 +98,34 @@ def gain_triples(spark, n: int, seed: int = 42) -> DataFrame:
 
 
 def blended_gain(gain: np.ndarray, learned: np.ndarray, most: float = 10.0) -> np.ndarray:
-    """0.8 of the filter's gain and 0.2 of a learned one; the filter's alone if the learned one is not finite or far larger."""
-    odd = ~np.isfinite(learned).all((1, 2)) | (np.linalg.norm(np.nan_to_num(learned), axis=(1, 2)) > most * np.linalg.norm(gain, axis=(1, 2)))
-    return np.where(odd[:, None, None], gain, 0.8 * gain + 0.2 * np.nan_to_num(learned))
+    """0.8 of a learned gain and 0.2 of the filter's; the filter's alone if the learned one is not finite or far larger."""
+    odd = ~np.isfinite(learned).all((1, 2)) | (np.linalg.norm(np.nan_to_num(learned), axis=(1, 2)) > most * (np.linalg.norm(gain, axis=(1, 2)) + 1e-4))
+    return np.where(odd[:, None, None], gain, 0.8 * np.nan_to_num(learned) + 0.2 * gain)
+
+
+def _gain_features(pdf: pd.DataFrame) -> np.ndarray:
+    return np.concatenate([np.stack(pdf["innovation"]), np.stack(pdf["state"]), np.ones((len(pdf), 1))], 1)
+
+
+def gain_model(triples: DataFrame, l2: float = 1e-3) -> np.ndarray:
+    """Ridge weights from innovation and state to the gain, fitted on all triples; the gain net's stand-in."""
+    found = normal_equations(triples, lambda pdf: (_gain_features(pdf), np.stack(pdf["gain"])))
+    if found is None:
+        raise ValueError("no triples to learn a gain from")
+    return ridge(*found, l2)
+
+
+def with_learned_gain(triples: DataFrame, weights: np.ndarray) -> DataFrame:
+    """Adds the model's gain as ``learned`` and the gain to be used as ``blended``."""
+
+    def work(batches):
+        for pdf in batches:
+            if len(pdf):
+                learned, gain = _gain_features(pdf) @ weights, np.stack(pdf["gain"])
+                blended = blended_gain(gain.reshape(len(pdf), -1, 3), learned.reshape(len(pdf), -1, 3)).reshape(gain.shape)
+                yield pdf.assign(learned=learned.tolist(), blended=blended.tolist())
+
+    return triples.mapInPandas(work, "innovation array<double>, state array<double>, gain array<double>, learned array<double>, blended array<double>")
 
 
 def study(samples: DataFrame, configs: tuple[Config, ...]) -> DataFrame:

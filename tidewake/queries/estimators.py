@@ -96,8 +96,15 @@ def est_15(spark, sf_dir):
 
 @query("est_17_learned_gain")
 def est_17(spark, sf_dir):
+    return learned_gains(spark, "blended")
+
+
+def learned_gains(spark, column):
+    """The gains of a model fitted on the triples, whole: three innovations, nine states by three."""
     triples = recordings.gain_triples(spark, 256)
-    return triples.select(F.round(F.col("innovation")[0], 6).alias("innovation"), F.round(F.col("gain")[0], 6).alias("gain"))
+    found = recordings.with_learned_gain(triples, recordings.gain_model(triples))
+    rounded = lambda c: F.transform(c, lambda v: F.round(v, 6))
+    return found.select(rounded("innovation").alias("innovation"), rounded(column).alias("gain"))
 
 
 @query("src_24_gain_triples")
@@ -159,7 +166,7 @@ def ml_05(spark, sf_dir):
 
 @query("ml_07_gain_model")
 def ml_07(spark, sf_dir):
-    return est_17(spark, sf_dir)
+    return learned_gains(spark, "learned")
 
 
 @query("ml_10_batched_inference")
