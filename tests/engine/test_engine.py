@@ -348,6 +348,17 @@ def test_learned_gains_are_fitted_and_blended(spark, sf_dir):
     assert np.allclose(recordings.blended_gain(one, wild)[:, 0, 0], [1.8, 1, 1])
 
 
+def test_grid_reaches_the_end_of_long_drives(spark, tmp_path):
+    from tidewake import queries
+
+    events = [(1, i, "view", f"2024-0{1 + i // 31}-{1 + i % 31:02d} 00:00:00", 1.0) for i in (0, 30, 31, 59)] + [(2, 99, "view", "2024-01-01 00:00:00", 1.0)]
+    rows = spark.createDataFrame(events, "user_id long, event_id long, event_type string, ts string, value double").withColumn("ts", F.to_timestamp("ts"))
+    rows.write.parquet(f"{tmp_path}/events.parquet")
+    found = sorted((r["drive_id"], r["t"], r["last_id"]) for r in queries.QUERIES["src_20_grid_sampling"](spark, str(tmp_path)).collect())
+    first = found[0][1]
+    assert found == [(1, first + d * 86400.0, 0 if d < 30 else 30 if d < 31 else 31 if d < 59 else 59) for d in range(60)] + [(2, first, 99)]
+
+
 def test_entry_and_registry(spark):
     import __spark_entry__
 

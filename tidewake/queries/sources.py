@@ -112,7 +112,7 @@ def src_20(spark, sf_dir):
 
     rows = stream(spark, sf_dir)
     spans = rows.groupBy("drive_id").agg(F.min("t").alias("t0"), F.max("t").alias("t1"))
-    grid = spans.select("drive_id", "t0", "t1", F.explode(F.sequence(F.lit(0), F.lit(39))).alias("i")).select("drive_id", (F.col("t0") + F.col("i") * 86400.0).alias("t"), "t1").where("t <= t1").select("drive_id", "t", F.lit(2**62).alias("event_id"))
+    grid = spans.select("drive_id", "t0", "t1", F.explode(F.sequence(F.lit(0), F.floor((F.col("t1") - F.col("t0")) / 86400.0) + 1)).alias("i")).select("drive_id", (F.col("t0") + F.col("i") * 86400.0).alias("t"), "t1").where("t <= t1").select("drive_id", "t", F.lit(2**62).alias("event_id"))
     found = latest(grid, rows.withColumn("last_id", F.col("event_id")), ["last_id"])
     return found.select("drive_id", F.round("t", 3).alias("t"), "last_id")
 
