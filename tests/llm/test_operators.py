@@ -285,6 +285,19 @@ def test_batches_keep_the_budget(spark, sf_dir):
     assert set(batches) == set(range(len(batches))) and max(partial.values()) <= 1
 
 
+def test_a_bucket_is_as_long_as_its_longest_row(spark):
+    lengths = [3, 5, 2048, 2049, 4097, 4098, 9001, 20001, 20001, 33333]
+    docs = spark.createDataFrame([(i, n) for i, n in enumerate(lengths)], "doc_id int, n int")
+    for buckets in (1, 4, 16):
+        rows = packing.pack(docs, length=F.col("n"), text_col="doc_id", buckets=buckets).collect()
+        longest = collections.defaultdict(int)
+        for r in rows:
+            longest[r["bucket"]] = max(longest[r["bucket"]], r["n_tokens"])
+        assert sorted(r["n_tokens"] for r in rows) == sorted(lengths)
+        for r in rows:
+            assert r["bucket_tokens"] == longest[r["bucket"]] and r["batch_rows"] == max(1, packing.TOKENS // longest[r["bucket"]])
+
+
 # -- segmentation ---------------------------------------------------------
 
 

@@ -8,7 +8,8 @@ shards of about ``SHARD`` rows, rows are numbered inside their shard and
 shifted by the shards before, so a bucket that holds most rows is many tasks.
 
 The histogram that reaches the driver is bounded: lengths up to ``EXACT`` are
-kept, longer ones are rounded up to one of ``EXACT / 2`` steps an octave.
+kept, longer ones are grouped by one of ``EXACT / 2`` steps an octave. A group
+stands at the largest length in it, so a bucket's bound is its longest row.
 """
 
 from __future__ import annotations
@@ -92,7 +93,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length
     length = word_count(F.col(text_col)) if length is None else length
     rows = docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), F.greatest(length, F.lit(1)).cast("long").alias("n_tokens"))
     rows = saved(rows, "pack-lengths")
-    hist = sorted((r["at"], r["n"]) for r in rows.groupBy(rounded(F.col("n_tokens")).alias("at")).agg(F.count("*").alias("n")).collect())
+    hist = sorted((r["most"], r["n"]) for r in rows.groupBy(rounded(F.col("n_tokens"))).agg(F.max("n_tokens").alias("most"), F.count("*").alias("n")).collect())
     lengths, counts = np.array([h[0] for h in hist], np.int64), np.array([h[1] for h in hist], np.int64)
     bounds = best_bounds(lengths, counts, buckets)
     if not bounds:
