@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -11,6 +12,9 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: So many of the most frequent keys are joined by a broadcast in :func:`looked_up`.
+HEAD = 4_096
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 
@@ -28,7 +32,7 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     path = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not path:
-        if not sc.master.startswith("local["):
+        if not re.match(r"local(\[|$)", sc.master):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = tempfile.mkdtemp(prefix="tidewake-")
         sc.setCheckpointDir(path)
@@ -40,22 +44,50 @@ def saved(df: DataFrame, tag: str) -> DataFrame:
     """Cut the lineage: write ``df`` to the shared folder and read it again.
 
     A lost executor then costs its running tasks, not the steps before. The
-    path is kept on the frame, for :func:`drop_saved`.
+    path is kept on the frame, for :func:`drop_saved`; tables that a returned
+    frame still reads stay until :func:`clean_up`.
     """
-    path = f"{shared_dir(df.sparkSession)}/tidewake/{tag}-{uuid.uuid4().hex}"
+    path = f"{_own_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._tidewake_path = path
     return out
 
 
+def _own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/tidewake/{spark.sparkContext.applicationId}"
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    sc = spark.sparkContext
+    where = sc._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def drop_saved(df: DataFrame) -> None:
     """Delete what :func:`saved` wrote, once nothing reads it any more."""
     path = getattr(df, "_tidewake_path", None)
     if path:
-        sc = df.sparkSession.sparkContext
-        where = sc._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
+        _delete(df.sparkSession, path)
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Delete every table that this application saved. Frames made of them are void afterwards."""
+    _delete(spark, _own_dir(spark))
+
+
+def looked_up(rows: DataFrame, facts: DataFrame, keys: list[str], weight: str, head: int = HEAD) -> DataFrame:
+    """``rows`` with the columns of ``facts`` (one row for each value of ``keys``; fixed-size columns), inner.
+
+    ``weight`` says how many rows a key has. The ``head`` heaviest keys meet
+    their facts in a broadcast of at most ``head`` rows and are not shuffled;
+    of the others none has more than one in ``head`` of the rows, so no task
+    of the shuffled join is hot. The result is the whole inner join.
+    """
+    top = facts.orderBy(F.desc(weight), *keys).limit(head)
+    hot = rows.join(F.broadcast(top.drop(weight)), keys)
+    cold = rows.join(F.broadcast(top.select(*keys)), keys, "left_anti").join(facts.drop(weight), keys)
+    return hot.unionByName(cold)
 
 
 def ascii_lower(text: Column) -> Column:

@@ -1,8 +1,9 @@
 """Connected components by alternating large-star and small-star rounds.
 
-Every round is two grouped minimums and two joins over the links left, so a
-hub's neighbours are never gathered in one task. Each round's links are
-written to the shared folder.
+Every round is two grouped minimums, combined before their shuffle, and two
+look-ups of a node's minimum by its links. The nodes with most links take
+theirs from a broadcast of bounded size, so a hub's neighbours are never
+gathered in one task. Each round's links are written to the shared folder.
 """
 
 from __future__ import annotations
@@ -10,13 +11,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_saved, saved
+from .common import HEAD, drop_saved, looked_up, saved
 
 
-def _star(links: DataFrame, large: bool) -> DataFrame:
+def _star(links: DataFrame, large: bool, head: int) -> DataFrame:
     both = links.unionByName(links.select(F.col("dst").alias("src"), F.col("src").alias("dst"))) if large else links
-    least = both.groupBy("src").agg(F.min("dst").alias("low")).select("src", F.least("src", "low").alias("low"))
-    near = both.join(least, "src")
+    least = both.groupBy("src").agg(F.min("dst").alias("low"), F.count("*").alias("n")).select("src", F.least("src", "low").alias("low"), "n")
+    near = looked_up(both, least, ["src"], "n", head)
     if large:  # larger neighbours of a node point to its smallest neighbour
         return near.where(F.col("dst") > F.col("src")).select(F.col("dst").alias("src"), F.col("low").alias("dst"))
     moved = near.where(F.col("dst") != F.col("low")).select(F.col("dst").alias("src"), F.col("low").alias("dst"))
@@ -27,16 +28,20 @@ def _state(links: DataFrame) -> tuple:
     return tuple(links.agg(F.count("*"), F.sum(F.xxhash64("src", "dst").cast("decimal(20,0)"))).first())
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
-    """(``node``, ``root``) for every node that a link (``src``, ``dst``: long) touches; roots are left out."""
+def components(links: DataFrame, head: int = HEAD) -> DataFrame:
+    """(``node``, ``root``) for every node that a link (``src``, ``dst``: long) touches; roots are left out.
+
+    Rounds go on until nothing changes, some log(n) of them. Null ends are
+    ignored, repeated links and links to oneself change nothing, and no links
+    give no row.
+    """
     links = links.where(F.col("src") != F.col("dst")).select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct()
     links = saved(links, "links")
     state = _state(links)
-    for _ in range(rounds):
-        new = saved(_star(_star(links, True).distinct(), False).distinct(), "links")
+    while True:
+        new = saved(_star(_star(links, True, head).distinct(), False, head).distinct(), "links")
         drop_saved(links)
         links, old = new, state
         state = _state(links)
         if state == old:
             return links.select(F.col("src").alias("node"), F.col("dst").alias("root"))
-    raise RuntimeError("components did not settle")

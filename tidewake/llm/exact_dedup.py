@@ -6,11 +6,14 @@ lookup that misses both buckets proves a key new; one that hits is verified
 against the content record stored in the bucket, so a filter's false positive
 never joins two groups. First each input task folds its own copies together,
 then the folded rows are dealt by digest and folded again; a text copied into
-a third of all rows reaches the second pass as one row per input task.
-
-Tasks keep at most ``LIVE`` keys: the first pass emits and deletes live digests
-when it is full (the second one joins the parts), the second pass reads its
-rows in digest order and deletes digests that are complete.
+a third of all rows reaches the second pass as one row per input task. The rows
+of the largest groups learn their group from a broadcast of bounded size, the
+others from a join.
+
+Tasks keep at most ``LIVE`` keys. A full index emits its live digests and
+deletes them one by one; in the first pass the second one joins the parts, and
+the second reads its rows in digest order, so the digests deleted there are
+complete. A live digest that moves to a later row is deleted and put anew.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import payloads, saved
+from .common import looked_up, payloads, saved
 
 LIVE = 200_000
 SLOTS = 4
@@ -138,8 +141,7 @@ def _folded(batches: Iterator[pa.RecordBatch], ordered: bool, live: int) -> Iter
         schema = batch.schema
         for digest, length, key, row, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if len(index) >= live and (not ordered or index.get(digest, length) is None):
-                yield _batch(list(index), schema)
-                index = CuckooIndex()
+                yield _batch([index.delete(*x[:2]) for x in list(index)], schema)
             record = index.get(digest, length)
             if record is None:
                 index.put([digest, length, key, row, n])
@@ -152,13 +154,14 @@ def _folded(batches: Iterator[pa.RecordBatch], ordered: bool, live: int) -> Iter
         yield _batch(list(index), schema)
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", live: int = LIVE) -> DataFrame:
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", live: int = LIVE, row_col: str | None = None) -> DataFrame:
     """One row per input row: ``id_col``, ``row``, ``digest``, ``keep_id``, ``keep_row``, ``group_size``, ``kept``.
 
     Texts are equal when identical after lower-casing A-Z; null counts as
     empty. Of equal texts the row with the largest id stays, and of repeated
     rows with that id one; a null id is the smallest. ``row`` numbers the input
-    rows (no order is promised). An empty table gives no row.
+    rows (no order is promised) or is ``row_col``, a long that each row has of its own. An empty table gives no row; other columns are
+    ignored. Texts of any length are hashed whole.
     """
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -173,11 +176,12 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _folded(batches, True, live)
 
-    rows = docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), F.col(text_col).cast("string").alias("text"))
+    number = F.monotonically_increasing_id() if row_col is None else F.col(row_col)
+    rows = docs.select(F.col(id_col).alias("id"), number.alias("row"), F.col(text_col).cast("string").alias("text"))
     rows = saved(rows.mapInArrow(keys, f"digest binary, length long, id {kind}, row long"), "dedup-keys")
     schema = f"digest binary, length long, id {kind}, row long, n long"
     parts = rows.withColumn("n", F.lit(1).cast("long")).mapInArrow(fold, schema)
     groups = parts.repartition("digest").sortWithinPartitions("digest", "length").mapInArrow(join, schema)
-    groups = groups.select("digest", "length", F.col("id").alias("keep_id"), F.col("row").alias("keep_row"), F.col("n").alias("group_size"))
-    out = rows.join(groups, ["digest", "length"]).withColumn("kept", F.col("row") == F.col("keep_row"))
+    groups = groups.select("digest", "length", F.col("id").alias("keep_id"), F.col("row").alias("keep_row"), F.col("n").alias("group_size"), F.col("n").alias("weight"))
+    out = looked_up(rows, saved(groups, "dedup-groups"), ["digest", "length"], "weight").withColumn("kept", F.col("row") == F.col("keep_row"))
     return out.select(F.col("id").alias(id_col), "row", "digest", "keep_id", "keep_row", "group_size", "kept")

@@ -29,7 +29,8 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.filter("spans", lambda s: s["base"])
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     live = F.size(F.filter("spans", lambda s: s["live"])).cast("long").alias("n_live")
-    return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"), live)
+    widest = F.coalesce(F.array_max(F.transform("spans", lambda s: s["repositories"])), F.lit(0)).cast("long").alias("repositories")
+    return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"), live, widest)
 
 
 def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_saved, payloads, saved, slices
+from .common import drop_saved, looked_up, payloads, saved, slices
 from .components import components
 
 WORDS = 4
@@ -73,7 +73,13 @@ def fingerprint(text: bytes, words: int = WORDS) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col`` and the fingerprint as a signed long ``fp``, one row per input row."""
+    """``id_col`` and the fingerprint as a signed long ``fp``, one row per input row.
+
+    Null, empty and blank texts have fingerprint 0; a text of up to four words
+    is one shingle; repeated rows are each printed; an empty table gives no
+    row; other columns are ignored. A text is hashed whole, with memory in
+    proportion to it.
+    """
     words = WORDS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,14 +264,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ``component_id`` is the smallest id reachable over links. Null and empty
     texts have fingerprint 0 and link like any other; repeated rows and equal
     texts share a fingerprint and so a component; a null id never becomes a
-    component's id unless there is no other; an empty table gives no row.
+    component's id unless there is no other; an empty table gives no row; other
+    columns are ignored. Texts of any length are read whole, one at a time.
     """
     prints = saved(fingerprints(docs, id_col, text_col), "simhash-prints")
-    nodes = saved(prints.groupBy("fp").agg(F.min(id_col).alias("first_id")), "simhash-nodes")
+    prints = prints.select(F.col(id_col).alias("id"), "fp")
+    nodes = saved(prints.groupBy("fp").agg(F.min("id").alias("first_id"), F.count("*").alias("n")), "simhash-nodes")
     found = saved(links(nodes.select("fp"), nodes.count()), "simhash-links")
     roots = components(found)
     named = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    firsts = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    own = saved(named.join(firsts, "root").select("fp", "component_id"), "simhash-classes")
-    drop_saved(found)
-    return prints.join(own, "fp").select(id_col, "fp", "component_id")
+    named = saved(named, "simhash-roots")
+    firsts = named.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count("*").alias("members"))
+    own = saved(looked_up(named, firsts, ["root"], "members").select("fp", "component_id", "n"), "simhash-classes")
+    for table in (found, roots, nodes, named):
+        drop_saved(table)
+    return looked_up(prints, own, ["fp"], "n").select(F.col("id").alias(id_col), "fp", "component_id")

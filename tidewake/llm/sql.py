@@ -61,15 +61,15 @@ WHERE length(value) >= {kind.least}{needs}"""
 
 OP4 = f"""
 WITH hits AS ({" UNION ALL ".join(_hits(k, rank) for rank, k in enumerate(secrets.KINDS))}),
-owned AS (SELECT hash, count(DISTINCT coalesce(owner, '\x01')) AS owners FROM hits GROUP BY hash),
-rated AS (SELECT hits.*, owners < {secrets.COPIED} AS live, concat_ws(':', kind, start, stop) AS span FROM hits JOIN owned USING (hash)),
+owned AS (SELECT hash, count(DISTINCT coalesce(owner, '\x01')) AS owners, count(DISTINCT (coalesce(owner, '\x01'), repository)) AS repositories FROM hits GROUP BY hash),
+rated AS (SELECT hits.*, owners = 1 OR (owners < {secrets.COPIED} AND repositories < {secrets.SPREAD}) AS live, repositories, concat_ws(':', kind, start, stop) AS span FROM hits JOIN owned USING (hash)),
 spans AS (
     SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
         coalesce(string_agg(span, ',' ORDER BY start, rank) FILTER (base), '') AS base,
-        string_agg(span, ',' ORDER BY start, rank) AS spans, count(*) FILTER (live) AS n_live
+        string_agg(span, ',' ORDER BY start, rank) AS spans, count(*) FILTER (live) AS n_live, max(repositories) AS repositories
     FROM rated WHERE base OR live GROUP BY doc_id)
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
-    sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live
+    sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(repositories, 0) AS repositories
 FROM documents LEFT JOIN spans USING (doc_id)
 """
 
