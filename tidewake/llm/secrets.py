@@ -112,7 +112,7 @@ def replaced(text: Column, spans: Column, mark: str) -> Column:
     """
     tail = F.struct(F.length(text).cast("long").alias("start"), F.lit(True).alias("last"))
     cuts = F.concat(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(False).alias("last"))), F.array(tail))
-    reach = F.concat(F.array(F.lit(0).cast("long")), running(F.transform(spans, lambda s: s["end"]), F.greatest))
+    reach = F.concat(F.array(F.lit(0).cast("long")), running(F.transform(spans, lambda s: s["end"]), lambda a, b: F.greatest(a, b)))
     marked = F.zip_with(cuts, reach, lambda c, at: F.struct(c["start"].alias("start"), c["last"].alias("last"), at.alias("at")))
 
     def block(part: Column) -> Column:
