@@ -58,7 +58,7 @@ def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter.judge(table(spark, sf_dir, "pages")).drop("score")
+    return url_filter.judge(table(spark, sf_dir, "pages")).withColumn("score", F.round("score", 6))
 
 
 QUERIES = {

@@ -108,7 +108,8 @@ scores AS (SELECT url, avg(ratio) AS score FROM positions JOIN ratios USING (win
 spread AS (SELECT avg(score) FILTER (ruled = 'allow') AS ma, stddev_pop(score) FILTER (ruled = 'allow') AS sa, avg(score) FILTER (ruled = 'block') AS mb, stddev_pop(score) FILTER (ruled = 'block') AS sb
     FROM u JOIN scores USING (url) WHERE held),
 level AS (SELECT CASE WHEN ma IS NULL OR mb IS NULL THEN 0 WHEN sa + sb > 0 THEN (ma * sb + mb * sa) / (sa + sb) ELSE (ma + mb) / 2 END AS level FROM spread)
-SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN score >= (SELECT level FROM level) THEN 'allow' ELSE 'block' END) AS verdict
+SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN score >= (SELECT level FROM level) THEN 'allow' ELSE 'block' END) AS verdict,
+    CASE WHEN rule IS NULL THEN round(score - (SELECT level FROM level), 6) END AS score
 FROM pages JOIN u ON coalesce(pages.url, '') = u.url JOIN scores ON u.url = scores.url
 """
 

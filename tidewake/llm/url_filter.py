@@ -11,7 +11,9 @@ mean scores of held-back accepted and rejected URLs, weighted by their spread.
 
 A character's log ratio depends on its window of ``ORDER`` characters alone, so
 the models are evaluated once per distinct window, and a URL's characters
-meet them in one join on the window.
+meet them in one join on the window. Some windows stand in almost every URL,
+some characters in almost every window and some URLs on many pages: such keys
+take their facts from a broadcast of bounded size (``looked_up``).
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, saved
+from .common import ascii_lower, drop_saved, looked_up, saved
 
 ORDER = 5
 MIX = 2.0
@@ -63,21 +65,25 @@ def _count(label: str) -> Column:
 
 
 def log_ratios(positions: DataFrame) -> DataFrame:
-    """(``window``, ``ratio``) for every distinct window of ``positions`` (window, verdict, held)."""
-    seen = saved(positions.groupBy("window").agg(_count("allow"), _count("block")), "url-windows")
-    grams = seen.select("window", "allow", "block", F.explode(F.array(*map(F.lit, range(1, ORDER + 1)))).alias("k"))
+    """(``window``, ``ratio``, ``n``) for every distinct window of ``positions`` (window, verdict, held); ``n`` counts its places."""
+    seen = saved(positions.groupBy("window").agg(_count("allow"), _count("block"), F.count("*").alias("n")), "url-windows")
+    grams = seen.select("window", "n", "allow", "block", F.explode(F.array(*map(F.lit, range(1, ORDER + 1)))).alias("k"))
     grams = grams.withColumn("gram", F.substring("window", ORDER + 1 - F.col("k"), F.col("k")))
-    counts = grams.groupBy("k", "gram").agg(F.sum("allow").alias("a"), F.sum("block").alias("b")).withColumn("context", F.substring("gram", F.lit(1), F.col("k") - 1))
-    totals = counts.groupBy("k", "context").agg(F.sum("a").alias("ta"), F.sum("b").alias("tb"))
-    model = counts.join(totals, ["k", "context"]).select("gram", "a", "ta", "b", "tb")
-    parts = grams.select("window", "k", "gram").join(model, "gram")
+    counts = grams.groupBy("k", "gram").agg(F.sum("allow").alias("a"), F.sum("block").alias("b"), F.count("*").alias("places")).withColumn("context", F.substring("gram", F.lit(1), F.col("k") - 1))
+    counts = saved(counts, "url-grams")
+    totals = counts.groupBy("k", "context").agg(F.sum("a").alias("ta"), F.sum("b").alias("tb"), F.count("*").alias("grams"))
+    model = saved(looked_up(counts, totals, ["k", "context"], "grams").select("gram", "a", "ta", "b", "tb", "places"), "url-model")
+    parts = looked_up(grams.select("window", "n", "k", "gram"), model, ["gram"], "places")
     at = lambda k, name: F.max(F.when(F.col("k") == k, F.col(name))).alias(f"{name}{k}")
-    wide = parts.groupBy("window").agg(*[at(k, n) for k in range(1, ORDER + 1) for n in ("a", "ta", "b", "tb")])
+    wide = parts.groupBy("window", "n").agg(*[at(k, n) for k in range(1, ORDER + 1) for n in ("a", "ta", "b", "tb")])
 
     def probability(n: str, total: str) -> Column:
         return reduce(lambda p, k: (F.col(f"{n}{k}") + MIX * p) / (F.col(f"{total}{k}") + MIX), range(1, ORDER + 1), F.lit(1.0 / ALPHABET))
 
-    return wide.select("window", F.log(probability("a", "ta") / probability("b", "tb")).alias("ratio"))
+    ratios = saved(wide.select("window", F.log(probability("a", "ta") / probability("b", "tb")).alias("ratio"), "n"), "url-ratios")
+    for table in (seen, counts, model):
+        drop_saved(table)
+    return ratios
 
 
 def threshold(scores: DataFrame) -> float:
@@ -96,20 +102,23 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
     ``score`` is the calibrated one (above 0: allow) and null where a rule
     decides. A null URL is judged as the empty text, repeated rows and equal
     URLs get equal verdicts, ties at the threshold are allowed; an empty table
-    gives no row. Without rule-decided URLs of both kinds all scores are
-    compared with 0. Each distinct URL teaches and is scored once.
+    gives no row; other columns are ignored. Without rule-decided URLs of both
+    kinds all scores are compared with 0. Each distinct URL teaches and is
+    scored once, over its whole length.
     """
-    url = F.coalesce(F.col(url_col).cast("string"), F.lit(""))
-    known = pages.select(F.col(id_col), url.alias("url"))
+    known = pages.select(F.col(id_col).alias("id"), F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("url"))
+    known = known.withColumn("key", F.sha2("url", 256))
     host, path = host_path(F.col("url"))
-    distinct = known.select("url").distinct().select("url", host.alias("host"), path.alias("path"))
     text, verdict = rule(F.col("host"), F.col("path"), rules)
+    named = lambda df: df.withColumn("host", host).withColumn("path", path).withColumn("rule", text).withColumn("verdict", verdict)
     held = F.conv(F.substring(F.md5(F.col("url").cast("binary")), 1, 6), 16, 10).cast("long") % HOLD == 0
-    distinct = saved(distinct.select(F.monotonically_increasing_id().alias("row"), "url", "host", "path", text.alias("rule"), verdict.alias("verdict"), held.alias("held")), "urls")
-    positions = distinct.select("row", "verdict", "held", F.explode(windows(F.col("url"))).alias("window"))
-    scored = positions.select("row", "window").join(log_ratios(positions), "window").groupBy("row").agg(F.avg("ratio").alias("score"))
-    judged = saved(distinct.join(scored, "row").drop("row"), "url-scores")
-    level = threshold(judged.select("verdict", "held", "score"))
+    distinct = known.groupBy("key").agg(F.first("url").alias("url"), F.count("*").alias("pages"))
+    distinct = saved(named(distinct).select("key", "url", "pages", "rule", "verdict", held.alias("held")), "urls")
+    positions = distinct.select("key", "verdict", "held", F.explode(windows(F.col("url"))).alias("window"))
+    scored = looked_up(positions.select("key", "window"), log_ratios(positions), ["window"], "n").groupBy("key").agg(F.avg("ratio").alias("score"))
+    scores = saved(distinct.select("key", "pages", F.col("verdict").alias("ruled"), "held").join(scored, "key"), "url-scores")
+    level = threshold(scores.select(F.col("ruled").alias("verdict"), "held", "score"))
+    judged = looked_up(named(known), scores.select("key", "score", "pages"), ["key"], "pages")
     score = F.when(F.col("rule").isNull(), F.col("score") - level)
-    judged = judged.select("url", "host", "path", "rule", F.coalesce("verdict", F.when(F.col("score") >= level, "allow").otherwise("block")).alias("verdict"), score.alias("score"))
-    return known.join(judged, "url").select(id_col, "host", "path", "rule", "verdict", "score")
+    answer = F.coalesce("verdict", F.when(F.col("score") >= level, "allow").otherwise("block"))
+    return judged.select(F.col("id").alias(id_col), "host", "path", "rule", answer.alias("verdict"), score.alias("score"))
