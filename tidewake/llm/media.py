@@ -102,11 +102,30 @@ def decode(data: bytes) -> np.ndarray:
 # -- features -------------------------------------------------------------
 
 
-def resize(image: np.ndarray, height: int, width: int) -> np.ndarray:
-    """Mean over each target cell's area, by a summed-area table; rounds half up."""
+BAND = 65_536
+
+
+def _integral_rows(image: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """The rows ``wanted`` (rising) of the image's summed-area table, exact, as (rows, width + 1, channels).
+
+    Row r holds the sums over image rows before r. The image is summed in bands
+    of ``BAND`` rows, so nothing of the image's size is made besides it.
+    """
+    h, w, c = image.shape
+    out = np.zeros((len(wanted), w + 1, c), np.int64)
+    total, done, at = np.zeros((w, c), np.int64), 0, 0
+    for k, row in enumerate(wanted.tolist()):
+        while done < row:
+            at = min(row, done + BAND)
+            total += image[done:at].sum(axis=0, dtype=np.int64)
+            done = at
+        out[k, 1:] = np.cumsum(total, axis=0)
+    return out
+
+
+def area_means(image: np.ndarray, height: int, width: int) -> np.ndarray:
+    """Mean over each target cell's exact area, edges that cut a pixel included, from the summed-area table."""
     h, w, c = image.shape
-    total = np.zeros((h + 1, w + 1, c))
-    np.cumsum(np.cumsum(image, axis=0, dtype=np.float64), axis=1, out=total[1:, 1:])
 
     def cut(axis_len: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
         edge = np.arange(parts + 1) * axis_len / parts
@@ -114,11 +133,21 @@ def resize(image: np.ndarray, height: int, width: int) -> np.ndarray:
         return low, edge - low
 
     low, part = cut(h, height)
-    rows = total[low] * (1 - part)[:, None, None] + total[low + 1] * part[:, None, None]
+    wanted, place = np.unique(np.r_[low, low + 1], return_inverse=True)
+    table = _integral_rows(image, wanted)[place]
+    rows = table[: height + 1] * (1 - part)[:, None, None] + table[height + 1 :] * part[:, None, None]
     low, part = cut(w, width)
     sums = rows[:, low] * (1 - part)[None, :, None] + rows[:, low + 1] * part[None, :, None]
-    area = np.diff(np.diff(sums, axis=0), axis=1) * (height * width / (h * w))
-    return np.clip(np.floor(area + 0.5 + 1e-9), 0, 255).astype(np.uint8)
+    return np.diff(np.diff(sums, axis=0), axis=1) * (height * width / (h * w))
+
+
+def _rounded(means: np.ndarray) -> np.ndarray:
+    return np.clip(np.floor(means + 0.5 + 1e-9), 0, 255).astype(np.uint8)
+
+
+def resize(image: np.ndarray, height: int, width: int) -> np.ndarray:
+    """Area means, rounded half up to 8 bits."""
+    return _rounded(area_means(image, height, width))
 
 
 def npy_tile(image: np.ndarray, height: int = 16, width: int = 16) -> bytes:
@@ -129,8 +158,7 @@ def npy_tile(image: np.ndarray, height: int = 16, width: int = 16) -> bytes:
 
 def difference_hash(image: np.ndarray) -> int:
     """64 bits: whether a cell of the 8 x 9 grey tile is brighter than its left neighbour."""
-    grey = image.mean(axis=2, keepdims=True) if image.shape[2] > 1 else image
-    small = resize(grey, 8, 9)[:, :, 0]
+    small = _rounded(area_means(image, 8, 9).mean(axis=2))
     return int.from_bytes(np.packbits(small[:, 1:] > small[:, :-1]).tobytes(), "big")
 
 
@@ -153,7 +181,8 @@ def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """One row per input row: ``id_col``, ``n_bytes``, ``media`` (binary).
 
     A text's UTF-8 bytes (null: empty), filled up with 255 to a positive
-    multiple of 576, become an image's samples without loss.
+    multiple of 576, become an image's samples without loss. Repeated rows are
+    stored one by one; an empty table gives no row; other columns are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,8 +203,9 @@ def media_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """Store every text as media, read the media again and describe it; one row per input row.
 
     Equal texts have equal values whatever their ids; null is the empty text;
-    repeated rows are described one by one; an empty table gives no row.
-    ``tiles`` adds the NPY tile itself as a binary column.
+    repeated rows are described one by one; an empty table gives no row; other
+    columns are ignored. A very long text takes some copies of its bytes, one
+    text at a time. ``tiles`` adds the NPY tile itself as a binary column.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
