@@ -196,7 +196,7 @@ def test_forward_recursion_sums_over_all_paths():
 
 
 def test_expected_counts_weigh_all_paths():
-    model, parts = small_model(), [np.array(x, np.uint16) for x in ([1, 2, 3, 0], [5, 5])]
+    model, parts = small_model(), [np.array(x, np.uint16) for x in ([1, 2, 3, 0, 6, 1], [4], [5, 5], [2, 0, 1])]
     start, steps, emit = np.zeros(3), np.zeros((3, 3)), np.zeros((7, 3))
     for x in parts:
         total = sum(p for _, p in all_paths(model, x))
@@ -206,8 +206,10 @@ def test_expected_counts_weigh_all_paths():
                 steps[a, b] += p / total
             for s, a in zip(x, path, strict=True):
                 emit[s, a] += p / total
-    got = hmm.expected_counts(model, parts, np.array([True, True]))
-    assert all(np.allclose(a, b) for a, b in zip(got, (start, steps, emit), strict=False))
+    for held in (1, 3, 5, 1000):  # blocks of one step, of several, and no cut at all
+        got = hmm.expected_counts(model, parts, held)
+        assert all(np.allclose(a, b) for a, b in zip(got, (start, steps, emit), strict=False))
+        assert got[3] == pytest.approx(hmm.log_likelihoods(model, parts).sum())
 
 
 def test_language_model_scores(spark, sf_dir):

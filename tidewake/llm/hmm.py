@@ -9,10 +9,10 @@ for words never seen. The likelihood of a text is then a forward recursion
 over symbols, times an order-free product over class words.
 
 Training counts words over all training rows, writes each text once as an
-array of symbols, and runs ``ROUNDS`` of Baum-Welch over windows of ``WINDOW``
-symbols: each task sums its expected counts, a grouped sum joins the tasks',
-and the driver receives one number per model parameter. Scoring runs the
-scaled forward recursion over whole texts, many texts side by side.
+array of symbols, and runs ``ROUNDS`` of Baum-Welch over whole texts, many
+texts side by side: each task sums its expected counts, a grouped sum joins the
+tasks', and the driver receives one number per model parameter. Scoring runs
+the scaled forward recursion over whole texts in the same way.
 
 The ``HEAD`` most frequent words are sent to the tasks with their counts
 (bounded, whatever the corpus); rarer words meet their counts in a join.
@@ -38,7 +38,8 @@ SYMBOLS = 2_048
 CLASSES = 128
 HEAD = 262_144
 ROUNDS = 3
-WINDOW = 256
+#: Symbols whose forward states a training task keeps at once.
+STEPS_HELD = 300_000
 #: Distinct words that a counting task holds before it hands its counts on.
 HELD = 400_000
 
@@ -73,12 +74,6 @@ class HMM:
         step = np.full((states, states), 0.4 / states) + np.eye(states) * 0.6
         return HMM(np.full(states, 1 / states), step / step.sum(1, keepdims=True), emit / emit.sum(0))
 
-    def stationary(self) -> np.ndarray:
-        p = np.full(len(self.start), 1 / len(self.start))
-        for _ in range(200):
-            p = p @ self.step
-        return p / p.sum()
-
     @staticmethod
     def of_counts(start: np.ndarray, step: np.ndarray, emit: np.ndarray) -> HMM:
         """Expected counts to probabilities; a small constant keeps every one above 0."""
@@ -121,40 +116,56 @@ def log_likelihoods(model: HMM, parts: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def expected_counts(model: HMM, parts: list[np.ndarray], firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Baum-Welch: expected start, step and emission counts and the log-likelihood.
+def expected_counts(model: HMM, parts: list[np.ndarray], held: int = STEPS_HELD) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Baum-Welch over whole texts: expected start, step and emission counts and the log-likelihood.
 
-    ``firsts`` tells which sequences begin a text; the others begin in the
-    chain's stationary distribution and leave the start counts alone.
+    The forward states of about ``held`` symbols are kept at once. A first pass
+    notes the states where each such block begins; blocks are then taken from
+    the last to the first, their states worked out again and met by the
+    backward recursion, which is carried from block to block. The counts are
+    those of one uncut pass.
     """
     states, (flat, active, order) = len(model.start), _time_major(parts)
-    begins = np.where(firsts[order][:, None], model.start, model.stationary())
-    forward = np.empty((len(flat), states))
-    scales = np.empty(len(flat))
-    at, spans = 0, []
-    for n in active.tolist():
-        here = slice(at, at + n)
-        seen = model.emit[flat[here]]
-        state = begins * seen if not spans else (forward[spans[-1]][:n] @ model.step) * seen
-        scales[here] = state.sum(1)
-        forward[here] = state / scales[here][:, None]
-        spans.append(here)
-        at += n
-    steps, later = np.zeros((states, states)), None
-    for t in range(len(spans) - 1, -1, -1):
-        here = spans[t]
-        n = here.stop - here.start
-        back = np.ones((n, states))
-        if later is not None:
-            m = len(later)
-            back[:m] = later @ model.step.T
-            steps += forward[here][:m].T @ later
-        later = model.emit[flat[here]] * back / scales[here][:, None]
-        forward[here] *= back  # now the posterior of the states
-    steps *= model.step
-    emit = np.stack([np.bincount(flat, forward[:, s], len(model.emit)) for s in range(states)], 1)
-    start = forward[spans[0]][firsts[order]].sum(0)
-    return start, steps, emit, float(np.log(scales).sum())
+    at = np.r_[0, np.cumsum(active)]
+    cuts = [0]
+    while cuts[-1] < len(active):
+        cuts.append(max(cuts[-1] + 1, int(np.searchsorted(at, at[cuts[-1]] + held, side="right")) - 1))
+
+    def moved(state: np.ndarray | None, t: int) -> tuple[np.ndarray, np.ndarray]:
+        n = active[t]
+        seen = model.emit[flat[at[t] : at[t + 1]]]
+        state = model.start * seen if state is None else (state[:n] @ model.step) * seen
+        scale = state.sum(1)
+        state /= scale[:, None]
+        return state, scale
+
+    borders: list[np.ndarray | None] = [None]
+    state = None
+    for t in range(cuts[-2] if len(cuts) > 2 else 0):
+        state, _ = moved(state, t)
+        if t + 1 == cuts[len(borders)]:
+            borders.append(state)
+    start, steps, emit, total, later = np.zeros(states), np.zeros((states, states)), np.zeros((len(model.emit), states)), 0.0, None
+    for k in range(len(cuts) - 2, -1, -1):
+        low, high, state = at[cuts[k]], at[cuts[k + 1]], borders[k]
+        forward, scales = np.empty((high - low, states)), np.empty(high - low)
+        for t in range(cuts[k], cuts[k + 1]):
+            here = slice(at[t] - low, at[t + 1] - low)
+            forward[here], scales[here] = moved(state, t)
+            state = forward[here]
+        for t in range(cuts[k + 1] - 1, cuts[k] - 1, -1):
+            here = slice(at[t] - low, at[t + 1] - low)
+            back = np.ones((active[t], states))
+            if later is not None:
+                back[: len(later)] = later @ model.step.T
+                steps += forward[here][: len(later)].T @ later
+            later = model.emit[flat[at[t] : at[t + 1]]] * back / scales[here][:, None]
+            forward[here] *= back  # now the posterior of the states
+        emit += np.stack([np.bincount(flat[low:high], forward[:, s], len(model.emit)) for s in range(states)], 1)
+        total += float(np.log(scales).sum())
+        if not k:
+            start = forward[: active[0]].sum(0)
+    return start, steps * model.step, emit, total
 
 
 # -- corpus counts --------------------------------------------------------
@@ -208,15 +219,10 @@ def _fit(symbols: DataFrame, counts: np.ndarray, rounds: int) -> HMM:
 
         def run(batches: Iterator[pa.RecordBatch], model: HMM = model) -> Iterator[pa.RecordBatch]:
             total = np.zeros(states + states * states + size * states)
-            for batch in slices(batches, "syms", 1_000_000):
-                parts, firsts = [], []
-                for raw in batch.column(0).to_pylist():
-                    whole = np.frombuffer(raw, np.uint16)
-                    for at in range(0, len(whole), WINDOW):
-                        parts.append(whole[at : at + WINDOW])
-                        firsts.append(at == 0)
+            for batch in slices(batches, "syms", 8_000_000):
+                parts = [np.frombuffer(raw, np.uint16) for raw in batch.column(0).to_pylist()]
                 if parts:
-                    start, steps, emit, _ = expected_counts(model, parts, np.array(firsts))
+                    start, steps, emit, _ = expected_counts(model, parts)
                     total += np.concatenate([start, steps.ravel(), emit.ravel()])
             found = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(total[found])], ["k", "v"])
@@ -236,7 +242,9 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     is the add-one unigram score, ``score`` the model's log10 probability of
     the text. A null text is empty: one end mark. Equal texts get equal scores
     up to rounding; repeated rows count as often as they occur; with no
-    training row every token is unknown; an empty table gives no row.
+    training row every token is unknown; an empty table gives no row; other
+    columns are ignored. Texts of any length are trained on and scored whole;
+    a task holds some 2 bytes a token besides the forward states of a block.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), train.alias("train"), F.col(text_col).cast("string").alias("text"))
