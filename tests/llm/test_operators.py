@@ -247,9 +247,43 @@ def test_label_model_finds_good_voters():
     rng = np.random.default_rng(3)
     y = rng.random(4000) < 0.2
     votes = np.stack([np.where(rng.random(4000) < a, y, ~y).astype(int) for a in (0.95, 0.9, 0.55)] + [np.full(4000, -1)], 1)
-    model = toxicity.LabelModel().fit(votes, (votes[:, 0] + votes[:, 1]) / 2.0, rounds=8)
+    model = toxicity.LabelModel().fit(votes, rounds=8)
     assert ((model.posterior(votes) > 0.5) == y).mean() > 0.93
-    assert model.rates[0, 2, 1] > model.rates[2, 2, 1]
+    assert [g.tolist() for g in model.groups] == [[0], [1], [2], [3]]
+    odds = [t[1, 2] / t[0, 2] for t in model.tables]  # of voting toxic
+    assert odds[0] > odds[2] and odds[1] > odds[2]
+
+
+def test_label_model_counts_copied_voters_once():
+    rng = np.random.default_rng(4)
+    y = rng.random(3000) < 0.25
+    votes = np.stack([np.where(rng.random(3000) < a, y, ~y).astype(int) for a in (0.9, 0.85, 0.85, 0.9)], 1)
+    copied = np.column_stack([votes, *[votes[:, 1]] * 5])
+    plain, more = toxicity.LabelModel().fit(votes), toxicity.LabelModel().fit(copied)
+    assert sorted(map(len, more.groups)) == [1, 1, 1, 6]
+    assert np.abs(plain.posterior(votes) - more.posterior(copied)).mean() < 0.02
+
+
+def test_label_model_posterior_against_bayes():
+    """The posterior of every vote pattern from the model's own tables, worked out state by state."""
+    votes = np.array(list(itertools.product((-1, 0, 1), repeat=3)))
+    model = toxicity.LabelModel(0.3, [np.array([0, 2]), np.array([1])], [np.random.default_rng(k).dirichlet(np.ones(18), 2) for k in range(2)])
+    for row, got in zip(votes, model.posterior(votes), strict=True):
+        both = [0.7, 0.3]
+        for group, table in zip(model.groups, model.tables, strict=True):
+            state = 2 * sum(row[k] == 1 for k in group) + any(row[k] == 0 for k in group)
+            both = [p * table[label, state] for label, p in enumerate(both)]
+        assert got == pytest.approx(both[1] / sum(both))
+
+
+def test_group_states_tell_small_counts_apart():
+    assert [int(toxicity.group_states(np.array([[1] * n + [-1] * (200 - n)]))[0]) // 2 for n in (0, 1, 2, 3, 5, 6, 11, 12, 23, 24, 200)] == [0, 1, 2, 3, 3, 4, 4, 5, 5, 6, 8]
+
+
+def test_toxicity_scores_are_calibrated(spark):
+    sf = "/root/testdata/sf0.1"
+    rows = toxicity.toxicity(table(spark, sf, "documents"), table(spark, sf, "labels")).where("held_out").join(table(spark, sf, "labels"), "doc_id").collect()
+    assert np.mean([(r["score"] - r["toxic"]) ** 2 for r in rows]) < 0.03 < 0.09  # always the base rate: about 0.09
 
 
 # -- packing --------------------------------------------------------------

@@ -5,14 +5,18 @@ words and word beginnings are mined that toxic rows share; each becomes a
 lexicon voter that votes toxic where it occurs and abstains elsewhere. Pattern
 voters look at how many distinct lexicon entries a text has, how dense they
 are, shouting, exclamation and insults in the second person; some of them vote
-clean. A generative label model estimates every voter's behaviour given the
-hidden label, and how strongly voters agree beyond that, by which the weight
-of voters that say the same thing is cut. Its posterior labels train a linear
-classifier, whose scale is set on the sample's own labels so that 0.7 is the
-cut with the best F1.
-
-Training sees hashed features of bounded size on the driver; scoring is one
-pass over the texts with the model's few thousand strings.
+clean. A generative label model learns from the votes alone how accurate the
+voters are, and which of them say the same thing: voters that agree beyond
+what the hidden label explains form a group, and a group has one table of how
+many of its members fire given the label, so that their evidence is not
+counted once for each. The model's posterior labels train a linear classifier.
+The sample's own labels serve twice only, to mine the lexicon and to calibrate
+the classifier: they set the scale of its margin (Platt) and its cut, so that
+0.7 is the score with the best F1.
+
+Mining is a grouped count of features over the sample; the driver receives the
+``LEXICON`` strongest features and, for each sample row, which of them it has.
+Scoring is one pass over the texts with the model's few hundred strings.
 """
 
 from __future__ import annotations
@@ -25,10 +29,10 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, payloads, slices
+from .common import drop_saved, fold, payloads, saved, slices
 
 #: At most so many labelled rows train the model.
 SAMPLE = 8_000
@@ -36,7 +40,14 @@ LEXICON = 600
 CUT = 0.7
 #: Lengths in bytes of the word beginnings that are mined.
 STEMS = (5, 6, 7, 8)
-HASH_BITS = 22
+#: Distinct features that a mining task holds before it hands its counts on.
+HELD = 400_000
+#: Voters whose votes correlate more than this, beyond what the label explains, are a group.
+ALIKE = 0.5
+#: And more than this outright: a group from the start.
+SAME = 0.9
+#: The counts 0, 1, 2, 3-5, 6-11, 12-23, ... of a group's firing voters are told apart, in so many steps after 0.
+MOST = 8
 #: Twice the log-likelihood ratio from which a feature is no chance find among a million.
 CHANCE = 28.0
 
@@ -67,50 +78,78 @@ def shape(text: str, n_words: int) -> tuple[float, ...]:
     return upper / max(1, len(text)), text.count("!") / max(1, n_words), float(bool(_SECOND_PERSON.search(text.lower())))
 
 
-def _hashed(found: set[bytes]) -> np.ndarray:
-    import xxhash
-
-    return np.unique(np.fromiter((xxhash.xxh32_intdigest(f) >> (32 - HASH_BITS) for f in found), np.uint32, len(found)))
-
-
 # -- label model ----------------------------------------------------------
 
 
 @dataclass
 class LabelModel:
-    """Votes are 1 (toxic), 0 (clean) or -1 (abstains), conditionally dependent inside groups of like voters."""
+    """Votes are 1 (toxic), 0 (clean) or -1 (abstains); voters of a group depend on each other, groups do not, given the label.
+
+    A group's state is how many of its voters vote toxic, in steps that double,
+    and whether any votes clean; ``tables`` holds P(state | clean), P(state | toxic)
+    for each group.
+    """
 
     prior: float = 0.1
-    rates: np.ndarray = field(default_factory=lambda: np.zeros((0, 3, 2)))
-    weights: np.ndarray = field(default_factory=lambda: np.zeros(0))
-
-    def fit(self, votes: np.ndarray, start: np.ndarray, rounds: int = 5) -> LabelModel:
-        """``start``: a first guess of each row's probability of being toxic."""
-        y = start
-        self.weights = np.ones(votes.shape[1])
-        for k in range(rounds):
-            self.prior = float(np.clip(y.mean(), 1e-3, 1 - 1e-3))
-            self.rates = np.stack([np.stack([((votes == v) * w[:, None]).sum(0) + 0.5 for w in (1 - y, y)], 1) for v in (-1, 0, 1)], 1)
-            self.rates /= self.rates.sum(1, keepdims=True)
-            if k == 0:
-                self.weights = self._shares(votes, y)
-            y = self.posterior(votes)
+    groups: list[np.ndarray] = field(default_factory=list)
+    tables: list[np.ndarray] = field(default_factory=list)
+
+    def fit(self, votes: np.ndarray, rounds: int = 6) -> LabelModel:
+        """Expectation-maximisation from the majority of the votes cast.
+
+        Voters that say outright the same (correlation over ``SAME``) are one
+        group from the start, so that they do not outvote the rest; the other
+        groups are found from what a first fit leaves unexplained.
+        """
+        self.groups = _linked(votes, np.zeros(len(votes)), SAME)
+        cast = [np.sign((votes[:, g] == 1).sum(1) - (votes[:, g] == 0).sum(1)) for g in self.groups]
+        y = self._em(votes, np.where(np.sum(cast, 0) > 0, 0.9, 0.02), rounds)
+        self.groups = _linked(votes, y, ALIKE, self.groups)
+        self._em(votes, y, rounds)
         return self
 
-    def _shares(self, votes: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """1 / (1 + the sum of a voter's residual correlations with others)."""
-        cast = (votes == 1).astype(np.float32)
-        expected = y[:, None] * self.rates[:, 2, 1] + (1 - y)[:, None] * self.rates[:, 2, 0]
-        residual = (cast - expected).astype(np.float32)
-        residual /= np.sqrt((residual**2).sum(0)) + 1e-9
-        alike = residual.T @ residual
-        np.fill_diagonal(alike, 0)
-        return 1 / (1 + np.where(alike > 0.2, alike, 0).sum(1))
+    def _em(self, votes: np.ndarray, y: np.ndarray, rounds: int) -> np.ndarray:
+        states = [group_states(votes[:, g]) for g in self.groups]
+        for _ in range(rounds):
+            self.prior = float(np.clip(y.mean(), 1e-3, 1 - 1e-3))
+            self.tables = []
+            for x in states:
+                table = np.stack([np.bincount(x, w, 2 * MOST + 2) + 0.5 for w in (1 - y, y)])
+                self.tables.append(table / table.sum(1, keepdims=True))
+            y = self._posterior(states)
+        return y
+
+    def _posterior(self, states: list[np.ndarray]) -> np.ndarray:
+        z = math.log(self.prior / (1 - self.prior))
+        for x, table in zip(states, self.tables, strict=True):
+            z = z + np.log(table[1] / table[0])[x]
+        return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
     def posterior(self, votes: np.ndarray) -> np.ndarray:
-        logs = np.log(self.rates[:, :, 1] / self.rates[:, :, 0]) * self.weights[:, None]
-        z = math.log(self.prior / (1 - self.prior)) + sum((votes == v) @ logs[:, k] for k, v in enumerate((-1, 0, 1)))
-        return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+        return self._posterior([group_states(votes[:, g]) for g in self.groups])
+
+
+def _linked(votes: np.ndarray, y: np.ndarray, least: float, groups: list[np.ndarray] = ()) -> list[np.ndarray]:
+    """Connected voters: those whose votes, less what the label ``y`` explains, correlate above ``least``, or that share a group."""
+    cast = np.where(votes == 0, -1.0, np.where(votes == 1, 1.0, 0.0)).astype(np.float32)
+    mean = [(cast * w[:, None]).sum(0) / max(w.sum(), 1e-9) for w in (1 - y, y)]
+    residual = cast - y[:, None] * mean[1] - (1 - y)[:, None] * mean[0]
+    residual = (residual / (np.sqrt((residual**2).sum(0)) + 1e-9)).astype(np.float32)
+    linked = residual.T @ residual > least
+    for g in groups:
+        linked[np.ix_(g, g)] = True
+    root = np.arange(len(linked))
+    while True:  # the smallest number among a voter's links, until it settles
+        new = np.minimum(root, np.where(linked, root[None], len(root)).min(1, initial=len(root)))
+        if (new == root).all():
+            return [np.flatnonzero(root == r) for r in np.unique(root)]
+        root = new
+
+
+def group_states(votes: np.ndarray) -> np.ndarray:
+    n = (votes == 1).sum(1)
+    step = np.where(n < 3, n, np.floor(np.log2(np.maximum(n, 1) / 0.375)).astype(np.int64))
+    return 2 * np.minimum(step, MOST) + (votes == 0).any(1)
 
 
 def _pattern_votes(hits: np.ndarray, density: np.ndarray, shapes: np.ndarray) -> np.ndarray:
@@ -170,85 +209,75 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """
     given = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).cast("int").alias("y"))
     given = given.orderBy(F.xxhash64(id_col), id_col).limit(sample)  # bounded, so it may be broadcast
-    rows = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text")).join(F.broadcast(given), id_col)
+    rows = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text")).join(F.broadcast(given), id_col).select("y", "text")
+    rows = saved(rows, "toxicity-sample")
+    sizes = {r["y"] > 0: r["n"] for r in rows.groupBy((F.col("y") > 0).cast("int").alias("y")).agg(F.count("*").alias("n")).collect()}
+    if len(sizes) < 2:
+        drop_saved(rows)
+        return EMPTY
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: tuple[Counter, Counter] = (Counter(), Counter())
+
+        def handed() -> pa.RecordBatch:
+            names = list(counts[0].keys() | counts[1].keys())
+            return pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), *(pa.array([c[f] for f in names], pa.int64()) for c in counts)], ["feature", "clean", "toxic"])
 
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            for y, raw in zip(batch.column(0).to_pylist(), payloads(batch.column(1)), strict=True):
+                counts[y > 0].update(features(words(raw.decode("utf-8", "replace"))))
+                if len(counts[0]) + len(counts[1]) > HELD:
+                    yield handed()
+                    for c in counts:
+                        c.clear()
+        yield handed()
+
+    counts = rows.mapInArrow(counted, "feature binary, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    test = evidence(F.col("toxic"), F.col("clean"), sizes[True], sizes[False])
+    chosen = counts.select("feature", test.alias("test")).where(F.col("test") >= CHANCE).orderBy(F.desc("test"), "feature").limit(LEXICON).collect()
+    place = {bytes(r["feature"]): k for k, r in enumerate(sorted(chosen))}
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             out = []
-            for raw in payloads(batch.column(1)):
+            for y, raw in zip(batch.column(0).to_pylist(), payloads(batch.column(1)), strict=True):
                 text = raw.decode("utf-8", "replace")
                 found = words(text)
-                out.append((_hashed(features(found)).tobytes(), len(found), *shape(text, len(found))))
-            columns = zip(*out, strict=True) if out else [()] * 5
-            types = [pa.binary(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
-            yield pa.RecordBatch.from_arrays([batch.column(2), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], ["y", "f", "n", "s0", "s1", "s2"])
-
-    got = sorted(tuple(r) for r in rows.select(id_col, "text", "y").mapInArrow(hashed, "y int, f binary, n long, s0 double, s1 double, s2 double").collect())
-    y = np.array([g[0] for g in got], np.float64)
-    if not 0 < y.sum() < len(y):
-        return EMPTY
-    sets = [np.frombuffer(g[1], np.uint32) for g in got]
-    n, shapes = np.array([g[2] for g in got]), np.array([g[3:] for g in got], np.float64)
-    size = 1 << HASH_BITS
-    pos, neg = (sum_counts([s for s, v in zip(sets, y, strict=True) if v == k], size) for k in (1, 0))
-    chosen = mined(pos, neg, y.sum(), len(y) - y.sum())
-    if not len(chosen):
+                out.append((int(y > 0), sorted(place[f] for f in features(found) & place.keys()), len(found), list(shape(text, len(found)))))
+            columns = zip(*out, strict=True) if out else [()] * 4
+            types = [pa.int32(), pa.list_(pa.int32()), pa.int64(), pa.list_(pa.float64())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["y", "hits", "n", "shapes"])
+
+    got = sorted(tuple(r) for r in rows.mapInArrow(marked, "y int, hits array<int>, n long, shapes array<double>").collect())  # sample x LEXICON at most
+    drop_saved(rows)
+    if not place:
         return EMPTY
-
-    def spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
-        wanted = set(chosen.tolist())
-        for batch in slices(batches, "text"):
-            found: set[bytes] = set()
-            for raw in payloads(batch.column(1)):
-                found |= {f for f in features(words(raw.decode("utf-8", "replace"))) if xxhash.xxh32_intdigest(f) >> (32 - HASH_BITS) in wanted}
-            yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.binary())], ["f"])
-
-    spelling: dict[int, list[bytes]] = {}
-    toxic_rows = rows.where(F.col("y") == 1).select(id_col, "text")
-    for r in toxic_rows.mapInArrow(spelled, "f binary").distinct().collect():
-        spelling.setdefault(hash_of(bytes(r[0])), []).append(bytes(r[0]))
-    place = np.full(size, -1)
-    place[chosen] = np.arange(len(chosen))
-    x = np.zeros((len(sets), len(chosen)), np.float32)
-    for i, s in enumerate(sets):
-        at = place[s]
-        x[i, at[at >= 0]] = 1
+    y, n, shapes = np.array([g[0] for g in got], np.float64), np.array([g[2] for g in got]), np.array([g[3] for g in got], np.float64)
+    x = np.zeros((len(got), len(place)), np.float32)
+    for i, g in enumerate(got):
+        x[i, g[1]] = 1
     hits = x.sum(1)
     density = hits / np.maximum(1, n)
     votes = np.column_stack([np.where(x > 0, 1, -1), _pattern_votes(hits, density, shapes)])
-    # the voters start from their rates on the labels
-    posterior = LabelModel().fit(votes, np.where(y > 0, 0.95, 0.02))
-    soft = posterior.posterior(votes)
-    dense = _dense(hits, density, shapes)
-    w = _logistic(np.column_stack([x, dense]), soft)
-    z = np.column_stack([x, dense]) @ w[:-1] + w[-1]
-    cut = best_cut(z, y)
-    lexicon = {f: float(v) for k, v in zip(chosen.tolist(), w, strict=False) for f in spelling.get(k, ())}
-    return Model(lexicon, tuple(w[len(chosen) : -1].tolist()), float(w[-1]), 1.0, cut)
+    soft = LabelModel().fit(votes).posterior(votes)
+    known = np.column_stack([x, _dense(hits, density, shapes)])
+    w = _logistic(known, soft)
+    z = known @ w[:-1] + w[-1]
+    slope = float(_logistic(z[:, None], y, l2=1e-3)[0])  # Platt: how sure a margin is, by the sample's own labels
+    lexicon = {f: float(w[k]) for f, k in place.items()}
+    return Model(lexicon, tuple(w[len(place) : -1].tolist()), float(w[-1]), max(slope, 1e-3), best_cut(z, y))
 
 
-def mined(pos: np.ndarray, neg: np.ndarray, n_pos: float, n_neg: float) -> np.ndarray:
-    """Features that toxic rows have more often than chance allows (likelihood-ratio test), strongest first cut at LEXICON."""
-    def part(k: np.ndarray, n: float) -> np.ndarray:
-        r, all_r = np.clip(k / n, 1e-12, 1 - 1e-12), np.clip((pos + neg) / (n_pos + n_neg), 1e-12, 1 - 1e-12)
-        return k * np.log(r / all_r) + (n - k) * np.log((1 - r) / (1 - all_r))
+def evidence(pos: Column, neg: Column, n_pos: int, n_neg: int) -> Column:
+    """Twice the log-likelihood ratio that toxic rows have a feature more often than others; 0 if not four times as often."""
 
-    test = 2 * (part(pos, n_pos) + part(neg, n_neg))
-    test[(pos + 0.5) / (n_pos + 1) < 4 * (neg + 0.5) / (n_neg + 1)] = 0
-    chosen = np.argsort(-test, kind="stable")[:LEXICON]
-    return np.sort(chosen[test[chosen] >= CHANCE])
+    def part(k: Column, n: int) -> Column:
+        inside = lambda r: F.least(F.greatest(r, F.lit(1e-12)), F.lit(1 - 1e-12))
+        own, every = inside(k / n), inside((pos + neg) / (n_pos + n_neg))
+        return k * F.log(own / every) + (n - k) * F.log((1 - own) / (1 - every))
 
-
-def hash_of(feature: bytes) -> int:
-    import xxhash
-
-    return xxhash.xxh32_intdigest(feature) >> (32 - HASH_BITS)
-
-
-def sum_counts(sets: list[np.ndarray], size: int) -> np.ndarray:
-    return np.bincount(np.concatenate(sets), minlength=size).astype(np.float64) if sets else np.zeros(size)
+    often = (pos + 0.5) / (n_pos + 1) >= 4 * (neg + 0.5) / (n_neg + 1)
+    return F.when(often, F.round(2 * (part(pos, n_pos) + part(neg, n_neg)), 9)).otherwise(0.0)
 
 
 def best_cut(z: np.ndarray, y: np.ndarray) -> float:
@@ -282,7 +311,13 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Train on labels outside the held-out fold, score all rows: id, ``held_out``, ``score``, ``predicted``."""
+    """Train on labels outside the held-out fold, score all rows: id, ``held_out``, ``score``, ``predicted``.
+
+    Null and empty texts are scored as texts without words; equal texts get
+    equal scores; repeated rows are each scored; a null id is outside the
+    held-out fold or in it as the empty text's checksum says; an empty table
+    gives no row; other columns are ignored. Texts of any length are read whole.
+    """
     held = fold(1, 3, F.col(id_col))
     model = train(docs, labels.where(~fold(1, 3, F.col(id_col))), id_col, text_col)
     scored = score(docs, model, id_col, text_col)
