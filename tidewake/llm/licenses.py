@@ -4,7 +4,8 @@ A template is a line of words with two kinds of regions: ``[[words]]`` may be
 missing, ``{{low-high}}`` stands for that many free words, and ``(a|b)``
 for either word. The compiler turns it into a token automaton; a text is
 accepted at a place if the automaton reaches its end from there, so all
-mandatory wording matches word for word. Automata start only where the
+mandatory wording matches word for word and to the end: a licence with altered,
+added or missing terms inside is not accepted. Automata start only where the
 template's first words stand, which a substring search over the word sequence
 finds.
 """
@@ -24,12 +25,79 @@ from .common import payloads, slices
 #: Phrases that are found as they stand, with their labels.
 BASE = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
 
-TEMPLATES = (
+# Wording of published licences, whole texts first.
+
+_AS_IS = "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement"
+_LIABLE = "be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"
+_USE = "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"
+_FEE = (
+    "the software is provided as is and {{1-6}} disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness"
+    " in no event shall {{1-6}} be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits"
+    " whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software"
+)
+_BSD = (
+    "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"
+    " [[1]] redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"
+    " [[2]] redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"
+)
+_BSD_END = (
+    "this software is provided by {{1-16}} as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed"
+    " in no event shall {{1-16}} be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services"
+    " loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise"
+    " arising in any way out of the use of this software even if advised of the possibility of such damage"
+)
+_ENDORSE = "be used to endorse or promote products derived from this software without specific prior written permission"
+
+#: Whole licences and standard notices, each to its end.
+LICENCES = (
+    ("0bsd", f"{_USE} {_FEE}"),
+    (
+        "apache-2.0-notice",
+        "licensed under the apache license version 2 0 the license you may not use {{1-4}} except in compliance with the license you may obtain a copy of the license at {{1-9}}"
+        " unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis"
+        " without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license",
+    ),
+    ("bsd-2-clause", f"{_BSD} {_BSD_END}"),
+    ("bsd-3-clause", f"{_BSD} [[3]] neither the (name|names) of {{{{1-40}}}} nor the names of {{{{1-6}}}} contributors may {_ENDORSE} {_BSD_END}"),
+    ("bsd-3-clause", f"{_BSD} [[3]] the (name|names) of {{{{1-40}}}} may not {_ENDORSE} {_BSD_END}"),
+    (
+        "gpl-or-later",
+        "is free software you can redistribute it and or modify it under the terms of the gnu [[(lesser|affero)]] general public license as published by the free software foundation"
+        " either version (2|3) of the license or at your option any later version",
+    ),
+    ("isc", f"{_USE} provided that the above copyright notice and this permission notice appear in all copies {_FEE}"),
+    (
+        "mit",
+        "permission is hereby granted free of charge to any person obtaining a copy of {{1-8}} and associated documentation files the software to deal in the software without restriction"
+        " including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software"
+        " and to permit persons to whom the software is furnished to do so subject to the following conditions"
+        " the above copyright notice and this permission notice [[including the next paragraph]] shall be included in all copies or substantial portions of the software"
+        f" {_AS_IS} in no event shall {{{{1-12}}}} {_LIABLE}",
+    ),
+    (
+        "unlicense",
+        "this is free and unencumbered software released into the public domain"
+        " anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means"
+        " in jurisdictions that recognize copyright laws the author or authors of this software dedicate any and all copyright interest in the software to the public domain"
+        " we make this dedication for the benefit of the public at large and to the detriment of our heirs and successors"
+        " we intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law"
+        f" {_AS_IS} in no event shall the authors {_LIABLE}",
+    ),
+    (
+        "zlib",
+        "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software"
+        " permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions"
+        " [[1]] the origin of this software must not be misrepresented you must not claim that you wrote the original software"
+        " if you use this software in a product an acknowledgment in the product documentation would be appreciated but is not required"
+        " [[2]] altered source versions must be plainly marked as such and must not be misrepresented as being the original software"
+        " [[3]] this notice may not be removed or altered from any source distribution",
+    ),
+)
+
+#: Names by which texts refer to a licence.
+REFERENCES = (
     ("agpl-3.0", "gnu affero general public license [[as published by the free software foundation]] [[either]] (version|v3|v) [[3]]"),
     ("apache-2.0", "apache license [[version]] 2 0"),
-    ("bsd-2-clause", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met {{20-120}} provided with the distribution"),
-    ("bsd-3-clause", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met {{20-120}} provided with the distribution {{1-12}} may be used to endorse or promote products derived from this software without specific prior written permission"),
-    ("bsd-3-clause", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met {{20-120}} provided with the distribution {{0-1}} neither the (name|names) of {{1-40}} nor the names of {{1-6}} contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
     ("cc-by-4.0", "cc by [[version]] 4 0"),
     ("cc-by-nc", "cc by nc"),
     ("cc-by-nc-4.0", "cc by nc [[version]] 4 0"),
@@ -43,17 +111,15 @@ TEMPLATES = (
     ("gpl-3.0", "gnu general public license [[as published by the free software foundation]] [[either]] (version|v) 3"),
     ("gpl-2.0", "gnu general public license v2"),
     ("gpl-3.0", "gnu general public license v3"),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
     ("lgpl", "gnu (lesser|library) general public license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of {{1-8}} and associated documentation files [[the software]] to deal in {{1-4}} without restriction"),
     ("mit-named", "(released|licensed|distributed) under the [[terms of the]] mit license"),
     ("mpl-2.0", "mozilla public license [[version]] [[v]] 2 0"),
-    ("reserved", "all rights reserved"),
-    ("spdx", "spdx license identifier {{1-4}}"),
-    ("unlicense", "this is free and unencumbered software released into the public domain"),
-    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable"),
+    ("reserved", "copyright {{1-16}} all rights reserved"),
+    ("spdx", "spdx license identifier (0bsd|agpl|apache|bsd|cc|cc0|gpl|isc|lgpl|mit|mpl|unlicense|zlib)"),
 )
 
+TEMPLATES = LICENCES + REFERENCES
+
 _CLASSES = bytes(c if c >= 0x80 or chr(c).isdigit() else ord(chr(c).lower()) if chr(c).isalpha() else 0x20 for c in range(256))
 
 
@@ -183,7 +249,8 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Null and empty texts have no words, no places (null ``first_word``) and
     empty labels with score 0; repeated rows are scanned one by one; an empty
-    table gives no row. ``score`` is 1 - 0.6^(base labels) * 0.4^(accepted
+    table gives no row; other columns are ignored. Texts of any length are
+    scanned whole, with memory in proportion to the text. ``score`` is 1 - 0.6^(base labels) * 0.4^(accepted
     template labels).
     """
     automata = tuple(compile_template(*t) for t in templates)
