@@ -20,7 +20,10 @@ CASES = {
     "packing": lambda d: packing.pack(d),
     "media": lambda d: media.media_features(d),
     "urls": lambda d: url_filter.judge(d, "doc_id", "text"),
+    "urls_clashing": lambda d: url_filter.judge(d.withColumn("url", d["id"]).withColumn("key", d["id"]), "doc_id", "text"),
+    "fingerprints": lambda d: simhash.fingerprints(d),
     "encode": lambda d: pieces.encode(d),
+    "decode": lambda d: pieces.decode(d.selectExpr("doc_id", "id", "if(id % 3 = 0, null, array(cast(id as int), 300, 31999)) as ids")),
 }
 
 

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from tidewake.llm import components, exact_dedup, hmm, licenses, media, packing, pieces, simhash, toxicity, url_filter
-from tidewake.llm.common import fold, table
+from tidewake.llm.common import fold, looked_up, table
 
 
 # -- simhash --------------------------------------------------------------
@@ -83,6 +83,36 @@ def test_components_of_a_chain(spark):
     assert root == {**{i: 0 for i in range(1, 41)}, 101: 100}
 
 
+def test_components_of_a_star_and_a_hub_without_head(spark):
+    """A hub's links are looked up by a broadcast, or with a head of one key by the join; neither changes the result."""
+    star = spark.range(1, 100_001).select(F.lit(0).cast("long").alias("src"), F.col("id").alias("dst"))
+    roots = components.components(star)
+    assert roots.count() == 100_000 and roots.where("root != 0 or node = 0").count() == 0
+    small = star.where("dst <= 300").unionByName(spark.createDataFrame([(7, 1000), (1000, 1001), (2000, 2001)], "src long, dst long"))
+    for head in (1, 4096):
+        got = {r["node"]: r["root"] for r in components.components(small, head).collect()}
+        assert got == {**{i: 0 for i in [*range(1, 301), 1000, 1001]}, 2001: 2000}
+
+
+def test_component_ids(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").where("n_chars < 4000")
+    rows = sorted((r["doc_id"], r["text"]) for r in docs.collect())
+    roots = brute_roots([np.uint64(brute_fingerprint(t)) for _, t in rows])
+    want = {k: rows[r][0] for (k, _), r in zip(rows, roots, strict=True)}
+    assert {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs).collect()} == want
+
+
+# -- look-ups -------------------------------------------------------------
+
+
+@pytest.mark.parametrize("head", [1, 2, 100])
+def test_looked_up_is_the_whole_inner_join(spark, head):
+    rows = spark.createDataFrame([(i, k) for i, k in enumerate("aaaaabbbcxz")], "i int, k string")
+    facts = spark.createDataFrame([("a", 1, 5), ("b", 2, 3), ("c", 3, 1), ("y", 4, 0)], "k string, v int, n int")
+    got = sorted((r["i"], r["k"], r["v"]) for r in looked_up(rows, facts, ["k"], "n", head).collect())
+    assert got == [(i, k, "abc".index(k) + 1) for i, k in enumerate("aaaaabbbc")]
+
+
 # -- exact dedup ----------------------------------------------------------
 
 
@@ -255,6 +285,32 @@ def test_language_model_scores(spark, sf_dir):
     assert sum(rows[k]["score"] for k in held) > sum(rows[k]["base_score"] for k in held)  # better on texts it has not seen
 
 
+def test_trained_scores_against_all_paths(spark):
+    """Three rounds of training and the scores of whole texts, by enumerating every state path."""
+    texts = ["a b a", "b c", "a", "c c b", "a b"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").repartition(2)
+    got = {r["doc_id"]: r["score"] for r in hmm.score(docs, F.col("doc_id") != 4).collect()}
+    place = {w: k for k, (w, _) in enumerate(sorted(collections.Counter(" ".join(texts[:4]).split()).items(), key=lambda x: (-x[1], x[0])))}
+    size, end = hmm.SYMBOLS + hmm.CLASSES + 1, hmm.SYMBOLS + hmm.CLASSES
+    parts = [[*(place[w] for w in t.split()), end] for t in texts]
+    freq = np.bincount(sum(parts[:4], []), minlength=size).astype(float)
+    model = hmm.HMM.first(freq)
+    for _ in range(hmm.ROUNDS):
+        start, steps, emit = np.zeros(hmm.STATES), np.zeros((hmm.STATES, hmm.STATES)), np.zeros((size, hmm.STATES))
+        for x in parts[:4]:
+            paths = list(all_paths(model, x))
+            total = sum(p for _, p in paths)
+            for path, p in paths:
+                start[path[0]] += p / total
+                for a, b in zip(path[:-1], path[1:], strict=True):
+                    steps[a, b] += p / total
+                for s, a in zip(x, path, strict=True):
+                    emit[s, a] += p / total
+        model = hmm.HMM.of_counts(start, steps, emit)
+    for k, x in enumerate(parts):
+        assert got[k] == pytest.approx(math.log10(sum(p for _, p in all_paths(model, x))))
+
+
 # -- toxicity -------------------------------------------------------------
 
 
@@ -447,6 +503,57 @@ def test_area_resize_against_brute_force():
     assert (media.resize(image, 3, 2)[..., 0] == want).all()
 
 
+def naive_means(image, height, width):
+    """Area means cell by cell and pixel by pixel."""
+    h, w, c = image.shape
+    out = np.zeros((height, width, c))
+    for i, j in itertools.product(range(height), range(width)):
+        top, bottom, left, right = i * h / height, (i + 1) * h / height, j * w / width, (j + 1) * w / width
+        for y, x in itertools.product(range(int(top), min(h, math.ceil(bottom))), range(int(left), min(w, math.ceil(right)))):
+            share = max(0, min(bottom, y + 1) - max(top, y)) * max(0, min(right, x + 1) - max(left, x))
+            out[i, j] += share * image[y, x] * (height * width / (h * w))
+    return out
+
+
+@pytest.mark.parametrize("h, w, c", [(1, 24, 1), (7, 5, 3), (40, 24, 3), (33, 24, 1)])
+def test_resizing_with_cut_pixels_against_brute_force(h, w, c, monkeypatch):
+    monkeypatch.setattr(media, "BAND", 4)
+    image = np.random.default_rng(h).integers(0, 256, (h, w, c), dtype=np.uint8)
+    assert np.allclose(media.area_means(image, 16, 16), naive_means(image, 16, 16))
+
+
+def test_media_files_and_features_against_other_readers(spark):
+    """The stored bytes by their formats' definitions and the features by naive means, for every format."""
+    import hashlib
+    import io
+    import struct
+
+    texts = {i: f"text {i} " * (5 + 40 * i) for i in range(12)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id int, text string")
+    files = {r["doc_id"]: bytes(r["media"]) for r in media.media_columns(docs).collect()}
+    kinds = set()
+    for r in media.media_features(docs).collect():
+        data = files[r["doc_id"]]
+        raw = texts[r["doc_id"]].encode()
+        raw += b"\xff" * (-len(raw) % 576)
+        kinds.add(data[:2])
+        if data[:2] == b"BM":
+            w, h = struct.unpack_from("<ii", data, 18)
+            body = np.frombuffer(data, np.uint8, offset=struct.unpack_from("<I", data, 10)[0]).reshape(h, w, 3)[::-1, :, ::-1]  # 72 bytes a row: no padding
+        else:
+            head, size, most, body = data.split(b"\n", 3)
+            w, h = map(int, size.split())
+            assert most == b"255"
+            body = np.frombuffer(body, np.uint8).reshape(h, w, 1 if head == b"P5" else 3)
+        assert body.tobytes() == raw and r["media_bytes"] == len(data) and r["media_sha256"] == hashlib.sha256(data).hexdigest()
+        tile = io.BytesIO()
+        np.save(tile, np.floor(naive_means(body, 16, 16) + 0.5 + 1e-9).astype(np.uint8))
+        grey = np.floor(naive_means(body, 8, 9).mean(2) + 0.5 + 1e-9)
+        bits = "".join("1" if b > a else "0" for row in grey for a, b in zip(row[:-1], row[1:], strict=True))
+        assert r["feature"] == f"{int(bits, 2):016x}:{hashlib.sha256(tile.getvalue()).hexdigest()[:16]}"
+    assert kinds == {b"BM", b"P5", b"P6"}
+
+
 # -- URLs -----------------------------------------------------------------
 
 

@@ -142,7 +142,7 @@ def area_means(image: np.ndarray, height: int, width: int) -> np.ndarray:
 
 
 def _rounded(means: np.ndarray) -> np.ndarray:
-    return np.clip(np.floor(means + 0.5 + 1e-9), 0, 255).astype(np.uint8)
+    return np.ascontiguousarray(np.clip(np.floor(means + 0.5 + 1e-9), 0, 255), np.uint8)
 
 
 def resize(image: np.ndarray, height: int, width: int) -> np.ndarray:

@@ -294,20 +294,24 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """``id_col``, the columns of ``keep`` and ``score`` for every input row.
 
     Null texts are scored like empty ones; equal texts get equal scores;
-    repeated rows are each scored; an empty table gives no row.
+    repeated rows are each scored; an empty table gives no row; underscores
+    follow ``score`` where a kept column has that name.
     """
     kept = [id_col, *(c for c in keep if c != id_col)]
-    named = "score" if "score" not in kept else "score__"
+    named = "score"
+    while named.lower() in {c.lower() for c in kept}:
+        named += "_"
+    plain = [f"c{i}" for i in range(len(kept))]  # the columns' own names may hold anything
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text_name):
-            scores = [model.score(x.decode("utf-8", "replace")) for x in payloads(batch.column(at))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(scores, pa.float64())], [*kept, named])
-
-    rows = docs.select(*[F.col(f"`{c}`") for c in kept], *[F.col(text_col).cast("string").alias("text__scored")] * (text_col not in kept))
-    text_name, at = (text_col, kept.index(text_col)) if text_col in kept else ("text__scored", len(kept))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[: len(kept)]) + f", {named} double"
-    return rows.mapInArrow(run, schema)
+        for batch in slices(batches, "scored"):
+            scores = [model.score(x.decode("utf-8", "replace")) for x in payloads(batch.column(len(kept)))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(scores, pa.float64())], [*plain, "score"])
+
+    rows = docs.select(*[F.col(f"`{c}`").alias(p) for c, p in zip(kept, plain, strict=True)], F.col(f"`{text_col}`").cast("string").alias("scored"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[: len(kept)]) + ", score double"
+    out = rows.mapInArrow(run, schema)
+    return out.select(*[F.col(p).alias(c) for p, c in zip(plain, kept, strict=True)], F.col("score").alias(named))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
