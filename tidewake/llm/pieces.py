@@ -49,6 +49,10 @@ SEED = 20_240
 BLANK = "▁"
 _WORDS = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+$")
 _MULT = np.uint64(0x9E3779B97F4A7C15)
+_SPREAD = np.uint64(0xD6E8FEB86659FD93)
+_SLOT = np.uint64(42)
+#: Fewer words than this are walked one by one: numpy's cost a step would be larger.
+_FEW = 6
 
 
 def load_model(path: str = MODEL) -> bytes:
@@ -85,10 +89,11 @@ def row_key(key: object, seed: int = SEED) -> int:
 class Vocabulary:
     """Pieces as hashes of their code points, with log-probabilities."""
 
-    hashes: np.ndarray
+    hashes: np.ndarray  # sorted
     ids: np.ndarray
     logs: np.ndarray
-    filter: np.ndarray
+    flags: np.ndarray  # by a hash's first bits: 1 if a piece may have it, 2 if a longer piece may begin so
+    place: np.ndarray  # by a hash's first bits: the first piece with these
     texts: list[bytes]
     longest: int
     byte_log: float
@@ -108,22 +113,26 @@ class Vocabulary:
                 texts.append(piece.replace(BLANK, " ").encode())
                 normal.append((i, piece, max(0.0, -sp.get_score(i))))
         total = math.log(sum(1 / (r + 2) for _, _, r in normal))
-        keys = []
+        keys, beginnings = [], set()
         for i, piece, rank in normal:
             if BLANK in piece.lstrip(BLANK):
                 raise ValueError("a piece crosses a blank: words cannot be taken one by one")
             logs[i] = -math.log(rank + 2) - total
-            h = np.zeros(1, np.uint64)
+            h = 0
             for c in piece:
-                h = h * _MULT + np.uint64(ord(c) + 1)
-            keys.append((int(h[0]), i))
+                beginnings.add(h * int(_SPREAD) % 2**64)
+                h = (h * int(_MULT) + ord(c) + 1) % 2**64
+            keys.append((h * int(_SPREAD) % 2**64, i))
         keys.sort()
         hashes = np.array([k for k, _ in keys], np.uint64)
         if len(np.unique(hashes)) < len(hashes):
             raise ValueError("two pieces share a hash")
-        flags = np.zeros(1 << 22, bool)
-        flags[(hashes >> np.uint64(42)).astype(np.int64)] = True
-        return Vocabulary(hashes, np.array([i for _, i in keys]), logs, flags, texts, max(len(p) for _, p, _ in normal), -math.log(n))
+        flags, place = np.zeros(1 << 22, np.uint8), np.zeros(1 << 22, np.int32)
+        slot = (hashes >> _SLOT).astype(np.int64)
+        flags[slot] = 1
+        flags[(np.array(sorted(beginnings), np.uint64) >> _SLOT).astype(np.int64)] |= 2
+        place[slot[::-1]] = np.arange(len(slot))[::-1]
+        return Vocabulary(hashes, np.array([i for _, i in keys], np.int16 if n < 1 << 15 else np.int32), logs, flags, place, texts, max(len(p) for _, p, _ in normal), -math.log(n))
 
 
 @dataclass
@@ -154,7 +163,7 @@ def build_lattice(words: list[str], vocab: Vocabulary) -> Lattice:
     size = int(end[-1]) if len(words) else 0
     codes = np.frombuffer((BLANK + BLANK.join(words) if words else "").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     left = np.repeat(end, lengths) - np.arange(size)  # characters to the word's end
-    piece = np.full((size, longest), -2, np.int32)
+    piece = np.full((size, longest), -2, vocab.ids.dtype)
     at, h, ahead_of = np.arange(size), np.zeros(size, np.uint64), left
     for k in range(longest):
         if k:
@@ -163,11 +172,19 @@ def build_lattice(words: list[str], vocab: Vocabulary) -> Lattice:
         if not len(at):
             break
         h = h * _MULT + codes[at + k] + np.uint64(1)
-        maybe = np.flatnonzero(vocab.filter[(h >> np.uint64(42)).view(np.int64)])
-        hashed = h[maybe]
-        place = np.minimum(np.searchsorted(vocab.hashes, hashed), len(vocab.hashes) - 1)
-        hit = vocab.hashes[place] == hashed
-        piece[at[maybe[hit]], k] = vocab.ids[place[hit]]
+        spread = h * _SPREAD  # a short piece's hash has empty first bits
+        slot = (spread >> _SLOT).view(np.int64)
+        flag = vocab.flags[slot]
+        maybe = np.flatnonzero(flag & 1)
+        hashed, place = spread[maybe], vocab.place[slot[maybe]]
+        while len(maybe):
+            found = vocab.hashes[place]
+            hit = found == hashed
+            piece[at[maybe[hit]], k] = vocab.ids[place[hit]]
+            on = (found < hashed) & (place < len(vocab.hashes) - 1)  # the next piece may share the slot
+            maybe, hashed, place = maybe[on], hashed[on], place[on] + 1
+        on = np.flatnonzero(flag & 2)
+        at, h, ahead_of = at[on], h[on], ahead_of[on]
     lone = np.flatnonzero(piece[:, 0] == -2)
     piece[lone, 0] = -1
     # positions by their distance to the word's end: what follows a position comes before it
@@ -187,8 +204,9 @@ def build_lattice(words: list[str], vocab: Vocabulary) -> Lattice:
     ahead, share = np.zeros(size + 1), np.empty(len(own))
     groups = np.searchsorted(left[order], np.arange(1, (int(left.max()) if size else 0) + 2))
     for low, high in zip(groups[:-1], groups[1:], strict=True):
-        if low == high:
-            continue
+        if high - low < _FEW:  # so have all that follow
+            _ahead_one_by_one(int(low), order, cuts, own, target, ahead, share)
+            break
         edges, starts = slice(cuts[low], cuts[high]), cuts[low:high] - cuts[low]
         ways = own[edges] + ahead[target[edges]]
         top = np.maximum.reduceat(ways, starts)
@@ -209,6 +227,24 @@ def build_lattice(words: list[str], vocab: Vocabulary) -> Lattice:
     return Lattice(begin, end, first, edges, upto, source, k.astype(np.int64) + 1, ids, own, share, rest, ahead[begin], codes)
 
 
+def _ahead_one_by_one(rank: int, order: np.ndarray, cuts: np.ndarray, own: np.ndarray, target: np.ndarray, ahead: np.ndarray, share: np.ndarray) -> None:
+    """The backward pass from position ``rank`` of ``order`` on, in place, for the last letters of the longest words."""
+    seen, exp = memoryview(ahead), math.exp
+    for low in range(rank, len(order), 65_536):
+        high = min(low + 65_536, len(order))
+        first = int(cuts[low])
+        bounds, logs, to = (cuts[low : high + 1] - first).tolist(), own[first : cuts[high]].tolist(), target[first : cuts[high]].tolist()
+        shares: list[float] = []
+        for place, a, b in zip(order[low:high].tolist(), bounds[:-1], bounds[1:], strict=True):
+            ways = [logs[e] + seen[to[e]] for e in range(a, b)]
+            top = max(ways)
+            ways = [exp(w - top) for w in ways]
+            total = sum(ways)
+            seen[place] = top + math.log(total)
+            shares += [w / total for w in ways]
+        share[first : cuts[high]] = shares
+
+
 def _byte_count(codes: np.ndarray) -> np.ndarray:
     return 1 + (codes >= 0x80).astype(np.int64) + (codes >= 0x800) + (codes >= 0x10000)
 
@@ -220,7 +256,8 @@ def walk(lattice: Lattice, at: np.ndarray, end: np.ndarray, key: np.ndarray) ->
     while True:
         going = here < end[active]
         here, active = here[going], active[going]
-        if not len(here):
+        if len(here) < _FEW:
+            out += [_walk_alone(lattice, int(h), int(end[a]), key[a : a + 1], int(a), t) for h, a in zip(here, active, strict=True)]
             break
         u = _uniform(key[active], t).astype(np.float32)
         pick = (lattice.upto[here] <= u[:, None]).sum(1)
@@ -229,15 +266,37 @@ def walk(lattice: Lattice, at: np.ndarray, end: np.ndarray, key: np.ndarray) ->
         here = here + lattice.length[edge]
         t += 1
     counts = np.zeros(n, np.int64)
-    for who, _ in out:
-        counts[who] += 1
+    for who, edge in out:
+        counts[who] += 1 if isinstance(who, np.ndarray) else len(edge)
     first = np.cumsum(counts) - counts
     edges = np.empty(int(counts.sum()), np.int64)
     for t, (who, edge) in enumerate(out):
-        edges[first[who] + t] = edge
+        if isinstance(who, np.ndarray):
+            edges[first[who] + t] = edge
+        else:  # one walk's last steps
+            edges[first[who] + counts[who] - len(edge) : first[who] + counts[who]] = edge
     return np.repeat(np.arange(n), counts), edges
 
 
+def _walk_alone(lattice: Lattice, here: int, end: int, key: np.ndarray, who: int, t: int) -> tuple[int, list[int]]:
+    """The walk number and the edges from step ``t`` on of a single walk; the same choices as side by side."""
+    out, draws, begin = [], [], t
+    while here < end:
+        if t - begin == len(draws):
+            draws += _uniform(key, np.arange(t, t + min(4096, 16 + len(draws)))).astype(np.float32).tolist()
+        u, most = draws[t - begin], int(lattice.edges[here])
+        pick = 0
+        for x in lattice.upto[here, :most].tolist():
+            if x > u:
+                break
+            pick += 1
+        edge = int(lattice.first[here]) + min(pick, most - 1)
+        out.append(edge)
+        here += int(lattice.length[edge])
+        t += 1
+    return who, out
+
+
 # -- search ---------------------------------------------------------------
 
 
