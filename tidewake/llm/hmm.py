@@ -39,7 +39,9 @@ CLASSES = 128
 HEAD = 262_144
 ROUNDS = 3
 #: Symbols whose forward states a training task keeps at once.
-STEPS_HELD = 300_000
+STEPS_HELD = 1_000_000
+#: Symbols that are trained on side by side; texts of like length are taken together.
+TOGETHER = 600_000
 #: Distinct words that a counting task holds before it hands its counts on.
 HELD = 400_000
 
@@ -131,10 +133,8 @@ def expected_counts(model: HMM, parts: list[np.ndarray], held: int = STEPS_HELD)
     while cuts[-1] < len(active):
         cuts.append(max(cuts[-1] + 1, int(np.searchsorted(at, at[cuts[-1]] + held, side="right")) - 1))
 
-    def moved(state: np.ndarray | None, t: int) -> tuple[np.ndarray, np.ndarray]:
-        n = active[t]
-        seen = model.emit[flat[at[t] : at[t + 1]]]
-        state = model.start * seen if state is None else (state[:n] @ model.step) * seen
+    def moved(state: np.ndarray | None, t: int, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        state = model.start * seen if state is None else (state[: active[t]] @ model.step) * seen
         scale = state.sum(1)
         state /= scale[:, None]
         return state, scale
@@ -142,16 +142,16 @@ def expected_counts(model: HMM, parts: list[np.ndarray], held: int = STEPS_HELD)
     borders: list[np.ndarray | None] = [None]
     state = None
     for t in range(cuts[-2] if len(cuts) > 2 else 0):
-        state, _ = moved(state, t)
+        state, _ = moved(state, t, model.emit[flat[at[t] : at[t + 1]]])
         if t + 1 == cuts[len(borders)]:
             borders.append(state)
     start, steps, emit, total, later = np.zeros(states), np.zeros((states, states)), np.zeros((len(model.emit), states)), 0.0, None
     for k in range(len(cuts) - 2, -1, -1):
         low, high, state = at[cuts[k]], at[cuts[k + 1]], borders[k]
-        forward, scales = np.empty((high - low, states)), np.empty(high - low)
+        forward, scales, seen = np.empty((high - low, states)), np.empty(high - low), model.emit[flat[low:high]]
         for t in range(cuts[k], cuts[k + 1]):
             here = slice(at[t] - low, at[t + 1] - low)
-            forward[here], scales[here] = moved(state, t)
+            forward[here], scales[here] = moved(state, t, seen[here])
             state = forward[here]
         for t in range(cuts[k + 1] - 1, cuts[k] - 1, -1):
             here = slice(at[t] - low, at[t + 1] - low)
@@ -159,7 +159,7 @@ def expected_counts(model: HMM, parts: list[np.ndarray], held: int = STEPS_HELD)
             if later is not None:
                 back[: len(later)] = later @ model.step.T
                 steps += forward[here][: len(later)].T @ later
-            later = model.emit[flat[at[t] : at[t + 1]]] * back / scales[here][:, None]
+            later = seen[here] * back / scales[here][:, None]
             forward[here] *= back  # now the posterior of the states
         emit += np.stack([np.bincount(flat[low:high], forward[:, s], len(model.emit)) for s in range(states)], 1)
         total += float(np.log(scales).sum())
@@ -220,9 +220,10 @@ def _fit(symbols: DataFrame, counts: np.ndarray, rounds: int) -> HMM:
         def run(batches: Iterator[pa.RecordBatch], model: HMM = model) -> Iterator[pa.RecordBatch]:
             total = np.zeros(states + states * states + size * states)
             for batch in slices(batches, "syms", 8_000_000):
-                parts = [np.frombuffer(raw, np.uint16) for raw in batch.column(0).to_pylist()]
-                if parts:
-                    start, steps, emit, _ = expected_counts(model, parts)
+                parts = sorted((np.frombuffer(raw, np.uint16) for raw in batch.column(0).to_pylist()), key=len)
+                group = np.cumsum([len(x) for x in parts]) // TOGETHER
+                for g in np.unique(group).tolist():
+                    start, steps, emit, _ = expected_counts(model, parts[np.searchsorted(group, g) : np.searchsorted(group, g, side="right")])
                     total += np.concatenate([start, steps.ravel(), emit.ravel()])
             found = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(total[found])], ["k", "v"])
