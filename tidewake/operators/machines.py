@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.motion import GRAVITY, norm
-from .fold import exploded, fold
+from .fold import bound, fold, scan
 
 
 def stationary_statistics(df: DataFrame, order: WindowSpec, rows: int = 10) -> DataFrame:
@@ -44,40 +44,45 @@ def stationary(df: DataFrame, variance: float = 0.15, norm_slack: float = 1.2, m
 TRUSTED, DEGRADED, JUMP, SPOOFED = "TRUSTED", "DEGRADED", "SUSPICIOUS_JUMP", "REJECTED_SPOOFED"
 
 
-def trust(fixes: DataFrame, keys: list[str], alpha: float = 0.25, most_accuracy: float = 50.0, most_jump: float = 25.0, gate: float = 3.5, forced: int = 15) -> DataFrame:
+def trust(fixes: DataFrame, keys: list[str], alpha: float = 0.25, most_accuracy: float = 50.0, most_jump: float = 25.0, gate: float = 3.5, forced: int = 15, unknown: float = 3.0) -> DataFrame:
     """Fold fixes (t, event_id, east, north, accuracy, pred_e, pred_n, var_e, var_n, cov_en, inertial) into status and score.
 
     A poor accuracy degrades; a jump that inertial speed cannot explain and a
-    Mahalanobis distance over the gate reject; after more than ``forced``
-    rejections in a row fixes are taken with half trust until one passes. Only
-    a trusted fix becomes the next comparison.
+    Mahalanobis distance over the gate reject; all three count as rejections.
+    After more than ``forced`` of them in a row fixes outside the gate are
+    taken with half trust until one passes. Only a trusted fix becomes the next
+    comparison. A null or zero accuracy is ``unknown`` metres.
     """
     values = ["east", "north", "accuracy", "pred_e", "pred_n", "var_e", "var_n", "cov_en", "inertial"]
-    row_type = "struct<event_id:bigint,status:string,score:double>"
     d = lambda v: F.lit(v).cast("double")
-    start = F.struct(d(1.0).alias("score"), d(None).alias("e"), d(None).alias("n"), d(None).alias("t"), F.lit(0).alias("rejected"), F.array().cast(f"array<{row_type}>").alias("out"))
+    start = F.struct(d(1.0).alias("score"), d(None).alias("e"), d(None).alias("n"), d(None).alias("t"), F.lit(0).alias("rejected"), F.lit("").alias("status"))
 
-    def step(s: Column, x: Column) -> Column:
+    def measured(s: Column, x: Column) -> Column:
+        """Whether the fix is poor or jumps, and its distance from the prediction in deviations."""
         moved = F.hypot(x["east"] - s["e"], x["north"] - s["n"])
-        implied = moved / F.greatest(x["t"] - s["t"], d(1e-3))
-        a, b, c = x["var_e"] + x["accuracy"] * x["accuracy"], x["cov_en"], x["var_n"] + x["accuracy"] * x["accuracy"]
+        jump = (moved > most_jump) & (moved / F.greatest(x["t"] - s["t"], d(1e-3)) > x["inertial"] * 2.5 + 15.0)
+        own = F.when(x["accuracy"] != 0, x["accuracy"]).otherwise(unknown)
+        a, b, c = x["var_e"] + own * own, x["cov_en"], x["var_n"] + own * own
         de, dn = x["east"] - x["pred_e"], x["north"] - x["pred_n"]
         distance = F.sqrt(F.greatest(d(0.0), (c * de * de - 2 * b * de * dn + a * dn * dn) / (a * c - b * b)))
-        poor = x["accuracy"] > most_accuracy
-        jump = ~poor & s["e"].isNotNull() & (moved > most_jump) & (implied > x["inertial"] * 2.5 + 15.0)
-        jump = F.coalesce(jump, F.lit(False))
-        outside = ~poor & ~jump & (distance > gate)
-        forced_in = outside & (s["rejected"] > forced)
-        passed = ~poor & ~jump & ~outside
-        status = F.when(poor | forced_in, DEGRADED).when(jump, JUMP).when(outside, F.when(distance > 6.0, SPOOFED).otherwise(JUMP)).otherwise(TRUSTED)
-        target = F.when(poor, 0.2).when(jump, 0.0).when(forced_in, 0.5).when(outside, F.greatest(d(0.0), 1.0 - (distance - gate) * 0.2)).otherwise(1.0)
+        return F.struct(F.coalesce(x["accuracy"] > most_accuracy, F.lit(False)).alias("poor"), F.coalesce(jump, F.lit(False)).alias("jump"), distance.alias("distance"))
+
+    def judged(s: Column, m: Column) -> Column:
+        outside = m["distance"] > gate
+        return F.when(m["poor"], "poor").when(m["jump"], "jump").when(outside & (s["rejected"] > forced), "forced").when(outside, "outside").otherwise("passed")
+
+    def moved_on(s: Column, x: Column, m: Column, case: Column) -> Column:
+        status = F.when(case.isin("poor", "forced"), DEGRADED).when(case == "jump", JUMP).when(case == "outside", F.when(m["distance"] > 6.0, SPOOFED).otherwise(JUMP)).otherwise(TRUSTED)
+        target = F.when(case == "poor", 0.2).when(case == "jump", 0.0).when(case == "forced", 0.5).when(case == "outside", F.greatest(d(0.0), 1.0 - (m["distance"] - gate) * 0.2)).otherwise(1.0)
         score = F.greatest(d(0.0), F.least(d(1.0), s["score"] * (1 - alpha) + alpha * target))
-        rejected = F.when(passed, 0).when(jump | (outside & ~forced_in), s["rejected"] + 1).otherwise(s["rejected"])
-        keep = lambda new, old: F.when(passed, new).otherwise(old)
-        row = F.struct(x["event_id"].alias("event_id"), status.alias("status"), score.alias("score"))
-        return F.struct(score.alias("score"), keep(x["east"], s["e"]).alias("e"), keep(x["north"], s["n"]).alias("n"), keep(x["t"], s["t"]).alias("t"), rejected.alias("rejected"), F.concat(s["out"], F.array(row)).alias("out"))
+        rejected = F.when(case == "passed", 0).when(case == "forced", s["rejected"]).otherwise(s["rejected"] + 1)
+        keep = lambda new, old: F.when(case == "passed", new).otherwise(old)
+        return F.struct(score.alias("score"), keep(x["east"], s["e"]).alias("e"), keep(x["north"], s["n"]).alias("n"), keep(x["t"], s["t"]).alias("t"), rejected.alias("rejected"), status.alias("status"))
+
+    def step(s: Column, x: Column) -> Column:
+        return bound(measured(s, x), lambda m: bound(judged(s, m), lambda case: moved_on(s, x, m, case)))
 
-    return exploded(fold(fixes, keys, ["t", "event_id"], values, start, step, lambda s: s["out"]), keys)
+    return scan(fixes, keys, ["t", "event_id"], values, start, step, lambda s, x, now: F.array(F.struct(x["event_id"].alias("event_id"), now["status"].alias("status"), now["score"].alias("score"))))
 
 
 def ema(df: DataFrame, keys: list[str], value: str, alpha: float, initial: float) -> DataFrame:
@@ -88,21 +93,28 @@ def ema(df: DataFrame, keys: list[str], value: str, alpha: float, initial: float
 def crashes(df: DataFrame, keys: list[str], impact_g: float = 3.5, surge: float = 250.0, still_speed: float = 1.0, still_seconds: float = 2.0) -> DataFrame:
     """Fold (t, event_id, g, rate, speed) into a crash state per row: NORMAL, IMPACT, CONFIRMING or CONFIRMED."""
     d = lambda v: F.lit(v).cast("double")
-    start = F.struct(F.lit("NORMAL").alias("state"), d(0.0).alias("at"), d(0.0).alias("g"), d(0.0).alias("rate"), F.array().cast("array<struct<event_id:bigint,state:string>>").alias("out"))
+    start = F.struct(F.lit("NORMAL").alias("state"), d(0.0).alias("at"), d(0.0).alias("g"), d(0.0).alias("rate"))
 
     def step(s: Column, x: Column) -> Column:
         hit = (s["state"] == "NORMAL") & (x["g"] >= impact_g)
         later = s["state"] == "IMPACT"
-        at = F.when(hit, x["t"]).otherwise(s["at"])
-        g = F.when(hit, x["g"]).when(later, F.greatest(s["g"], x["g"])).otherwise(s["g"])
-        rate = F.when(hit, x["rate"]).when(later, F.greatest(s["rate"], x["rate"])).otherwise(s["rate"])
-        hard = (rate >= surge) | (g >= impact_g * 1.5)
-        since = x["t"] - at
-        mid = F.when(hit, F.when(hard, "CONFIRMING").otherwise("IMPACT")).when(later, F.when(hard, "CONFIRMING").when(since > 0.5, F.when(g < impact_g * 1.8, "NORMAL").otherwise("CONFIRMING")).otherwise("IMPACT")).otherwise(s["state"])
-        end = F.when(mid == "CONFIRMING", F.when((x["speed"] > still_speed * 2) & (since > 1.0), "NORMAL").when(since >= still_seconds, F.when(x["speed"] <= still_speed, "CONFIRMED").otherwise("NORMAL")).otherwise("CONFIRMING")).otherwise(mid)
-        return F.struct(end.alias("state"), at.alias("at"), g.alias("g"), rate.alias("rate"), F.concat(s["out"], F.array(F.struct(x["event_id"].alias("event_id"), end.alias("state")))).alias("out"))
+        peak = F.struct(
+            F.when(hit, x["t"]).otherwise(s["at"]).alias("at"),
+            F.when(hit, x["g"]).when(later, F.greatest(s["g"], x["g"])).otherwise(s["g"]).alias("g"),
+            F.when(hit, x["rate"]).when(later, F.greatest(s["rate"], x["rate"])).otherwise(s["rate"]).alias("rate"),
+        )
+
+        def state(p: Column) -> Column:
+            hard = (p["rate"] >= surge) | (p["g"] >= impact_g * 1.5)
+            since = x["t"] - p["at"]
+            weak = F.when(since > 0.5, F.when(p["g"] < impact_g * 1.8, "NORMAL").otherwise("CONFIRMING")).otherwise("IMPACT")
+            mid = F.when(hit, F.when(hard, "CONFIRMING").otherwise("IMPACT")).when(later, F.when(hard, "CONFIRMING").otherwise(weak)).otherwise(s["state"])
+            settled = F.when((x["speed"] > still_speed * 2) & (since > 1.0), "NORMAL").when(since >= still_seconds, F.when(x["speed"] <= still_speed, "CONFIRMED").otherwise("NORMAL")).otherwise("CONFIRMING")
+            return F.when(mid == "CONFIRMING", settled).otherwise(mid)
 
-    return exploded(fold(df, keys, ["t", "event_id"], ["g", "rate", "speed"], start, step, lambda s: s["out"]), keys)
+        return bound(peak, lambda p: F.struct(state(p).alias("state"), p["at"].alias("at"), p["g"].alias("g"), p["rate"].alias("rate")))
+
+    return scan(df, keys, ["t", "event_id"], ["g", "rate", "speed"], start, step, lambda s, x, now: F.array(F.struct(x["event_id"].alias("event_id"), now["state"].alias("state"))))
 
 
 def outages(df: DataFrame, inside: Column, least_seconds: float = 2.0, least_metres: float = 10.0) -> DataFrame:
@@ -149,30 +161,46 @@ def resampled(df: DataFrame, keys: list[str], value: str, period: float = 0.1, s
 
     The first row is emitted; rows that do not advance the clock accumulate; a
     gap of 1.8 periods up to ``most_gap`` seconds is filled with interpolants
-    before the mean. Boundaries follow the last emission, so this is a fold.
+    before the mean; a longer one marks its row ``restart``. Boundaries follow
+    the last emission, so this is a fold.
     """
     d = lambda v: F.lit(v).cast("double")
-    row = "struct<t:double,value:double,filled:boolean>"
-    start = F.struct(d(None).alias("at"), d(None).alias("last"), d(0.0).alias("total"), F.lit(0).alias("n"), F.array().cast(f"array<{row}>").alias("out"))
+    start = F.struct(d(None).alias("at"), d(None).alias("last"), d(0.0).alias("total"), F.lit(0).alias("n"), F.lit(False).alias("emits"))
 
     def step(s: Column, x: Column) -> Column:
         first = s["at"].isNull()
-        dt = x["t"] - s["at"]
-        emit = first | (dt >= period * (1 - slack))
+        emit = first | (x["t"] - s["at"] >= period * (1 - slack))
         total, n = s["total"] + x[value], s["n"] + 1
         mean = F.when(first, x[value]).otherwise(total / n)
-        steps = F.when((dt >= 1.8 * period) & (dt <= most_gap), F.rint(dt / period)).otherwise(1).cast("int")
-        between = F.when(~first & (steps > 1), F.transform(F.sequence(F.lit(1), F.greatest(steps - 1, F.lit(1))), lambda k: F.struct((s["at"] + dt * k / steps).alias("t"), (s["last"] + (mean - s["last"]) * k / steps).alias("value"), F.lit(True).alias("filled")))).otherwise(F.array().cast(f"array<{row}>"))
-        own = F.array(F.struct(x["t"].alias("t"), mean.alias("value"), F.lit(False).alias("filled")))
         keep = lambda new, old: F.when(emit, new).otherwise(old)
-        return F.struct(keep(x["t"], s["at"]).alias("at"), keep(mean, s["last"]).alias("last"), keep(d(0.0), total).alias("total"), keep(F.lit(0), n).alias("n"), keep(F.concat(s["out"], between, own), s["out"]).alias("out"))
+        return F.struct(keep(x["t"], s["at"]).alias("at"), keep(mean, s["last"]).alias("last"), keep(d(0.0), total).alias("total"), keep(F.lit(0), n).alias("n"), emit.alias("emits"))
 
-    return exploded(fold(df, keys, ["t", "event_id"], [value], start, step, lambda s: s["out"]), keys)
+    def emitted(s: Column, x: Column, now: Column) -> Column:
+        dt = x["t"] - s["at"]
+        gap = (dt >= 1.8 * period) & (dt <= most_gap)
+        steps = F.when(gap, F.rint(dt / period)).otherwise(1).cast("int")
+
+        def at(k: Column, n: Column) -> Column:
+            end = k == n
+            share = k / n
+            return F.struct(
+                F.when(end, x["t"]).otherwise(s["at"] + dt * share).alias("t"), F.when(end, now["last"]).otherwise(s["last"] + (now["last"] - s["last"]) * share).alias("value"),
+                (~end).alias("filled"), F.coalesce(dt > most_gap, F.lit(False)).alias("restart"),
+            )
+
+        return F.when(now["emits"], bound(steps, lambda n: F.transform(F.sequence(F.lit(1), n), lambda k: at(k, n)))).otherwise(F.filter(F.array(at(F.lit(1), F.lit(1))), lambda _: F.lit(False)))
+
+    return scan(df, keys, ["t", "event_id"], [value], start, step, emitted)
 
 
 def triggered(samples: DataFrame, keys: list[str], ring: int = 50, every: int = 10) -> DataFrame:
-    """Emissions (not interpolants) at which the model runs: the ring is full and the count has crossed a multiple of ``every``."""
+    """Emissions (not interpolants) at which the model runs: the ring is full and the count has crossed a multiple of ``every``.
+
+    A ``restart`` empties the ring and begins the count anew.
+    """
     order = Window.partitionBy(*keys).orderBy("t")
+    samples = samples.withColumn("run", F.count_if("restart").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    order = Window.partitionBy(*keys, "run").orderBy("t")
     count = F.row_number().over(order)
     before = F.coalesce(F.last(F.when(~F.col("filled"), F.floor(count / every)), True).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     samples = samples.withColumn("count", count)
@@ -182,12 +210,15 @@ def triggered(samples: DataFrame, keys: list[str], ring: int = 50, every: int =
 def thinned(df: DataFrame, keys: list[str], least: float, throttle: bool = False) -> DataFrame:
     """Rows kept greedily: the first, then each that is ``least`` away from the last kept one (metres, or seconds with ``throttle``)."""
     d = lambda v: F.lit(v).cast("double")
-    start = F.struct(d(None).alias("a"), d(None).alias("b"), F.array().cast("array<struct<event_id:bigint>>").alias("out"))
+    start = F.struct(d(None).alias("a"), d(None).alias("b"), F.lit(False).alias("kept"))
 
     def step(s: Column, x: Column) -> Column:
         away = (x["t"] - s["a"]) if throttle else F.hypot(x["east"] - s["a"], x["north"] - s["b"])
         keep = s["a"].isNull() | (away >= least)
         a, b = (x["t"], d(0.0)) if throttle else (x["east"], x["north"])
-        return F.struct(F.when(keep, a).otherwise(s["a"]).alias("a"), F.when(keep, b).otherwise(s["b"]).alias("b"), F.when(keep, F.concat(s["out"], F.array(F.struct(x["event_id"].alias("event_id"))))).otherwise(s["out"]).alias("out"))
+        return F.struct(F.when(keep, a).otherwise(s["a"]).alias("a"), F.when(keep, b).otherwise(s["b"]).alias("b"), keep.alias("kept"))
+
+    def emitted(s: Column, x: Column, now: Column) -> Column:
+        return F.filter(F.array(F.struct(x["event_id"].alias("event_id"), now["kept"].alias("kept"))), lambda r: r["kept"])
 
-    return exploded(fold(df, keys, ["t", "event_id"], [] if throttle else ["east", "north"], start, step, lambda s: s["out"]), keys)
+    return scan(df, keys, ["t", "event_id"], [] if throttle else ["east", "north"], start, step, emitted).drop("kept")

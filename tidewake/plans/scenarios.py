@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.estimators import order, with_steps
-from ..operators.fold import exploded, fold
+from ..operators.fold import bound, scan
 
 
 def outages(df: DataFrame, length: int, first: int, every: int, least_metres: float) -> DataFrame:
@@ -34,15 +34,16 @@ def picked(scenarios: DataFrame, rules: dict[str, Column]) -> DataFrame:
     """Per drive the first scenario of each regime: each scenario takes the first of its regimes that is still free."""
     fits = F.array_compact(F.array(*[F.when(rule, F.lit(name)) for name, rule in rules.items()]))
     rows = scenarios.withColumn("fits", fits)
-    start = F.struct(F.array().cast("array<string>").alias("seen"), F.array().cast("array<struct<first:bigint,regime:string>>").alias("out"))
+    start = F.struct(F.array().cast("array<string>").alias("seen"), F.lit(None).cast("string").alias("regime"))
 
     def step(s: Column, x: Column) -> Column:
-        free = F.filter(x["fits"], lambda r: ~F.array_contains(s["seen"], r))
-        some = F.size(free) > 0
-        regime = F.try_element_at(free, F.lit(1))
-        return F.struct(F.when(some, F.array_append(s["seen"], regime)).otherwise(s["seen"]).alias("seen"), F.when(some, F.concat(s["out"], F.array(F.struct(x["first"].cast("long").alias("first"), regime.alias("regime"))))).otherwise(s["out"]).alias("out"))
+        regime = F.try_element_at(F.filter(x["fits"], lambda r: ~F.array_contains(s["seen"], r)), F.lit(1))
+        return bound(regime, lambda r: F.struct(F.when(r.isNull(), s["seen"]).otherwise(F.array_append(s["seen"], r)).alias("seen"), r.alias("regime")))  # at most one a rule
 
-    return exploded(fold(rows, ["drive_id"], ["first"], ["fits"], start, step, lambda s: s["out"]), ["drive_id"])
+    def emitted(s: Column, x: Column, now: Column) -> Column:
+        return F.filter(F.array(F.struct(x["first"].cast("long").alias("first"), now["regime"].alias("regime"))), lambda r: r["regime"].isNotNull())
+
+    return scan(rows, ["drive_id"], ["first"], ["fits"], start, step, emitted)
 
 
 def grid(scenarios: DataFrame, configs: DataFrame) -> DataFrame:

@@ -275,8 +275,6 @@ def set_03(spark, sf_dir):
     return rows.where("drive_id % 10 IN (7, 8)").select("event_id").union(rows.where("drive_id % 10 = 9").select("event_id"))
 
 
-@query("set_05_seeded_split")
+@query("set_05_seeded_split", ", d AS (SELECT drive_id, row_number() OVER (ORDER BY md5('42:' || drive_id)) AS k, count(*) OVER () AS n FROM (SELECT DISTINCT drive_id FROM s)), c AS (SELECT *, greatest(1, round_even(n * 0.15, 0)) AS m FROM d) SELECT drive_id, CASE WHEN n < 3 OR k <= n - 2 * m THEN 'train' WHEN k <= n - m THEN 'val' ELSE 'test' END AS split FROM c")
 def set_05(spark, sf_dir):
-    drives = [str(r[0]) for r in stream(spark, sf_dir).select("drive_id").distinct().orderBy("drive_id").collect()]
-    parts = splits.split_drives(drives)
-    return spark.createDataFrame([(d, name) for name, members in parts.items() for d in members], "drive_id string, split string")
+    return splits.split_table(stream(spark, sf_dir), "drive_id")

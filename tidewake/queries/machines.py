@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from ..operators import machines
 from ..operators.estimators import with_steps
-from ..session import by_time, stream
+from ..session import STREAM_SQL, by_time, stream
 from . import query
 
 
@@ -33,13 +33,38 @@ def fsm_02(spark, sf_dir):
     return machines.ema(rows, ["drive_id"], "target", 0.25, 1.0).select("drive_id", F.round("out", 6).alias("score"))
 
 
-@query("fsm_02_trust_engine")
+def recursive(rows: str, first: str, step: str, out: str) -> str:
+    """A fold in SQL: ``rows`` has drive_id and k from 0 on; ``first`` and ``step`` list the state after a row (f: before it)."""
+    return f"""WITH RECURSIVE {STREAM_SQL}, r AS ({rows}), f AS (SELECT r.drive_id, r.k, {first} FROM r WHERE r.k = 0
+UNION ALL SELECT r.drive_id, r.k, {step} FROM f JOIN r ON r.drive_id = f.drive_id AND r.k = f.k + 1) {out}"""
+
+
+_TRUST = recursive(
+    "SELECT drive_id, event_id, t, east, north, speed, CASE WHEN val > 450 THEN 60.0 WHEN val > 400 THEN NULL ELSE 5.0 END::DOUBLE AS accuracy, sqrt((ax * ax + ay * ay) / (4 + pow(CASE WHEN val > 450 THEN 60.0 WHEN val > 400 THEN 3.0 ELSE 5.0 END, 2))) AS away, row_number() OVER (PARTITION BY drive_id ORDER BY t, event_id) - 1 AS k FROM s WHERE kind = 'view'",
+    "r.event_id, CASE WHEN r.accuracy > 50 THEN 'poor' WHEN r.away > 3.5 THEN 'outside' ELSE 'passed' END AS c, r.away, CASE WHEN c = 'poor' THEN 0.75 + 0.25 * 0.2 WHEN c = 'outside' THEN 0.75 + 0.25 * greatest(0, 1 - (r.away - 3.5) * 0.2) ELSE 1.0 END::DOUBLE AS score, CASE WHEN c = 'passed' THEN r.east END AS e, CASE WHEN c = 'passed' THEN r.north END AS n, CASE WHEN c = 'passed' THEN r.t END AS at, CASE WHEN c = 'passed' THEN 0 ELSE 1 END AS rejected",
+    "r.event_id, CASE WHEN r.accuracy > 50 THEN 'poor' WHEN sqrt(pow(r.east - f.e, 2) + pow(r.north - f.n, 2)) > 25 AND sqrt(pow(r.east - f.e, 2) + pow(r.north - f.n, 2)) / greatest(r.t - f.at, 1e-3) > r.speed * 2.5 + 15 THEN 'jump' WHEN r.away > 3.5 THEN CASE WHEN f.rejected > 15 THEN 'forced' ELSE 'outside' END ELSE 'passed' END AS c2, r.away, f.score * 0.75 + 0.25 * CASE c2 WHEN 'poor' THEN 0.2 WHEN 'jump' THEN 0.0 WHEN 'forced' THEN 0.5 WHEN 'outside' THEN greatest(0, 1 - (r.away - 3.5) * 0.2) ELSE 1.0 END, CASE WHEN c2 = 'passed' THEN r.east ELSE f.e END, CASE WHEN c2 = 'passed' THEN r.north ELSE f.n END, CASE WHEN c2 = 'passed' THEN r.t ELSE f.at END, CASE c2 WHEN 'passed' THEN 0 WHEN 'forced' THEN f.rejected ELSE f.rejected + 1 END",
+    "SELECT event_id, CASE WHEN c IN ('poor', 'forced') THEN 'DEGRADED' WHEN c = 'jump' OR (c = 'outside' AND away <= 6) THEN 'SUSPICIOUS_JUMP' WHEN c = 'outside' THEN 'REJECTED_SPOOFED' ELSE 'TRUSTED' END AS status, round(score, 6) AS score FROM f",
+)
+
+
+@query("fsm_02_trust_engine", _TRUST, stream=False)
 def fsm_02_engine(spark, sf_dir):
-    rows = stream(spark, sf_dir).where("kind = 'view'").withColumns({"accuracy": F.when(F.col("val") > 450, 60.0).otherwise(5.0), "pred_e": F.col("east") + F.col("ax"), "pred_n": F.col("north") + F.col("ay"), "var_e": F.lit(4.0), "var_n": F.lit(4.0), "cov_en": F.lit(0.0), "inertial": F.col("speed")})
+    rows = stream(spark, sf_dir).where("kind = 'view'").withColumns({"accuracy": F.when(F.col("val") > 450, 60.0).when(F.col("val") > 400, F.lit(None).cast("double")).otherwise(5.0), "pred_e": F.col("east") + F.col("ax"), "pred_n": F.col("north") + F.col("ay"), "var_e": F.lit(4.0), "var_n": F.lit(4.0), "cov_en": F.lit(0.0), "inertial": F.col("speed")})
     return machines.trust(rows, ["drive_id"]).select("event_id", "status", F.round("score", 6).alias("score"))
 
 
-@query("fsm_03_crash")
+_CRASH = recursive(
+    "SELECT drive_id, event_id, idx AS k, idx * 0.2 AS t, val / 100 AS g, abs(gz) * 4000 AS rate, speed / 5 AS speed FROM s",
+    "r.event_id, r.g >= 3.5 AS hit, CASE WHEN hit THEN r.t ELSE 0 END::DOUBLE AS at, CASE WHEN hit THEN r.g ELSE 0 END::DOUBLE AS g, CASE WHEN hit THEN r.rate ELSE 0 END::DOUBLE AS rate, CASE WHEN hit THEN CASE WHEN r.rate >= 250 OR r.g >= 5.25 THEN 'CONFIRMING' ELSE 'IMPACT' END ELSE 'NORMAL' END AS state",
+    """r.event_id, f.state = 'NORMAL' AND r.g >= 3.5 AS hit2, CASE WHEN hit2 THEN r.t ELSE f.at END AS at2, CASE WHEN hit2 THEN r.g WHEN f.state = 'IMPACT' THEN greatest(f.g, r.g) ELSE f.g END AS g2, CASE WHEN hit2 THEN r.rate WHEN f.state = 'IMPACT' THEN greatest(f.rate, r.rate) ELSE f.rate END AS rate2,
+CASE CASE WHEN hit2 OR f.state = 'IMPACT' THEN CASE WHEN rate2 >= 250 OR g2 >= 5.25 THEN 'CONFIRMING' WHEN hit2 OR r.t - at2 <= 0.5 THEN 'IMPACT' WHEN g2 < 6.3 THEN 'NORMAL' ELSE 'CONFIRMING' END ELSE f.state END
+WHEN 'CONFIRMING' THEN CASE WHEN r.speed > 2 AND r.t - at2 > 1 THEN 'NORMAL' WHEN r.t - at2 >= 2 THEN CASE WHEN r.speed <= 1 THEN 'CONFIRMED' ELSE 'NORMAL' END ELSE 'CONFIRMING' END
+WHEN 'IMPACT' THEN 'IMPACT' WHEN 'NORMAL' THEN 'NORMAL' ELSE 'CONFIRMED' END""",
+    "SELECT event_id, state FROM f",
+)
+
+
+@query("fsm_03_crash", _CRASH, stream=False)
 def fsm_03(spark, sf_dir):
     rows = stream(spark, sf_dir).withColumn("t", (F.row_number().over(by_time()) - 1) * 0.2)
     rows = rows.select("drive_id", "event_id", "t", (F.col("val") / 100).alias("g"), (F.abs("gz") * 4000).alias("rate"), (F.col("speed") / 5).alias("speed"))
@@ -76,19 +101,38 @@ def fsm_07(spark, sf_dir):
 
 
 def ticks(spark, sf_dir):
-    """Rows on an irregular clock of some hundredths of a second."""
-    step = 0.02 + (F.col("event_id") % 9) * 0.03
-    rows = stream(spark, sf_dir).withColumn("t", F.round(F.sum(step).over(by_time().rowsBetween(Window.unboundedPreceding, 0)), 6))
+    """Rows on an irregular clock of some hundredths of a second, with a long gap before the 41st."""
+    step = 0.023 + (F.col("event_id") % 9) * 0.031
+    t = F.round(F.sum(step).over(by_time().rowsBetween(Window.unboundedPreceding, 0)), 6) + F.when(F.row_number().over(by_time()) > 40, 1.5).otherwise(0.0)
+    rows = stream(spark, sf_dir).withColumn("t", t)
     return rows.select("drive_id", "event_id", "t", "val", "east", "north")
 
 
-@query("fsm_08_resampler")
+_TICKS = "SELECT drive_id, event_id, val, idx AS k, round(sum(0.023 + (event_id % 9) * 0.031) OVER (PARTITION BY drive_id ORDER BY t, event_id), 6) + CASE WHEN idx >= 40 THEN 1.5 ELSE 0 END AS t FROM s"
+_SAMPLES = """, e AS (SELECT *, lag(t) OVER o AS before, lag(last) OVER o AS v0 FROM f WHERE emits WINDOW o AS (PARTITION BY drive_id ORDER BY k)),
+p AS (SELECT *, CASE WHEN t - before >= 0.18 AND t - before <= 1 THEN round_even((t - before) / 0.1, 0) ELSE 1 END::INT AS steps FROM e),
+m AS (SELECT drive_id, CASE WHEN j = steps THEN t ELSE before + (t - before) * j / steps END AS t, CASE WHEN j = steps THEN last ELSE v0 + (last - v0) * j / steps END AS value, j < steps AS filled, coalesce(t - before > 1, false) AS restart FROM (SELECT *, unnest(range(1, steps + 1)) AS j FROM p))"""
+_RESAMPLED = recursive(
+    _TICKS,
+    "r.t, r.val AS last, 0.0::DOUBLE AS total, 0 AS n, true AS emits, r.t AS at",
+    "r.t, CASE WHEN r.t - f.at >= 0.09 THEN (f.total + r.val) / (f.n + 1) ELSE f.last END, CASE WHEN r.t - f.at >= 0.09 THEN 0 ELSE f.total + r.val END, CASE WHEN r.t - f.at >= 0.09 THEN 0 ELSE f.n + 1 END, r.t - f.at >= 0.09, CASE WHEN r.t - f.at >= 0.09 THEN r.t ELSE f.at END",
+    _SAMPLES,
+)
+
+
+@query("fsm_08_resampler", _RESAMPLED + " SELECT drive_id, round(t, 6) AS t, round(value, 6) AS value, filled FROM m", stream=False)
 def fsm_08(spark, sf_dir):
     found = machines.resampled(ticks(spark, sf_dir), ["drive_id"], "val")
     return found.select("drive_id", F.round("t", 6).alias("t"), F.round("value", 6).alias("value"), "filled")
 
 
-@query("fsm_09_model_trigger")
+_TRIGGER = """, w AS (SELECT *, count(*) FILTER (restart) OVER (PARTITION BY drive_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS run FROM m),
+q AS (SELECT *, row_number() OVER (PARTITION BY drive_id, run ORDER BY t) AS count FROM w),
+b AS (SELECT *, coalesce(max(CASE WHEN NOT filled THEN count // 10 END) OVER (PARTITION BY drive_id, run ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM q)
+SELECT drive_id, round(t, 6) AS t, count FROM b WHERE NOT filled AND count // 10 > before AND count >= 20"""
+
+
+@query("fsm_09_model_trigger", _RESAMPLED + _TRIGGER, stream=False)
 def fsm_09(spark, sf_dir):
     return machines.triggered(machines.resampled(ticks(spark, sf_dir), ["drive_id"], "val"), ["drive_id"], 20, 10).select("drive_id", F.round("t", 6).alias("t"), "count")
 
