@@ -131,11 +131,14 @@ class LabelModel:
 
 def _linked(votes: np.ndarray, y: np.ndarray, least: float, groups: list[np.ndarray] = ()) -> list[np.ndarray]:
     """Connected voters: those whose votes, less what the label ``y`` explains, correlate above ``least``, or that share a group."""
-    cast = np.where(votes == 0, -1.0, np.where(votes == 1, 1.0, 0.0)).astype(np.float32)
-    mean = [(cast * w[:, None]).sum(0) / max(w.sum(), 1e-9) for w in (1 - y, y)]
-    residual = cast - y[:, None] * mean[1] - (1 - y)[:, None] * mean[0]
-    residual = (residual / (np.sqrt((residual**2).sum(0)) + 1e-9)).astype(np.float32)
-    linked = residual.T @ residual > least
+    residual = np.array([1, -1, 0], np.float32)[np.where(votes == 1, 0, np.where(votes == 0, 1, 2))]
+    y = y.astype(np.float32)
+    mean = [w @ residual / max(float(w.sum()), 1e-9) for w in (1 - y, y)]
+    for k in range(residual.shape[1]):
+        residual[:, k] -= y * mean[1][k] + (1 - y) * mean[0][k]
+    alike = residual.T @ residual
+    size = np.sqrt(np.diag(alike)) + 1e-9
+    linked = alike / size / size[:, None] > least
     for g in groups:
         linked[np.ix_(g, g)] = True
     root = np.arange(len(linked))
@@ -166,13 +169,17 @@ def _dense(hits: np.ndarray, density: np.ndarray, shapes: np.ndarray) -> np.ndar
 
 def _logistic(x: np.ndarray, y: np.ndarray, l2: float = 1.0, rounds: int = 25) -> np.ndarray:
     """Newton's method on soft labels; the last weight is the intercept."""
-    x = np.column_stack([x, np.ones(len(x))])
-    w = np.zeros(x.shape[1])
+    w = np.zeros(x.shape[1] + 1)
     ridge = np.full(len(w), l2)
     ridge[-1] = 1e-3
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p) + 1e-6)[:, None]).T @ x + np.diag(ridge), x.T @ (p - y) + ridge * w)
+        curve, slope = np.diag(ridge), ridge * w
+        for at in range(0, len(x), 1000):
+            part = np.column_stack([x[at : at + 1000], np.ones(len(x[at : at + 1000]))]).astype(np.float64)
+            p = 1 / (1 + np.exp(-np.clip(part @ w, -30, 30)))
+            curve += (part * (p * (1 - p) + 1e-6)[:, None]).T @ part
+            slope += part.T @ (p - y[at : at + 1000])
+        step = np.linalg.solve(curve, slope)
         w -= step
         if np.abs(step).max() < 1e-6:
             break
@@ -258,9 +265,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         x[i, g[1]] = 1
     hits = x.sum(1)
     density = hits / np.maximum(1, n)
-    votes = np.column_stack([np.where(x > 0, 1, -1), _pattern_votes(hits, density, shapes)])
+    votes = np.column_stack([np.where(x > 0, np.int8(1), np.int8(-1)), _pattern_votes(hits, density, shapes).astype(np.int8)])
     soft = LabelModel().fit(votes).posterior(votes)
-    known = np.column_stack([x, _dense(hits, density, shapes)])
+    known = np.column_stack([x, _dense(hits, density, shapes).astype(np.float32)])
     w = _logistic(known, soft)
     z = known @ w[:-1] + w[-1]
     slope = float(_logistic(z[:, None], y, l2=1e-3)[0])  # Platt: how sure a margin is, by the sample's own labels
