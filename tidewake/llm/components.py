@@ -2,8 +2,8 @@
 
 Every round is two grouped minimums, combined before their shuffle, and two
 look-ups of a node's minimum by its links. The nodes with most links take
-theirs from a broadcast of bounded size, so a hub's neighbours are never
-gathered in one task. Each round's links are written to the shared folder.
+theirs from a broadcast of bounded size and pass through the join under a key
+of their own, so a hub's neighbours are never gathered in one task. Each round's links are written to the shared folder.
 """
 
 from __future__ import annotations
@@ -11,13 +11,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HEAD, drop_saved, looked_up, saved
+from .common import HEAD, drop_saved, saved
 
 
 def _star(links: DataFrame, large: bool, head: int) -> DataFrame:
     both = links.unionByName(links.select(F.col("dst").alias("src"), F.col("src").alias("dst"))) if large else links
     least = both.groupBy("src").agg(F.min("dst").alias("low"), F.count("*").alias("n")).select("src", F.least("src", "low").alias("low"), "n")
-    near = looked_up(both, least, ["src"], "n", head)
+    hubs = least.orderBy(F.desc("n"), "src").limit(head).select("src", F.col("low").alias("hub"))
+    marked = both.join(F.broadcast(hubs), "src", "left").withColumn("away", F.when(F.col("hub").isNull(), 0).otherwise(1 + F.pmod(F.hash("dst"), 1024)))
+    near = marked.join(least.select("src", "low", F.lit(0).alias("away")), ["src", "away"], "left").select("src", "dst", F.coalesce("hub", "low").alias("low"))
     if large:  # larger neighbours of a node point to its smallest neighbour
         return near.where(F.col("dst") > F.col("src")).select(F.col("dst").alias("src"), F.col("low").alias("dst"))
     moved = near.where(F.col("dst") != F.col("low")).select(F.col("dst").alias("src"), F.col("low").alias("dst"))
