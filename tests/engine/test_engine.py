@@ -258,13 +258,85 @@ def test_unscented_equals_linear_filter():
     assert np.allclose(m, x @ a.T) and np.allclose(c, a @ p @ a.T + 0.1 * np.eye(2), atol=1e-5)
 
 
-def test_alignment_recovers_a_rotation():
-    rng = np.random.default_rng(4)
-    turn = rotation.matrix(rotation.of_euler(np.array([0.3]), np.array([0.2]), np.array([1.1])))[0]
-    still = np.arange(300) < 100
-    body = np.stack([np.where(still, 0, 3 * np.sin(np.arange(300) * 0.2)), np.zeros(300), np.full(300, 9.80665)], 1) + rng.normal(0, 0.01, (300, 3))
-    found, state = alignment.align(body @ turn, still, np.where(still, 0, body[:, 0]))
-    assert state == "ALIGNED" and np.allclose(found @ turn.T, np.eye(3), atol=0.05)
+def test_staged_alignment_finds_a_turned_phone():
+
+    rng = np.random.default_rng(0)
+    turn = rotation.matrix(rotation.of_euler(np.array([-0.4]), np.array([0.3]), np.array([0.7])))[0]  # vehicle to phone
+    machine, states = alignment.Staged(), []
+    for k in range(60):
+        push = 0.0 if k < 20 else 1.5
+        states.append(machine.update(turn @ (np.array([push, 0, 9.81]) + rng.normal(0, 0.01, 3)), k < 20, 0.0 if k < 20 else 0.15 * (k - 20)))
+    assert states[0] == "CALIBRATING_GRAVITY" and states[14] == "CALIBRATING_FORWARD" and states[-1] == "CALIBRATED"
+    assert np.allclose(machine.rotation @ turn, np.eye(3), atol=0.05)
+    still, motion = np.array([turn @ [0, 0, 9.81]] * 20), np.array([turn @ [1.5, 0, 9.81]] * 20)
+    found, state = alignment.whole(still, motion)
+    assert state == "CALIBRATED" and np.allclose(found @ turn, np.eye(3), atol=1e-6)
+    braking = alignment.whole(still, np.array([turn @ [-1.5, 0, 9.81]] * 20), np.array([turn @ [9, 0, 0], turn @ [1, 0, 0]]))[0]
+    assert np.allclose(braking @ turn, np.diag([-1, -1, 1]), atol=1e-6)  # velocities say: backwards was the gain
+
+
+def test_shaken_or_aimless_phones_do_not_calibrate():
+    rng = np.random.default_rng(1)
+    shaken = alignment.Staged()
+    for _ in range(40):
+        shaken.update(np.array([0, 0, 9.81]) + rng.normal(0, 2, 3), True)
+    assert shaken.state == "CALIBRATING_GRAVITY"
+    aimless = alignment.Staged()
+    for k in range(80):
+        aimless.update(np.array([np.cos(k), np.sin(k), 9.81]), k < 15, 5.0)
+    assert aimless.state == "CALIBRATING_FORWARD"  # no direction dominates
+    assert alignment.whole(np.array([[0, 0, 9.81]]), np.zeros((0, 3)))[1] == "CALIBRATING_FORWARD"
+
+
+def frame_inputs(n, **given):
+    from tidewake.operators.kernels.frames import INPUTS
+
+    out = {c: np.full(n, np.nan) for c in INPUTS} | {c: np.zeros(n) for c in ("ax", "ay", "gx", "gy", "gz", "denied")} | {"az": np.full(n, 9.80665)}
+    return out | {k: np.broadcast_to(np.asarray(v, float), n).copy() for k, v in given.items()}
+
+
+@pytest.mark.parametrize("kind", ["planar", "inertial"])
+def test_frame_step_through_an_outage(kind):
+    """Standing, driving with fixes, six seconds without any, dead reckoning, and a smooth return."""
+    from tidewake.operators.kernels.frames import Frames
+
+    machine, seen = Frames(1, kind), []
+    for k in range(400):
+        t, moving = 0.1 * k, k >= 50
+        push = min(max(t - 5, 0), 5)  # seconds of acceleration so far: 2 m/s2 towards the phone's top, up to 10 m/s
+        x, v = push**2 + 10 * max(t - 10, 0), 2 * push
+        fix = k % 10 == 0 and not 150 <= k < 290
+        own = {"east": 100 + x, "north": 7, "fix_t": t, "accuracy": 4, "fix_speed": v} if fix else {}
+        a = frame_inputs(1, t=t, fix_heading=90, model_speed=v if moving and k % 10 == 0 else np.nan, ay=2 if 0 < push < 5 else 0, az=9.80665 + 0.6 * moving * (-1) ** k, **own)
+        seen.append({c: v[0] for c, v in machine.step(a, np.ones(1, bool)).items()} | {"k": k, "x": x})
+    assert seen[30]["mode"] == "STATIONARY" and seen[30]["v"] == 0 and abs(seen[30]["pe"] - 100) < 1
+    assert seen[140]["mode"] == "GNSS" and abs(seen[140]["pe"] - 100 - seen[140]["x"]) < 8
+    first_dark = next(r["k"] for r in seen if r["blackout"])
+    assert 195 <= first_dark <= 202 and seen[first_dark]["status"] == "BLACKOUT"  # six seconds after the last fix at 14.0 s
+    assert seen[250]["mode"].startswith("DEAD_RECKONING") and seen[289]["dark_metres"] > 30
+    back = next(r["k"] for r in seen if r["k"] >= 290 and not r["blackout"])
+    assert all(r["mode"] == "REACQUISITION" for r in seen[back : back + 15]) and seen[back + 15]["mode"] != "REACQUISITION"
+    assert abs(seen[399]["pe"] - 100 - seen[399]["x"]) < 12
+
+
+def test_frame_step_trust_denial_and_order():
+    from tidewake.operators.kernels.frames import Frames
+
+    machine = Frames(3)
+    for k in range(30):
+        a = frame_inputs(3, t=0.1 * k, east=0, north=0, fix_t=0.1 * k, accuracy=3, fix_speed=0)
+        machine.step(a, np.ones(3, bool))
+    a = frame_inputs(3, t=[3.0, 3.0, 1.0], east=[500, 0, 0], north=0, fix_t=3.0, accuracy=[3, 60, 3], fix_speed=0, denied=[0, 0, 1])
+    out = machine.step(a, np.ones(3, bool))
+    assert out["status"].tolist() == ["SUSPICIOUS_JUMP", "DEGRADED", "BLACKOUT"] and out["blackout"].tolist() == [True, True, True]
+    assert out["out_of_order"].tolist() == [False, False, True] and np.all(np.abs(out["pe"]) < 1)
+
+
+def test_stream_of_frames_equals_batch(spark, sf_dir):
+    from tidewake.queries import QUERIES
+
+    rows = [{tuple(r) for r in QUERIES[q](spark, sf_dir).collect()} for q in ("est_16_frame_step", "str_07_frame_step")]
+    assert rows[0] == rows[1] and len(rows[0]) > 100
 
 
 def test_simulated_runs_are_independent():

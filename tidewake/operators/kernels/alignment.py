@@ -1,51 +1,125 @@
-"""Phone-to-vehicle alignment: gravity first, then the forward axis from horizontal motion."""
+"""Phone-to-vehicle alignment in stages: gravity, an interim level, the forward axis from motion, its sign, and the lock."""
 
 from __future__ import annotations
 
+from collections import deque
+
 import numpy as np
 
-GRAVITY = 9.80665
+NOT_CALIBRATED, GRAVITY_STAGE, FORWARD_STAGE, CALIBRATED = "NOT_CALIBRATED", "CALIBRATING_GRAVITY", "CALIBRATING_FORWARD", "CALIBRATED"
+# Rows of standstill and their most variance, gravity's range, rows and energy of motion, dominance, ring.
+STILL_ROWS, STILL_VARIANCE, LIGHT, HEAVY = 15, 0.25, 7.0, 12.5
+MOTION_ROWS, ENERGY, DOMINANCE, RING = 5, 0.05, 2.0, 150
+
+
+def unit(v: np.ndarray, least: float = 1e-4) -> np.ndarray | None:
+    size = float(np.linalg.norm(v))
+    return v / size if size > least else None
+
 
+def across(v: np.ndarray, up: np.ndarray) -> np.ndarray:
+    """The part of ``v`` (or of its rows) that is level."""
+    return v - np.multiply.outer(v @ up, up)
 
-def tilt(gravity: np.ndarray) -> np.ndarray:
-    """Rotation that turns the measured gravity to (0, 0, g)."""
-    up = gravity / np.linalg.norm(gravity)
-    axis = np.cross(up, [0.0, 0.0, 1.0])
-    c = up[2]
-    if c < -1 + 1e-9:
-        return np.diag([1.0, -1.0, -1.0])
-    k = np.array([[0, -axis[2], axis[1]], [axis[2], 0, -axis[0]], [-axis[1], axis[0], 0]])
-    return np.eye(3) + k + k @ k / (1 + c)
 
+def frame(forward: np.ndarray, up: np.ndarray) -> np.ndarray:
+    """Right-handed rotation whose rows are forward, left and up."""
+    left = unit(np.cross(up, forward))
+    left = np.array([0.0, 1.0, 0.0]) if left is None else left
+    return np.stack([np.cross(left, up), left, up])
 
-def forward(horizontal: np.ndarray, speed_change: np.ndarray | None = None, least: int = 5, energy: float = 0.05, ratio: float = 2.0) -> np.ndarray | None:
-    """Unit forward axis in the plane, by the main axis of the uncentred second moment; None if motion does not show one.
 
-    The sign follows the speed change where it is known, else the larger impulse.
-    """
-    if len(horizontal) < least:
+def level(up: np.ndarray) -> np.ndarray:
+    """A rotation with the phone's top (or side, if the top points up) taken as forward, until motion shows better."""
+    top = np.array([0.0, 1.0, 0.0]) if abs(up[1]) < 0.9 else np.array([1.0, 0.0, 0.0])
+    return frame(unit(across(top, up)), up)
+
+
+def main_axis(motion: np.ndarray, up: np.ndarray, energy: float, dominance: float | None) -> np.ndarray | None:
+    """Level unit vector along which the motion's second moment is largest; None if weak or without one direction."""
+    moment = motion.T @ motion / len(motion)
+    if not np.isfinite(moment).all() or np.trace(moment) < energy:
         return None
-    values, vectors = np.linalg.eigh(horizontal.T @ horizontal / len(horizontal))
-    if values[1] < energy or values[1] < ratio * max(values[0], 1e-12):
+    values, vectors = np.linalg.eigh(moment)
+    if dominance is not None and values[1] > 1e-5 and values[2] / (values[1] + 1e-6) < dominance:
         return None
-    axis = vectors[:, 1]
-    along = horizontal @ axis
-    lead = float(along @ speed_change) if speed_change is not None and np.abs(speed_change).sum() > 0 else float(np.sign(along[np.argmax(np.abs(along))]))
-    return axis if lead >= 0 else -axis
-
-
-def align(acc: np.ndarray, still: np.ndarray, speed_change: np.ndarray | None = None) -> tuple[np.ndarray, str]:
-    """(rotation phone to vehicle, state) of a whole recording."""
-    if still.sum() < 15:
-        return np.eye(3), "WAITING_GRAVITY"
-    gravity = acc[still].mean(0)
-    if not 7 <= np.linalg.norm(gravity) <= 12.5:
-        return np.eye(3), "WAITING_GRAVITY"
-    level = tilt(gravity)
-    moving = ~still
-    flat = (acc[moving] @ level.T)[:, :2]
-    axis = forward(flat, speed_change[moving] if speed_change is not None else None)
+    return unit(across(vectors[:, 2], up))
+
+
+class Staged:
+    """One recording's alignment, a frame at a time. It never looks ahead."""
+
+    def __init__(self) -> None:
+        self.state, self.rotation, self.up = NOT_CALIBRATED, np.eye(3), None
+        self.still: deque[np.ndarray] = deque(maxlen=STILL_ROWS)
+        self.motion: deque[np.ndarray] = deque(maxlen=RING)
+        self.speeds: deque[float] = deque(maxlen=RING)
+
+    def update(self, acc: np.ndarray, still: bool, speed: float = np.nan, velocities: np.ndarray | None = None) -> str:
+        """``speed`` and ``velocities`` (rows of east, north, up; the latest last) may be missing; broken rows change nothing."""
+        if self.state != CALIBRATED and np.isfinite(acc).all():
+            if self.state != FORWARD_STAGE:
+                self._gravity(acc, still)
+            if self.state == FORWARD_STAGE and not still:
+                self._forward(acc, speed, velocities)
+        return self.state
+
+    def _gravity(self, acc: np.ndarray, still: bool) -> None:
+        if self.up is None and LIGHT <= np.linalg.norm(acc) <= HEAVY:
+            self._upright(acc)
+        if not still:
+            if self.up is not None:
+                self.state = FORWARD_STAGE
+            return
+        self.state = GRAVITY_STAGE
+        self.still.append(acc)
+        if len(self.still) == STILL_ROWS:
+            rows = np.array(self.still)
+            mean = rows.mean(0)
+            if np.linalg.norm(rows, axis=1).var() <= STILL_VARIANCE and LIGHT <= np.linalg.norm(mean) <= HEAVY:
+                self._upright(mean)
+                self.state = FORWARD_STAGE
+
+    def _upright(self, gravity: np.ndarray) -> None:
+        self.up = gravity / np.linalg.norm(gravity)
+        self.rotation = level(self.up)
+
+    def _forward(self, acc: np.ndarray, speed: float, velocities: np.ndarray | None) -> None:
+        self.motion.append(across(acc, self.up))
+        if np.isfinite(speed):
+            self.speeds.append(speed)
+        if len(self.motion) < MOTION_ROWS:
+            return
+        motion = np.array(self.motion)
+        axis = main_axis(motion, self.up, ENERGY, DOMINANCE)
+        sign = 0.0 if axis is None else self._sign(axis, motion.mean(0), velocities)
+        if sign:
+            self.rotation, self.state = frame(sign * axis, self.up), CALIBRATED
+
+    def _sign(self, axis: np.ndarray, push: np.ndarray, velocities: np.ndarray | None) -> float:
+        """1 or -1 by the first evidence that speaks: satellite velocity, the speed's change, a burst; 0 if none does."""
+        if velocities is not None and len(velocities) > 1 and np.isfinite(velocities).all():
+            gained = velocities[-1] - velocities[0]
+            if np.linalg.norm(gained[:2]) > 0.5 and abs(axis @ gained) > 1e-3:
+                return float(np.sign(axis @ gained))
+        along = float(push @ axis)
+        if len(self.speeds) >= MOTION_ROWS and abs(self.speeds[-1] - self.speeds[0]) > 0.8 and abs(along) > 1e-3:
+            return float(np.sign(along * (self.speeds[-1] - self.speeds[0])))
+        return float(np.sign(along)) if np.linalg.norm(push) > 0.4 and abs(along) > 0.1 else 0.0
+
+
+def whole(still: np.ndarray, motion: np.ndarray, velocities: np.ndarray | None = None) -> tuple[np.ndarray, str]:
+    """(rotation, state) from a stretch of standstill and one of motion, each (rows, 3); broken rows are left out."""
+    still, motion = (x[np.isfinite(x).all(1)] for x in (still, motion))
+    up = unit(still.mean(0), 1e-3) if len(still) else None
+    up = np.array([0.0, 0.0, 1.0]) if up is None else up
+    flat = across(motion, up)
+    axis = main_axis(flat, up, 1e-5, None) if len(motion) > 1 else None
     if axis is None:
-        return level, "GRAVITY_ALIGNED"
-    turn = np.array([[axis[0], axis[1], 0], [-axis[1], axis[0], 0], [0, 0, 1.0]])
-    return turn @ level, "ALIGNED"
+        return level(up), FORWARD_STAGE
+    if velocities is not None and len(velocities) > 1:
+        gained = velocities[-1] - velocities[0]
+        axis = -axis if np.isfinite(velocities).all() and axis @ gained < 0 else axis
+    elif axis @ flat.mean(0) < 0 and np.linalg.norm(flat.mean(0)) > 0.05:
+        axis = -axis
+    return frame(axis, up), CALIBRATED

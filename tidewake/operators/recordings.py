@@ -14,20 +14,62 @@ from .models import normal_equations, ridge
 from .simulate import Config, simulate
 
 
-def aligned(df: DataFrame, keys: list[str], gravity_rows: int | None = None, motion_rows: int | None = None, still_speed: float = 5.0) -> DataFrame:
-    """Per recording its rotation (row by row) and state. With row counts gravity is taken from the first rows and motion from those after."""
+def aligned(df: DataFrame, keys: list[str], still_speed: float = 5.0) -> DataFrame:
+    """Per row (``event_id``) the staged alignment's state and rotation after it, in time order, without looking ahead."""
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["t", "event_id"])
-        if gravity_rows is not None:
-            pdf = pdf.head(gravity_rows + (motion_rows or 0))
-        acc = np.nan_to_num(pdf[["ax", "ay", "az"]].to_numpy(float))
-        still = np.arange(len(pdf)) < gravity_rows if gravity_rows is not None else pdf["speed"].to_numpy() < still_speed
-        turn, state = alignment.align(acc, still, np.gradient(pdf["speed"].to_numpy()) if len(pdf) > 1 else None)
+        machine, states, turns = alignment.Staged(), [], []
+        for acc, speed in zip(pdf[["ax", "ay", "az"]].to_numpy(float), pdf["speed"].to_numpy(float), strict=True):
+            states.append(machine.update(acc, speed < still_speed, speed))
+            turns.append(np.round(machine.rotation.ravel(), 6).tolist())
+        return pd.DataFrame({"event_id": pdf["event_id"].to_numpy(), "state": states, "rotation": turns})
+
+    return df.select(*keys, "t", "event_id", "ax", "ay", "az", "speed").groupBy(*keys).applyInPandas(work, "event_id long, state string, rotation array<double>")
+
+
+def batch_aligned(df: DataFrame, keys: list[str], gravity_rows: int, motion_rows: int) -> DataFrame:
+    """Per recording its rotation and state: gravity from the first rows, the forward axis from those after."""
+
+    def work(pdf: pd.DataFrame) -> pd.DataFrame:
+        acc = pdf.sort_values(["t", "event_id"])[["ax", "ay", "az"]].to_numpy(float)
+        turn, state = alignment.whole(acc[:gravity_rows], acc[gravity_rows : gravity_rows + motion_rows])
         return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in keys}, "state": [state], "rotation": [np.round(turn.ravel(), 6).tolist()]})
 
     types = {f.name: f.dataType.simpleString() for f in df.schema}
-    return df.select(*keys, "t", "event_id", "ax", "ay", "az", "speed").groupBy(*keys).applyInPandas(work, ", ".join(f"{k} {types[k]}" for k in keys) + ", state string, rotation array<double>")
+    return df.select(*keys, "t", "event_id", "ax", "ay", "az").groupBy(*keys).applyInPandas(work, ", ".join(f"{k} {types[k]}" for k in keys) + ", state string, rotation array<double>")
+
+
+def frames(df: DataFrame, keys: list[str], kind: str = "inertial") -> DataFrame:
+    """The live frame step over finished recordings: one row for each, with the columns of ``OUTPUTS``.
+
+    ``df`` has ``event_id`` and the columns of ``INPUTS``. Recordings are dealt
+    into buckets by key and by the magnitude of their length, and a bucket's
+    recordings advance side by side, so a long one does not inflate the rest.
+    """
+    from .kernels.frames import INPUTS, OUTPUTS, Frames
+
+    def work(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values([*keys, "t", "event_id"])
+        by = pdf.groupby(keys, sort=False)
+        run, step = by.ngroup().to_numpy(), by.cumcount().to_numpy()
+        n, width = int(run.max()) + 1, int(step.max()) + 1
+        lengths = np.bincount(run, minlength=n)
+        machine, values = Frames(n, kind), pdf[list(INPUTS)].astype(float).to_numpy()
+        first = np.r_[0, np.cumsum(lengths)[:-1]]
+        out = {c: np.empty(len(pdf), object if t == "string" else bool if t == "boolean" else float) for c, t in OUTPUTS.items()}
+        for k in range(width):
+            on = k < lengths
+            at = np.minimum(first + k, len(pdf) - 1)
+            found = machine.step(dict(zip(INPUTS, values[at].T, strict=True)), on)
+            for c, v in found.items():
+                out[c][at[on]] = v[on]
+        return pd.DataFrame({"event_id": pdf["event_id"].to_numpy(), **out})
+
+    buckets = 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sizes = df.groupBy(*keys).agg(F.floor(F.log2(F.count("*").cast("double"))).alias("_size"))
+    dealt = df.select(*keys, "event_id", *[F.col(c).cast("double") for c in INPUTS]).join(sizes, keys).withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)))
+    return dealt.groupBy("_size", "_bucket").applyInPandas(work, "event_id long, " + ", ".join(f"{c} {t}" for c, t in OUTPUTS.items()))
 
 
 def fused(df: DataFrame, keys: list[str], kind: str = "planar", dark: str | None = None) -> DataFrame:

@@ -141,14 +141,14 @@ def fsm_09(spark, sf_dir):
 def fsm_10(spark, sf_dir):
     from ..operators.recordings import aligned
 
-    return aligned(stream(spark, sf_dir), ["drive_id"])
+    return aligned(stream(spark, sf_dir), ["drive_id"]).select("event_id", "state", F.transform("rotation", lambda x: F.round(x, 4)).alias("rotation"))
 
 
 @query("fsm_11_batch_aligner")
 def fsm_11(spark, sf_dir):
-    from ..operators.recordings import aligned
+    from ..operators.recordings import batch_aligned
 
-    return aligned(stream(spark, sf_dir), ["drive_id"], gravity_rows=30, motion_rows=30)
+    return batch_aligned(stream(spark, sf_dir), ["drive_id"], 30, 30)
 
 
 @query("fsm_12_absolute_latch", "SELECT event_id, bool_or(kind = 'click') OVER (PARTITION BY drive_id ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) AS latched FROM s")

@@ -291,3 +291,43 @@ def gov_02(spark, sf_dir):
     except ValueError:
         return spark.createDataFrame([(True,)], "refused boolean")
     return spark.createDataFrame([(False,)], "refused boolean")
+
+
+def live_frames(rows):
+    """Rows of the stream view as live frames at 10 Hz: a fix every tenth frame, none in a stretch, one simulated denial."""
+    index = F.col("event_id") % 60
+    t = F.unix_micros("ts") / F.lit(1e6) if "ts" in rows.columns else F.col("t")
+    fix = F.when((index % 10 < 5) & ~index.between(30, 44), 1)
+    at = lambda c: F.when(fix.isNotNull(), c)
+    return rows.select(
+        "drive_id", "event_id", t.alias("t"), (F.col("ax") / 20).alias("ax"), (F.col("ay") / 20).alias("ay"), "az", (F.col("gx") / 5).alias("gx"), (F.col("gy") / 5).alias("gy"), (F.col("gz") / 5).alias("gz"),
+        F.when(index % 3 == 0, F.col("val") % 360).alias("yaw"), at(F.col("east") / 20).alias("east"), at(F.col("north") / 20).alias("north"), at(t).alias("fix_t"), at(F.when(index == 2, 60.0).otherwise(5.0)).alias("accuracy"),
+        at(F.col("speed") / 20).alias("fix_speed"), at(F.col("val") % 360).alias("fix_heading"), (index == 50).cast("double").alias("denied"), F.when(index % 7 == 0, F.col("speed") / 20).alias("model_speed"),
+    )
+
+
+_SHOWN = ("mode", "status", "still", "blackout", "aligned", "out_of_order")
+
+
+def _rounded(found):
+    return found.select("event_id", *_SHOWN, *[F.round(c, 3).alias(c) for c in ("pe", "pn", "v", "score")])
+
+
+@query("est_16_frame_step")
+def est_16(spark, sf_dir):
+    return _rounded(recordings.frames(live_frames(stream(spark, sf_dir)), ["drive_id"]))
+
+
+@query("est_16_frame_step_planar")
+def est_16_planar(spark, sf_dir):
+    return _rounded(recordings.frames(live_frames(stream(spark, sf_dir)), ["drive_id"], "planar"))
+
+
+@query("str_07_frame_step")
+def str_07_frames(spark, sf_dir):
+    from ..session import CHANNELS
+
+    raw = _streamed(spark, sf_dir, "events")
+    channels = [F.expr(e).alias(c) for c, e in CHANNELS.items()]
+    rows = raw.select(F.col("user_id").alias("drive_id"), "event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("val"), *channels)
+    return _rounded(_answer(spark, live.drive(live_frames(rows)), "str_07_frames", "append"))

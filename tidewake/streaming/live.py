@@ -7,6 +7,7 @@ state's clock are passed on as out of order and do not move it.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -62,6 +63,29 @@ def navigate_batch(rows: DataFrame) -> DataFrame:
     return rows.groupBy("drive_id").applyInPandas(lambda pdf: _rows(pdf, Planar.start(1), float("-inf"))[0], OUTPUT)
 
 
+def drive(stream: DataFrame, kind: str = "inertial") -> DataFrame:
+    """The live frame step of ``kernels.frames`` on a stream: drive_id, event_id and the columns of ``INPUTS``.
+
+    A device's whole state (filter, alignment, trust, outage) is kept between
+    micro-batches as one binary value. Frames of a micro-batch are taken in
+    order of time; one older than the device's clock is marked out of order.
+    """
+    from ..operators.kernels.frames import INPUTS, OUTPUTS
+
+    def work(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        from tidewake.operators.kernels.frames import Frames  # the worker's own, which pickle looks up by name
+
+        machine = pickle.loads(state.get[0]) if state.exists else Frames(1, kind)
+        pdf = pd.concat(list(batches)).sort_values(["t", "event_id"])
+        rows = [machine.step(dict(zip(INPUTS, x[:, None], strict=True)), np.ones(1, bool)) for x in pdf[list(INPUTS)].astype(float).to_numpy()]
+        state.update((pickle.dumps(machine),))
+        yield pd.DataFrame({"drive_id": key[0], "event_id": pdf["event_id"].to_numpy(), **{c: [r[c][0] for r in rows] for c in OUTPUTS}})
+
+    frames = stream.select("drive_id", "event_id", *[F.col(c).cast("double") for c in INPUTS])
+    schema = "drive_id long, event_id long, " + ", ".join(f"{c} {t}" for c, t in OUTPUTS.items())
+    return frames.groupBy("drive_id").applyInPandasWithState(work, schema, "state binary", "append", GroupStateTimeout.NoTimeout)
+
+
 def rates(frames: DataFrame, time: str = "ts", late: str = "1 second") -> DataFrame:
     """Frames per second of event time."""
     return frames.withWatermark(time, late).groupBy(F.window(time, "1 second"), "drive_id").agg(F.count("*").alias("n"))
