@@ -10,19 +10,69 @@ from ..session import by_time, stream, table
 from . import query
 
 
-@query("src_01_drive_table", "SELECT user_id AS drive_id, count(*) AS n FROM events GROUP BY user_id", stream=False)
+_PHONE = "Time (s),Accelerometer X (m/s²),Accelerometer Y (m/s²),Accelerometer Z (m/s²),Gyroscope Roll,Gyroscope Pitch,Gyroscope Yaw,GPS Latitude,GPS Longitude"
+_VEHICLE = "Time (s),Indicated Vehicle Speed (km/h),Yaw Rate"
+
+
+def _drives(spark, sf_dir):
+    """A folder of drive files as recorders leave them, one drive a nation (25 drives of 20 rows): phone and vehicle CSVs, the last drive
+    without its vehicle file, and every phone file again in one archive."""
+    import io
+    import zipfile
+
+    folder, sc = _folder(spark) + "/drives", spark.sparkContext
+    nations = sorted(r[0] for r in table(spark, sf_dir, "nation").select("n_nationkey").collect())  # a fixed list of 25
+
+    def put(name: str, data: bytes) -> None:
+        path = sc._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+        out = path.getFileSystem(sc._jsc.hadoopConfiguration()).create(path)
+        out.write(data)
+        out.close()
+
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as archive:
+        for n in nations:
+            phone = "\n".join([_PHONE, *(f"{k / 10},{n + k},{k},9.8,0.1,0.2,{n / 100},12.{n},77.{k}" for k in range(20))]).encode("latin1")
+            archive.writestr(f"phones/S-{n}.csv", phone)
+            put(f"S-{n}.csv", phone)
+            if n != nations[-1]:
+                put(f"V-{n}.csv", "\n".join([_VEHICLE, *(f"{k / 10},{n + 2 * k},{n / 50}" for k in range(20))]).encode("latin1"))
+    put("phones.zip", packed.getvalue())
+    return folder
+
+
+_ROWS = "(SELECT n_nationkey AS n, k FROM nation, range(20) r(k))"
+
+
+@query("src_01_drive_table", f"SELECT n::VARCHAR AS drive_id, count(*) AS n, sum(n + k)::DOUBLE AS acc_x, round(sum((n + 2 * k)::DOUBLE), 3) AS wheel_speed FROM {_ROWS} WHERE n < (SELECT max(n_nationkey) FROM nation) GROUP BY n", stream=False)
 def src_01(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("drive_id")).agg(F.count("*").alias("n"))
+    """Phone and vehicle files of one drive, read apart and joined on the drive and the clock."""
+    folder = _drives(spark, sf_dir)
+    phone, vehicle = files.read_drives(spark, f"{folder}/S-*.csv"), files.read_drives(spark, f"{folder}/V-*.csv")
+    both = phone.join(vehicle.select("drive_id", "timestamp", "wheel_speed"), ["drive_id", "timestamp"])
+    return both.groupBy("drive_id").agg(F.count("*").alias("n"), F.sum("acc_x").alias("acc_x"), F.round(F.sum("wheel_speed"), 3).alias("wheel_speed"))
 
 
-@query("src_02_header_sniff", "SELECT 'events' AS name, 6 AS columns", stream=False)
+@query("src_02_header_sniff", "SELECT 'S-0.csv' AS name, 9::BIGINT AS columns, 'phone' AS kind UNION ALL SELECT 'V-0.csv', 3, 'vehicle'", stream=False)
 def src_02(spark, sf_dir):
-    return spark.createDataFrame([("events", len(table(spark, sf_dir, "events").limit(0).columns))], "name string, columns int")
+    from ..sources import schema
 
+    folder = _drives(spark, sf_dir)
+    found = [(name, schema.detect(files.header(spark, f"{folder}/{name}"))) for name in ("S-0.csv", "V-0.csv")]
+    return spark.createDataFrame([(name, len(x.columns), x.kind) for name, x in found], "name string, columns long, kind string")
 
-@query("src_03_discovery", "SELECT DISTINCT source AS dir FROM documents WHERE source LIKE 'src1%'", stream=False)
+
+@query("src_03_discovery", "SELECT n_nationkey::VARCHAR AS drive_id, n_nationkey < (SELECT max(n_nationkey) FROM nation) AS complete FROM nation", stream=False)
 def src_03(spark, sf_dir):
-    return table(spark, sf_dir, "documents").where(F.col("source").startswith("src1")).select(F.col("source").alias("dir")).distinct()
+    listed = files.listing(spark, _drives(spark, sf_dir), "*.csv")
+    return files.paired(listed).select("drive_id", F.lit(True).alias("complete")).unionByName(files.incomplete(listed).select("drive_id", F.lit(False).alias("complete")))
+
+
+@query("src_05_zipped_drives", f"SELECT n::VARCHAR AS drive_id, count(*) AS n, sum(n + k)::DOUBLE AS acc_x FROM {_ROWS} GROUP BY n", stream=False)
+def src_05(spark, sf_dir):
+    found = files.read_zipped(spark, f"{_drives(spark, sf_dir)}/phones.zip", "*S-*.csv", ["Time (s)", "Accelerometer X (m/s²)"])
+    named = found.withColumn("drive_id", files.drive_id(F.element_at(F.split("member", "/"), -1)))
+    return named.groupBy("drive_id").agg(F.count("*").alias("n"), F.sum(F.col("`Accelerometer X (m/s²)`").cast("double")).alias("acc_x"))
 
 
 @query("src_04_channel_files", "SELECT 'S-acc-1.csv' AS name, 'acc' AS channel UNION ALL SELECT 'S-gyro-1.csv', 'gyro' UNION ALL SELECT 'S-gps-1.csv', 'gps' UNION ALL SELECT 'V-speed-1.csv', 'speed' UNION ALL SELECT 'notes.txt', NULL", stream=False)
