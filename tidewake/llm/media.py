@@ -102,25 +102,23 @@ def decode(data: bytes) -> np.ndarray:
 # -- features -------------------------------------------------------------
 
 
-BAND = 65_536
+BAND = 16_384
 
 
 def _integral_rows(image: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     """The rows ``wanted`` (rising) of the image's summed-area table, exact, as (rows, width + 1, channels).
 
     Row r holds the sums over image rows before r. The image is summed in bands
-    of ``BAND`` rows, so nothing of the image's size is made besides it.
+    of ``BAND`` rows, so no table of the image's size is held.
     """
     h, w, c = image.shape
-    out = np.zeros((len(wanted), w + 1, c), np.int64)
-    total, done, at = np.zeros((w, c), np.int64), 0, 0
-    for k, row in enumerate(wanted.tolist()):
-        while done < row:
-            at = min(row, done + BAND)
-            total += image[done:at].sum(axis=0, dtype=np.int64)
-            done = at
-        out[k, 1:] = np.cumsum(total, axis=0)
-    return out
+    out, before = np.zeros((len(wanted), w + 1, c), np.int64), np.zeros((w, c), np.int64)
+    for at in range(0, h, BAND):
+        sums = np.cumsum(image[at : at + BAND], axis=0, dtype=np.int64)
+        here = slice(*np.searchsorted(wanted, [at + 1, at + len(sums) + 1]))
+        out[here, 1:] = before + sums[wanted[here] - at - 1]
+        before = before + sums[-1]
+    return np.cumsum(out, axis=1)
 
 
 def area_means(image: np.ndarray, height: int, width: int) -> np.ndarray:
