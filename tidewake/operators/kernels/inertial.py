@@ -115,6 +115,14 @@ class Inertial:
     def _rows(self, m: int) -> np.ndarray:
         return np.zeros((len(self.p), m, 15))
 
+    def velocity_jacobian(self, axes: tuple[int, ...]) -> np.ndarray:
+        """Derivative of the given components of the body's velocity, which is R'v: R' by velocity, [R'v]x by attitude."""
+        at = list(axes)
+        h = self._rows(len(at))
+        h[:, :, 3:6] = self.body.transpose(0, 2, 1)[:, at]
+        h[:, :, 6:9] = rot.skew(self.body_velocity)[:, at]
+        return h
+
     def position(self, enu: np.ndarray, sigma: float = 3.0, trusted: bool = True, where: np.ndarray | None = None) -> np.ndarray:
         h = self._rows(3)
         h[:, :, :3] = np.eye(3)
@@ -129,8 +137,7 @@ class Inertial:
         """A model's forward speed (0..80); a run that is fast while the model says slow is anchored anew."""
         sigma = float(np.clip(sigma, 0.5, 10.0))
         r, vb = self.body, self.body_velocity
-        h = self._rows(1)
-        h[:, 0, 3:6], h[:, 0, 7], h[:, 0, 8] = r[:, :, 0], -vb[:, 2], vb[:, 1]
+        h = self.velocity_jacobian((0,))
         fit = np.isfinite(forward) & (forward >= 0) & (forward <= 80) & (True if where is None else where)
         took = self.update((forward - vb[:, 0])[:, None], h, np.eye(1) * sigma**2, 9.0, fit)
         anchor = fit & ~took & (np.abs(vb[:, 0]) > 15) & (forward < 5)
@@ -161,15 +168,12 @@ class Inertial:
 
     def sideways(self, lateral: float = 0.05, vertical: float = 0.05, policy: str = "decouple", cornering: float = 0.5, where: np.ndarray | None = None) -> np.ndarray:
         """No sideways and no vertical body velocity. In sharp turns the policy decouples the sideways row from attitude or drops it."""
-        r, vb = self.body, self.body_velocity
+        vb = self.body_velocity
         turning = np.abs((self.rate[:, 2] - self.bg[:, 2]) * vb[:, 0]) > cornering
-        h = self._rows(2)
-        h[:, 0, 3:6], h[:, 1, 3:6] = r[:, :, 1], r[:, :, 2]
-        h[:, 0, 6], h[:, 0, 8] = vb[:, 2], -vb[:, 0]
-        h[:, 1, 6], h[:, 1, 7] = -vb[:, 1], vb[:, 0]
+        h = self.velocity_jacobian((1, 2))
         if policy == "decouple":
             h[turning, 0, 6:9] = 0
-        cov = np.tile(np.diag([lateral**2, vertical**2]), (len(r), 1, 1))
+        cov = np.tile(np.diag([lateral**2, vertical**2]), (len(vb), 1, 1))
         if policy == "disable_lateral":
             cov[turning, 0, 0] = 1e12
         return self.update(-vb[:, 1:], h, cov, GATES[2], where)
@@ -180,13 +184,21 @@ class Inertial:
         h[:, :, 12:15] = np.eye(3)
         self.update(gyro - self.bg, h, np.eye(3) * rate_sigma**2, None, where)
 
-    def gravity(self, acc: np.ndarray, sigma: float = 0.05, where: np.ndarray | None = None) -> np.ndarray:
-        """Levelling: the measured direction of gravity against the attitude's."""
-        size = np.linalg.norm(acc, axis=1, keepdims=True)
-        up = self.body[:, 2, :]
-        h = self._rows(3)
-        h[:, :, 6:9] = rot.skew(up)
-        return self.update(acc / np.maximum(size, 1e-6) - up, h, np.eye(3) * sigma**2, None, where)
+    def gravity(self, acc: np.ndarray, sigma: float | np.ndarray = 0.5, forward: np.ndarray | float = 0.0, where: np.ndarray | None = None) -> np.ndarray:
+        """Levelling by the two horizontal body axes, gated at 99 %.
+
+        The specific force less the motion's own acceleration (``forward`` along
+        the body, yaw rate times speed across it) and less the bias must be
+        gravity's reaction. ``sigma`` is one deviation or one a run and axis.
+        """
+        across = (self.rate[:, 2] - self.bg[:, 2]) * self.body_velocity[:, 0]
+        up = -GRAVITY[2] * self.body[:, 2, :]
+        h = self._rows(2)
+        h[:, :, 6:9], h[:, [0, 1], [9, 10]] = rot.skew(up)[:, :2], 1
+        r = np.zeros((len(up), 2, 2))
+        r[:, [0, 1], [0, 1]] = np.broadcast_to(np.asarray(sigma, float) ** 2, (len(up), 2))
+        moving = np.stack([np.broadcast_to(np.asarray(forward, float), across.shape), across], 1)
+        return self.update(acc[:, :2] - moving - self.ba[:, :2] - up[:, :2], h, r, GATES[2], where)
 
     def deviations(self) -> dict[str, np.ndarray]:
         """Mean standard deviation of each block."""

@@ -32,9 +32,37 @@ class Config:
     zero_bias: bool = False
     true_speed: bool = False
     yaw_error_removed: float = 0.0
-    leveling: bool = False
+    leveling: str = ""  # a name of LEVELING, or none
 
 
+@dataclass(frozen=True)
+class Leveling:
+    """When the inertial filter is levelled, and how far motion widens the deviation along (0) and across (1)."""
+
+    sigma: float = 0.3
+    widen: tuple[float, float] = (0.0, 0.0)
+    most_sigma: float = 5.0
+    most_excess: float = np.inf  # of the specific force's norm over gravity's
+    most_forward: float = np.inf
+    most_rate: float = np.inf
+
+    def apply(self, f: Inertial, acc: np.ndarray, forward: np.ndarray) -> np.ndarray:
+        rate = f.rate[:, 2] - f.bg[:, 2]
+        across = rate * f.body_velocity[:, 0]
+        excess = np.abs(np.linalg.norm(acc, axis=1) - 9.80665)
+        calm = (excess <= self.most_excess) & (np.abs(forward) < self.most_forward) & (np.abs(rate) < self.most_rate)
+        wide = np.hypot(self.sigma, np.stack([self.widen[0] * forward, self.widen[1] * across], 1))
+        return f.gravity(acc, np.clip(wide, self.sigma, self.most_sigma), forward, calm)
+
+
+# The levelling policies compared.
+LEVELING = {
+    "fixed": Leveling(most_forward=2.0, most_rate=0.2),
+    "adaptive": Leveling(widen=(0.6, 0.8), most_excess=10.0),
+    "steady": Leveling(most_excess=1.2),
+    "full": Leveling(sigma=0.25, widen=(0.5, 0.6), most_excess=1.8),
+}
+
 BASELINES = (
     Config("inertial_only", "inertial", model_speed=False, sideways=False),
     Config("model", "inertial", sideways=False),
@@ -72,6 +100,7 @@ def run(batch: dict[str, np.ndarray], config: Config, dt: float = 0.1) -> np.nda
         f.p, f.v = ref[:, 0].copy(), np.stack([speed[:, 0] * np.cos(yaw), speed[:, 0] * np.sin(yaw), np.zeros(n)], 1)
         if config.zero_bias:
             f.ba[:] = 0
+    ahead = speed[:, 0]
     for t in range(steps):
         acc, gyro = (np.stack([fill[c][:, t] for c in names], 1) for names in (("ax", "ay", "az"), ("gx", "gy", "gz")))
         if config.filter == "planar":
@@ -79,7 +108,8 @@ def run(batch: dict[str, np.ndarray], config: Config, dt: float = 0.1) -> np.nda
         else:
             f.predict(acc, gyro, dt)
             if config.leveling:
-                f.gravity(acc, 0.1, np.abs(np.linalg.norm(acc, axis=1) - 9.80665) < 0.4)
+                before, ahead = ahead, f.body_velocity[:, 0]
+                LEVELING[config.leveling].apply(f, acc, (ahead - before) / dt)
         dark = inside[:, t]
         f.position(ref[:, t], where=~dark)
         if config.sideways:

@@ -81,7 +81,7 @@ def est_13(spark, sf_dir):
 def est_14(spark, sf_dir):
     from ..operators.simulate import Config
 
-    configs = (Config("decouple", "inertial"), Config("disable_lateral", "inertial", policy="disable_lateral"), Config("coupled", "inertial", policy="coupled"), Config("true_speed", "planar", true_speed=True), Config("zero_bias", "inertial", zero_bias=True), Config("leveling", "inertial", leveling=True))
+    configs = (Config("decouple", "inertial"), Config("disable_lateral", "inertial", policy="disable_lateral"), Config("coupled", "inertial", policy="coupled"), Config("true_speed", "planar", true_speed=True), Config("zero_bias", "inertial", zero_bias=True), Config("leveling", "inertial", leveling="full"))
     found = recordings.study(scenario_samples(spark, sf_dir), configs)
     return found.groupBy("config").agg(F.count("*").alias("runs"), F.round(F.percentile("drift", F.lit(0.5)), 3).alias("median_drift"))
 

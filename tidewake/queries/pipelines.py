@@ -147,8 +147,10 @@ def pipe_18(spark, sf_dir):
 
 @query("pipe_19_leveling_policies")
 def pipe_19(spark, sf_dir):
-    found = recordings.study(scenario_samples(spark, sf_dir), (Config("off", "inertial"), Config("gated", "inertial", leveling=True)))
-    return found.groupBy("config").agg(F.round(F.percentile("drift", F.lit(0.5)), 3).alias("median"))
+    from ..operators.simulate import LEVELING
+
+    found = recordings.study(scenario_samples(spark, sf_dir), (Config("off", "inertial"), *[Config(name, "inertial", leveling=name) for name in LEVELING]))
+    return found.groupBy("config").agg(F.count("*").alias("runs"), F.round(F.percentile("drift", F.lit(0.5)), 3).alias("median"), F.round(F.percentile("rmse", F.lit(0.5)), 3).alias("rmse"))
 
 
 @query("pipe_20_stream_scenario")
