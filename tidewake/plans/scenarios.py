@@ -30,10 +30,38 @@ def classified(scenarios: DataFrame, most_yaw: float = 0.02, most_sd: float = 2.
     return scenarios.withColumn("class", F.when(F.col("yaw") > most_yaw, "curve").when(F.col("sd") > most_sd, "variation").otherwise("straight"))
 
 
-def picked(scenarios: DataFrame, rules: dict[str, Column]) -> DataFrame:
-    """Per drive the first scenario of each regime: each scenario takes the first of its regimes that is still free."""
-    fits = F.array_compact(F.array(*[F.when(rule, F.lit(name)) for name, rule in rules.items()]))
-    rows = scenarios.withColumn("fits", fits)
+#: Motion regimes in the order in which a window asks for them (m/s and degrees a second).
+REGIMES = {
+    "turning": "yaw > 5",
+    "accel_decel": "delta > 6",
+    "high_speed": "mean > 15 AND yaw < 2.5",
+    "low_speed": "mean < 4",
+    "straight": "yaw < 2 AND mean >= 4",
+}
+
+
+def candidates(df: DataFrame, lengths: tuple[int, ...], first: int, every: int, after: int, dt: float = 0.1) -> DataFrame:
+    """Windows of each length from row ``first`` on, ``every`` rows apart, with more than ``after`` rows behind them.
+
+    All lengths share one sort. Returns (drive_id, length, first, mean, delta,
+    yaw, dist): speed's mean and range, mean yaw rate in degrees, metres driven.
+    """
+    o = order()
+    behind = F.count("*").over(Window.partitionBy("drive_id")) - F.row_number().over(o) + 1
+    found = []
+    for n in lengths:
+        ahead = o.rowsBetween(0, n - 1)
+        of = lambda a, c: a(c).over(ahead)  # noqa: B023, E731
+        found.append(F.struct(F.lit(n).alias("length"), of(F.avg, "speed").alias("mean"), (of(F.max, "speed") - of(F.min, "speed")).alias("delta"), F.degrees(of(F.avg, F.abs("gz"))).alias("yaw"), (of(F.sum, "speed") * dt).alias("dist")))
+    rows = df.select("drive_id", (F.row_number().over(o) - 1).cast("long").alias("first"), behind.alias("behind"), F.array(*found).alias("found"))
+    rows = rows.where((F.col("first") >= first) & ((F.col("first") - first) % every == 0)).select("drive_id", "first", "behind", F.explode("found").alias("w"))
+    return rows.where(F.col("behind") > F.col("w.length") + after).select("drive_id", "w.length", "first", "w.mean", "w.delta", "w.yaw", "w.dist")
+
+
+def picked(windows: DataFrame, rules: dict[str, str] = REGIMES) -> DataFrame:
+    """Per drive and length the first window of each regime: each window takes the first of its regimes that is still free."""
+    fits = F.array_compact(F.array(*[F.when(F.expr(rule), F.lit(name)) for name, rule in rules.items()]))
+    rows = windows.withColumn("fits", fits)
     start = F.struct(F.array().cast("array<string>").alias("seen"), F.lit(None).cast("string").alias("regime"))
 
     def step(s: Column, x: Column) -> Column:
@@ -41,9 +69,10 @@ def picked(scenarios: DataFrame, rules: dict[str, Column]) -> DataFrame:
         return bound(regime, lambda r: F.struct(F.when(r.isNull(), s["seen"]).otherwise(F.array_append(s["seen"], r)).alias("seen"), r.alias("regime")))  # at most one a rule
 
     def emitted(s: Column, x: Column, now: Column) -> Column:
-        return F.filter(F.array(F.struct(x["first"].cast("long").alias("first"), now["regime"].alias("regime"))), lambda r: r["regime"].isNotNull())
+        row = F.struct(x["first"].alias("first"), now["regime"].alias("regime"), x["mean"].alias("mean"), x["dist"].alias("dist"))
+        return F.filter(F.array(row), lambda r: r["regime"].isNotNull())
 
-    return scan(rows, ["drive_id"], ["first"], ["fits"], start, step, emitted)
+    return scan(rows, ["drive_id", "length"], ["first"], ["fits", "mean", "dist"], start, step, emitted)
 
 
 def grid(scenarios: DataFrame, configs: DataFrame) -> DataFrame:

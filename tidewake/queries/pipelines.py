@@ -110,11 +110,16 @@ def pipe_11(spark, sf_dir):
     return rows_out
 
 
-@query("pipe_12_interval_labels", "SELECT CASE WHEN idx < 20 THEN 'before' WHEN idx < 50 THEN 'outage' ELSE 'after' END AS interval, round(avg(val), 4) AS mean, round(max(val), 4) AS peak FROM s GROUP BY 1")
+@query("pipe_12_interval_labels", """, w AS (SELECT drive_id, idx AS last, count(*) OVER o AS n, avg(val) OVER o AS v FROM s WINDOW o AS (PARTITION BY drive_id ORDER BY idx ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)),
+    k AS (SELECT *, CASE WHEN last < 20 THEN 'before' WHEN last < 50 THEN 'outage' ELSE 'after' END AS interval FROM w WHERE n = 10 AND (last - 9) % 5 = 0)
+    SELECT drive_id, interval, count(*) AS windows, round(avg(v), 6) AS mean, round(max(v), 6) AS peak, round(max_by(v, last), 6) AS last FROM k GROUP BY drive_id, interval""")
 def pipe_12(spark, sf_dir):
-    rows = stream(spark, sf_dir).withColumn("idx", F.row_number().over(by_time()) - 1)
-    label = F.when(F.col("idx") < 20, "before").when(F.col("idx") < 50, "outage").otherwise("after")
-    return rows.groupBy(label.alias("interval")).agg(F.round(F.avg("val"), 4).alias("mean"), F.round(F.max("val"), 4).alias("peak"))
+    """Windows of ten rows, five apart, labelled by the row they end on: mean, peak and last value of each interval."""
+    o = by_time()
+    rows = stream(spark, sf_dir).select("drive_id", (F.row_number().over(o) - 1).alias("end"), F.count("*").over(o.rowsBetween(-9, 0)).alias("n"), F.avg("val").over(o.rowsBetween(-9, 0)).alias("v"))
+    label = F.when(F.col("end") < 20, "before").when(F.col("end") < 50, "outage").otherwise("after")
+    windows = rows.where((F.col("n") == 10) & ((F.col("end") - 9) % 5 == 0))
+    return windows.groupBy("drive_id", label.alias("interval")).agg(F.count("*").alias("windows"), F.round(F.avg("v"), 6).alias("mean"), F.round(F.max("v"), 6).alias("peak"), F.round(F.max_by("v", "end"), 6).alias("last"))
 
 
 @query("pipe_13_outage_suite")
@@ -231,6 +236,46 @@ def str_09(spark, sf_dir):
     return out.select("drive_id", F.unix_seconds("window.start").alias("sec"), "n")
 
 
+@query("str_10_backpressure", "SELECT 3 AS batches, count(*) AS n, count(DISTINCT event_id) AS distinct_n FROM events", stream=False)
+def str_10(spark, sf_dir):
+    """Five files, two a batch: three batches, every row in one of them."""
+    from .sources import _folder
+
+    folder, events = _folder(spark), table(spark, sf_dir, "events")
+    events.repartition(5, "event_id").write.parquet(f"{folder}/in")
+    live.write_batches(live.paced(spark, events.schema, f"{folder}/in", 2), f"{folder}/out", f"{folder}/state").awaitTermination()
+    return spark.read.parquet(f"{folder}/out").agg(F.count_distinct("batch").cast("int").alias("batches"), F.count("*").alias("n"), F.count_distinct("event_id").alias("distinct_n"))
+
+
+@query("str_11_replay", ", r AS (SELECT *, idx - floor(0.25 * count(*) OVER (PARTITION BY drive_id)) AS k FROM s) SELECT event_id, round(k * 0.025, 4) AS due FROM r WHERE k >= 0")
+def str_11(spark, sf_dir):
+    """The last three quarters of each recording at four times its speed."""
+    return live.replay(stream(spark, sf_dir), ["drive_id"], 0.25, 4.0).select("event_id", F.round("due", 4).alias("due"))
+
+
+@query("str_12_commands", """, r AS (SELECT *, sum(CASE WHEN kind = 'click' THEN 1 ELSE 0 END) OVER (PARTITION BY drive_id ORDER BY idx) AS run FROM s),
+    d AS (SELECT *, sum(CASE WHEN kind = 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY drive_id, run ORDER BY idx) % 2 = 1 AS denied FROM r) SELECT event_id, run::BIGINT AS run, denied FROM d WHERE kind NOT IN ('click', 'error')""")
+def str_12(spark, sf_dir):
+    """Frames and commands in one stream by device: clicks reset a device, errors hide and show its fixes."""
+    raw = _streamed(spark, sf_dir, "events")
+    t = F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1e6)
+    rows = raw.select(F.col("user_id").alias("drive_id"), "event_id", t.alias("t"), F.col("event_type").alias("kind"))
+    frames = rows.where("kind NOT IN ('click', 'error')").select("drive_id", "event_id", "t", F.lit(None).cast("string").alias("cmd"))
+    commands = rows.where("kind IN ('click', 'error')").select("drive_id", "event_id", "t", F.when(F.col("kind") == "click", "reset").otherwise("toggle_blackout").alias("cmd"))
+    return _answer(spark, live.controlled(frames.unionByName(commands)), "str_12", "append").select("event_id", "run", "denied")
+
+
+@query("str_13_delivery", "SELECT user_id AS drive_id, count(*) AS n FROM events GROUP BY 1", stream=False)
+def str_13(spark, sf_dir):
+    """A stream written twice from one checkpoint: the second run adds nothing."""
+    from .sources import _folder
+
+    folder = _folder(spark)
+    for _ in range(2):
+        live.write_stream(_events_stream(spark, sf_dir), f"{folder}/out", f"{folder}/state", None).awaitTermination()
+    return spark.read.parquet(f"{folder}/out").groupBy("drive_id").agg(F.count("*").alias("n"))
+
+
 @query("pipe_23_state_export")
 def pipe_23(spark, sf_dir):
     """Mean deviations of the inertial filter's blocks after each recording's rows."""

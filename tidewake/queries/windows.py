@@ -149,15 +149,25 @@ def win_16(spark, sf_dir):
     return classified(outages(stream(spark, sf_dir), 10, 5, 5, 30.0), 0.05, 6.0).select("drive_id", "first", "class")
 
 
-@query("win_17_window_picker", _PATH + """, f AS (SELECT drive_id, first, list_filter([CASE WHEN yaw > 0.05 THEN 'turning' END, CASE WHEN sd > 6 THEN 'accel_decel' END, CASE WHEN dist > 900 THEN 'high_speed' END, CASE WHEN dist < 600 THEN 'low_speed' END, 'straight'], lambda x: x IS NOT NULL) AS fits FROM o),
-l AS (SELECT drive_id, list_reduce(list_prepend([]::STRUCT(first BIGINT, regime VARCHAR)[], list([{'first': first, 'regime': array_to_string(fits, ',')}] ORDER BY first)), lambda acc, x: CASE WHEN len(list_filter(str_split(x[1].regime, ','), lambda r: NOT list_contains(list_transform(acc, lambda a: a.regime), r))) > 0
-    THEN list_append(acc, {'first': x[1].first, 'regime': list_filter(str_split(x[1].regime, ','), lambda r: NOT list_contains(list_transform(acc, lambda a: a.regime), r))[1]}) ELSE acc END) AS picks FROM f GROUP BY drive_id)
-SELECT drive_id, p.first AS first, p.regime AS regime FROM (SELECT drive_id, unnest(picks) AS p FROM l)""")
+# every length is scanned from row 4 in steps of 3; two rows stay behind a window
+_SCANNED = " UNION ALL ".join(
+    f"SELECT drive_id, {n} AS length, idx AS first, avg(val / 4) OVER w AS mean, max(val / 4) OVER w - min(val / 4) OVER w AS delta, degrees(avg(abs(gz)) OVER w) AS yaw, 0.1 * sum(val / 4) OVER w AS dist, count(*) OVER (PARTITION BY drive_id) AS total "
+    f"FROM s WINDOW w AS (PARTITION BY drive_id ORDER BY idx ROWS BETWEEN CURRENT ROW AND {n - 1} FOLLOWING)"
+    for n in (5, 10, 20)
+)
+
+
+@query("win_17_window_picker", f""", o AS (SELECT * FROM ({_SCANNED}) WHERE first >= 4 AND (first - 4) % 3 = 0 AND first < total - length - 2),
+f AS (SELECT *, list_filter([CASE WHEN yaw > 5 THEN 'turning' END, CASE WHEN delta > 6 THEN 'accel_decel' END, CASE WHEN mean > 15 AND yaw < 2.5 THEN 'high_speed' END, CASE WHEN mean < 4 THEN 'low_speed' END, CASE WHEN yaw < 2 AND mean >= 4 THEN 'straight' END], lambda x: x IS NOT NULL) AS fits FROM o),
+l AS (SELECT drive_id, length, list_reduce(list_prepend([]::STRUCT(first BIGINT, regime VARCHAR)[], list([{{'first': first, 'regime': array_to_string(fits, ',')}}] ORDER BY first)), lambda acc, x: CASE WHEN x[1].regime <> '' AND len(list_filter(str_split(x[1].regime, ','), lambda r: NOT list_contains(list_transform(acc, lambda a: a.regime), r))) > 0
+    THEN list_append(acc, {{'first': x[1].first, 'regime': list_filter(str_split(x[1].regime, ','), lambda r: NOT list_contains(list_transform(acc, lambda a: a.regime), r))[1]}}) ELSE acc END) AS picks FROM f GROUP BY drive_id, length)
+SELECT p.drive_id, p.length, p.pick.first AS first, p.pick.regime AS regime, round(o.mean, 6) AS mean, round(o.dist, 6) AS dist FROM (SELECT drive_id, length, unnest(picks) AS pick FROM l) p JOIN o ON o.drive_id = p.drive_id AND o.length = p.length AND o.first = p.pick.first""")
 def win_17(spark, sf_dir):
-    from ..plans.scenarios import outages, picked
+    """Outage windows of three lengths for each motion regime of each drive."""
+    from ..plans.scenarios import candidates, picked
 
-    rules = {"turning": F.col("yaw") > 0.05, "accel_decel": F.col("sd") > 6, "high_speed": F.col("dist") > 900, "low_speed": F.col("dist") < 600, "straight": F.lit(True)}
-    return picked(outages(stream(spark, sf_dir), 10, 5, 5, 0.0), rules)
+    rows = stream(spark, sf_dir).withColumn("speed", F.col("val") / 4)
+    return picked(candidates(rows, (5, 10, 20), 4, 3, 2)).select("drive_id", "length", "first", "regime", F.round("mean", 6).alias("mean"), F.round("dist", 6).alias("dist"))
 
 
 @query("win_18_checkpoints", ", m AS (SELECT drive_id, max(idx) AS last FROM s GROUP BY drive_id) SELECT drive_id, " + ", ".join(f"round(max(val) FILTER (idx = least({k}, last)), 6) AS at_{k}" for k in (10, 30, 60)) + " FROM s JOIN m USING (drive_id) GROUP BY drive_id")

@@ -12,9 +12,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
 
 from ..operators.kernels.planar import Planar
 
@@ -106,6 +107,52 @@ def run_available(stream: DataFrame, table: str, checkpoint: str, mode: str = "a
     query.awaitTermination()
 
 
-def write_stream(stream: DataFrame, path: str, checkpoint: str, interval: str = "1 second"):
-    """Continuous Parquet sink: checkpointed, exactly once."""
-    return stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(processingTime=interval).start()
+def write_stream(stream: DataFrame, path: str, checkpoint: str, interval: str | None = "1 second"):
+    """Parquet sink: checkpointed, exactly once. Without an interval it takes what is there and ends."""
+    when = {"processingTime": interval} if interval else {"availableNow": True}
+    return stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(**when).start()
+
+
+def paced(spark: SparkSession, schema: StructType, folder: str, files: int) -> DataFrame:
+    """A file stream that takes at most ``files`` new files a batch, so that a slow sink holds the source back."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(folder)
+
+
+def write_batches(stream: DataFrame, path: str, checkpoint: str):
+    """Each micro-batch in a partition named by its number; a batch that is run again replaces its own."""
+    keep = lambda batch, number: batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+    return stream.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def replay(df: DataFrame, keys: list[str], progress: float = 0.0, speed: float = 1.0, hz: float = 10.0) -> DataFrame:
+    """A recording's rows from a part of its length on, with the seconds after which each is ``due``.
+
+    The speed is kept within 0.1 and 10, and rows are 10 ms apart at least.
+    """
+    o = Window.partitionBy(*keys).orderBy("t", "event_id")
+    n = F.count("*").over(Window.partitionBy(*keys))
+    rows = df.withColumn("_at", F.row_number().over(o) - 1).withColumn("_from", F.floor(n * min(max(progress, 0.0), 1.0)))
+    delay = max(0.01, 1 / hz / min(max(speed, 0.1), 10.0))
+    return rows.where("_at >= _from").withColumn("due", (F.col("_at") - F.col("_from")) * delay).drop("_at", "_from")
+
+
+def controlled(messages: DataFrame) -> DataFrame:
+    """Frames with what the commands before them left: (drive_id, event_id, t, cmd) of frames, whose ``cmd`` is null, and commands.
+
+    ``toggle_blackout`` hides fixes until the next one, ``reset`` starts the
+    device anew (its run's number grows, fixes are shown). Others do nothing.
+    A device's messages of a micro-batch are taken in order of time.
+    """
+
+    def work(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        number, hidden = state.get if state.exists else (0, False)
+        pdf = pd.concat(list(batches)).sort_values(["t", "event_id"])
+        resets = (pdf["cmd"] == "reset").cumsum()
+        toggles = (pdf["cmd"] == "toggle_blackout").groupby(resets).cumsum()
+        denied = (toggles + np.where(resets == 0, int(hidden), 0)) % 2 == 1
+        runs = number + resets
+        state.update((int(runs.iloc[-1]), bool(denied.iloc[-1])))
+        frames = pdf["cmd"].isna()
+        yield pd.DataFrame({"drive_id": key[0], "event_id": pdf["event_id"], "run": runs, "denied": denied})[frames]
+
+    return messages.groupBy("drive_id").applyInPandasWithState(work, "drive_id long, event_id long, run long, denied boolean", "run long, denied boolean", "append", GroupStateTimeout.NoTimeout)
