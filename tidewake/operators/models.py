@@ -50,6 +50,15 @@ def normal_equations(df: DataFrame, design: Callable[[pd.DataFrame], tuple[np.nd
     return out[:, :n], out[:, n:]
 
 
+def stacked(windows: pd.Series) -> np.ndarray:
+    return np.asarray([np.stack(w) for w in windows], float)
+
+
+def targets(column: pd.Series) -> np.ndarray:
+    """One number or one array of numbers a row, as a matrix."""
+    return np.asarray(column.tolist(), float).reshape(len(column), -1)
+
+
 @dataclass
 class Linear:
     """Ridge regression on a window's channel means, deviations and last values."""
@@ -72,7 +81,7 @@ class Linear:
         """Fit on all rows of a distributed table; without rows the weights are 0."""
 
         def design(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-            return Linear.features(np.asarray([np.stack(w) for w in pdf[window]], float)), pdf[[target]].to_numpy(float)
+            return Linear.features(stacked(pdf[window])), targets(pdf[target])
 
         found = normal_equations(df.select(window, target), design)
         return Linear(np.zeros((19, 1)) if found is None else ridge(*found, l2), **bounds)
@@ -82,6 +91,29 @@ class Linear:
         return out if self.low is None and self.high is None else np.clip(out, self.low, self.high)
 
 
+@dataclass
+class Displacement:
+    """Means of a displacement and the logarithms of their variances, clamped to +-6."""
+
+    mean: Linear
+    log_variance: Linear
+
+    @staticmethod
+    def fit_all(df: DataFrame, window: str, target: str) -> Displacement:
+        """Fit the means on all rows, then the logarithm of the squares that they leave."""
+        mean = Linear.fit_all(df, window, target, low=None)
+
+        def design(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+            x = Linear.features(stacked(pdf[window]))
+            return x, np.log((targets(pdf[target]) - x @ mean.weights) ** 2 + 1e-9) + 1.27  # E log of a squared normal is -1.27
+
+        found = normal_equations(df.select(window, target), design)
+        return Displacement(mean, Linear(np.zeros_like(mean.weights) if found is None else ridge(*found, 1e-3), -6.0, 6.0))
+
+    def predict(self, windows: np.ndarray) -> np.ndarray:
+        return np.concatenate([self.mean.predict(windows), self.log_variance.predict(windows)], 1)
+
+
 @dataclass
 class Onnx:
     """A model file's bytes; the session is made once per task."""
@@ -137,6 +169,18 @@ def require_known(name: str, content: bytes, registry: dict[str, str]) -> None:
         raise ValueError(f"{name}: {digest} is not registered")
 
 
+def trainable(authenticity: Column) -> Column:
+    """Whether a dataset may train a released model; an unknown authenticity is an error."""
+    unknown = F.raise_error(F.concat(F.lit("unknown authenticity "), F.coalesce(authenticity, F.lit("null"))))
+    return F.when(authenticity.isin("authentic", "field"), True).when(authenticity == "synthetic", False).otherwise(unknown.cast("boolean"))
+
+
+def verified(files: DataFrame, registry: DataFrame) -> DataFrame:
+    """Model files (name, content) against a registry (name, sha256): ``known`` if registered with this content."""
+    digests = files.select("name", F.sha2("content", 256).alias("_found"))
+    return digests.join(registry, "name", "left").select("name", F.coalesce(F.col("_found") == F.col("sha256"), F.lit(False)).alias("known"))
+
+
 def require_training_data(authenticity: str, allow_synthetic: bool = False) -> None:
     if authenticity not in ("synthetic", "authentic", "field"):
         raise ValueError(f"unknown authenticity {authenticity!r}")

@@ -62,3 +62,9 @@ def leakage(df: DataFrame) -> DataFrame:
         F.bool_and(F.col("is_outage") | (F.col("nav_east") == F.col("ref_east"))).alias("shown_outside"),
         F.bool_and(F.col("ref_east").isNotNull()).alias("reference_whole"),
     )
+
+
+def signals(headers: DataFrame, name: str, header: Column) -> DataFrame:
+    """Per file whether its header names a yaw, heading, speed or steering channel."""
+    words = {"yaw": "yaw", "heading": "heading", "speed": "speed|velocity", "steering": "steering"}
+    return headers.select(name, *[F.lower(header).rlike(pattern).alias(signal) for signal, pattern in words.items()])

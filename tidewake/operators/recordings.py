@@ -170,6 +170,30 @@ def with_learned_gain(triples: DataFrame, weights: np.ndarray) -> DataFrame:
     return triples.mapInPandas(work, "innovation array<double>, state array<double>, gain array<double>, learned array<double>, blended array<double>")
 
 
+def latency(spark, steps: int = 200) -> DataFrame:
+    """(part, ms): the mean time of one call of each part of the step on one inertial filter, timed in one task after a warm-up."""
+
+    def work(batches):
+        import time
+
+        from .models import Linear
+
+        f, model = Inertial.start(1), Linear(np.zeros((19, 1)))
+        acc, gyro, window = np.array([[0.5, 0.0, 9.8]]), np.array([[0.0, 0.0, 0.02]]), np.zeros((1, 6, 50))
+        parts = {"predict": lambda: f.predict(acc, gyro), "sideways": f.sideways, "fix": lambda: f.position(np.zeros((1, 3))), "inference": lambda: model.predict(window)}
+        for pdf in batches:
+            for _ in range(len(pdf)):
+                for name, call in parts.items():
+                    for _ in range(20):
+                        call()
+                    begun = time.perf_counter()
+                    for _ in range(steps):
+                        call()
+                    yield pd.DataFrame({"part": [name], "ms": [(time.perf_counter() - begun) / steps * 1000]})
+
+    return spark.range(0, 1, 1, 1).mapInPandas(work, "part string, ms double")
+
+
 def study(samples: DataFrame, configs: tuple[Config, ...]) -> DataFrame:
     """Errors inside the outage per run and configuration: distance, final error, drift, pass."""
     found = simulate(samples, configs).where("inside")

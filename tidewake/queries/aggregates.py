@@ -206,9 +206,14 @@ def agg_26(spark, sf_dir):
     return per.groupBy("split").agg(F.sum("n").alias("windows"), F.count("*").alias("drives"))
 
 
-@query("agg_27_signals", "SELECT bool_or(value IS NOT NULL) AS has_value, bool_or(value < 0) AS has_negative FROM events", stream=False)
+@query("agg_27_signals", "SELECT 'V-' || n_nationkey || '.csv' AS name, true AS yaw, false AS heading, true AS speed, false AS steering FROM nation WHERE n_nationkey < (SELECT max(n_nationkey) FROM nation)", stream=False)
 def agg_27(spark, sf_dir):
-    return table(spark, sf_dir, "events").agg(F.bool_or(F.col("value").isNotNull()).alias("has_value"), F.bool_or(F.col("value") < 0).alias("has_negative"))
+    """Which reference signals each vehicle file's header offers."""
+    from ..operators.quality import signals
+    from .sources import _drives
+
+    lines = spark.read.text(f"{_drives(spark, sf_dir)}/V-*.csv").select(F.col("_metadata.file_name").alias("name"), "value")
+    return signals(lines.where(F.col("value").startswith("Time")), "name", F.col("value"))
 
 
 @query("agg_28_fix_intervals", ", d AS (SELECT drive_id, t - lag(t) OVER (PARTITION BY drive_id ORDER BY t, event_id) AS dt FROM s WHERE kind = 'view') SELECT drive_id, round(min(dt), 3) AS least, round(max(dt), 3) AS most, round(avg(dt), 3) AS mean FROM d GROUP BY drive_id HAVING count(dt) > 0")
@@ -240,9 +245,31 @@ def srt_04(spark, sf_dir):
     return table(spark, sf_dir, "orders").orderBy(F.desc("o_orderdate"), "o_orderkey").select("o_orderkey")
 
 
-@query("srt_05_no_cap", "SELECT count(*) AS scenarios FROM events", stream=False)
+@query("srt_02_eigenvalues", """, m AS (SELECT drive_id, avg(ax * ax) AS a, avg(ay * ay) AS b, avg(az * az) AS c, avg(ax * ay) AS d, avg(ax * az) AS e, avg(ay * az) AS f FROM s GROUP BY drive_id),
+    q AS (SELECT *, (a + b + c) / 3 AS q FROM m), p AS (SELECT *, sqrt((pow(a - q, 2) + pow(b - q, 2) + pow(c - q, 2) + 2 * (d * d + e * e + f * f)) / 6) AS p FROM q),
+    r AS (SELECT *, acos(greatest(-1, least(1, ((a - q) * ((b - q) * (c - q) - f * f) - d * (d * (c - q) - f * e) + e * (d * f - (b - q) * e)) / (2 * p * p * p)))) / 3 AS phi FROM p)
+    SELECT drive_id, round(q + 2 * p * cos(phi), 4) AS first, round(3 * q - (q + 2 * p * cos(phi)) - (q + 2 * p * cos(phi + 2 * pi() / 3)), 4) AS second, round(q + 2 * p * cos(phi + 2 * pi() / 3), 4) AS third FROM r""")
+def srt_02(spark, sf_dir):
+    """Principal moments of the specific force, largest first; the SQL takes the cubic's roots."""
+    from ..operators.metrics import principal_axes
+
+    e = F.col("eigenvalues")
+    return principal_axes(stream(spark, sf_dir), ("ax", "ay", "az"), ["drive_id"]).select("drive_id", *[F.round(e[k], 4).alias(n) for k, n in enumerate(("first", "second", "third"))])
+
+
+@query("set_04_except", "SELECT drive_id FROM s EXCEPT SELECT drive_id FROM s WHERE kind = 'error' AND val > 100")
+def set_04(spark, sf_dir):
+    """Drives without a large error."""
+    rows = stream(spark, sf_dir)
+    return rows.select("drive_id").subtract(rows.where("kind = 'error' AND val > 100").select("drive_id"))
+
+
+@query("srt_05_no_cap", ", n AS (SELECT *, count(*) OVER (PARTITION BY drive_id) AS total FROM s) SELECT drive_id, idx AS first FROM n WHERE idx >= 5 AND idx % 5 = 0 AND idx + 10 <= total")
 def srt_05(spark, sf_dir):
-    return table(spark, sf_dir, "events").agg(F.count("*").alias("scenarios"))
+    """All scenarios, however many were asked for: a target below their number does not cut the list."""
+    from ..plans.scenarios import outages
+
+    return outages(stream(spark, sf_dir), 10, 5, 5, 0.0).select("drive_id", F.col("first").cast("long").alias("first"))
 
 
 @query("srt_06_every_kth", "SELECT event_id FROM s WHERE idx % 3 = 0")

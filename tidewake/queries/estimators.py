@@ -126,8 +126,11 @@ def fn_08(spark, sf_dir):
     return stream(spark, sf_dir).select("event_id", turned("gx", "gy", "gz").alias("rpy"))
 
 
+IMU = ("ax", "ay", "az", "gx", "gy", "gz")
+
+
 def window_rows(spark, sf_dir):
-    return segments.sliding_windows(stream(spark, sf_dir), 10, 5, 43200.0, arrays=("ax", "ay", "az", "gx", "gy", "gz"))
+    return segments.sliding_windows(stream(spark, sf_dir), 10, 5, 43200.0, arrays=IMU)
 
 
 def speed_model(rows) -> models.Linear:
@@ -142,15 +145,25 @@ def ml_01(spark, sf_dir):
 
 @query("ml_02_denoise_model")
 def ml_02(spark, sf_dir):
-    model = models.Linear(np.full((19, 6), 0.001), -0.5, 0.5)
-    return models.infer(window_rows(spark, sf_dir), "window", model).select("drive_id", "segment", "start", F.size("prediction").alias("channels"), F.round(F.array_max("prediction"), 5).alias("most"))
+    """What to add to a window's last sample to reach the mean of the five around it, learned from all windows, within 0.5."""
+    around = by_time().rowsBetween(-2, 2)
+    rows = stream(spark, sf_dir).withColumn("residual", F.array(*[F.avg(c).over(around) - F.col(c) for c in IMU]))
+    windows = segments.sliding_windows(rows, 10, 5, 43200.0, arrays=IMU, statistics={"residual": F.last("residual")})
+    model = models.Linear.fit_all(windows, "window", "residual", low=-0.5, high=0.5)
+    return models.infer(windows, "window", model).select("drive_id", "segment", "start", F.transform("prediction", lambda v: F.round(v, 4)).alias("residual"))
 
 
 @query("ml_03_displacement_model")
 def ml_03(spark, sf_dir):
-    model = models.Linear(np.full((19, 4), 0.01), None, None)
-    p = F.col("prediction")
-    return models.infer(window_rows(spark, sf_dir), "window", model).select("drive_id", "segment", "start", F.round(p[0], 5).alias("dx"), F.round(F.greatest(F.lit(-6.0), F.least(F.lit(6.0), p[2])), 5).alias("log_var"))
+    """A window's displacement and the logarithms of its variances, learned from all windows; with the loss of each."""
+    ends = {f"{c}{k}": at(c) for c in ("east", "north") for k, at in ((0, F.first), (1, F.last))}
+    windows = segments.sliding_windows(stream(spark, sf_dir), 10, 5, 43200.0, arrays=IMU, statistics=ends)
+    moved = F.array((F.col("east1") - F.col("east0")) / 100, (F.col("north1") - F.col("north0")) / 100)
+    windows = windows.withColumn("moved", moved).select("drive_id", "segment", "start", "window", "moved")
+    p, m = F.col("prediction"), F.col("moved")
+    found = models.infer(windows, "window", models.Displacement.fit_all(windows, "window", "moved"))
+    loss = models.gaussian_nll(m[0] - p[0], p[2]) + models.gaussian_nll(m[1] - p[1], p[3])
+    return found.select("drive_id", "segment", "start", *[F.round(p[k], 4).alias(n) for k, n in enumerate(("dx", "dy", "log_var_x", "log_var_y"))], F.round(loss, 4).alias("loss"))
 
 
 @query("ml_04_gaussian_nll", "SELECT event_id, round(0.5 * (greatest(-6, least(6, gz * 100)) + ay * ay * exp(-greatest(-6, least(6, gz * 100)))), 5) AS nll FROM s")
@@ -175,10 +188,11 @@ def ml_10(spark, sf_dir):
     return models.infer(rows, "window", models.Linear(np.full((4, 1), 0.5), None, None)).select("vec_id", F.round(F.col("prediction")[0], 5).alias("y"))
 
 
-@query("gov_04_model_registry", "SELECT 'linear' AS name, true AS known", stream=False)
+@query("gov_04_model_registry", "SELECT n_name AS name, n_nationkey % 5 NOT IN (1, 2) AS known FROM nation", stream=False)
 def gov_04(spark, sf_dir):
-    import hashlib
-
-    content = b"weights"
-    models.require_known("linear", content, {"linear": hashlib.sha256(content).hexdigest()})
-    return spark.createDataFrame([("linear", True)], "name string, known boolean")
+    """Model contents against their registered digests; every fifth is altered and another one not registered."""
+    nations = table(spark, sf_dir, "nation")
+    content = F.encode(F.concat_ws("|", "n_name", "n_regionkey"), "utf-8")
+    held = nations.select(F.col("n_name").alias("name"), F.when(F.col("n_nationkey") % 5 == 1, F.concat(content, F.lit(b"!"))).otherwise(content).alias("content"))
+    registry = nations.where("n_nationkey % 5 <> 2").select(F.col("n_name").alias("name"), F.sha2(content, 256).alias("sha256"))
+    return models.verified(held, registry)

@@ -2,6 +2,7 @@
 
 import tempfile
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import estimators, metrics, recordings
@@ -211,8 +212,6 @@ def str_05(spark, sf_dir):
 
 @query("str_06_sessions", ", d AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY drive_id ORDER BY t, event_id) >= 43200 THEN 1 ELSE 0 END AS new FROM s), r AS (SELECT *, sum(new) OVER (PARTITION BY drive_id ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) AS run FROM d) SELECT drive_id, (run + 1)::BIGINT AS number, count(*) AS n FROM r GROUP BY 1, 2")
 def str_06(spark, sf_dir):
-    from pyspark.sql import Window
-
     out = _answer(spark, live.fix_sessions(_events_stream(spark, sf_dir), gap="12 hours"), "str_06", "complete")
     number = F.row_number().over(Window.partitionBy("drive_id").orderBy("session_window.start")).cast("long")
     return out.select("drive_id", number.alias("number"), "n")
@@ -276,6 +275,21 @@ def str_13(spark, sf_dir):
     return spark.read.parquet(f"{folder}/out").groupBy("drive_id").agg(F.count("*").alias("n"))
 
 
+@query("pipe_22_latency", "SELECT * FROM (VALUES ('inference', true), ('predict', true), ('sideways', true), ('fix', true)) v(part, within_budget)", stream=False)
+def pipe_22(spark, sf_dir):
+    """Mean time of each part of a step, and whether 200 predictions and 10 of the part fit into a second."""
+    found = recordings.latency(spark)
+    load = 200 * F.max(F.when(F.col("part") == "predict", F.col("ms"))).over(Window.partitionBy(F.lit(1))) + 10 * F.col("ms")  # four rows
+    return found.select("part", (load < 1000).alias("within_budget"))
+
+
+@query("pipe_25_summary", ", d AS (SELECT drive_id, count(*) AS n, count(*) FILTER (kind = 'error') AS dark, max(speed) AS top FROM s GROUP BY drive_id) SELECT drive_id, printf('drive %d: %d rows, %d without a fix, top speed %.4f m/s', drive_id, n, dark, top) AS line FROM d")
+def pipe_25(spark, sf_dir):
+    """One line of text a drive."""
+    found = stream(spark, sf_dir).groupBy("drive_id").agg(F.count("*").alias("n"), F.count_if(F.col("kind") == "error").alias("dark"), F.max("speed").alias("top"))
+    return found.select("drive_id", F.format_string("drive %d: %d rows, %d without a fix, top speed %.4f m/s", "drive_id", "n", "dark", "top").alias("line"))
+
+
 @query("pipe_23_state_export")
 def pipe_23(spark, sf_dir):
     """Mean deviations of the inertial filter's blocks after each recording's rows."""
@@ -299,8 +313,6 @@ def pipe_23(spark, sf_dir):
 
 @query("str_03_out_of_order", "SELECT event_id, coalesce(t < max(t) OVER (PARTITION BY drive_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS late FROM s")
 def str_03(spark, sf_dir):
-    from pyspark.sql import Window
-
     before = F.max("t").over(Window.partitionBy("drive_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, -1))
     return stream(spark, sf_dir).select("event_id", F.coalesce(F.col("t") < before, F.lit(False)).alias("late"))
 
@@ -314,18 +326,14 @@ def src_06(spark, sf_dir):
     return spark.read.parquet(path).agg(F.count("*").alias("windows"))
 
 
-@query("gov_01_training_gate", "SELECT 'authentic' AS authenticity, true AS allowed UNION ALL SELECT 'synthetic', false UNION ALL SELECT 'field', true", stream=False)
+@query("gov_01_training_gate", "SELECT o_orderkey AS dataset, CASE o_orderstatus WHEN 'F' THEN 'authentic' WHEN 'O' THEN 'synthetic' ELSE 'field' END AS authenticity, o_orderstatus <> 'O' AS allowed FROM orders", stream=False)
 def gov_01(spark, sf_dir):
-    from ..operators.models import require_training_data
-
-    def allowed(kind: str) -> bool:
-        try:
-            require_training_data(kind)
-        except ValueError:
-            return False
-        return True
+    """A table of dataset manifests through the gate; synthetic data may not train a released model."""
+    from ..operators.models import trainable
 
-    return spark.createDataFrame([(k, allowed(k)) for k in ("authentic", "synthetic", "field")], "authenticity string, allowed boolean")
+    kind = F.when(F.col("o_orderstatus") == "F", "authentic").when(F.col("o_orderstatus") == "O", "synthetic").otherwise("field")
+    manifests = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("dataset"), kind.alias("authenticity"))
+    return manifests.withColumn("allowed", trainable(F.col("authenticity")))
 
 
 @query("gov_02_map_source_gate", "SELECT true AS refused", stream=False)

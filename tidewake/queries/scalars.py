@@ -204,6 +204,28 @@ def fn_01(spark, sf_dir):
     return stream(spark, sf_dir).select("event_id", F.round(e, 4).alias("east"), F.round(n, 4).alias("north"), R6(geo.from_enu(e, n, lat0, lon0)[0]).alias("lat_back"))
 
 
+def _geodesic_sql() -> str:
+    """Vincenty's inverse from (12.9, 77.5), one nested SELECT a round."""
+    f = "(1 / 298.257223563)"
+    arc = """SELECT *, cos2 - 2 * su * sw / k AS m FROM (SELECT *, 1 - tilt * tilt AS k FROM (SELECT *, atan2(sin2, cos2) AS sigma, CASE WHEN sin2 = 0 THEN 0 ELSE cu * p / sin2 END AS tilt
+        FROM (SELECT *, sqrt(p * p + q * q) AS sin2 FROM (SELECT *, cw * sin(x) AS p, cu * sw - su * cw * cos(x) AS q, su * sw + cu * cw * cos(x) AS cos2 FROM ({})))))"""
+    rows = f"SELECT event_id, radians(lon - 77.5) AS l, sin(u) AS su, cos(u) AS cu, sin(w) AS sw, cos(w) AS cw, radians(lon - 77.5) AS x FROM (SELECT *, atan((1 - {f}) * tan(radians(12.9))) AS u, atan((1 - {f}) * tan(radians(lat))) AS w FROM s)"
+    for _ in range(6):
+        solved = f"SELECT *, {f} / 16 * k * (4 + {f} * (4 - 3 * k)) AS c FROM ({arc.format(rows)})"
+        rows = f"SELECT event_id, l, su, cu, sw, cw, l + (1 - c) * {f} * tilt * (sigma + c * sin2 * (m + c * cos2 * (2 * m * m - 1))) AS x FROM ({solved})"
+    series = f"SELECT *, 1 + h / 16384 * (4096 + h * (-768 + h * (320 - 175 * h))) AS a, h / 1024 * (256 + h * (-128 + h * (74 - 47 * h))) AS b FROM (SELECT *, k * (1 / pow(1 - {f}, 2) - 1) AS h FROM ({arc.format(rows)}))"
+    long = f"SELECT *, 6378137 * (1 - {f}) * a * (sigma - b * sin2 * (m + b / 4 * (cos2 * (2 * m * m - 1) - b / 6 * m * (4 * sin2 * sin2 - 3) * (4 * m * m - 3)))) AS d FROM ({series})"
+    return f"SELECT event_id, CASE WHEN sin2 = 0 THEN 0 ELSE round(d * p / sin2, 4) + 0 END AS east, CASE WHEN sin2 = 0 THEN 0 ELSE round(d * q / sin2, 4) + 0 END AS north FROM ({long})"
+
+
+@query("fn_02_azimuthal", _geodesic_sql())
+def fn_02(spark, sf_dir):
+    """Metres from a point on the ellipsoid, azimuthal equidistant."""
+    rows = stream(spark, sf_dir).select("event_id", "lat", "lon")
+    found = geo.azimuthal(rows, F.col("lat"), F.col("lon"), F.lit(12.9), F.lit(77.5))
+    return found.select("event_id", F.round("east", 4).alias("east"), F.round("north", 4).alias("north"))
+
+
 @query("fn_03_haversine", "SELECT event_id, round(2 * 6371000 * atan2(sqrt(a), sqrt(1 - a)), 4) AS m FROM (SELECT event_id, pow(sin(radians(12.91 - lat) / 2), 2) + cos(radians(lat)) * cos(radians(12.91)) * pow(sin(radians(77.51 - lon) / 2), 2) AS a FROM s)")
 def fn_03(spark, sf_dir):
     return stream(spark, sf_dir).select("event_id", F.round(geo.haversine(F.col("lat"), F.col("lon"), F.lit(12.91), F.lit(77.51)), 4).alias("m"))

@@ -156,7 +156,7 @@ def src_19(spark, sf_dir):
     return stream(spark, sf_dir).select("event_id", F.round(F.radians("val"), 6).alias("rad"))
 
 
-@query("src_20_grid_sampling", ", g AS (SELECT drive_id, min(t) AS t0, max(t) AS t1 FROM s GROUP BY drive_id), k AS (SELECT drive_id, t0 + i * 86400.0 AS t FROM g, range(0, 40) r(i) WHERE t0 + i * 86400.0 <= t1) SELECT k.drive_id, round(k.t, 3) AS t, s.event_id AS last_id FROM k ASOF JOIN s ON k.drive_id = s.drive_id AND k.t >= s.t")
+@query("src_20_grid_sampling", ", g AS (SELECT drive_id, min(t) AS t0, max(t) AS t1 FROM s GROUP BY drive_id), k AS (SELECT drive_id, t0 + i * 86400.0 AS t FROM g, (SELECT unnest(range(0, (SELECT (max(t1 - t0) / 86400)::BIGINT + 2 FROM g)))) r(i) WHERE t0 + i * 86400.0 <= t1) SELECT k.drive_id, round(k.t, 3) AS t, s.event_id AS last_id FROM k ASOF JOIN s ON k.drive_id = s.drive_id AND k.t >= s.t")
 def src_20(spark, sf_dir):
     from ..operators.align import latest
 
@@ -194,6 +194,13 @@ def _folder(spark) -> str:
     return tempfile.mkdtemp(prefix="tidewake-")
 
 
+def _through(spark, df):
+    """Written as JSON lines to the shared folder and read back."""
+    path = f"{_folder(spark)}/reports"
+    df.write.json(path)
+    return spark.read.schema(df.schema).json(path)
+
+
 @query("snk_01_split_writer", "SELECT CASE WHEN drive_id % 10 < 7 THEN 'train' WHEN drive_id % 10 < 9 THEN 'val' ELSE 'test' END AS split, count(*) AS n FROM s GROUP BY 1")
 def snk_01(spark, sf_dir):
     part = F.col("drive_id") % 10
@@ -202,12 +209,13 @@ def snk_01(spark, sf_dir):
     return spark.read.parquet(path).groupBy("split").agg(F.count("*").alias("n"))
 
 
-@query("snk_02_scaler_json", "SELECT 64 AS channels", stream=False)
+@query("snk_02_scaler_json", "SELECT channel, round(avg(x), 5) AS mean, round(CASE WHEN stddev_pop(x) <= 1e-6 THEN 1 ELSE stddev_pop(x) END, 5) AS std, count(*) AS n FROM (SELECT unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS channel FROM embeddings) GROUP BY channel", stream=False)
 def snk_02(spark, sf_dir):
+    """The scaler as JSON lines, written and read back."""
     from ..operators.scaler import fit
 
-    packed = fit(table(spark, sf_dir, "embeddings"), "embedding").agg(F.to_json(F.sort_array(F.collect_list(F.struct("channel", "mean", "std", "n")))).alias("json"))
-    return packed.select(F.json_array_length("json").alias("channels"))
+    found = _through(spark, fit(table(spark, sf_dir, "embeddings"), "embedding"))
+    return found.select(F.col("channel").cast("long").alias("channel"), F.round("mean", 5).alias("mean"), F.round("std", 5).alias("std"), "n")
 
 
 @query("snk_03_manifest_json", "SELECT '{\"windows\":' || count(*) || ',\"drives\":' || count(DISTINCT drive_id) || '}' AS manifest FROM s")
@@ -223,7 +231,7 @@ def snk_04(spark, sf_dir):
 
 @query("snk_05_session_summary", "SELECT round(max(speed), 4) AS top, round(avg(speed), 4) AS mean, count(*) FILTER (kind = 'view') AS fixes FROM s")
 def snk_05(spark, sf_dir):
-    return stream(spark, sf_dir).agg(F.round(F.max("speed"), 4).alias("top"), F.round(F.avg("speed"), 4).alias("mean"), F.count_if(F.col("kind") == "view").alias("fixes"))
+    return _through(spark, stream(spark, sf_dir).agg(F.round(F.max("speed"), 4).alias("top"), F.round(F.avg("speed"), 4).alias("mean"), F.count_if(F.col("kind") == "view").alias("fixes")))
 
 
 @query("snk_06_session_listing", "SELECT o_orderkey AS name, CASE WHEN o_orderstatus = 'F' THEN 'DONE' ELSE 'INCOMPLETE' END AS status FROM orders", stream=False)
@@ -234,22 +242,24 @@ def snk_06(spark, sf_dir):
     return sinks.sessions(listed, meta).select("name", "status")
 
 
-@query("snk_07_geojson", "SELECT 'FeatureCollection' AS type, count(DISTINCT drive_id) AS features FROM s")
+@query("snk_07_geojson", "SELECT drive_id, 'FeatureCollection' AS type, count(*) AS points, round(first(lon ORDER BY idx), 5) AS lon, round(last(lat ORDER BY idx), 5) AS lat FROM s GROUP BY drive_id")
 def snk_07(spark, sf_dir):
+    """One collection a drive, written and parsed again: its points, where it begins and where it ends."""
     tracks = stream(spark, sf_dir).groupBy("drive_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("t", "event_id", "lat", "lon"))), lambda p: F.struct(p["lat"].alias("lat"), p["lon"].alias("lon"))).alias("points"))
-    out = sinks.collection(tracks.select(sinks.feature(F.col("points"), F.struct("drive_id")).alias("feature")))
-    parsed = F.from_json("geojson", "type string, features array<struct<type:string>>")
-    return out.select(parsed.alias("g")).select("g.type", F.size("g.features").cast("long").alias("features"))
+    out = _through(spark, sinks.collection(tracks.select("drive_id", sinks.feature(F.col("points"), F.struct("drive_id")).alias("feature")), ["drive_id"]))
+    parsed = F.from_json("geojson", "type string, features array<struct<type:string, geometry:struct<coordinates:array<array<double>>>>>")
+    line = F.col("g.features")[0]["geometry"]["coordinates"]
+    return out.select("drive_id", parsed.alias("g")).select("drive_id", "g.type", F.size(line).cast("long").alias("points"), F.round(line[0][0], 5).alias("lon"), F.round(F.element_at(line, -1)[1], 5).alias("lat"))
 
 
 @query("snk_08_run_report", "SELECT event_type AS name, '{\"n\":' || count(*) || '}' AS report FROM events GROUP BY event_type", stream=False)
 def snk_08(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("name")).agg(F.to_json(F.struct(F.count("*").alias("n"))).alias("report"))
+    return _through(spark, table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("name")).agg(F.to_json(F.struct(F.count("*").alias("n"))).alias("report")))
 
 
 @query("snk_09_evaluation_report", "SELECT '{\"rows\":' || count(*) || ',\"passed\":' || count(*) FILTER (value < 100) || '}' AS report FROM events", stream=False)
 def snk_09(spark, sf_dir):
-    return table(spark, sf_dir, "events").agg(F.to_json(F.struct(F.count("*").alias("rows"), F.count_if(F.col("value") < 100).alias("passed"))).alias("report"))
+    return _through(spark, table(spark, sf_dir, "events").agg(F.to_json(F.struct(F.count("*").alias("rows"), F.count_if(F.col("value") < 100).alias("passed"))).alias("report")))
 
 
 @query("snk_10_trace_csv", "SELECT user_id % 4 AS window_id, count(*) AS n FROM events GROUP BY 1", stream=False)
@@ -266,7 +276,7 @@ def snk_11(spark, sf_dir):
 
 @query("snk_12_manifests", "SELECT n_name AS name, '{\"region\":' || n_regionkey || '}' AS json FROM nation", stream=False)
 def snk_12(spark, sf_dir):
-    return table(spark, sf_dir, "nation").select(F.col("n_name").alias("name"), F.to_json(F.struct(F.col("n_regionkey").alias("region"))).alias("json"))
+    return _through(spark, table(spark, sf_dir, "nation").select(F.col("n_name").alias("name"), F.to_json(F.struct(F.col("n_regionkey").alias("region"))).alias("json")))
 
 
 @query("snk_13_json_safe", "SELECT event_id, CASE WHEN event_id % 5 < 2 THEN 0 ELSE round(val, 6) END AS v FROM s")

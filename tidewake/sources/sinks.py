@@ -32,8 +32,9 @@ def feature(points: Column, properties: Column) -> Column:
     return F.struct(F.lit("Feature").alias("type"), F.struct(F.lit("LineString").alias("type"), line.alias("coordinates")).alias("geometry"), properties.alias("properties"))
 
 
-def collection(features: DataFrame, column: str = "feature") -> DataFrame:
-    return features.agg(F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), F.collect_list(column).alias("features"))).alias("geojson"))
+def collection(features: DataFrame, keys: list[str], column: str = "feature") -> DataFrame:
+    """One GeoJSON document per key, so that no task holds all features."""
+    return features.groupBy(*keys).agg(F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), F.collect_list(column).alias("features"))).alias("geojson"))
 
 
 def json_safe(value: Column) -> Column:
