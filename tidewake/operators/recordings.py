@@ -7,11 +7,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import alignment
+from .kernels import alignment, unscented
 from .kernels.inertial import Inertial
 from .kernels.planar import Planar
 from .models import normal_equations, ridge
-from .simulate import Config, simulate
+from .simulate import Config, by_length, simulate
 
 
 def aligned(df: DataFrame, keys: list[str], still_speed: float = 5.0) -> DataFrame:
@@ -40,84 +40,102 @@ def batch_aligned(df: DataFrame, keys: list[str], gravity_rows: int, motion_rows
     return df.select(*keys, "t", "event_id", "ax", "ay", "az").groupBy(*keys).applyInPandas(work, ", ".join(f"{k} {types[k]}" for k in keys) + ", state string, rotation array<double>")
 
 
-def frames(df: DataFrame, keys: list[str], kind: str = "inertial") -> DataFrame:
-    """The live frame step over finished recordings: one row for each, with the columns of ``OUTPUTS``.
+def side_by_side(df: DataFrame, keys: list[str], inputs: tuple[str, ...], outputs: dict[str, str], begin, step, last: bool = False) -> DataFrame:
+    """Recordings in order of time through a state machine, many at once: a row of ``outputs`` for every row, or for the last of each.
 
-    ``df`` has ``event_id`` and the columns of ``INPUTS``. Recordings are dealt
-    into buckets by key and by the magnitude of their length, and a bucket's
-    recordings advance side by side, so a long one does not inflate the rest.
+    ``begin(n)`` makes the state of n recordings; ``step(state, values, on)``
+    gets the inputs by name, (n,) each, and a mask of the recordings that still
+    run, and returns the outputs by name. Recordings are dealt into buckets by
+    key in one shuffle; inside a bucket those of like length advance together.
     """
-    from .kernels.frames import INPUTS, OUTPUTS, Frames
 
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([*keys, "t", "event_id"])
-        by = pdf.groupby(keys, sort=False)
-        run, step = by.ngroup().to_numpy(), by.cumcount().to_numpy()
-        n, width = int(run.max()) + 1, int(step.max()) + 1
-        lengths = np.bincount(run, minlength=n)
-        machine, values = Frames(n, kind), pdf[list(INPUTS)].astype(float).to_numpy()
+    def advance(pdf: pd.DataFrame, run: np.ndarray) -> pd.DataFrame:
+        lengths = np.unique(run, return_counts=True)[1]
         first = np.r_[0, np.cumsum(lengths)[:-1]]
-        out = {c: np.empty(len(pdf), object if t == "string" else bool if t == "boolean" else float) for c, t in OUTPUTS.items()}
-        for k in range(width):
+        state, values = begin(len(lengths)), pdf[list(inputs)].astype(float).to_numpy()
+        out = {c: np.empty(len(pdf), {"string": object, "boolean": bool}.get(t, float)) for c, t in outputs.items()}
+        for k in range(int(lengths.max())):
             on = k < lengths
             at = np.minimum(first + k, len(pdf) - 1)
-            found = machine.step(dict(zip(INPUTS, values[at].T, strict=True)), on)
+            found = step(state, dict(zip(inputs, values[at].T, strict=True)), on)
             for c, v in found.items():
                 out[c][at[on]] = v[on]
-        return pd.DataFrame({"event_id": pdf["event_id"].to_numpy(), **out})
+        kept = first + lengths - 1 if last else slice(None)
+        return pd.DataFrame({**{c: pdf[c].to_numpy()[kept] for c in named}, **{c: v[kept] for c, v in out.items()}})
+
+    def work(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values([*keys, "t", "event_id"])
+        run = pdf.groupby(keys, sort=False).ngroup().to_numpy()
+        return pd.concat([advance(pdf[part], run[part]) for part in by_length(run)])
 
+    named = [*keys, "event_id"] if "event_id" not in keys else keys
+    types = {f.name: f.dataType.simpleString() for f in df.schema}
     buckets = 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sizes = df.groupBy(*keys).agg(F.floor(F.log2(F.count("*").cast("double"))).alias("_size"))
-    dealt = df.select(*keys, "event_id", *[F.col(c).cast("double") for c in INPUTS]).join(sizes, keys).withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)))
-    return dealt.groupBy("_size", "_bucket").applyInPandas(work, "event_id long, " + ", ".join(f"{c} {t}" for c, t in OUTPUTS.items()))
+    dealt = df.select(*named, *["t"] * ("t" not in inputs), *[F.col(c).cast("double") for c in inputs]).withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)))
+    schema = [f"{c} {types[c]}" for c in named] + [f"{c} {t}" for c, t in outputs.items()]
+    return dealt.groupBy("_bucket").applyInPandas(work, ", ".join(schema))
+
+
+def frames(df: DataFrame, keys: list[str], kind: str = "inertial") -> DataFrame:
+    """The live frame step over finished recordings: one row for each, with the columns of ``OUTPUTS``.
+
+    ``df`` has ``event_id`` and the columns of ``INPUTS``.
+    """
+    from .kernels.frames import INPUTS, OUTPUTS, Frames
+
+    return side_by_side(df, keys, INPUTS, OUTPUTS, lambda n: Frames(n, kind), lambda machine, values, on: machine.step(values, on))
 
 
 def fused(df: DataFrame, keys: list[str], kind: str = "planar", dark: str | None = None) -> DataFrame:
     """The fusion step over recordings' rows: predict, standstill, position fix or sideways and model-speed updates.
 
-    Returns per row position, speed and the position deviation. Recordings are
-    dealt into buckets, and a bucket's recordings advance side by side.
+    Returns per row position, speed and the position deviation.
     """
-    names = ("ax", "ay", "az", "gx", "gy", "gz", "east", "north", "speed", "dark")
 
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([*keys, "t", "event_id"])
-        run = pdf.groupby(keys, sort=False).ngroup().to_numpy()
-        step = pdf.groupby(keys, sort=False).cumcount().to_numpy()
-        n, width = int(run.max()) + 1, int(step.max()) + 1
-        lengths = np.bincount(run, minlength=n)
-        batch = {}
-        for c in names:
-            batch[c] = np.zeros((n, width))
-            batch[c][run, step] = pdf[c].astype(float).to_numpy()
-        f = Planar.start(n) if kind == "planar" else Inertial.start(n)
-        out = np.empty((n, width, 4))
-        for t in range(width):
-            at = {c: v[:, t] for c, v in batch.items()}
-            on = t < lengths
-            acc, gyro = (np.stack([at[c] for c in group], 1) for group in (("ax", "ay", "az"), ("gx", "gy", "gz")))
-            if kind == "planar":
-                f.predict(acc[:, 0], gyro[:, 2])
-            else:
-                f.predict(acc, gyro)
-            still, hidden = on & (at["speed"] < 0.5), on & (at["dark"] > 0.5)
-            if still.any():
-                f.standstill(gyro[:, 2] if kind == "planar" else gyro, where=still)
-            f.position(np.stack([at["east"], at["north"], np.zeros(n)], 1), where=on & ~hidden)
-            if hidden.any():
-                f.sideways(where=hidden)
-                f.speed(at["speed"], 3.0, where=hidden)
-            x = f.x if kind == "planar" else np.concatenate([f.p, f.v], 1)
-            cov = f.p if kind == "planar" else f.cov
-            out[:, t] = np.stack([x[:, 0], x[:, 1], np.hypot(x[:, 3], x[:, 4]), np.sqrt(np.maximum(cov[:, 0, 0], 0))], 1)
-        found = out[run, step]
-        return pd.DataFrame({"event_id": pdf["event_id"].to_numpy(), **{c: found[:, k] for k, c in enumerate(("pe", "pn", "v", "sd"))}})
-
-    columns = ["t", "event_id", *names[:-1]]
-    dark_column = F.expr(dark) if dark else F.lit(False)
-    buckets = 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = df.select(*keys, *columns, dark_column.alias("dark")).withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)))
-    return dealt.groupBy("_bucket").applyInPandas(work, "event_id long, pe double, pn double, v double, sd double")
+    def step(f, at: dict[str, np.ndarray], on: np.ndarray) -> dict[str, np.ndarray]:
+        acc, gyro = (np.stack([at[c] for c in group], 1) for group in (("ax", "ay", "az"), ("gx", "gy", "gz")))
+        if kind == "planar":
+            f.predict(acc[:, 0], gyro[:, 2])
+        else:
+            f.predict(acc, gyro)
+        still, hidden = on & (at["speed"] < 0.5), on & (at["dark"] > 0.5)
+        if still.any():
+            f.standstill(gyro[:, 2] if kind == "planar" else gyro, where=still)
+        f.position(np.stack([at["east"], at["north"], np.zeros(len(on))], 1), where=on & ~hidden)
+        if hidden.any():
+            f.sideways(where=hidden)
+            f.speed(at["speed"], 3.0, where=hidden)
+        x = f.x if kind == "planar" else np.concatenate([f.p, f.v], 1)
+        cov = f.p if kind == "planar" else f.cov
+        return {"pe": x[:, 0], "pn": x[:, 1], "v": np.hypot(x[:, 3], x[:, 4]), "sd": np.sqrt(np.maximum(cov[:, 0, 0], 0))}
+
+    inputs = ("ax", "ay", "az", "gx", "gy", "gz", "east", "north", "speed", "dark")
+    rows = df.withColumn("dark", F.expr(dark) if dark else F.lit(False))
+    return side_by_side(rows, keys, inputs, dict.fromkeys(("pe", "pn", "v", "sd"), "double"), (Planar if kind == "planar" else Inertial).start, step)
+
+
+def exported(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Mean deviations of the inertial filter's blocks after each recording's last row."""
+
+    def step(f: Inertial, at: dict[str, np.ndarray], on: np.ndarray) -> dict[str, np.ndarray]:
+        f.predict(*(np.stack([at[c] for c in group], 1) for group in (("ax", "ay", "az"), ("gx", "gy", "gz"))))
+        f.position(np.stack([at["east"], at["north"], np.zeros(len(on))], 1), where=on)
+        return f.deviations()
+
+    inputs = ("ax", "ay", "az", "gx", "gy", "gz", "east", "north")
+    return side_by_side(df, keys, inputs, dict.fromkeys(("position", "velocity", "attitude", "acc_bias", "gyro_bias"), "double"), Inertial.start, step, last=True)
+
+
+def unscented_speed(df: DataFrame, keys: list[str], dt: float = 0.1) -> DataFrame:
+    """Speed and its rate of change by an unscented filter of each recording's measured speeds."""
+    noise = np.diag([0.01, 0.1])
+
+    def step(state: dict, at: dict[str, np.ndarray], on: np.ndarray) -> dict[str, np.ndarray]:
+        x, p = unscented.predict(state["x"], state["p"], lambda s: np.stack([s[:, 0] + dt * s[:, 1], s[:, 1]], 1), noise)
+        state["x"], state["p"] = unscented.update(x, p, at["speed"][:, None], lambda s: s[:, :1], np.eye(1))
+        return {"v": state["x"][:, 0], "rate": state["x"][:, 1]}
+
+    return side_by_side(df, keys, ("speed",), {"v": "double", "rate": "double"}, lambda n: {"x": np.zeros((n, 2)), "p": np.tile(np.eye(2), (n, 1, 1))}, step)
 
 
 def gain_triples(spark, n: int, seed: int = 42) -> DataFrame:
@@ -198,6 +216,6 @@ def study(samples: DataFrame, configs: tuple[Config, ...]) -> DataFrame:
     """Errors inside the outage per run and configuration: distance, final error, drift, pass."""
     found = simulate(samples, configs).where("inside")
     final = F.max_by("err", "step")
-    moved = samples.where("inside").groupBy("run").agg(F.sum("moved").alias("distance"))
-    scored = found.groupBy("run", "config").agg(final.alias("final"), F.sqrt(F.avg(F.col("err") * F.col("err"))).alias("rmse"), F.max("err").alias("worst"))
-    return scored.join(moved, "run").withColumn("drift", 100 * F.col("final") / F.greatest(F.col("distance"), F.lit(1.0))).withColumn("pass", F.col("drift") < 10)
+    rmse = F.sqrt(F.avg(F.col("err") * F.col("err")))
+    scored = found.groupBy("run", "config").agg(final.alias("final"), rmse.alias("rmse"), F.max("err").alias("worst"), F.sum("moved").alias("distance"))
+    return scored.withColumn("drift", 100 * F.col("final") / F.greatest(F.col("distance"), F.lit(1.0))).withColumn("pass", F.col("drift") < 10)

@@ -120,30 +120,44 @@ def run(batch: dict[str, np.ndarray], config: Config, dt: float = 0.1) -> np.nda
     return np.where(np.isnan(batch["ax"])[..., None], np.nan, out)
 
 
+def by_length(run: np.ndarray):
+    """Masks of rows whose runs are of like length, at most twice apart: what is padded stays below the data."""
+    lengths = np.bincount(run)
+    size = np.floor(np.log2(lengths.max() / lengths)).astype(int)[run]
+    for s in np.unique(size):
+        yield size == s
+
+
 def simulate(rows: DataFrame, configs: tuple[Config, ...] = BASELINES, runs_per_bucket: int = 64, dt: float = 0.1) -> DataFrame:
-    """(run, config, step, east, north, err, inside) from samples (run, step, channels of CHANNELS).
+    """(run, config, step, east, north, err, inside, moved) from samples (run, step, channels of CHANNELS, metres ``moved``).
 
-    ``run`` is any key of a scenario. Each bucket's samples are sorted into
-    arrays and every configuration runs over them, so samples are dealt once.
+    ``run`` is any key of a scenario. Samples are dealt into buckets of runs in
+    one shuffle; runs of like length are laid into arrays together, and every
+    configuration runs over them.
     """
     listed = [asdict(c) for c in configs]
     kind = rows.schema["run"].dataType.simpleString()
 
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
+    def advance(pdf: pd.DataFrame) -> pd.DataFrame:
         codes, keys = pd.factorize(pdf["run"])
         width = int(pdf["step"].max()) + 1
-        batch = {c: np.full((len(keys), width), np.nan) for c in CHANNELS}
-        for c in CHANNELS:
+        batch = {c: np.full((len(keys), width), np.nan) for c in (*CHANNELS, "moved")}
+        for c in batch:
             batch[c][codes, pdf["step"].to_numpy()] = pdf[c].astype(float).to_numpy()
+        moved = batch.pop("moved")
         frames = []
         for c in listed:
             found = run(batch, Config(**c), dt)
             at, step = np.nonzero(~np.isnan(found[..., 0]))
             e, n = found[at, step].T
             err = np.hypot(e - batch["ref_e"][at, step], n - batch["ref_n"][at, step])
-            frames.append(pd.DataFrame({"run": keys[at], "config": c["name"], "step": step, "east": e, "north": n, "err": err, "inside": batch["inside"][at, step] > 0.5}))
+            frames.append(pd.DataFrame({"run": keys[at], "config": c["name"], "step": step, "east": e, "north": n, "err": err, "inside": batch["inside"][at, step] > 0.5, "moved": moved[at, step]}))
         return pd.concat(frames)
 
-    buckets = F.pmod(F.xxhash64("run"), F.greatest(F.lit(1), F.lit(rows.select("run").distinct().count() // runs_per_bucket)))
-    dealt = rows.select("run", "step", *CHANNELS).withColumn("_bucket", buckets)
-    return dealt.groupBy("_bucket").applyInPandas(work, f"run {kind}, config string, step int, east double, north double, err double, inside boolean")
+    def work(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.concat([advance(pdf[part]) for part in by_length(pd.factorize(pdf["run"])[0])])
+
+    # the number of buckets is one row, worked out within the job
+    buckets = rows.agg(F.greatest(F.lit(1), F.floor(F.approx_count_distinct("run") / runs_per_bucket)).alias("_n"))
+    dealt = rows.select("run", "step", *CHANNELS, "moved").join(F.broadcast(buckets)).withColumn("_bucket", F.pmod(F.xxhash64("run"), "_n"))
+    return dealt.groupBy("_bucket").applyInPandas(work, f"run {kind}, config string, step int, east double, north double, err double, inside boolean, moved double")

@@ -47,20 +47,7 @@ def est_09(spark, sf_dir):
 
 @query("est_08_unscented")
 def est_08(spark, sf_dir):
-    import pandas as pd
-
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        from ..operators.kernels import unscented
-
-        pdf = pdf.sort_values(["t", "event_id"])
-        x, p, out = np.zeros((1, 2)), np.eye(2)[None], []
-        for r in pdf.itertuples():
-            x, p = unscented.predict(x, p, lambda s: np.stack([s[:, 0] + 0.1 * s[:, 1], s[:, 1]], 1), np.diag([0.01, 0.1]))
-            x, p = unscented.update(x, p, np.array([[r.speed]]), lambda s: s[:, :1], np.eye(1))
-            out.append((r.event_id, round(float(x[0, 0]), 6)))
-        return pd.DataFrame(out, columns=["event_id", "v"])
-
-    return stream(spark, sf_dir).select("drive_id", "event_id", "t", "speed").groupBy("drive_id").applyInPandas(work, "event_id long, v double")
+    return recordings.unscented_speed(stream(spark, sf_dir), ["drive_id"]).select("event_id", F.round("v", 6).alias("v"))
 
 
 def scenario_samples(spark, sf_dir):

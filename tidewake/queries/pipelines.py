@@ -292,23 +292,8 @@ def pipe_25(spark, sf_dir):
 
 @query("pipe_23_state_export")
 def pipe_23(spark, sf_dir):
-    """Mean deviations of the inertial filter's blocks after each recording's rows."""
-    import pandas as pd
-
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
-
-        from ..operators.kernels.inertial import Inertial
-
-        pdf = pdf.sort_values(["t", "event_id"])
-        f = Inertial.start(1)
-        for r in pdf.itertuples():
-            f.predict(np.array([[r.ax, r.ay, r.az]]), np.array([[r.gx, r.gy, r.gz]]))
-            f.position(np.array([[r.east, r.north, 0.0]]))
-        return pd.DataFrame({"drive_id": [pdf["drive_id"].iloc[0]], **{k: np.round(v, 6) for k, v in f.deviations().items()}})
-
-    rows = stream(spark, sf_dir).select("drive_id", "t", "event_id", "ax", "ay", "az", "gx", "gy", "gz", "east", "north")
-    return rows.groupBy("drive_id").applyInPandas(work, "drive_id long, position double, velocity double, attitude double, acc_bias double, gyro_bias double")
+    found = recordings.exported(stream(spark, sf_dir), ["drive_id"])
+    return found.select("drive_id", *[F.round(c, 6).alias(c) for c in ("position", "velocity", "attitude", "acc_bias", "gyro_bias")])
 
 
 @query("str_03_out_of_order", "SELECT event_id, coalesce(t < max(t) OVER (PARTITION BY drive_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS late FROM s")
