@@ -10,7 +10,7 @@ from tidewake.functions import geo
 from tidewake.operators import models, recordings, updates
 from tidewake.operators.kernels import rotation
 from tidewake.operators.kernels.inertial import Inertial
-from tidewake.operators.simulate import LEVELING
+from tidewake.operators.simulate import CHANNELS, LEVELING, Config, run
 from tidewake.plans import scenarios
 from tidewake.streaming import live
 
@@ -173,3 +173,16 @@ def test_commands_reach_over_micro_batches(spark, tmp_path):
 
 def test_latency_names_its_parts(spark):
     assert {r["part"] for r in recordings.latency(spark, 5).where("ms > 0").collect()} == {"predict", "sideways", "fix", "inference"}
+
+
+def test_oracle_interventions_remove_their_error():
+    """A straight drive with a biased yaw rate, then one with a biased accelerometer, dark from the tenth step on."""
+    steps, t = 60, np.arange(60) * 0.1
+    batch = {c: np.zeros((1, steps)) for c in CHANNELS}
+    batch["az"][:], batch["speed"][:], batch["ref_e"][0] = 9.80665, 10.0, 10 * t
+    batch["inside"][0] = np.arange(steps) >= 10
+    error = lambda rows, **flags: np.hypot(*(run(rows, Config("x", "inertial", model_speed=False, **flags))[0, -1] - [10 * t[-1], 0.0]))
+    turning = {**batch, "gz": np.full((1, steps), 0.05)}
+    assert error(turning, true_yaw=True) < 0.5 * error(turning)
+    pushed = {**batch, "ax": np.where(np.arange(steps) >= 10, 1.0, 0.0)[None]}
+    assert error(pushed, true_force=True) < 0.1 * error(pushed)

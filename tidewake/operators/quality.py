@@ -33,6 +33,11 @@ def allowed(info: Column, keys: tuple[str, ...] = DEVICE_KEYS) -> Column:
     return F.map_filter(info, lambda k, _: k.isin(*keys))
 
 
+def authentic(path: Column) -> Column:
+    """The same as ``require_authentic`` on a column of paths."""
+    return F.lower(path).contains("authentic")
+
+
 def require_authentic(path: str) -> None:
     if "authentic" not in path.lower():
         raise ValueError(f"{path} is not an authentic recording")

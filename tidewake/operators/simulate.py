@@ -14,7 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernels.inertial import Inertial
+from .kernels import rotation
+from .kernels.inertial import GRAVITY, Inertial
 from .kernels.planar import Planar
 
 CHANNELS = ("ax", "ay", "az", "gx", "gy", "gz", "ref_e", "ref_n", "speed", "model_speed", "inside")
@@ -31,7 +32,8 @@ class Config:
     policy: str = "decouple"
     zero_bias: bool = False
     true_speed: bool = False
-    yaw_error_removed: float = 0.0
+    true_yaw: bool = False
+    true_force: bool = False
     leveling: str = ""  # a name of LEVELING, or none
 
 
@@ -82,12 +84,12 @@ def run(batch: dict[str, np.ndarray], config: Config, dt: float = 0.1) -> np.nda
     first = ref[:, min(1, steps - 1)] - ref[:, 0]
     yaw = np.arctan2(first[:, 1], first[:, 0])
     speed = fill["speed"]
+    course = np.arctan2(np.gradient(ref[..., 1], axis=1), np.gradient(ref[..., 0], axis=1)) if steps > 1 else np.zeros((n, steps))
     if config.filter == "none":
         held = np.where(inside, 0, np.arange(steps))
         last = np.maximum.accumulate(held, 1)
         rows = np.arange(n)[:, None]
         since = (np.arange(steps) - last) * dt
-        course = np.arctan2(np.gradient(ref[..., 1], axis=1), np.gradient(ref[..., 0], axis=1)) if steps > 1 else np.zeros((n, steps))
         move = (speed[rows, last] * since)[..., None] * np.stack([np.cos(course[rows, last]), np.sin(course[rows, last])], 2)
         return np.where(np.isnan(batch["ax"])[..., None], np.nan, ref[rows, last][..., :2] + move)
     if config.filter == "planar":
@@ -98,14 +100,21 @@ def run(batch: dict[str, np.ndarray], config: Config, dt: float = 0.1) -> np.nda
         f = Inertial.start(n)
         f.level(np.stack([fill[c][:, 0] for c in ("ax", "ay", "az")], 1), yaw)
         f.p, f.v = ref[:, 0].copy(), np.stack([speed[:, 0] * np.cos(yaw), speed[:, 0] * np.sin(yaw), np.zeros(n)], 1)
-        if config.zero_bias:
-            f.ba[:] = 0
+    driven = speed[..., None] * np.stack([np.cos(course), np.sin(course), np.zeros((n, steps))], 2)
     ahead = speed[:, 0]
     for t in range(steps):
         acc, gyro = (np.stack([fill[c][:, t] for c in names], 1) for names in (("ax", "ay", "az"), ("gx", "gy", "gz")))
         if config.filter == "planar":
             f.predict(acc[:, 0], gyro[:, 2])
         else:
+            if config.zero_bias:
+                f.ba = np.zeros((n, 3))
+            if config.true_yaw:
+                roll, pitch, _ = rotation.euler(f.body).T
+                f.q = rotation.of_euler(roll, pitch, course[:, t])
+            if config.true_force:
+                push = (driven[:, t] - driven[:, max(0, t - 1)]) / dt - GRAVITY
+                acc = np.where(inside[:, t, None], (f.body.transpose(0, 2, 1) @ push[..., None])[..., 0], acc)
             f.predict(acc, gyro, dt)
             if config.leveling:
                 before, ahead = ahead, f.body_velocity[:, 0]

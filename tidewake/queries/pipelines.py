@@ -137,7 +137,8 @@ def pipe_14(spark, sf_dir):
 
 @query("pipe_17_oracle_interventions")
 def pipe_17(spark, sf_dir):
-    configs = (Config("base", "inertial"), Config("zero_bias", "inertial", zero_bias=True), Config("true_speed", "inertial", true_speed=True))
+    oracles = ("zero_bias", "true_yaw", "true_force", "true_speed")
+    configs = (Config("base", "inertial"), *[Config(name, "inertial", **{name: True}) for name in oracles])
     found = recordings.study(scenario_samples(spark, sf_dir), configs).groupBy("config").agg(F.avg("final").alias("m"))
     base = found.where("config = 'base'").select(F.col("m").alias("base"))
     return found.join(F.broadcast(base)).select("config", F.round((1 - F.col("m") / F.greatest(F.lit(1e-3), F.col("base"))) * 100, 3).alias("pct"))
