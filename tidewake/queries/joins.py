@@ -124,7 +124,7 @@ def gated(spark, sf_dir):
     return rows.select("drive_id", "event_id", "idx", "is_outage", F.col("east").alias("ref_east"), F.when(~F.col("is_outage"), F.col("east")).alias("nav_east"))
 
 
-_SPECS = ", sp AS (SELECT drive_id, min(idx) + 10 AS first, min(idx) + 20 AS last FROM s WHERE drive_id % 3 = 0 GROUP BY drive_id)"
+_SPECS = ", sp AS (SELECT drive_id, min(idx) + 10 AS first, min(idx) + 20 AS last FROM s GROUP BY drive_id)"
 
 
 def specs(spark, sf_dir):

@@ -1,6 +1,5 @@
 """Composite pipelines and streams (PIPE, STR)."""
 
-import tempfile
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F

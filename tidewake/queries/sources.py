@@ -1,12 +1,12 @@
 """Sources and sinks as queries over the test tables or over generated data (SRC, SNK)."""
 
-import tempfile
 
 from pyspark.sql import functions as F
 
 from ..operators import mapmatch
 from ..sources import files, schema, sinks, synthetic
 from ..session import by_time, stream, table
+from ..shared import new_path
 from . import query
 
 
@@ -184,14 +184,7 @@ def src_23(spark, sf_dir):
 
 
 def _folder(spark) -> str:
-    path = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if path:
-        import uuid
-
-        return f"{path.rstrip('/')}/sinks-{uuid.uuid4().hex}"
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    return tempfile.mkdtemp(prefix="tidewake-")
+    return new_path(spark, "sinks")
 
 
 def _through(spark, df):
