@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -12,6 +9,8 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import clean_up, drop_saved, saved, shared_dir  # noqa: F401
+
 #: So many of the most frequent keys are joined by a broadcast in :func:`looked_up`.
 HEAD = 4_096
 
@@ -23,59 +22,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Where it is unset a local session gets a temporary folder; a cluster
-    without it is refused, as a machine-local folder would lose files there.
-    """
-    sc = spark.sparkContext
-    path = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not path:
-        if not re.match(r"local(\[|$)", sc.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        path = tempfile.mkdtemp(prefix="tidewake-")
-        sc.setCheckpointDir(path)
-        path = sc.getCheckpointDir()
-    return path.rstrip("/")
-
-
-def saved(df: DataFrame, tag: str) -> DataFrame:
-    """Cut the lineage: write ``df`` to the shared folder and read it again.
-
-    A lost executor then costs its running tasks, not the steps before. The
-    path is kept on the frame, for :func:`drop_saved`; tables that a returned
-    frame still reads stay until :func:`clean_up`.
-    """
-    path = f"{_own_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._tidewake_path = path
-    return out
-
-
-def _own_dir(spark: SparkSession) -> str:
-    return f"{shared_dir(spark)}/tidewake/{spark.sparkContext.applicationId}"
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    sc = spark.sparkContext
-    where = sc._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
-
-
-def drop_saved(df: DataFrame) -> None:
-    """Delete what :func:`saved` wrote, once nothing reads it any more."""
-    path = getattr(df, "_tidewake_path", None)
-    if path:
-        _delete(df.sparkSession, path)
-
-
-def clean_up(spark: SparkSession) -> None:
-    """Delete every table that this application saved. Frames made of them are void afterwards."""
-    _delete(spark, _own_dir(spark))
-
-
 def looked_up(rows: DataFrame, facts: DataFrame, keys: list[str], weight: str, head: int = HEAD) -> DataFrame:
     """``rows`` with the columns of ``facts`` (one row for each value of ``keys``; fixed-size columns), inner.
 

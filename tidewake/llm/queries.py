@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, hmm, licenses, media, packing, pieces, secrets, simhash, toxicity, url_filter
+from . import decontaminate, exact_dedup, filter_audit, hmm, licenses, media, merkle, packing, pieces, secrets, simhash, toxicity, url_filter
 from .common import fold, table
 
 
@@ -61,6 +61,24 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages")).withColumn("score", F.round("score", 6))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.interactions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = fold(0, 2, F.col("doc_id"))
+    found = {"text": F.when(tampered, F.translate("text", "\n", "")).otherwise(F.col("text"))}
+    rows = merkle.verify(merkle.manifest(table(spark, sf_dir, "documents"), found=found))
+    digests = [merkle.as_text(F.col(c)).alias(c) for c in ("leaf", "subroot", "root", "folded_root")]
+    return rows.select("doc_id", *digests, merkle.proof_digest(F.col("proof")).alias("proof_sha256"), "verified")
+
+
+def op13_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    items = F.sha2(F.array_join("items", ","), 256)
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), items.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_licenses": op2_licenses,
@@ -72,4 +90,7 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_media": op9_media,
     "op10_url_filter": op10_url_filter,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_merkle": op12_merkle,
+    "op13_decontaminate": op13_decontaminate,
 }

@@ -1,6 +1,6 @@
 """DuckDB SQL for the queries that SQL can express."""
 
-from . import licenses, secrets, url_filter
+from . import decontaminate, filter_audit, licenses, merkle, secrets, url_filter
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -113,4 +113,89 @@ SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN score >= (SELECT lev
 FROM pages JOIN u ON coalesce(pages.url, '') = u.url JOIN scores ON u.url = scores.url
 """
 
-SQL = {"op2_licenses": OP2, "op3_exact_dedup": OP3, "op4_secrets": OP4, "op10_url_filter": OP10}
+_SETS = range(filter_audit.SETS)
+_FILTERS = filter_audit.FILTERS
+_FAILS = f"""len(w) < {filter_audit.LEAST_WORDS}|100 * len(list_distinct(w)) < {filter_audit.LEAST_DISTINCT} * len(w)|100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > {filter_audit.MOST_CAPITALS} * length(t)""".split("|")
+_FAILS += [f"regexp_matches(t, '{filter_audit.SYMBOLS}')", "doc_id > min(doc_id) OVER (PARTITION BY t)"]
+_PERMUTED = " AND ".join(f"f{j}.f <> f{i}.f" for i in range(5) for j in range(i))
+OP11 = f"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+s AS (SELECT doc_id, part, {" + ".join(f"CASE WHEN {x} THEN {1 << k} ELSE 0 END" for k, x in enumerate(_FAILS))} AS fails FROM d),
+m AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM s LEFT JOIN l USING (doc_id) GROUP BY part, fails),
+f AS (SELECT unnest(range({len(_FILTERS)})) AS f),
+o AS (SELECT [f0.f, f1.f, f2.f, f3.f, f4.f] AS o FROM f f0, f f1, f f2, f f3, f f4 WHERE {_PERMUTED}),
+p AS (SELECT o, step, 1 << o[step] AS own, list_sum(list_transform([0] || o[1:step - 1], lambda x, i: CASE WHEN i = 1 THEN 0 ELSE 1 << x END))::INT AS before FROM o, (SELECT unnest(range(1, 6)) AS step)),
+r AS (SELECT part, o, step, own,
+    coalesce(sum(n) FILTER (fails & (own | before) = 0), 0)::BIGINT AS kept,
+    coalesce(sum(n) FILTER (fails & own > 0 AND fails & before = 0), 0)::BIGINT AS removed,
+    coalesce(sum(n) FILTER (fails & own > 0 AND fails & before > 0), 0)::BIGINT AS redundant,
+    coalesce(sum(n) FILTER (fails = own), 0)::BIGINT AS unique_fails,
+    coalesce(sum(good) FILTER (fails & own > 0 AND fails & before = 0), 0)::BIGINT AS good_lost,
+    coalesce(sum(toxic) FILTER (fails & own > 0 AND fails & before = 0), 0)::BIGINT AS toxic_lost
+    FROM m, p GROUP BY part, o, step, own)
+SELECT part, array_to_string(list_transform(o, lambda x: '{_FILTERS}'[x + 1]), '') AS filter_order, step::INT AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+    (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley
+FROM r
+"""
+
+
+def _crc_table() -> list[int]:
+    """The CRC-32 of every byte, by its rule."""
+    out = list(range(256))
+    for _ in range(8):
+        out = [x >> 1 ^ (0xEDB88320 if x & 1 else 0) for x in out]
+    return out
+
+
+def _field(column: str) -> str:
+    return f"CASE WHEN {column} IS NULL THEN '-' ELSE strlen({column}::VARCHAR)::VARCHAR || ':' || {column}::VARCHAR END"
+
+
+def _nodes(name: str, leaves: str) -> str:
+    return f"""{name} AS (SELECT g, 0 AS lvl, i, n, h FROM {leaves}
+    UNION ALL SELECT g, lvl + 1, i // 3, (any_value(n) + 2) // 3, sha256(string_agg(h, '' ORDER BY i)) FROM {name} WHERE n > 1 GROUP BY g, lvl, i // 3)"""
+
+
+def _steps(name: str, nodes: str, leaves: str) -> str:
+    """For each leaf and level the hex digests left and right of its node."""
+    own = "(a.i // (3 ** b.lvl)::BIGINT)"
+    side = lambda op: f"coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i {op} {own}), '')"
+    return f"""{name} AS (SELECT g, i, list(struct_pack(l := l, r := r) ORDER BY lvl) AS steps FROM (
+    SELECT a.g, a.i, b.lvl, {side("<")} AS l, {side(">")} AS r FROM {leaves} a JOIN {nodes} b ON a.g = b.g AND b.n > 1 AND b.i // 3 = {own} // 3 GROUP BY ALL) GROUP BY g, i)"""
+
+
+_LEAF = "sha256(" + " || ".join(_field(c) for c in merkle.FIELDS) + ")"
+_CRC = f"list_reduce([4294967295::BIGINT] || list_transform(string_split(coalesce(doc_id::VARCHAR, ''), ''), lambda c: ascii(c)::BIGINT), lambda a, b: xor(a >> 8, ({_crc_table()}::BIGINT[])[(xor(a, b) & 255) + 1]))"
+OP12 = f"""
+WITH RECURSIVE
+d AS (SELECT *, {_CRC} & 1 = 1 AS tampered FROM documents),
+hashed AS (SELECT doc_id, source, {_LEAF} AS h FROM d),
+damaged AS (SELECT doc_id, {_LEAF} AS f FROM (SELECT doc_id, source, lang, n_chars, CASE WHEN tampered THEN replace(text, chr(10), '') ELSE text END AS text FROM d)),
+leaves AS (SELECT doc_id, h, f, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS g, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, h) - 1 AS i, count(*) OVER (PARTITION BY source) AS n FROM hashed JOIN damaged USING (doc_id)),
+{_nodes("nodes", "leaves")},
+subroots AS (SELECT 0 AS g, g AS i, count(*) OVER () AS n, h FROM nodes WHERE n = 1),
+{_nodes("tops", "subroots")},
+{_steps("low", "nodes", "leaves")},
+{_steps("high", "tops", "subroots")},
+proved AS (SELECT doc_id, leaves.h AS leaf, f, subroots.h AS subroot, coalesce(low.steps, []) || coalesce(high.steps, []) AS steps
+    FROM leaves JOIN subroots ON subroots.i = leaves.g LEFT JOIN low ON low.g = leaves.g AND low.i = leaves.i LEFT JOIN high ON high.i = leaves.g),
+folded AS (SELECT *, (SELECT h FROM tops WHERE n = 1) AS root, list_reduce([f] || list_transform(steps, lambda s: s.l || ',' || s.r), lambda a, s: sha256(split_part(s, ',', 1) || a || split_part(s, ',', 2))) AS folded_root FROM proved)
+SELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(steps, lambda s: s.l || s.r), '')) AS proof_sha256, folded_root, folded_root = root AS verified FROM folded
+"""
+
+_WORDS = f"regexp_extract_all({lowered('text')}, '{decontaminate.WORD}')"
+_WIN = decontaminate.WINDOW
+OP13 = f"""
+WITH i AS (SELECT coalesce(item_id::VARCHAR, '') AS item, {_WORDS} AS w FROM benchmark),
+patterns AS (SELECT DISTINCT item, l, array_to_string(w[k:k + l - 1], ' ') AS win FROM (SELECT item, w, least(len(w), {_WIN}) AS l, unnest(range(1, greatest(len(w) - {_WIN - 1}, 1) + 1)) AS k FROM i WHERE len(w) > 0)),
+d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+places AS (SELECT doc_id, l, k, array_to_string(w[k:k + l - 1], ' ') AS win FROM (SELECT doc_id, w, l, unnest(range(1, len(w) - l + 2)) AS k FROM d, (SELECT DISTINCT l FROM patterns))),
+hits AS (SELECT * FROM places SEMI JOIN patterns USING (win)),
+covered AS (SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + l)) AS place FROM hits) GROUP BY doc_id),
+named AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM hits JOIN patterns USING (win)) GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)
+"""
+
+SQL = {"op2_licenses": OP2, "op3_exact_dedup": OP3, "op4_secrets": OP4, "op10_url_filter": OP10, "op11_filter_audit": OP11, "op12_merkle": OP12, "op13_decontaminate": OP13}
