@@ -141,6 +141,18 @@ def infer(df: DataFrame, window: str, model, out: str = "prediction", size: int
     return df.withColumn(out, run(window))
 
 
+def infer_rows(df: DataFrame, features: str, model, out: str = "prediction", size: int = 4096) -> DataFrame:
+    """Adds the model's outputs as an array; inputs are arrays of features, one a row."""
+
+    @F.pandas_udf("array<double>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            parts = [np.asarray(batch.iloc[k : k + size].tolist(), float) for k in range(0, len(batch), size)]
+            yield pd.Series([row.tolist() for p in parts for row in np.asarray(model.predict(p))])
+
+    return df.withColumn(out, run(features))
+
+
 def gaussian_nll(error: Column, log_variance: Column) -> Column:
     """Negative log-likelihood of an error, its log-variance clamped to +-6."""
     s = F.greatest(F.lit(-6.0), F.least(F.lit(6.0), log_variance))

@@ -82,11 +82,11 @@ def grid(scenarios: DataFrame, configs: DataFrame) -> DataFrame:
 
 def samples_of(scenarios: DataFrame, samples: DataFrame, before: int = 0, after: int = 0) -> DataFrame:
     """Each scenario's rows, with ``before`` and ``after`` more around; ``inside`` marks the outage itself."""
-    s, x = scenarios.alias("s"), samples.alias("x")
-    near = x["idx"].between(s["first"] - before, s["last"] + after - 1)
-    rows = s.join(x, (s["drive_id"] == x["drive_id"]) & near)
-    extra = [x[c] for c in samples.columns if c != "drive_id"]
-    return rows.select("s.*", *extra, ((x["idx"] >= s["first"]) & (x["idx"] < s["last"])).alias("inside"))
+    s, x = F.col("s.first"), F.col("x.idx")
+    near = x.between(s - before, F.col("s.last") + after - 1)
+    rows = scenarios.alias("s").join(samples.alias("x"), (F.col("s.drive_id") == F.col("x.drive_id")) & near)
+    extra = [F.col(f"x.{c}") for c in samples.columns if c != "drive_id"]
+    return rows.select("s.*", *extra, ((x >= s) & (x < F.col("s.last"))).alias("inside"))
 
 
 def perturbed(scenarios: DataFrame, target: int, seed: int = 42) -> DataFrame:

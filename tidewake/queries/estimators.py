@@ -169,12 +169,6 @@ def ml_07(spark, sf_dir):
     return learned_gains(spark, "learned")
 
 
-@query("ml_10_batched_inference")
-def ml_10(spark, sf_dir):
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.array(F.col("embedding")).alias("window"))
-    return models.infer(rows, "window", models.Linear(np.full((4, 1), 0.5), None, None)).select("vec_id", F.round(F.col("prediction")[0], 5).alias("y"))
-
-
 @query("gov_04_model_registry", "SELECT n_name AS name, n_nationkey % 5 NOT IN (1, 2) AS known FROM nation", stream=False)
 def gov_04(spark, sf_dir):
     """Model contents against their registered digests; every fifth is altered and another one not registered."""

@@ -4,14 +4,14 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import estimators, metrics, recordings
+from ..operators import estimators, recordings
 from ..operators.simulate import BASELINES, Config
 from ..plans import prepare, scenarios
 from ..session import by_time, stream, table
 from ..sources import synthetic
 from ..streaming import live
 from . import query
-from .estimators import _RUN, scenario_samples, speed_model, window_rows
+from .estimators import _RUN, scenario_samples
 from .windows import _PATH, _SEG
 
 
@@ -88,28 +88,6 @@ def pipe_09(spark, sf_dir):
     return rows.groupBy("drive_id").agg(F.count("*").alias("n"), F.round(F.avg("dt"), 3).alias("dt"), F.count_if("rise").alias("outages"), F.round(F.avg(F.col("ay") * F.col("ay")), 5).alias("nis"))
 
 
-@query("pipe_10_speed_evaluation")
-def pipe_10(spark, sf_dir):
-    from ..operators.models import infer
-
-    rows = window_rows(spark, sf_dir)
-    scored = infer(rows, "window", speed_model(rows))
-    return scored.agg(F.count("*").alias("windows"), *metrics.banded(F.col("prediction")[0] - F.col("target"), {"all": F.lit(True), "fast": F.col("target") > 10}))
-
-
-@query("pipe_11_checkpoints")
-def pipe_11(spark, sf_dir):
-    import numpy as np
-
-    from ..operators.models import Linear, infer
-
-    rows = window_rows(spark, sf_dir)
-    for name, model in (("fitted", speed_model(rows)), ("constant", Linear(np.r_[np.zeros((18, 1)), [[9.0]]]))):
-        part = infer(rows, "window", model).groupBy(F.lit(name).alias("checkpoint")).agg(*metrics.banded(F.col("prediction")[0] - F.col("target"), {"all": F.lit(True)}))
-        rows_out = part if name == "fitted" else rows_out.unionByName(part)
-    return rows_out
-
-
 @query("pipe_12_interval_labels", """, w AS (SELECT drive_id, idx AS last, count(*) OVER o AS n, avg(val) OVER o AS v FROM s WINDOW o AS (PARTITION BY drive_id ORDER BY idx ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)),
     k AS (SELECT *, CASE WHEN last < 20 THEN 'before' WHEN last < 50 THEN 'outage' ELSE 'after' END AS interval FROM w WHERE n = 10 AND (last - 9) % 5 = 0)
     SELECT drive_id, interval, count(*) AS windows, round(avg(v), 6) AS mean, round(max(v), 6) AS peak, round(max_by(v, last), 6) AS last FROM k GROUP BY drive_id, interval""")
