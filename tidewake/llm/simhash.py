@@ -17,8 +17,10 @@ soon as both lie in one known component.
 
 A masked pattern with more than ``BLOCK`` members is dealt into blocks, and
 every pair of blocks is a task of its own, so that no task holds more than two
-blocks however many members a pattern has. Tasks return spanning links, never
-all pairs.
+blocks however many members a pattern has. A pattern of n members is copied
+n / ``BLOCK`` times for that: comparing a crowd with itself stays quadratic at
+the extreme, the price of exact links. Tasks return spanning links, never all
+pairs.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_saved, looked_up, payloads, saved, slices
+from .common import HEAD, drop_saved, looked_up, payloads, saved, slices
 from .components import components
 
 WORDS = 4
@@ -221,12 +223,22 @@ def _pattern(fp: Column, number: int, choice: list[tuple[int, int]]) -> Column:
     return key
 
 
-def links(nodes: DataFrame, count: int, block: int = BLOCK) -> DataFrame:
-    """Spanning links (``src``, ``dst``) between the distinct fingerprints of column ``fp``."""
+def links(nodes: DataFrame, count: int, block: int = BLOCK, head: int = HEAD) -> DataFrame:
+    """Spanning links (``src``, ``dst``) between the distinct fingerprints of column ``fp``.
+
+    The crowded patterns may be many: the ``head`` largest meet their rows in a
+    broadcast of that many rows, the others in a join in which none of them has
+    more than one in ``head`` of the rows.
+    """
     choices = masks(count)
     routed = nodes.select(F.explode(F.array(*[_pattern(F.col("fp"), k, c) for k, c in enumerate(choices)])).alias("key"), "fp")
     hot = routed.groupBy("key").count().where(F.col("count") > block).select("key", F.ceil(F.col("count") / block).alias("blocks"))
-    routed = routed.join(hot, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    hot = saved(hot, "simhash-hot")
+    top = hot.orderBy(F.desc("blocks"), "key").limit(head)  # the heaviest patterns' rows pass without a shuffle, no other is hot
+    marked = routed.join(F.broadcast(top), "key", "left")
+    rest = hot.join(F.broadcast(top.select("key")), "key", "left_anti")
+    far = marked.where(F.col("blocks").isNull()).drop("blocks").join(rest, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    routed = marked.where(F.col("blocks").isNotNull()).unionByName(far)
     own = F.pmod(F.xxhash64(F.lit(7), "fp"), F.col("blocks"))
     pairs = F.when(F.col("blocks") == 1, F.array(F.lit(0).cast("long"))).otherwise(F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda k: F.least(k, own) * F.col("blocks") + F.greatest(k, own)))
     dealt = routed.select("key", F.explode(pairs).alias("pair"), "fp").select(F.xxhash64("key", "pair").alias("cell"), "fp")

@@ -44,17 +44,18 @@ FROM t JOIN g USING (text_sha256)
 
 
 def _hits(kind: secrets.Kind, rank: int) -> str:
-    pattern = quoted(kind.pattern)
+    """A match's place from the gaps and whole matches before it; a whole match may begin with one character that is not its own."""
+    pattern = quoted(f"(?:^|[^{kind.after[1:]})({kind.pattern})" if kind.after else f"({kind.pattern})")
     value = f"regexp_extract(hit, {quoted(kind.value)}, 1)" if kind.value else "hit"
     needs = "".join(f" AND regexp_matches(value, {quoted(n)})" for n in kind.needs)
     return f"""
 SELECT doc_id, owner, repository, start, start + length(hit) AS stop, {rank} AS rank, {quoted(kind.name)} AS kind, {kind.base} AS base, sha256(value) AS hash
 FROM (SELECT doc_id, owner, repository, hit, start, {value} AS value FROM (
     SELECT doc_id, owner, repository, hits[i] AS hit,
-        list_sum(list_transform(gaps[1:i], lambda x: length(x)))::BIGINT + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0)::BIGINT AS start
-    FROM (SELECT doc_id, owner, repository, hits, gaps, unnest(range(1, len(hits) + 1)) AS i FROM (
+        list_sum(list_transform(gaps[1:i], lambda x: length(x)))::BIGINT + list_sum(list_transform(wholes[1:i], lambda x: length(x)))::BIGINT - length(hits[i]) AS start
+    FROM (SELECT doc_id, owner, repository, hits, wholes, gaps, unnest(range(1, len(hits) + 1)) AS i FROM (
         SELECT doc_id, source AS owner, concat_ws('/', source, lang) AS repository,
-            regexp_extract_all(coalesce(text, ''), {pattern}) AS hits, string_split_regex(coalesce(text, ''), {pattern}) AS gaps
+            regexp_extract_all(coalesce(text, ''), {pattern}, 1) AS hits, regexp_extract_all(coalesce(text, ''), {pattern}) AS wholes, string_split_regex(coalesce(text, ''), {pattern}) AS gaps
         FROM documents))))
 WHERE length(value) >= {kind.least}{needs}"""
 
@@ -62,7 +63,7 @@ WHERE length(value) >= {kind.least}{needs}"""
 OP4 = f"""
 WITH hits AS ({" UNION ALL ".join(_hits(k, rank) for rank, k in enumerate(secrets.KINDS))}),
 owned AS (SELECT hash, count(DISTINCT coalesce(owner, '\x01')) AS owners, count(DISTINCT (coalesce(owner, '\x01'), repository)) AS repositories FROM hits GROUP BY hash),
-rated AS (SELECT hits.*, owners = 1 OR (owners < {secrets.COPIED} AND repositories < {secrets.SPREAD}) AS live, repositories, concat_ws(':', kind, start, stop) AS span FROM hits JOIN owned USING (hash)),
+rated AS (SELECT hits.*, owners < {secrets.COPIED} AND repositories < {secrets.SPREAD} AS live, repositories, concat_ws(':', kind, start, stop) AS span FROM hits JOIN owned USING (hash)),
 spans AS (
     SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
         coalesce(string_agg(span, ',' ORDER BY start, rank) FILTER (base), '') AS base,
