@@ -8,6 +8,7 @@ from ..operators import estimators, recordings
 from ..operators.simulate import BASELINES, Config
 from ..plans import prepare, scenarios
 from ..session import by_time, stream, table
+from ..shared import new_path
 from ..sources import synthetic
 from ..streaming import live
 from . import query
@@ -169,10 +170,10 @@ def _events_stream(spark, sf_dir):
 
 
 def _answer(spark, query_df, name, mode):
-    from .sources import _folder
-
-    live.run_available(query_df, name, f"{_folder(spark)}/{name}", mode)
-    return spark.table(name)
+    """The stream's answer as files, read back."""
+    folder = new_path(spark, name)
+    live.run_available(query_df, f"{folder}/out", f"{folder}/state", mode)
+    return spark.read.schema(query_df.schema).parquet(f"{folder}/out")
 
 
 @query("str_04_tumbling", "SELECT user_id AS drive_id, epoch_us(date_trunc('day', ts)) // 1000000 AS day, count(*) AS n FROM events GROUP BY 1, 2", stream=False)

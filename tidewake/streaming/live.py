@@ -101,10 +101,13 @@ def sliding(frames: DataFrame, time: str = "ts", size: str = "5 seconds", step:
     return frames.withWatermark(time, late).groupBy(F.window(time, size, step), "drive_id").agg(F.avg("speed").alias("speed"), F.count("*").alias("n"))
 
 
-def run_available(stream: DataFrame, table: str, checkpoint: str, mode: str = "append") -> None:
-    """Process what is there, exactly once, into an in-memory table of the session (tests and replays)."""
-    query = stream.writeStream.format("memory").queryName(table).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
+def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
+    """Process what is there, exactly once, into Parquet files: appended, or with mode ``complete`` the whole answer anew each batch."""
+    if mode == "append":
+        write_stream(stream, path, checkpoint, None).awaitTermination()
+        return
+    keep = lambda batch, number: batch.write.mode("overwrite").parquet(path)
+    stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
 def write_stream(stream: DataFrame, path: str, checkpoint: str, interval: str | None = "1 second"):
