@@ -1,16 +1,18 @@
-"""Ordered folds over a group: sort, collect once, fold in the JVM.
+"""Ordered folds over groups: ``fold`` returns one value a group, ``scan`` rows for every row.
 
-A fold's group is one drive's (or session's) rows; split long recordings by
-session first. State is a struct. ``fold`` returns one value a group, ``scan``
-rows for every row.
+``fold`` sorts a group's rows as one array and folds it in the JVM. ``scan``
+streams sorted rows through a state machine.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 
 def fold(df: DataFrame, keys: list[str], order: list[str], values: list[str], initial: Column, step: Callable[[Column, Column], Column], finish: Callable[[Column], Column]) -> DataFrame:
@@ -20,42 +22,29 @@ def fold(df: DataFrame, keys: list[str], order: list[str], values: list[str], in
     return grouped.select(*keys, F.aggregate("_rows", initial, step, finish).alias("out"))
 
 
-def bound(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)`` with ``value`` bound as a lambda's variable: worked out once however often it is used."""
-    return F.transform(F.array(value), use)[0]
+def scan(df: DataFrame, keys: list[str], order: list[str], values: list[str], machine: Callable[[], Callable[..., Iterable[tuple]]], out: str) -> DataFrame:
+    """Rows from a state machine run over every group in order: ``keys`` and the columns ``out`` (a schema).
 
-
-def scan(df: DataFrame, keys: list[str], order: list[str], values: list[str], initial: Column, step: Callable[[Column, Column], Column], emit: Callable[[Column, Column, Column], Column]) -> DataFrame:
-    """Rows from every step of a fold: ``emit(state before, row, state after)`` is an array of structs.
-
-    A growing list must not be copied at every row. The rows are cut into
-    blocks of about the square root of their number; a first fold, without
-    outputs, notes the state at which each block begins; then every block
-    lists its own outputs from there.
+    ``machine()`` makes a fresh step for a group; ``step(*order, *values)``
+    takes a row, with nulls as None, and returns any number of output rows.
+    Groups are dealt by key and sorted; a task streams its rows through in
+    Arrow batches and carries the state from one batch to the next, so time is
+    linear and no group is held in memory.
     """
-    rows = F.sort_array(F.collect_list(F.struct(*order, *[v for v in values if v not in order])))
-    grouped = df.groupBy(*keys).agg(rows.alias("_rows"))
-    width = F.ceil(F.sqrt(F.size("_rows").cast("double"))).cast("int")
-    blocks = F.transform(F.sequence(F.lit(0), F.ceil(F.size("_rows") / width).cast("int") - 1), lambda k: F.slice("_rows", k * width + 1, width))
-    empty = lambda array: F.filter(array, lambda _: F.lit(False))
-
-    def border(acc: Column, block: Column) -> Column:
-        return bound(F.aggregate(block, acc["now"], step), lambda now: F.struct(now.alias("now"), F.concat(acc["seen"], F.array(acc["now"])).alias("seen")))
-
-    def listed(block: Column, first: Column) -> Column:
-        none = empty(emit(first, block[0], first))
-
-        def grown(acc: Column, x: Column) -> Column:
-            return bound(step(acc["now"], x), lambda now: F.struct(now.alias("now"), F.concat(acc["out"], emit(acc["now"], x, now)).alias("out")))
-
-        return F.aggregate(block, F.struct(first.alias("now"), none.alias("out")), grown, lambda acc: acc["out"])
-
-    staged = grouped.select(*keys, blocks.alias("_blocks"))
-    start = F.struct(initial.alias("now"), empty(F.array(initial)).alias("seen"))
-    staged = staged.select(*keys, "_blocks", F.aggregate("_blocks", start, border, lambda acc: acc["seen"]).alias("_seen"))
-    out = F.flatten(F.transform("_blocks", lambda block, k: listed(block, F.get("_seen", k))))
-    return exploded(staged.select(*keys, out.alias("out")), keys)
-
-
-def exploded(df: DataFrame, keys: list[str], out: str = "out") -> DataFrame:
-    return df.select(*keys, F.explode(out).alias("_o")).select(*keys, "_o.*")
+    columns = [*keys, *order, *[v for v in values if v not in order]]
+    kinds = StructType([df.schema[k] for k in keys] + StructType.fromDDL(out).fields)
+    arrow, held = to_arrow_schema(kinds), len(keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, step = None, None
+        for batch in batches:
+            found = []
+            for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                key = row[:held]
+                if step is None or key != current:
+                    current, step = key, machine()
+                found += [key + item for item in step(*row[held:])]
+            columns_out = zip(*found, strict=True) if found else [[]] * len(arrow)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns_out, arrow, strict=True)], schema=arrow)
+
+    return df.select(*columns).repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, kinds)

@@ -1,16 +1,18 @@
 """State machines over ordered rows.
 
 Machines whose state resets at row-local conditions are gaps and islands
-(window functions); those whose next state depends on the last one are folds.
+(window functions); those whose next state depends on the last one are scans.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.motion import GRAVITY, norm
-from .fold import bound, fold, scan
+from .fold import fold, scan
 
 
 def stationary_statistics(df: DataFrame, order: WindowSpec, rows: int = 10) -> DataFrame:
@@ -54,35 +56,33 @@ def trust(fixes: DataFrame, keys: list[str], alpha: float = 0.25, most_accuracy:
     comparison. A null or zero accuracy is ``unknown`` metres.
     """
     values = ["east", "north", "accuracy", "pred_e", "pred_n", "var_e", "var_n", "cov_en", "inertial"]
-    d = lambda v: F.lit(v).cast("double")
-    start = F.struct(d(1.0).alias("score"), d(None).alias("e"), d(None).alias("n"), d(None).alias("t"), F.lit(0).alias("rejected"), F.lit("").alias("status"))
-
-    def measured(s: Column, x: Column) -> Column:
-        """Whether the fix is poor or jumps, and its distance from the prediction in deviations."""
-        moved = F.hypot(x["east"] - s["e"], x["north"] - s["n"])
-        jump = (moved > most_jump) & (moved / F.greatest(x["t"] - s["t"], d(1e-3)) > x["inertial"] * 2.5 + 15.0)
-        own = F.when(x["accuracy"] != 0, x["accuracy"]).otherwise(unknown)
-        a, b, c = x["var_e"] + own * own, x["cov_en"], x["var_n"] + own * own
-        de, dn = x["east"] - x["pred_e"], x["north"] - x["pred_n"]
-        distance = F.sqrt(F.greatest(d(0.0), (c * de * de - 2 * b * de * dn + a * dn * dn) / (a * c - b * b)))
-        return F.struct(F.coalesce(x["accuracy"] > most_accuracy, F.lit(False)).alias("poor"), F.coalesce(jump, F.lit(False)).alias("jump"), distance.alias("distance"))
-
-    def judged(s: Column, m: Column) -> Column:
-        outside = m["distance"] > gate
-        return F.when(m["poor"], "poor").when(m["jump"], "jump").when(outside & (s["rejected"] > forced), "forced").when(outside, "outside").otherwise("passed")
 
-    def moved_on(s: Column, x: Column, m: Column, case: Column) -> Column:
-        status = F.when(case.isin("poor", "forced"), DEGRADED).when(case == "jump", JUMP).when(case == "outside", F.when(m["distance"] > 6.0, SPOOFED).otherwise(JUMP)).otherwise(TRUSTED)
-        target = F.when(case == "poor", 0.2).when(case == "jump", 0.0).when(case == "forced", 0.5).when(case == "outside", F.greatest(d(0.0), 1.0 - (m["distance"] - gate) * 0.2)).otherwise(1.0)
-        score = F.greatest(d(0.0), F.least(d(1.0), s["score"] * (1 - alpha) + alpha * target))
-        rejected = F.when(case == "passed", 0).when(case == "forced", s["rejected"]).otherwise(s["rejected"] + 1)
-        keep = lambda new, old: F.when(case == "passed", new).otherwise(old)
-        return F.struct(score.alias("score"), keep(x["east"], s["e"]).alias("e"), keep(x["north"], s["n"]).alias("n"), keep(x["t"], s["t"]).alias("t"), rejected.alias("rejected"), status.alias("status"))
-
-    def step(s: Column, x: Column) -> Column:
-        return bound(measured(s, x), lambda m: bound(judged(s, m), lambda case: moved_on(s, x, m, case)))
-
-    return scan(fixes, keys, ["t", "event_id"], values, start, step, lambda s, x, now: F.array(F.struct(x["event_id"].alias("event_id"), now["status"].alias("status"), now["score"].alias("score"))))
+    def machine():
+        score, good, rejected = 1.0, None, 0
+
+        def step(t, event, east, north, accuracy, pred_e, pred_n, var_e, var_n, cov, inertial):
+            nonlocal score, good, rejected
+            own = accuracy or unknown
+            a, b, c = var_e + own * own, cov, var_n + own * own
+            de, dn = east - pred_e, north - pred_n
+            far = math.sqrt(max(0.0, (c * de * de - 2 * b * de * dn + a * dn * dn) / (a * c - b * b)))
+            moved = math.hypot(east - good[0], north - good[1]) if good else 0.0
+            if accuracy is not None and accuracy > most_accuracy:
+                status, goal, rejected = DEGRADED, 0.2, rejected + 1
+            elif good and moved > most_jump and moved / max(t - good[2], 1e-3) > inertial * 2.5 + 15.0:
+                status, goal, rejected = JUMP, 0.0, rejected + 1
+            elif far > gate and rejected > forced:
+                status, goal = DEGRADED, 0.5
+            elif far > gate:
+                status, goal, rejected = SPOOFED if far > 6.0 else JUMP, max(0.0, 1.0 - (far - gate) * 0.2), rejected + 1
+            else:
+                status, goal, rejected, good = TRUSTED, 1.0, 0, (east, north, t)
+            score = max(0.0, min(1.0, score * (1 - alpha) + alpha * goal))
+            return ((event, status, score),)
+
+        return step
+
+    return scan(fixes, keys, ["t", "event_id"], values, machine, "event_id long, status string, score double")
 
 
 def ema(df: DataFrame, keys: list[str], value: str, alpha: float, initial: float) -> DataFrame:
@@ -91,30 +91,35 @@ def ema(df: DataFrame, keys: list[str], value: str, alpha: float, initial: float
 
 
 def crashes(df: DataFrame, keys: list[str], impact_g: float = 3.5, surge: float = 250.0, still_speed: float = 1.0, still_seconds: float = 2.0) -> DataFrame:
-    """Fold (t, event_id, g, rate, speed) into a crash state per row: NORMAL, IMPACT, CONFIRMING or CONFIRMED."""
-    d = lambda v: F.lit(v).cast("double")
-    start = F.struct(F.lit("NORMAL").alias("state"), d(0.0).alias("at"), d(0.0).alias("g"), d(0.0).alias("rate"))
-
-    def step(s: Column, x: Column) -> Column:
-        hit = (s["state"] == "NORMAL") & (x["g"] >= impact_g)
-        later = s["state"] == "IMPACT"
-        peak = F.struct(
-            F.when(hit, x["t"]).otherwise(s["at"]).alias("at"),
-            F.when(hit, x["g"]).when(later, F.greatest(s["g"], x["g"])).otherwise(s["g"]).alias("g"),
-            F.when(hit, x["rate"]).when(later, F.greatest(s["rate"], x["rate"])).otherwise(s["rate"]).alias("rate"),
-        )
-
-        def state(p: Column) -> Column:
-            hard = (p["rate"] >= surge) | (p["g"] >= impact_g * 1.5)
-            since = x["t"] - p["at"]
-            weak = F.when(since > 0.5, F.when(p["g"] < impact_g * 1.8, "NORMAL").otherwise("CONFIRMING")).otherwise("IMPACT")
-            mid = F.when(hit, F.when(hard, "CONFIRMING").otherwise("IMPACT")).when(later, F.when(hard, "CONFIRMING").otherwise(weak)).otherwise(s["state"])
-            settled = F.when((x["speed"] > still_speed * 2) & (since > 1.0), "NORMAL").when(since >= still_seconds, F.when(x["speed"] <= still_speed, "CONFIRMED").otherwise("NORMAL")).otherwise("CONFIRMING")
-            return F.when(mid == "CONFIRMING", settled).otherwise(mid)
-
-        return bound(peak, lambda p: F.struct(state(p).alias("state"), p["at"].alias("at"), p["g"].alias("g"), p["rate"].alias("rate")))
-
-    return scan(df, keys, ["t", "event_id"], ["g", "rate", "speed"], start, step, lambda s, x, now: F.array(F.struct(x["event_id"].alias("event_id"), now["state"].alias("state"))))
+    """Crash state per row (t, event_id, g, rate, speed): NORMAL, IMPACT, CONFIRMING or CONFIRMED."""
+
+    def machine():
+        state, at, peak, spin = "NORMAL", 0.0, 0.0, 0.0
+
+        def step(t, event, g, rate, speed):
+            nonlocal state, at, peak, spin
+            hit = state == "NORMAL" and g >= impact_g
+            if hit:
+                at, peak, spin = t, g, rate
+            elif state == "IMPACT":
+                peak, spin = max(peak, g), max(spin, rate)
+            if hit or state == "IMPACT":
+                if spin >= surge or peak >= impact_g * 1.5:
+                    state = "CONFIRMING"
+                elif t - at <= 0.5:
+                    state = "IMPACT"
+                else:
+                    state = "NORMAL" if peak < impact_g * 1.8 else "CONFIRMING"
+            if state == "CONFIRMING":
+                if speed > still_speed * 2 and t - at > 1.0:
+                    state = "NORMAL"
+                elif t - at >= still_seconds:
+                    state = "CONFIRMED" if speed <= still_speed else "NORMAL"
+            return ((event, state),)
+
+        return step
+
+    return scan(df, keys, ["t", "event_id"], ["g", "rate", "speed"], machine, "event_id long, state string")
 
 
 def outages(df: DataFrame, inside: Column, least_seconds: float = 2.0, least_metres: float = 10.0) -> DataFrame:
@@ -164,33 +169,28 @@ def resampled(df: DataFrame, keys: list[str], value: str, period: float = 0.1, s
     before the mean; a longer one marks its row ``restart``. Boundaries follow
     the last emission, so this is a fold.
     """
-    d = lambda v: F.lit(v).cast("double")
-    start = F.struct(d(None).alias("at"), d(None).alias("last"), d(0.0).alias("total"), F.lit(0).alias("n"), F.lit(False).alias("emits"))
 
-    def step(s: Column, x: Column) -> Column:
-        first = s["at"].isNull()
-        emit = first | (x["t"] - s["at"] >= period * (1 - slack))
-        total, n = s["total"] + x[value], s["n"] + 1
-        mean = F.when(first, x[value]).otherwise(total / n)
-        keep = lambda new, old: F.when(emit, new).otherwise(old)
-        return F.struct(keep(x["t"], s["at"]).alias("at"), keep(mean, s["last"]).alias("last"), keep(d(0.0), total).alias("total"), keep(F.lit(0), n).alias("n"), emit.alias("emits"))
+    def machine():
+        at, last, total, n = None, None, 0.0, 0
 
-    def emitted(s: Column, x: Column, now: Column) -> Column:
-        dt = x["t"] - s["at"]
-        gap = (dt >= 1.8 * period) & (dt <= most_gap)
-        steps = F.when(gap, F.rint(dt / period)).otherwise(1).cast("int")
+        def step(t, event, x):
+            nonlocal at, last, total, n
+            total, n = total + x, n + 1
+            if at is None:
+                at, last, total, n = t, x, 0.0, 0
+                return ((t, x, False, False),)
+            dt = t - at
+            if dt < period * (1 - slack):
+                return ()
+            before, mean = last, total / n
+            steps = round(dt / period) if 1.8 * period <= dt <= most_gap else 1
+            out = [(at + dt * k / steps, before + (mean - before) * k / steps, True, False) for k in range(1, steps)]
+            at, last, total, n = t, mean, 0.0, 0
+            return (*out, (t, mean, False, dt > most_gap))
 
-        def at(k: Column, n: Column) -> Column:
-            end = k == n
-            share = k / n
-            return F.struct(
-                F.when(end, x["t"]).otherwise(s["at"] + dt * share).alias("t"), F.when(end, now["last"]).otherwise(s["last"] + (now["last"] - s["last"]) * share).alias("value"),
-                (~end).alias("filled"), F.coalesce(dt > most_gap, F.lit(False)).alias("restart"),
-            )
+        return step
 
-        return F.when(now["emits"], bound(steps, lambda n: F.transform(F.sequence(F.lit(1), n), lambda k: at(k, n)))).otherwise(F.filter(F.array(at(F.lit(1), F.lit(1))), lambda _: F.lit(False)))
-
-    return scan(df, keys, ["t", "event_id"], [value], start, step, emitted)
+    return scan(df, keys, ["t", "event_id"], [value], machine, "t double, value double, filled boolean, restart boolean")
 
 
 def triggered(samples: DataFrame, keys: list[str], ring: int = 50, every: int = 10) -> DataFrame:
@@ -209,16 +209,17 @@ def triggered(samples: DataFrame, keys: list[str], ring: int = 50, every: int =
 
 def thinned(df: DataFrame, keys: list[str], least: float, throttle: bool = False) -> DataFrame:
     """Rows kept greedily: the first, then each that is ``least`` away from the last kept one (metres, or seconds with ``throttle``)."""
-    d = lambda v: F.lit(v).cast("double")
-    start = F.struct(d(None).alias("a"), d(None).alias("b"), F.lit(False).alias("kept"))
 
-    def step(s: Column, x: Column) -> Column:
-        away = (x["t"] - s["a"]) if throttle else F.hypot(x["east"] - s["a"], x["north"] - s["b"])
-        keep = s["a"].isNull() | (away >= least)
-        a, b = (x["t"], d(0.0)) if throttle else (x["east"], x["north"])
-        return F.struct(F.when(keep, a).otherwise(s["a"]).alias("a"), F.when(keep, b).otherwise(s["b"]).alias("b"), keep.alias("kept"))
+    def machine():
+        last = None
+
+        def step(t, event, east=0.0, north=0.0):
+            nonlocal last
+            if last is not None and (t - last[0] if throttle else math.hypot(east - last[1], north - last[2])) < least:
+                return ()
+            last = t, east, north
+            return ((event,),)
 
-    def emitted(s: Column, x: Column, now: Column) -> Column:
-        return F.filter(F.array(F.struct(x["event_id"].alias("event_id"), now["kept"].alias("kept"))), lambda r: r["kept"])
+        return step
 
-    return scan(df, keys, ["t", "event_id"], [] if throttle else ["east", "north"], start, step, emitted).drop("kept")
+    return scan(df, keys, ["t", "event_id"], [] if throttle else ["east", "north"], machine, "event_id long")

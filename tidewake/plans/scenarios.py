@@ -6,13 +6,16 @@ meet it in an equi-join on the drive with a range condition on the row number.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.estimators import order, with_steps
-from ..operators.fold import bound, scan
+from ..operators.fold import scan
+from ..operators.numbering import numbered
+from ..shared import saved
 
 
 def outages(df: DataFrame, length: int, first: int, every: int, least_metres: float) -> DataFrame:
@@ -62,17 +65,20 @@ def picked(windows: DataFrame, rules: dict[str, str] = REGIMES) -> DataFrame:
     """Per drive and length the first window of each regime: each window takes the first of its regimes that is still free."""
     fits = F.array_compact(F.array(*[F.when(F.expr(rule), F.lit(name)) for name, rule in rules.items()]))
     rows = windows.withColumn("fits", fits)
-    start = F.struct(F.array().cast("array<string>").alias("seen"), F.lit(None).cast("string").alias("regime"))
 
-    def step(s: Column, x: Column) -> Column:
-        regime = F.try_element_at(F.filter(x["fits"], lambda r: ~F.array_contains(s["seen"], r)), F.lit(1))
-        return bound(regime, lambda r: F.struct(F.when(r.isNull(), s["seen"]).otherwise(F.array_append(s["seen"], r)).alias("seen"), r.alias("regime")))  # at most one a rule
+    def machine():
+        seen = set()
 
-    def emitted(s: Column, x: Column, now: Column) -> Column:
-        row = F.struct(x["first"].alias("first"), now["regime"].alias("regime"), x["mean"].alias("mean"), x["dist"].alias("dist"))
-        return F.filter(F.array(row), lambda r: r["regime"].isNotNull())
+        def step(first, fits, mean, dist):
+            regime = next((r for r in fits if r not in seen), None)
+            if regime is None:
+                return ()
+            seen.add(regime)
+            return ((first, regime, mean, dist),)
 
-    return scan(rows, ["drive_id", "length"], ["first"], ["fits", "mean", "dist"], start, step, emitted)
+        return step
+
+    return scan(rows, ["drive_id", "length"], ["first"], ["fits", "mean", "dist"], machine, "first long, regime string, mean double, dist double")
 
 
 def grid(scenarios: DataFrame, configs: DataFrame) -> DataFrame:
@@ -89,16 +95,36 @@ def samples_of(scenarios: DataFrame, samples: DataFrame, before: int = 0, after:
     return rows.select("s.*", *extra, ((x >= s) & (x < F.col("s.last"))).alias("inside"))
 
 
-def perturbed(scenarios: DataFrame, target: int, seed: int = 42) -> DataFrame:
-    """Copies with uniform accelerometer and gyro biases, round after round, until ``target`` rows are there."""
-    n = scenarios.count()
-    if not n or n >= target:
-        return scenarios.select("*", F.lit(0).alias("copy"), F.lit(0.0).alias("acc_bias"), F.lit(0.0).alias("gyro_bias"))
-    copies = scenarios.select("*", F.explode(F.sequence(F.lit(0), F.lit(-(-target // n) - 1))).alias("copy"))
-    number = F.row_number().over(Window.orderBy("copy", "drive_id", "first"))
-    # a scenario table is a study's size, thousands of rows: one ordering of it is cheap
-    bias = lambda span, k: F.when(F.col("copy") == 0, 0.0).otherwise((F.rand(seed + k) * 2 - 1) * span)
-    return copies.withColumn("_n", number).where(F.col("_n") <= target).drop("_n").withColumns({"acc_bias": bias(0.3, 0), "gyro_bias": bias(0.01, 1)})
+def drawn(seed: int, name: str, *keys) -> Column:
+    """A number in (0, 1) that follows from the seed and the row's own keys, not from its place among partitions."""
+    return (F.pmod(F.xxhash64(F.lit(seed), F.lit(name), *keys), F.lit(1 << 53).cast("long")) + 0.5) / float(1 << 53)
+
+
+def normal(seed: int, name: str, *keys) -> Column:
+    """A standard normal number of the same kind (Box and Muller)."""
+    return F.sqrt(-2 * F.log(drawn(seed, name + "|u", *keys))) * F.cos(2 * math.pi * drawn(seed, name + "|v", *keys))
+
+
+def perturbed(scenarios: DataFrame, target: int, seed: int = 42, acc_span: float = 0.3, gyro_span: float = 0.01) -> DataFrame:
+    """Copies with uniform accelerometer and gyro biases, round after round, until ``target`` rows are there.
+
+    Copy 0 is the scenario itself. The first rows in the order (drive, first)
+    get one copy more than the others. Places come from sorted ranges and
+    prefix counts, so no step sees all scenarios in one task; as many as there
+    are or none at all stay as they are.
+    """
+    placed = numbered(saved(scenarios, "scenarios"), [], ["drive_id", "first"], "_idx", "_all")
+    copies = F.greatest(F.floor((F.lit(target) - F.col("_idx") - 1) / F.col("_all")) + 1, F.lit(1))
+    rows = placed.withColumn("copy", F.explode(F.sequence(F.lit(0), (copies - 1).cast("int")))).drop("_idx", "_all")
+    bias = lambda span, name: F.when(F.col("copy") == 0, 0.0).otherwise((drawn(seed, name, "drive_id", "first", "copy") * 2 - 1) * span)
+    return rows.withColumns({"acc_bias": bias(acc_span, "acc"), "gyro_bias": bias(gyro_span, "gyro")})
+
+
+def disturbed(samples: DataFrame, seed: int = 42, acc_noise: float = 0.05, gyro_noise: float = 0.002) -> DataFrame:
+    """Samples of perturbed scenarios (:func:`samples_of`) with their copy's biases and white noise on the channels, copy 0 as it is."""
+    keys = ("drive_id", "first", "copy", "idx")
+    noise = lambda c, bias, size: F.col(c) + F.when(F.col("copy") == 0, 0.0).otherwise(F.col(bias) + size * normal(seed, c, *keys))
+    return samples.withColumns({c: noise(c, "acc_bias", acc_noise) for c in ("ax", "ay", "az")} | {c: noise(c, "gyro_bias", gyro_noise) for c in ("gx", "gy", "gz")})
 
 
 def grouped(df: DataFrame, sets: list[list[str]], *aggregates: Column) -> DataFrame:

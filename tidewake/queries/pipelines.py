@@ -60,10 +60,28 @@ def pipe_05(spark, sf_dir):
     return scenarios.grouped(found, [["config"], []], F.count("*").alias("n"), F.round(F.percentile("drift", F.lit(0.5)), 3).alias("median"))
 
 
-@query("pipe_06_perturbation")
+_PERTURBED = """, b AS (SELECT drive_id, idx, east, north, count(*) OVER (PARTITION BY drive_id) AS n, sqrt(pow(east - lag(east) OVER o, 2) + pow(north - lag(north) OVER o, 2)) AS step FROM s WINDOW o AS (PARTITION BY drive_id ORDER BY t, event_id)),
+d AS (SELECT *, sum(step) OVER (PARTITION BY drive_id ORDER BY idx ROWS BETWEEN 1 FOLLOWING AND 9 FOLLOWING) AS dist FROM b),
+p AS (SELECT drive_id, idx AS first, row_number() OVER (ORDER BY drive_id, idx) - 1 AS place, count(*) OVER () AS n FROM d WHERE idx >= 5 AND idx % 5 = 0 AND idx + 10 <= n AND dist >= 30)
+SELECT drive_id, first, copy, copy = 0 AS plain FROM (SELECT *, unnest(range(greatest(1, (3000 - place - 1) // n + 1))) AS copy FROM p WHERE place < 3000 OR n >= 3000)"""
+
+
+@query("pipe_06_perturbation", _PERTURBED)
 def pipe_06(spark, sf_dir):
-    found = scenarios.outages(stream(spark, sf_dir), 10, 5, 5, 30.0)
-    return scenarios.perturbed(found, found.count() + 50).groupBy("copy").agg(F.count("*").alias("n"))
+    """Every scenario, copied with biases until there are 3,000."""
+    found = scenarios.perturbed(scenarios.outages(stream(spark, sf_dir), 10, 5, 5, 30.0), 3000)
+    return found.select("drive_id", F.col("first").cast("long").alias("first"), F.col("copy").cast("long").alias("copy"), ((F.col("acc_bias") == 0) & (F.col("gyro_bias") == 0)).alias("plain"))
+
+
+@query("pipe_06_white_noise")
+def pipe_06_noise(spark, sf_dir):
+    """What the perturbation adds to each channel of the copies' samples: mean and deviation."""
+    rows = stream(spark, sf_dir).withColumn("idx", F.row_number().over(by_time()) - 1)
+    copies = scenarios.perturbed(scenarios.outages(stream(spark, sf_dir), 10, 5, 5, 30.0), 3000)
+    names = ("ax", "ay", "az", "gx", "gy", "gz")
+    met = scenarios.samples_of(copies, rows.select("drive_id", "idx", *names))
+    both = scenarios.disturbed(met.withColumns({f"{c}0": F.col(c) for c in names})).where("copy > 0")
+    return both.agg(F.count("*").alias("n"), *[F.round(f(F.col(c) - F.col(f"{c}0") - F.col("acc_bias" if c[0] == "a" else "gyro_bias")), 5).alias(f"{c}_{k}") for c in names for k, f in (("mean", F.avg), ("std", F.stddev_pop))])
 
 
 @query("pipe_07_audited_evaluation", "SELECT true AS hidden_inside, count(*) AS rows FROM s")
