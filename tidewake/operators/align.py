@@ -7,11 +7,15 @@ here is a range join.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .fold import scan
+
 
 def filled(df: DataFrame, value: str, position: str, keys: list[str]) -> DataFrame:
     """Nulls filled linearly by row position; leading ones take the next value, trailing ones the last."""
@@ -73,13 +77,71 @@ def latest(left: DataFrame, right: DataFrame, columns: list[str], key: str = "dr
     return both.select(*left.columns, *[F.when(fresh, F.col(f"_fix.{c}")).alias(c) for c in columns], age.alias("age"))
 
 
+def fresh(frames: DataFrame, keys: list[str], time_slack: float = 1e-4, place_slack: float = 1e-9) -> DataFrame:
+    """Per frame (t, event_id, fix_t, lat, lon, denied) whether its fix is a new one: (keys, ``event_id``, ``fresh``).
+
+    A fix is repeated in frames until the receiver has another. New is what
+    differs from the last fix that was taken as new, in its time or its place;
+    a fix without a time is told by its place. Frames without a finite place,
+    and denied ones, have none and change nothing.
+    """
+
+    def machine():
+        last = None
+
+        def step(t, event, fix_t, lat, lon, denied):
+            nonlocal last
+            if denied or lat is None or lon is None or not (math.isfinite(lat) and math.isfinite(lon)):
+                return ((event, False),)
+            timed = last is not None and fix_t is not None and last[0] is not None
+            new = last is None or (timed and abs(fix_t - last[0]) > time_slack) or abs(lat - last[1]) > place_slack or abs(lon - last[2]) > place_slack
+            if new:
+                last = fix_t, lat, lon
+            return ((event, new),)
+
+        return step
+
+    return scan(frames, keys, ["t", "event_id"], ["fix_t", "lat", "lon", "denied"], machine, "event_id long, fresh boolean")
+
+
+def lag_correlations(p: np.ndarray, v: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Correlation of p[k] with v[k - m] over the points that both have, for every lag m from -most to most at once.
+
+    NaN marks points without a value. Sums, squares and products over the
+    overlap of each lag are correlations themselves, all by FFT. Returns
+    (correlation, overlapping points, variance of v in the overlap).
+    """
+    shift = lambda x: np.nan_to_num(x - np.nanmean(x)) if np.isfinite(x).any() else np.zeros_like(x)
+    a, b, ka, kb = shift(p), shift(v), np.isfinite(p).astype(float), np.isfinite(v).astype(float)
+    size = 1 << (len(a) + len(b) + 2 * most).bit_length()
+    fft = {name: np.fft.rfft(x, size) for name, x in {"a": a, "aa": a * a, "ka": ka, "b": b, "bb": b * b, "kb": kb}.items()}
+    lags = np.arange(-most, most + 1)
+    of = lambda x, y: np.fft.irfft(fft[x] * np.conj(fft[y]), size)[lags % size]
+    n = np.rint(of("ka", "kb"))
+    some = np.maximum(n, 1)
+    ma, mb = of("a", "kb") / some, of("ka", "b") / some
+    va, vb = of("aa", "kb") / some - ma**2, of("ka", "bb") / some - mb**2
+    r = (of("a", "b") / some - ma * mb) / np.sqrt(np.maximum(va * vb, 1e-30))
+    return np.where((va > 1e-8) & (vb > 1e-8), r, -2.0), n, vb
+
+
+def on_grid(t: np.ndarray, x: np.ndarray, step: float) -> np.ndarray:
+    """A signal at its first time and every ``step`` after it, linear between its values; NaN values are left out."""
+    known = np.isfinite(x)
+    at = t[0] + step * np.arange(int(np.floor((t[-1] - t[0]) / step + 1e-6)) + 1)
+    if not known.any():
+        return np.full(len(at), np.nan)
+    return np.where((at >= t[known][0] - 1e-9) & (at <= t[known][-1] + 1e-9), np.interp(at, t[known], x[known]), np.nan)
+
+
 def clock_offsets(phone: DataFrame, vehicle: DataFrame, window: float = 60.0, step: float = 0.1, least: int = 50) -> DataFrame:
     """Per drive the clock offset (``tau``), the nominal one (``tau0``) and their correlation (``r``).
 
-    Both tables have drive_id, t and speed. Offsets around the difference of
-    the first times are tried; one needs over ``least`` overlapping samples
-    and a vehicle speed that varies, and a strictly better correlation. All
-    offsets of a drive are evaluated at once as a matrix, in one grouped map.
+    Both tables have drive_id, t and speed. Offsets up to ``window`` seconds
+    around the difference of the first times are tried; one needs over
+    ``least`` overlapping points and speeds that vary. Both signals are put on
+    a grid of ``step`` seconds and all offsets are evaluated at once by FFT; of
+    equal ones the nominal offset is taken, then the smallest.
     """
 
     def search(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
@@ -87,26 +149,17 @@ def clock_offsets(phone: DataFrame, vehicle: DataFrame, window: float = 60.0, st
         if not len(a) or not len(b):
             return pd.DataFrame({"drive_id": [key[0]], "tau": [0.0], "tau0": [0.0], "r": [0.0]})
         tp, tv, sp, sv = (x.to_numpy(float) for x in (a["t"], b["t"], a["speed"], b["speed"]))
-        tau0 = best = tp[0] - tv[0]
-        score = -1.0
-        valid, known = ~np.isnan(sp), ~np.isnan(sv)
-        if valid.sum() < 50 or known.sum() < 50 or np.std(sp[valid]) < 1e-3:
+        tau0, most = tp[0] - tv[0], int(round(window / step))
+        valid = np.isfinite(sp)
+        if valid.sum() < least or np.isfinite(sv).sum() < least or np.std(sp[valid]) < 1e-3:
             return pd.DataFrame({"drive_id": [key[0]], "tau": [tau0], "tau0": [tau0], "r": [1.0]})
-        tp, sp = tp[valid], sp[valid]
-        taus = np.r_[tau0, tau0 - window + step * np.arange(int(round(2 * window / step)) + 1)]
-        for block in np.array_split(taus, max(1, len(taus) * len(tp) // 4_000_000)):
-            at = tp[None, :] - block[:, None]
-            inside = (at >= tv[0]) & (at <= tv[-1])
-            v = np.where(inside, np.interp(at, tv, sv), 0.0)
-            p = np.where(inside, sp, 0.0)
-            n = inside.sum(1)
-            mean = lambda x, n=n: x.sum(1) / np.maximum(n, 1)
-            vp, vv, pp = mean(v * p) - mean(v) * mean(p), mean(v * v) - mean(v) ** 2, mean(p * p) - mean(p) ** 2
-            r = np.where((n > least) & (vv > 1e-8) & (pp > 0), vp / np.sqrt(np.maximum(vv * pp, 1e-30)), -2.0)
-            k = int(np.argmax(r))
-            if r[k] > score + 1e-12:
-                score, best = float(r[k]), float(block[k])
-        return pd.DataFrame({"drive_id": [key[0]], "tau": [best], "tau0": [tau0], "r": [score]})
+        r, n, _ = lag_correlations(on_grid(tp, sp, step), on_grid(tv, sv, step), most)
+        r = np.where(n > least, r, -2.0)
+        order = np.r_[most, 0:most, most + 1 : 2 * most + 1]  # the nominal offset first
+        best = order[np.flatnonzero(r[order] >= r.max() - 1e-9)[0]]
+        if r[best] <= -1.5:
+            return pd.DataFrame({"drive_id": [key[0]], "tau": [tau0], "tau0": [tau0], "r": [-1.0]})
+        return pd.DataFrame({"drive_id": [key[0]], "tau": [tau0 + (best - most) * step], "tau0": [tau0], "r": [float(r[best])]})
 
     kind = phone.schema["drive_id"].dataType.simpleString()
     return phone.select("drive_id", "t", "speed").groupBy("drive_id").cogroup(vehicle.select("drive_id", "t", "speed").groupBy("drive_id")).applyInPandas(search, f"drive_id {kind}, tau double, tau0 double, r double")

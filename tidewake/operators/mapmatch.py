@@ -10,6 +10,7 @@ cells.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -17,6 +18,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import along
+from ..shared import saved
+from .numbering import numbered
 
 
 def grid_graph(spark, extent: int, step: float) -> tuple[DataFrame, DataFrame]:
@@ -80,36 +83,155 @@ def candidates(points: DataFrame, edges: DataFrame, sigma: float, most: int = 5,
     return found.unionByName(alone.select("*", F.lit(-1).cast("long").alias("edge"), zero.alias("distance"), F.col("x").alias("px"), F.col("y").alias("py"), zero.alias("along"), F.lit(1).alias("rank")))
 
 
-def viterbi(steps: list[np.ndarray], sigma: float, beta: float) -> list[int]:
-    """Best candidate of each step. A step is rows (x, y, edge, px, py, distance, along); the first of equals wins."""
-    emit = lambda c: -0.5 * (c[:, 5] / sigma) ** 2 - math.log(math.sqrt(2 * math.pi) * sigma)
-    score, back = emit(steps[0]), []
-    for a, b in zip(steps[:-1], steps[1:], strict=True):
-        moved = math.hypot(*(b[0, :2] - a[0, :2]))
-        same = a[:, None, 2] == b[None, :, 2]
-        straight = np.hypot(a[:, None, 3] - b[None, :, 3], a[:, None, 4] - b[None, :, 4])
-        routed = np.where(same & (b[None, :, 2] != -1), np.abs(a[:, None, 6] - b[None, :, 6]), straight)
-        move = -(np.abs(moved - routed) + np.where(same, 0.0, 2 * beta)) / beta - math.log(beta)
-        total = score[:, None] + move
-        back.append(total.argmax(0))
-        score = total.max(0) + emit(b)
-    path = [int(score.argmax())]
+#: Log-probabilities are added as whole multiples of this, so that sums are exact in any grouping.
+UNIT = 2.0**-20
+_NEVER = -(1 << 58)
+_COLUMNS = ("x", "y", "edge", "px", "py", "distance", "along")
+
+
+def emission(distance: np.ndarray, sigma: float) -> np.ndarray:
+    return np.rint((-0.5 * (distance / sigma) ** 2 - math.log(math.sqrt(2 * math.pi) * sigma)) / UNIT).astype(np.int64)
+
+
+def transition(a: dict, b: dict, beta: float) -> np.ndarray:
+    """(runs, from, to): what a move between two steps' candidates costs, from the straight and the routed distance."""
+    moved = np.hypot(b["x"][:, 0] - a["x"][:, 0], b["y"][:, 0] - a["y"][:, 0])[:, None, None]
+    pair = lambda c: (a[c][:, :, None], b[c][:, None, :])
+    (ea, eb), (xa, xb), (ya, yb), (la, lb) = (pair(c) for c in ("edge", "px", "py", "along"))
+    same = ea == eb
+    routed = np.where(same & (eb != -1), np.abs(la - lb), np.hypot(xa - xb, ya - yb))
+    return np.rint((-(np.abs(moved - routed) + np.where(same, 0.0, 2 * beta)) / beta - math.log(beta)) / UNIT).astype(np.int64)
+
+
+def forward(c: dict, steps: np.ndarray, ok: np.ndarray, start: np.ndarray, sigma: float, beta: float) -> tuple[np.ndarray, np.ndarray]:
+    """Max-plus products along many runs side by side.
+
+    ``c`` has arrays (runs, length, candidates), ``steps`` the runs' lengths,
+    ``ok`` which candidates exist and ``start`` (runs, entries, candidates) the
+    scores at the first step. Returns the scores at each run's last step and
+    the back-pointers (length, runs, entries, candidates); the first of equal
+    predecessors is taken.
+    """
+    score, back = start, np.zeros((c["x"].shape[1], *start.shape), np.int8)
+    stay = np.broadcast_to(np.arange(start.shape[2], dtype=np.int8), start.shape)
+    for t in range(1, c["x"].shape[1]):
+        a, b = ({k: v[:, t - d] for k, v in c.items()} for d in (1, 0))
+        total = score[:, :, :, None] + transition(a, b, beta)[:, None]
+        new = np.where(ok[:, t], emission(b["distance"], sigma), _NEVER)[:, None] + total.max(2)
+        on = (t < steps)[:, None, None]
+        back[t] = np.where(on, total.argmax(2), stay)
+        score = np.where(on, np.maximum(new, _NEVER), score)
+    return score, back
+
+
+def traced(back: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """The candidates along the paths that end in ``last`` (runs, entries, ends), as (length, runs, entries, ends)."""
+    path = np.empty((len(back), *last.shape), np.int8)
+    path[-1] = last
+    for t in range(len(back) - 1, 0, -1):
+        path[t - 1] = np.take_along_axis(back[t], path[t].astype(np.int64), 2)
+    return path
+
+
+def _packed(pdf: pd.DataFrame) -> tuple[pd.DataFrame, dict, np.ndarray, np.ndarray, tuple]:
+    """A bucket's blocks as padded arrays: the blocks, candidates, lengths, which exist, and each row's place."""
+    run, t, k = pdf["_run"].to_numpy(), pdf["_at"].to_numpy(), pdf["rank"].to_numpy() - 1
+    shape = (run.max() + 1, t.max() + 1, k.max() + 1)
+    c = {name: np.zeros(shape) for name in _COLUMNS}
+    ok = np.zeros(shape, bool)
+    ok[run, t, k] = True
+    for name in _COLUMNS:
+        c[name][run, t, k] = pdf[name]
+    steps = np.zeros(shape[0], np.int64)
+    np.maximum.at(steps, run, t + 1)
+    return pdf.drop_duplicates("_run").sort_values("_run"), c, steps, ok, (run, t, k)
+
+
+def products(c: dict, steps: np.ndarray, ok: np.ndarray, first: np.ndarray, sigma: float, beta: float) -> tuple[np.ndarray, np.ndarray]:
+    """Each block's matrix (entries, ends) of best scores, and for each end the order in which equal entries are taken.
+
+    A block's last step is the next one's first, whose emission only the block
+    before counts; ``first`` marks blocks that begin a track. Of equal paths
+    the one counts that a walk back over the whole track would take: it has the
+    smallest candidates from its end on.
+    """
+    n = ok.shape[2]
+    own = np.where(first[:, None], np.where(ok[:, 0], emission(c["distance"][:, 0], sigma), 0), 0)
+    start = np.where(np.eye(n, dtype=bool)[None] & ok[:, 0, :, None], own[:, :, None], _NEVER)
+    score, back = forward(c, steps, ok, start, sigma, beta)
+    path = traced(back, np.broadcast_to(np.arange(n, dtype=np.int8), score.shape))
+    order = np.zeros(score.shape, np.int64)
+    for t in range(len(path)):
+        value = path[t].astype(np.int64) * n + order
+        order = (value[:, :, None, :] > value[:, None, :, :]).sum(2)
+    return score, order
+
+
+def chained(blocks: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[int, int]]:
+    """(entry, end) of every block of a track, from the blocks' matrices and orders."""
+    n, back = len(blocks[0][0]), []
+    score = np.zeros(n, np.int64)
+    for k, (matrix, order) in enumerate(blocks):
+        total = np.maximum((score[:, None] if k else 0) + matrix, _NEVER)
+        best = total.max(0)
+        back.append(np.where(total == best, order, n * n).argmin(0))
+        score = best
+    end = int(score.argmax())
+    out = []
     for pointers in reversed(back):
-        path.append(int(pointers[path[-1]]))
-    return path[::-1]
-
-
-def matched(points: DataFrame, edges: DataFrame, keys: list[str], order: str = "idx", sigma: float = 10.0, beta: float = 15.0, most: int = 5, point: str = "event_id") -> DataFrame:
-    """Most likely road positions per track: candidates by the grid join, decoding in one grouped map per track."""
-    found = candidates(points.select(*keys, point, order, "x", "y"), edges, sigma, most, point)
-
-    def decode(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([order, point, "rank"])
-        groups = [g for _, g in pdf.groupby([order, point], sort=True)]
-        arrays = [g[["x", "y", "edge", "px", "py", "distance", "along"]].to_numpy(float) for g in groups]
-        rows = [g.iloc[k] for g, k in zip(groups, viterbi(arrays, sigma, beta), strict=True)]
-        return pd.DataFrame(rows)[[*keys, point, order, "edge", "px", "py"]]
-
-    types = {f.name: f.dataType.simpleString() for f in found.schema}
+        out.append((int(pointers[end]), end))
+        end = out[-1][0]
+    return out[::-1]
+
+
+def matched(points: DataFrame, edges: DataFrame, keys: list[str], order: str = "idx", sigma: float = 10.0, beta: float = 15.0, most: int = 5, point: str = "event_id", size: int = 512, bucket: int = 50_000) -> DataFrame:
+    """Most likely road positions per track: candidates by the grid join, Viterbi by blocks of ``size`` steps.
+
+    Blocks are tasks' work, not tracks: first each block's max-plus matrix from
+    its first step's candidates to its last one's, then a short walk over a
+    track's matrices, then each block's path between the two candidates that
+    the walk has chosen. Blocks of about ``bucket`` rows are advanced side by
+    side. Scores are whole numbers and ties are broken by the same rule for
+    every ``size``, so the path does not depend on it.
+    """
+    placed = numbered(saved(points.select(*keys, point, order, "x", "y"), "track-points"), keys, [order, point], "_step", "_n")
+    found = saved(candidates(placed, edges, sigma, most, point), "track-candidates")
+    last = F.greatest(F.col("_n") - 2, F.lit(0))  # the block of a step and, at a block's first step, the one before
+    at = F.floor(F.least(F.col("_step"), last) / size)
+    rows = found.withColumn("_block", F.explode(F.when((F.col("_step") % size == 0) & (F.col("_step") > 0) & (F.col("_step") <= last), F.array(at - 1, at)).otherwise(F.array(at))))
+    many = max(1, -(-rows.count() // bucket))
+    rows = rows.withColumns({"_bucket": F.pmod(F.xxhash64(*keys, "_block"), F.lit(many)), "_at": (F.col("_step") - F.col("_block") * size).cast("int")})
+    names = [*keys, "_block"]
+    types = {f.name: f.dataType.simpleString() for f in rows.schema}
+    declared = ", ".join(f"{c} {types[c]}" for c in names)
+
+    def numbered_runs(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pdf.assign(_run=pdf.groupby(names, dropna=False, sort=False).ngroup())
+
+    def multiply(pdf: pd.DataFrame) -> pd.DataFrame:
+        runs, c, steps, ok, _ = _packed(numbered_runs(pdf))
+        score, tie = products(c, steps, ok, (runs["_block"] == 0).to_numpy(), sigma, beta)
+        full = lambda m, fill: np.pad(m, ((0, 0), (0, most - m.shape[1]), (0, most - m.shape[2])), constant_values=fill).reshape(len(m), -1).tolist()
+        return runs[names].assign(score=full(score, _NEVER), tie=full(tie, most * most))
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_block")
+        square = lambda v: np.asarray(v, np.int64).reshape(most, most)
+        ends = chained([(square(a), square(b)) for a, b in zip(pdf["score"], pdf["tie"], strict=True)])
+        return pdf[names].assign(_entry=[e for e, _ in ends], _end=[e for _, e in ends])
+
+    def follow(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = numbered_runs(pdf)
+        runs, c, steps, ok, (run, t, k) = _packed(pdf)
+        n = ok.shape[2]
+        start = np.where(np.arange(n) == runs["_entry"].to_numpy()[:, None], 0, _NEVER)[:, None]
+        _, back = forward(c, steps, ok, start, sigma, beta)
+        path = traced(back, runs["_end"].to_numpy(np.int8)[:, None, None])[:, :, 0, 0]
+        own = (path[t, run] == k) & ((t < size) | (pdf["_step"] == pdf["_n"] - 1).to_numpy())  # a shared step is the later block's
+        return pdf.loc[own, [*keys, point, order, "edge", "px", "py"]]
+
+    matrices = rows.groupBy("_bucket").applyInPandas(multiply, f"{declared}, score array<long>, tie array<long>")
+    chosen = saved(matrices.groupBy(*keys).applyInPandas(walk, f"{declared}, _entry int, _end int"), "track-blocks")
+    both = rows.alias("r").join(chosen.alias("c"), reduce(lambda a, b: a & b, [F.col(f"r.{k}").eqNullSafe(F.col(f"c.{k}")) for k in names])).select("r.*", "c._entry", "c._end")
     schema = ", ".join(f"{c} {types[c]}" for c in (*keys, point, order, "edge", "px", "py"))
-    return found.groupBy(*keys).applyInPandas(decode, schema)
+    return both.groupBy("_bucket").applyInPandas(follow, schema)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from ..functions import geo
 from ..operators import align, mapmatch, quality
 from ..plans import scenarios
-from ..session import by_time, stream, table
+from ..session import STREAM_SQL, by_time, stream, table
 from . import query
 
 R4 = lambda c: F.round(c, 4)
@@ -38,12 +38,22 @@ def join_02(spark, sf_dir):
     return align.interpolated(imu.select("drive_id", "event_id", "t"), fixes, "val", "v").select("event_id", R4("v").alias("v"))
 
 
-@query("join_03_clock_offset")
+_OFFSETS = """, n AS (SELECT drive_id, idx, val, lead(val, 7) OVER (PARTITION BY drive_id ORDER BY idx) AS shifted FROM s),
+lags AS (SELECT unnest(range(-600, 601)) AS m),
+v AS (SELECT drive_id, idx, shifted AS v FROM n WHERE shifted IS NOT NULL),
+c AS (SELECT p.drive_id, m, corr(p.val, v.v) AS r FROM n p JOIN v USING (drive_id) JOIN lags ON p.idx - v.idx = m GROUP BY p.drive_id, m HAVING count(*) > 50),
+k AS (SELECT drive_id, count(*) AS n, count(shifted) AS known FROM n GROUP BY drive_id),
+b AS (SELECT drive_id, m, r, row_number() OVER (PARTITION BY drive_id ORDER BY round(r, 7) DESC, m <> 0, m) AS place FROM c)
+SELECT drive_id, round(CASE WHEN known < 50 THEN 15 ELSE 15 + coalesce(m, 0) * 0.1 END, 3) AS tau, round(CASE WHEN known < 50 THEN 1.0 ELSE coalesce(r, -1) END, 4) AS r FROM k LEFT JOIN b USING (drive_id) WHERE k.n > 0 AND (place = 1 OR place IS NULL)"""
+
+
+@query("join_03_clock_offset", _OFFSETS)
 def join_03(spark, sf_dir):
+    """Recorded values against the same values seven rows earlier on a clock 15 seconds behind: the offset is found again within a minute."""
     rows = numbered(spark, sf_dir)
-    phone = rows.select("drive_id", (F.col("idx") * 0.1 + 15.0).alias("t"), (10 + 5 * F.sin(F.col("idx") * 0.1 * 0.9)).alias("speed"))
-    vehicle = rows.select("drive_id", (F.col("idx") * 0.1).alias("t"), (10 + 5 * F.sin((F.col("idx") * 0.1 - 1.0) * 0.9)).alias("speed"))
-    return align.clock_offsets(phone, vehicle, 5.0).select("drive_id", F.round("tau", 3).alias("tau"), R4("r").alias("r"))
+    phone = rows.select("drive_id", (F.col("idx") * 0.1 + 15.0).alias("t"), F.col("val").alias("speed"))
+    vehicle = rows.select("drive_id", (F.col("idx") * 0.1).alias("t"), F.lead("val", 7).over(by_time()).alias("speed"))
+    return align.clock_offsets(phone, vehicle).select("drive_id", F.round("tau", 3).alias("tau"), R4("r").alias("r"))
 
 
 @query("join_04_asof_last_value", ", i AS (SELECT * FROM s WHERE kind <> 'view'), v AS (SELECT * FROM s WHERE kind = 'view') SELECT i.event_id, v.event_id AS fix_id, round(v.lat, 6) AS lat, round(i.t - v.t, 3) AS age FROM i ASOF LEFT JOIN v ON i.drive_id = v.drive_id AND i.t >= v.t")
@@ -53,11 +63,21 @@ def join_04(spark, sf_dir):
     return found.select("event_id", "fix_id", F.round("lat", 6).alias("lat"), F.round("age", 3).alias("age"))
 
 
-@query("join_05_freshness", ", d AS (SELECT event_id, CASE WHEN val > 250 THEN lat ELSE 12.9 END AS lat, drive_id, t FROM s WHERE kind = 'view') SELECT event_id, coalesce(abs(lat - lag(lat) OVER o) > 1e-9, true) AS fresh FROM d WINDOW o AS (PARTITION BY drive_id ORDER BY t, event_id)")
+_FRESH = f"""WITH RECURSIVE {STREAM_SQL}, r AS (SELECT drive_id, event_id, idx AS k, kind = 'error' AS denied, CASE WHEN event_id % 11 > 0 THEN floor(t / 86400) * 86400 END AS ft, CASE WHEN kind <> 'click' THEN floor(val / 100) END AS la, CASE WHEN event_id % 13 > 0 THEN 77.5 ELSE 77.6 END::DOUBLE AS lo FROM s),
+x AS (SELECT *, NOT denied AND la IS NOT NULL AS usable FROM r),
+f AS (SELECT drive_id, k, event_id, usable AS fresh, usable AS some, CASE WHEN usable THEN ft END AS ft, CASE WHEN usable THEN la END AS la, CASE WHEN usable THEN lo END AS lo FROM x WHERE k = 0
+UNION ALL SELECT x.drive_id, x.k, x.event_id, x.usable AND (NOT f.some OR coalesce(abs(x.ft - f.ft) > 1e-4, false) OR x.la <> f.la OR x.lo <> f.lo) AS fr, f.some OR fr, CASE WHEN fr THEN x.ft ELSE f.ft END, CASE WHEN fr THEN x.la ELSE f.la END, CASE WHEN fr THEN x.lo ELSE f.lo END FROM f JOIN x ON x.drive_id = f.drive_id AND x.k = f.k + 1)
+SELECT event_id, fresh FROM f"""
+
+
+@query("join_05_freshness", _FRESH, stream=False)
 def join_05(spark, sf_dir):
-    _, fixes = imu_and_fixes(spark, sf_dir)
-    lat = F.when(F.col("val") > 250, F.col("lat")).otherwise(12.9)
-    return fixes.withColumn("lat", lat).select("event_id", F.coalesce(F.abs(F.col("lat") - F.lag("lat").over(by_time())) > 1e-9, F.lit(True)).alias("fresh"))
+    """Frames with repeated fixes, some without a time, some denied: which bring a new one."""
+    rows = stream(spark, sf_dir)
+    fix_t = F.when(F.col("event_id") % 11 > 0, F.floor(F.col("t") / 86_400) * 86_400.0)
+    lat = F.when(F.col("kind") != "click", F.floor(F.col("val") / 100).cast("double"))
+    frames = rows.select("drive_id", "event_id", "t", fix_t.alias("fix_t"), lat.alias("lat"), F.when(F.col("event_id") % 13 > 0, 77.5).otherwise(77.6).alias("lon"), (F.col("kind") == "error").alias("denied"))
+    return align.fresh(frames, ["drive_id"]).select("event_id", "fresh")
 
 
 @query("join_06_staleness", ", i AS (SELECT * FROM s WHERE kind <> 'view'), v AS (SELECT * FROM s WHERE kind = 'view') SELECT i.event_id, coalesce(i.t - v.t <= 21600, false) AS valid FROM i ASOF LEFT JOIN v ON i.drive_id = v.drive_id AND i.t >= v.t")
