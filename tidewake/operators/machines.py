@@ -11,7 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from ..functions.motion import GRAVITY, norm
+from ..functions.motion import GRAVITY, blend_weight, norm
 from .fold import fold, scan
 
 
@@ -146,6 +146,22 @@ def since_event(event: Column, order: WindowSpec) -> Column:
     return number - F.last(F.when(event, number), True).over(order.rowsBetween(Window.unboundedPreceding, 0))
 
 
+def reacquired(df: DataFrame, returns: Column, pe: str, pn: str, fix_e: str, fix_n: str, rows: int = 15) -> DataFrame:
+    """Adds ``jump``, ``out_e`` and ``out_n``: the offset at the last returning fix and the position blended towards it.
+
+    The weight of the fix grows along a cosine bell over ``rows`` rows, so the
+    output leaves the reckoned position (``pe``, ``pn``) without a step; before
+    the first return all three are null.
+    """
+    order = Window.partitionBy("drive_id").orderBy("t", "event_id")
+    held = lambda c: F.last(F.when(F.col("_returns"), c), True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    df = df.withColumn("_returns", returns).withColumn("_since", since_event(F.col("_returns"), order))
+    offset = F.hypot(F.col(pe) - F.col(fix_e), F.col(pn) - F.col(fix_n))
+    df = df.withColumns({"jump": held(offset), "_fe": held(F.col(fix_e)), "_fn": held(F.col(fix_n)), "_w": blend_weight(F.col("_since"), rows)})
+    mixed = lambda a, b: (1 - F.col("_w")) * F.col(a) + F.col("_w") * F.col(b)
+    return df.withColumns({"out_e": mixed(pe, "_fe"), "out_n": mixed(pn, "_fn")}).drop("_returns", "_since", "_fe", "_fn", "_w")
+
+
 def disturbance(df: DataFrame, expected: float, tolerance: float, most_variance: float, most_rate: float) -> DataFrame:
     """Adds ``disturbance``: CLEAN, SUSPICIOUS or SEVERE, from the field's norm, its recent variance and its rate of change."""
     order = Window.partitionBy("drive_id").orderBy("t", "event_id")

@@ -22,4 +22,4 @@ def query(name: str, sql: str | None = None, stream: bool = True) -> Callable:
     return keep
 
 
-from . import aggregates, estimators, joins, machines, pipelines, scalars, sources, timed, training, updates, windows  # noqa: E402, F401
+from . import aggregates, estimators, evaluation, joins, machines, pipelines, scalars, sources, timed, training, updates, windows  # noqa: E402, F401

@@ -84,15 +84,6 @@ def pipe_06_noise(spark, sf_dir):
     return both.agg(F.count("*").alias("n"), *[F.round(f(F.col(c) - F.col(f"{c}0") - F.col("acc_bias" if c[0] == "a" else "gyro_bias")), 5).alias(f"{c}_{k}") for c in names for k, f in (("mean", F.avg), ("std", F.stddev_pop))])
 
 
-@query("pipe_07_audited_evaluation", "SELECT true AS hidden_inside, count(*) AS rows FROM s")
-def pipe_07(spark, sf_dir):
-    from ..operators.quality import leakage
-    from .joins import gated
-
-    rows = gated(spark, sf_dir)
-    return leakage(rows).select("hidden_inside").join(rows.agg(F.count("*").alias("rows")))
-
-
 @query("pipe_08_two_wheeler")
 def pipe_08(spark, sf_dir):
     found = recordings.study(_synthetic_samples(synthetic.two_wheeler(spark)), (Config("car"), Config("two_wheeler", sideways=False)))
@@ -156,11 +147,6 @@ def pipe_19(spark, sf_dir):
     return found.groupBy("config").agg(F.count("*").alias("runs"), F.round(F.percentile("drift", F.lit(0.5)), 3).alias("median"), F.round(F.percentile("rmse", F.lit(0.5)), 3).alias("rmse"))
 
 
-@query("pipe_20_stream_scenario")
-def pipe_20(spark, sf_dir):
-    return live.navigate_batch(live_rows(spark, sf_dir)).select("event_id", F.round("pe", 4).alias("pe"), "out_of_order")
-
-
 @query("pipe_21_invariants", "SELECT max(speed) <= 80 AS speed_ok, max(abs(gz)) <= 1 AS rate_ok FROM s")
 def pipe_21(spark, sf_dir):
     return stream(spark, sf_dir).agg((F.max("speed") <= 80).alias("speed_ok"), (F.max(F.abs("gz")) <= 1).alias("rate_ok"))
