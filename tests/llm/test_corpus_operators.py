@@ -274,3 +274,34 @@ def test_decode_leaves_out_foreign_ids(spark):
     rows = spark.createDataFrame([(0, [300, 10**6, -1, None, 301]), (1, [300, 301]), (2, [10**6]), (3, None)], "doc_id int, ids array<int>")
     got = {r["doc_id"]: r["text"] for r in pieces.decode(rows).collect()}
     assert got[0] == got[1] and got[2] == got[3] == ""
+
+
+def license_labels(text):
+    from tidewake.llm import licenses
+
+    automata = tuple(licenses.compile_template(*t) for t in licenses.TEMPLATES)
+    return licenses.scan(text, licenses.BASE, automata)[5].split(",")
+
+
+@pytest.mark.parametrize("label, file", [("apache-2.0-text", "Apache-2.0"), ("gpl-2.0-text", "GPL-2"), ("gpl-3.0-text", "GPL-3"), ("lgpl-2.1-text", "LGPL-2.1"), ("lgpl-3.0-text", "LGPL-3"), ("mpl-2.0-text", "MPL-2.0")])
+def test_published_licences_are_accepted_whole_only(label, file):
+    from tidewake.llm import licenses
+
+    text = licenses.published(file)
+    found = license_labels(b"Preface.\n\n" + text.replace(b"\n", b"\r\n * ") + b"\nAfterword")
+    assert label in found and not {x for x in found if x.endswith("-text")} - {label}
+    words, n = text.split(), len(text.split())
+    assert n > 900
+    middle = next(k for k in range(n // 2, n) if words[k].isalpha())
+    for altered in (words[:middle] + words[middle + 1 :], words[:middle] + [b"never"] + words[middle:], words[: n * 2 // 3]):
+        assert label not in license_labels(b" ".join(altered))
+
+
+@pytest.mark.parametrize("text, label", [
+    ("SPDX-License-Identifier: GPL-3.0-only", "spdx-gpl-3.0-only"), ("// SPDX-License-Identifier: LGPL-2.1-or-later", "spdx-lgpl-2.1-or-later"), ("SPDX-License-Identifier: (MIT)", "spdx-mit"),
+    ("redistribute it: it is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.", "gpl-or-later"),
+    ('Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:\n\nThe copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor.\n\nTHE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.', "bsl-1.0"),
+])
+def test_identifiers_minor_versions_and_whole_notices(text, label):
+    assert label in license_labels(text.encode())
+    assert "spdx-mit" not in license_labels(b"SPDX-License-Identifier: MITRE")

@@ -145,7 +145,7 @@ def test_groups_when_tasks_hand_on_early(spark):
 @pytest.mark.parametrize("text, labels", [
     ("Released under the MIT License.", "mit,mit-named"), ("gnu general public license, version 3", "gpl,gpl-3.0"), ("GNU General Public-License v2", "gpl,gpl-2.0"),
     ("Licensed under the Apache License, Version 2.0", "apache,apache-2.0"), ("apache license 1.0", "apache"), ("CC BY-NC 4.0", "cc-by,cc-by-nc,cc-by-nc-4.0"), ("gnu lesser general public license", "lgpl"),
-    ("gnu general public licenses", ""), ("SPDX-License-Identifier: MIT", "spdx"), ("", ""),
+    ("gnu general public licenses", ""), ("SPDX-License-Identifier: MIT", "spdx,spdx-mit"), ("", ""),
 ])
 def test_templates(text, labels):
     automata = tuple(licenses.compile_template(*t) for t in licenses.TEMPLATES)

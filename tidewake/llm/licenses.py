@@ -15,6 +15,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from importlib import resources
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -63,7 +64,17 @@ LICENCES = (
     (
         "gpl-or-later",
         "is free software you can redistribute it and or modify it under the terms of the gnu [[(lesser|affero)]] general public license as published by the free software foundation"
-        " either version (2|3) of the license or at your option any later version",
+        " either version (2|3) [[(0|1)]] of the license or at your option any later version",
+    ),
+    (
+        "bsl-1.0",
+        "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software"
+        " to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following"
+        " the copyright notices in the software and this entire statement including the above license grant this restriction and the following disclaimer must be included in all copies of the software in whole or in part"
+        " and all derivative works of the software unless such copies or derivative works are solely in the form of machine executable object code generated by a source language processor"
+        " the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose title and non infringement"
+        " in no event shall the copyright holders or anyone distributing the software be liable for any damages or other liability whether in contract tort or otherwise"
+        " arising from out of or in connection with the software or the use or other dealings in the software",
     ),
     ("isc", f"{_USE} provided that the above copyright notice and this permission notice appear in all copies {_FEE}"),
     (
@@ -118,7 +129,22 @@ REFERENCES = (
     ("spdx", "spdx license identifier (0bsd|agpl|apache|bsd|cc|cc0|gpl|isc|lgpl|mit|mpl|unlicense|zlib)"),
 )
 
-TEMPLATES = LICENCES + REFERENCES
+#: Identifiers that a text may state, by the rule spdx-<identifier>.
+SPDX = (
+    "0BSD", "AGPL-3.0-only", "AGPL-3.0-or-later", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "BSL-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC0-1.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only",
+    "GPL-3.0-or-later", "ISC", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later", "MIT", "MPL-2.0", "Unlicense", "Zlib",
+)
+IDENTIFIERS = tuple((f"spdx-{x.lower()}", "spdx license identifier " + re.sub("[^a-z0-9]+", " ", x.lower())) for x in SPDX)
+
+#: Whole terms of published licences, as they stand in texts/: label, file, first and last words.
+WHOLE = (
+    ("apache-2.0-text", "Apache-2.0", "terms and conditions for use reproduction and distribution", "end of terms and conditions"),
+    ("gpl-2.0-text", "GPL-2", "terms and conditions for copying distribution and modification", "end of terms and conditions"),
+    ("gpl-3.0-text", "GPL-3", "terms and conditions 0 definitions", "end of terms and conditions"),
+    ("lgpl-2.1-text", "LGPL-2.1", "terms and conditions for copying distribution and modification", "end of terms and conditions"),
+    ("lgpl-3.0-text", "LGPL-3", "this version of the gnu lesser general public license incorporates", "permanent authorization for you to choose that version for the library"),
+    ("mpl-2.0-text", "MPL-2.0", "1 definitions 1 1 contributor", "you may add additional accurate notices of copyright ownership"),
+)
 
 _CLASSES = bytes(c if c >= 0x80 or chr(c).isdigit() else ord(chr(c).lower()) if chr(c).isalpha() else 0x20 for c in range(256))
 
@@ -128,6 +154,21 @@ def tokens(text: bytes) -> list[bytes]:
     return text.translate(_CLASSES).split()
 
 
+def published(file: str) -> bytes:
+    """A licence's text as it was published."""
+    return resources.files(__package__).joinpath(f"texts/{file}.txt").read_bytes()
+
+
+def whole_terms(file: str, first: str, last: str) -> str:
+    """The words of a published text from the last place of ``first`` up to the end of ``last``."""
+    words = " " + b" ".join(tokens(published(file))).decode() + " "
+    begin = words.rindex(f" {first} ")
+    return words[begin : words.index(f" {last} ", begin) + len(last) + 1].strip()
+
+
+TEMPLATES = LICENCES + REFERENCES + IDENTIFIERS + tuple((label, whole_terms(*where)) for label, *where in WHOLE)
+
+
 @dataclass(frozen=True)
 class Automaton:
     """States are numbers; ``steps[s]`` maps a word (None: any) to the next states, ``skips[s]`` lists free moves."""

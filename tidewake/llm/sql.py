@@ -21,7 +21,15 @@ def _phrase(phrase: str) -> str:
 
 _FOUND = ", ".join(f"{_phrase(p)} AS p{k}" for k, (p, _) in enumerate(licenses.BASE))
 _BASE_LABELS = ", ".join(f"CASE WHEN len(p{k}) > 0 THEN '{label}' END" for k, (_, label) in enumerate(licenses.BASE))
-_LABELS = ", ".join(f"CASE WHEN regexp_matches(framed, '{licenses.as_regex(t)}') THEN '{label}' END" for label, t in licenses.TEMPLATES)
+
+
+def _stands(template: str) -> str:
+    """Plain wording is looked for as it is, one with regions by its pattern."""
+    pattern = licenses.as_regex(template)
+    return f"contains(framed, '{pattern}')" if not set(template) & set("[]{}()|") else f"regexp_matches(framed, '{pattern}')"
+
+
+_LABELS = ", ".join(f"CASE WHEN {_stands(t)} THEN '{label}' END" for label, t in licenses.TEMPLATES)
 _ALL = " || ".join(f"p{k}" for k in range(len(licenses.BASE)))
 OP2 = f"""
 WITH w AS (SELECT doc_id, regexp_extract_all({lowered("text")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS words FROM documents),
