@@ -24,8 +24,7 @@ from .numbering import numbered
 
 def grid_graph(spark, extent: int, step: float) -> tuple[DataFrame, DataFrame]:
     """Nodes and two-way edges of a square grid of streets, centred on the origin."""
-    n = spark.range(extent)
-    nodes = n.select(F.col("id").alias("i")).crossJoin(F.broadcast(n.select(F.col("id").alias("j"))))
+    nodes = spark.range(extent).select(F.col("id").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(extent - 1).cast("long"))).alias("j"))
     at = lambda c: (F.col(c) - (extent - 1) / 2) * step
     nodes = nodes.select((F.col("i") * extent + F.col("j")).alias("node"), "i", "j", at("i").alias("x"), at("j").alias("y"))
     moves = F.explode(F.array(*[F.struct(F.lit(a).alias("di"), F.lit(b).alias("dj")) for a, b in ((1, 0), (0, 1), (-1, 0), (0, -1))]))

