@@ -305,3 +305,44 @@ def test_published_licences_are_accepted_whole_only(label, file):
 def test_identifiers_minor_versions_and_whole_notices(text, label):
     assert label in license_labels(text.encode())
     assert "spdx-mit" not in license_labels(b"SPDX-License-Identifier: MITRE")
+
+
+def brute_toxicity(model, text):
+    """A text's score from the returned model alone, by plain loops."""
+    import math
+
+    found, word = [], b""
+    for c in text.lower().encode() + b" ":
+        if c >= 0x80 or chr(c).isalnum():
+            word += bytes([c])
+        elif word:
+            if word not in found:
+                found.append(word)
+            word = b""
+    fired = set(found)
+    for k in (5, 6, 7, 8):
+        for w in found:
+            n = sum(v[:k] == w[:k] for v in found if len(v) >= k) if len(w) >= k else 0
+            fired |= {w[:k] + b"*" * stars for stars in range(1, min(n, 3) + 1)}
+    hits = [f for f in fired if f in model.lexicon]
+    upper, marks = sum(c.isupper() for c in text), sum(c == "!" for c in text)
+    insult = re.search(r"\byou (?:are|re) (?:a |an |so |such |all )?\w+|\bshut up\b|\bgo away\b", text.lower())
+    share = len(hits) / max(1, len(found))
+    dense = [math.log(1 + len(hits)), min(share, 0.2) * 20, float(not hits), upper / max(1, len(text)), marks / max(1, len(found)), float(insult is not None)]
+    z = model.intercept + sum(model.lexicon[h] for h in hits) + sum(a * b for a, b in zip(dense, model.dense, strict=True))
+    return 1 / (1 + math.exp(-model.scale * (z - model.cut) - math.log(0.7 / 0.3)))
+
+
+def test_toxicity_scores_against_plain_loops(spark, sf_dir):
+    from tidewake.llm import toxicity
+    from tidewake.llm.common import fold
+
+    docs, labels = table(spark, "/root/testdata/sf0.01", "documents"), table(spark, "/root/testdata/sf0.01", "labels")
+    model = toxicity.train(docs, labels.where(~fold(1, 3, F.col("doc_id"))))
+    assert model.lexicon
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.where("n_chars < 4000").collect()} | {-1: "", -2: "É! you are so x", -3: "SHUT UP!!"}
+    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(rows, model).collect()}
+    assert len(got) == len(texts) > 300
+    for k, text in texts.items():
+        assert got[k] == pytest.approx(brute_toxicity(model, text), abs=1e-9), k
