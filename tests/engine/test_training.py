@@ -52,7 +52,7 @@ def alone(net, table, validation, s):
     for epoch in range(s.epochs):
         for k in sorted({r["batch"] for r in rows}):
             own = [training.arrays(r) for r in rows if r["batch"] == k]
-            g = sum(training.block_gradient(net, theta, x, y, s.delta)[0] for x, y in own)
+            g = sum(training.block_gradient(net, theta, x, y, s)[0] for x, y in own)
             theta = step.update(theta, g * training.UNIT / sum(len(x) for x, _ in own), s.rate_at(epoch))
         loss = np.mean(np.concatenate([training.huber(net.forward(theta, x)[0] - y, s.delta)[0].ravel() for x, y in map(training.arrays, held)]))
         if loss < least:
@@ -142,3 +142,27 @@ def test_row_numbers_in_groups_of_any_size(spark):
         assert [got[k] for _, k in own] == [(i, len(own)) for i in range(len(own))]
     assert sorted(r["idx"] for r in numbered(df, [], ["k"]).collect()) == list(range(400))
     assert numbered(df.limit(0), ["g"], ["k"]).collect() == []
+
+
+def test_nll_and_its_derivative():
+    rng = np.random.default_rng(7)
+    out, y = rng.normal(0, 3, (50, 4)), rng.normal(size=(50, 2))
+    loss, d = training.gaussian_nll(out, y)
+    for k in range(4):
+        up, down = out.copy(), out.copy()
+        up[:, k] += 1e-6
+        down[:, k] -= 1e-6
+        want = (training.gaussian_nll(up, y)[0] - training.gaussian_nll(down, y)[0]).sum(1) / 2e-6
+        assert np.allclose(d[:, k], want, atol=1e-5)
+    assert (training.gaussian_nll(out + [[0, 0, 99, 99]], y)[1][:, 2:] == 0).all()
+
+
+def test_training_by_likelihood_learns_where_errors_are_large(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(1200, 2))
+    y = x[:, :1] * 2 + rng.normal(size=(1200, 1)) * np.exp(x[:, 1:])
+    rows = spark.createDataFrame([(i, a.tolist(), b.tolist()) for i, (a, b) in enumerate(zip(x, y, strict=True))], "key long, x array<double>, y array<double>")
+    parts = [training.blocks(rows.where(c), ["key"], "x", "y", rows=150, batch=4) for c in ("key % 5 > 0", "key % 5 = 0")]
+    got = training.train(Perceptron((2, 16, 2)), *parts, training.Schedule(epochs=15, rate=0.02, batch=4, loss="nll"))
+    p = got.predict(x)
+    assert np.corrcoef(p[:, 1], 2 * x[:, 1])[0, 1] > 0.8 and np.corrcoef(p[:, 0], 2 * x[:, 0])[0, 1] > 0.8

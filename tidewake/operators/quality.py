@@ -60,9 +60,9 @@ def iron_fit(df: DataFrame, parts: tuple[str, str, str], keys: list[str], least:
     return df.groupBy(*keys).agg(*columns, F.count("*").alias("n")).where(F.col("n") >= least)
 
 
-def leakage(df: DataFrame) -> DataFrame:
-    """Invariants of a gated stream: rows with an outage flag never carry a navigation fix; the reference is always there."""
-    return df.agg(
+def leakage(df: DataFrame, *keys: str) -> DataFrame:
+    """Invariants of a gated stream, whole or by ``keys``: rows with an outage flag never carry a navigation fix; the reference is always there."""
+    return df.groupBy(*keys).agg(
         F.bool_and(~F.col("is_outage") | F.col("nav_east").isNull()).alias("hidden_inside"),
         F.bool_and(F.col("is_outage") | (F.col("nav_east") == F.col("ref_east"))).alias("shown_outside"),
         F.bool_and(F.col("ref_east").isNotNull()).alias("reference_whole"),

@@ -32,7 +32,8 @@ UNIT = 2.0**-32
 
 @dataclass(frozen=True)
 class Schedule:
-    """AdamW with a cosine rate from ``rate`` to ``least``, Huber loss, and gradients clipped to a norm of ``clip``."""
+    """AdamW with a cosine rate from ``rate`` to ``least``, gradients clipped to a norm of ``clip``, and a loss: ``huber``
+    (with ``delta``) or ``nll``, for networks that give means and then logarithms of variances."""
 
     epochs: int = 20
     rate: float = 3e-3
@@ -42,6 +43,7 @@ class Schedule:
     delta: float = 1.0
     batch: int = 8
     seed: int = 42
+    loss: str = "huber"
 
     def rate_at(self, epoch: int) -> float:
         return self.least + 0.5 * (self.rate - self.least) * (1 + math.cos(math.pi * epoch / self.epochs))
@@ -61,6 +63,20 @@ class Trained:
         return self.net.forward(self.theta, x)[0]
 
 
+def gaussian_nll(out: np.ndarray, y: np.ndarray, most: float = 6.0) -> tuple[np.ndarray, np.ndarray]:
+    """Negative log-likelihood (without its constant) of ``y`` under means and log-variances, these clamped to +-``most``, and its derivative."""
+    n = y.shape[1]
+    error, raw = out[:, :n] - y, out[:, n:]
+    s = np.clip(raw, -most, most)
+    shrunk = error * np.exp(-s)
+    inside = np.abs(raw) < most
+    return 0.5 * (s + error * shrunk), np.concatenate([shrunk, np.where(inside, 0.5 * (1 - error * shrunk), 0.0)], 1)
+
+
+def losses(schedule: Schedule, out: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return gaussian_nll(out, y) if schedule.loss == "nll" else huber(out - y, schedule.delta)
+
+
 def huber(error: np.ndarray, delta: float) -> tuple[np.ndarray, np.ndarray]:
     """Loss and its derivative."""
     size = np.abs(error)
@@ -94,10 +110,10 @@ def arrays(row) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(row.x).reshape(n, *[int(k) for k in row.shape]), np.frombuffer(row.y).reshape(n, -1)
 
 
-def block_gradient(net, theta: np.ndarray, x: np.ndarray, y: np.ndarray, delta: float) -> tuple[np.ndarray, float]:
+def block_gradient(net, theta: np.ndarray, x: np.ndarray, y: np.ndarray, schedule: Schedule) -> tuple[np.ndarray, float]:
     """The gradient of a block's summed loss in multiples of :data:`UNIT`, and the loss."""
     out, kept = net.forward(theta, x)
-    loss, d = huber(out - y, delta)
+    loss, d = losses(schedule, out, y)
     return np.rint(net.backward(theta, kept, d) / UNIT).astype(np.int64), float(loss.sum())
 
 
@@ -105,7 +121,7 @@ def _over(table: DataFrame, work: Callable, schema: str) -> list:
     return table.mapInPandas(work, schema).collect()
 
 
-def gradient(table: DataFrame, net, theta: np.ndarray, delta: float) -> tuple[np.ndarray, float, int]:
+def gradient(table: DataFrame, net, theta: np.ndarray, schedule: Schedule) -> tuple[np.ndarray, float, int]:
     """Mean gradient and loss over the blocks of ``table``, one vector a task."""
     sent = table.sparkSession.sparkContext.broadcast(theta)
 
@@ -114,7 +130,7 @@ def gradient(table: DataFrame, net, theta: np.ndarray, delta: float) -> tuple[np
         for pdf in batches:
             for row in pdf.itertuples():
                 if row.n:
-                    g, own = block_gradient(net, sent.value, *arrays(row), delta)
+                    g, own = block_gradient(net, sent.value, *arrays(row), schedule)
                     total, loss, n = total + g, loss + own, n + int(row.n)
         if n:
             yield pd.DataFrame({"g": [total.tobytes()], "loss": [loss], "n": [n]})
@@ -126,18 +142,18 @@ def gradient(table: DataFrame, net, theta: np.ndarray, delta: float) -> tuple[np
     return total * (UNIT / max(n, 1)), sum(p["loss"] for p in parts) / max(n, 1), n
 
 
-def loss_over(table: DataFrame, net, theta: np.ndarray, delta: float) -> float:
+def loss_over(table: DataFrame, net, theta: np.ndarray, schedule: Schedule) -> float:
     """Mean loss over all blocks; NaN where there are none."""
     sent = table.sparkSession.sparkContext.broadcast(theta)
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = [(*arrays(r), int(r.block)) for r in pdf.itertuples() if r.n]
-            yield pd.DataFrame({"block": [b for *_, b in rows], "loss": [float(huber(net.forward(sent.value, x)[0] - y, delta)[0].sum()) for x, y, _ in rows], "n": [len(x) for x, *_ in rows]})
+            yield pd.DataFrame({"block": [b for *_, b in rows], "loss": [float(losses(schedule, net.forward(sent.value, x)[0], y)[0].sum()) for x, y, _ in rows], "n": [len(x) for x, *_ in rows]})
 
     # rounded like the gradients, so that the choice of the best epoch does not follow the layout
-    losses = table.select("block", "n", "shape", "x", "y").mapInPandas(work, "block long, loss double, n long")
-    found = losses.agg(F.sum(F.round(F.col("loss") * 2**20).cast("decimal(38,0)")).cast("double").alias("loss"), F.sum("n").alias("n")).first()
+    parts = table.select("block", "n", "shape", "x", "y").mapInPandas(work, "block long, loss double, n long")
+    found = parts.agg(F.sum(F.round(F.col("loss") * 2**20).cast("decimal(38,0)")).cast("double").alias("loss"), F.sum("n").alias("n")).first()
     return found["loss"] / 2**20 / found["n"] if found["n"] else float("nan")
 
 
@@ -168,10 +184,10 @@ def train(net, training: DataFrame, validation: DataFrame, schedule: Schedule =
     for epoch in range(schedule.epochs if batches else 0):
         rate, total, rows = schedule.rate_at(epoch), 0.0, 0
         for k in batches:
-            g, loss, n = gradient(training.where(F.col("batch") == k), net, theta, schedule.delta)
+            g, loss, n = gradient(training.where(F.col("batch") == k), net, theta, schedule)
             theta = step.update(theta, g, rate) if n else theta
             total, rows = total + loss * n, rows + n
-        held = loss_over(validation, net, theta, schedule.delta)
+        held = loss_over(validation, net, theta, schedule)
         better = not held >= least
         if better:
             best, least = theta, held if held == held else least

@@ -296,10 +296,17 @@ def set_02(spark, sf_dir):
     return splits.shared_members(rows).select("member", F.col("splits")[0].alias("one"), F.col("splits")[1].alias("other"))
 
 
-@query("set_03_union_windows", "SELECT event_id FROM s WHERE drive_id % 10 >= 7")
+@query("set_03_union_windows", """, g AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY drive_id ORDER BY t, event_id) > 43200 THEN 1 ELSE 0 END AS new FROM s),
+k AS (SELECT *, sum(new) OVER (PARTITION BY drive_id ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) AS segment FROM g), r AS (SELECT *, row_number() OVER (PARTITION BY drive_id, segment ORDER BY t, event_id) - 1 AS rn FROM k)
+SELECT CASE WHEN drive_id % 10 < 9 THEN 'val' ELSE 'test' END AS split, drive_id, rn - 4 AS start, round(speed, 4) AS target FROM r WHERE drive_id % 10 >= 7 AND rn >= 4 AND (rn - 4) % 2 = 0""")
 def set_03(spark, sf_dir):
+    """The windows of the validation and the test drives, each made by itself and put together."""
+    from ..operators import segments
+
     rows = stream(spark, sf_dir)
-    return rows.where("drive_id % 10 IN (7, 8)").select("event_id").union(rows.where("drive_id % 10 = 9").select("event_id"))
+    parts = {"val": "drive_id % 10 IN (7, 8)", "test": "drive_id % 10 = 9"}
+    found = [segments.sliding_windows(rows.where(cond), 5, 2, 43200.0).withColumn("split", F.lit(name)) for name, cond in parts.items()]
+    return found[0].unionByName(found[1]).select("split", "drive_id", F.col("start").cast("long").alias("start"), F.round("target", 4).alias("target"))
 
 
 @query("set_05_seeded_split", ", d AS (SELECT drive_id, row_number() OVER (ORDER BY md5('42:' || drive_id)) AS k, count(*) OVER () AS n FROM (SELECT DISTINCT drive_id FROM s)), c AS (SELECT *, greatest(1, round_even(n * 0.15, 0)) AS m FROM d) SELECT drive_id, CASE WHEN n < 3 OR k <= n - 2 * m THEN 'train' WHEN k <= n - m THEN 'val' ELSE 'test' END AS split FROM c")

@@ -184,6 +184,9 @@ def join_16(spark, sf_dir):
     return nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", F.trim(F.lower("n_name")).alias("name"), F.col("r_name").alias("region"))
 
 
-@query("gov_03_leakage_checks", "SELECT true AS hidden_inside, true AS shown_outside, true AS reference_whole", stream=False)
+@query("gov_03_leakage_checks", "SELECT drive_id, NOT bool_or(idx BETWEEN 10 AND 19 AND event_id % 400 = 0) AS hidden_inside, NOT bool_or(idx NOT BETWEEN 10 AND 19 AND event_id % 300 = 0) AS shown_outside, true AS reference_whole FROM s GROUP BY drive_id")
 def gov_03(spark, sf_dir):
-    return quality.leakage(gated(spark, sf_dir))
+    """The checks on every drive's gated rows, of which some are broken: a fix shown inside an outage, one missing outside."""
+    rows = gated(spark, sf_dir)
+    broken = F.when(F.col("is_outage") & (F.col("event_id") % 400 == 0), F.col("ref_east")).when(~F.col("is_outage") & (F.col("event_id") % 300 == 0), F.col("nav_east") + 1).otherwise(F.col("nav_east"))
+    return quality.leakage(rows.withColumn("nav_east", broken), "drive_id")

@@ -147,9 +147,16 @@ def pipe_19(spark, sf_dir):
     return found.groupBy("config").agg(F.count("*").alias("runs"), F.round(F.percentile("drift", F.lit(0.5)), 3).alias("median"), F.round(F.percentile("rmse", F.lit(0.5)), 3).alias("rmse"))
 
 
-@query("pipe_21_invariants", "SELECT max(speed) <= 80 AS speed_ok, max(abs(gz)) <= 1 AS rate_ok FROM s")
+@query("pipe_21_invariants", """, d AS (SELECT *, coalesce(sqrt(pow(east - lag(east) OVER o, 2) + pow(north - lag(north) OVER o, 2)), 0) AS step FROM s WINDOW o AS (PARTITION BY drive_id ORDER BY t, event_id))
+SELECT drive_id, max(speed) <= 24.9 AS speed_ok, max(abs(gz)) <= 0.099 AS rate_ok, max(abs(degrees(atan(ax / az)))) <= 45.5 AS lean_ok, max(step) <= 270 AS step_ok, round(max(step), 3) AS worst_step FROM d GROUP BY drive_id""")
 def pipe_21(spark, sf_dir):
-    return stream(spark, sf_dir).agg((F.max("speed") <= 80).alias("speed_ok"), (F.max(F.abs("gz")) <= 1).alias("rate_ok"))
+    """Physical bounds of every run: speed, rotation, lean and the step between rows."""
+    rows = estimators.with_steps(stream(spark, sf_dir))
+    worst = lambda c: F.max(F.abs(c))
+    return rows.groupBy("drive_id").agg(
+        (F.max("speed") <= 24.9).alias("speed_ok"), (worst("gz") <= 0.099).alias("rate_ok"), (worst(F.degrees(F.atan(F.col("ax") / F.col("az")))) <= 45.5).alias("lean_ok"),
+        (F.max("step") <= 270).alias("step_ok"), F.round(F.max("step"), 3).alias("worst_step"),
+    )
 
 
 @query("pipe_24_finite_velocity", "SELECT event_id, round(de / 0.1, 4) AS ve FROM (SELECT event_id, de, sqrt(de * de + dn * dn) AS d FROM (SELECT event_id, east - lag(east) OVER o AS de, north - lag(north) OVER o AS dn FROM s WINDOW o AS (PARTITION BY drive_id ORDER BY t, event_id))) WHERE d > 0.1")

@@ -1,10 +1,12 @@
 """Trained networks: rounds of gradients over all windows, drift corrections, stored versions, held-out scores (ML, SNK-15, PIPE-10, PIPE-11)."""
 
+import dataclasses
+
 import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import metrics, models, training
+from ..operators import metrics, models, segments, training
 from ..operators.kernels.network import Perceptron, SpeedNet
 from ..plans import scenarios
 from ..session import STREAM_SQL, by_time, stream, table
@@ -93,6 +95,68 @@ def snk_15(spark, sf_dir):
     return out.join(store.registry().select("version", "name", "intact"), "version")
 
 
+# -- denoising and displacement -------------------------------------------
+
+
+def _flat(windows, value: str):
+    """Windows as rows of features, by split."""
+    rows = windows.withColumn("split", split_column())
+    return rows.select("drive_id", "segment", "start", "split", F.flatten("window").alias("features"), F.col(value).alias("value"))
+
+
+def _fitted(rows, widths: tuple, schedule, bound: float | None = None):
+    """A perceptron on all training windows, chosen on the validation windows; inputs standardised, outputs scaled or bounded."""
+    fit = rows.where("split = 'train'")
+    mean, std = _moments(fit, [F.col("features")[k] for k in range(widths[0])])
+    parts = [training.blocks(rows.where(F.col("split") == s), ["drive_id", "segment", "start"], "features", "value", batch=schedule.batch) for s in ("train", "val")]
+    return training.train(Perceptron(widths, mean, std, 1.0 if bound is None else bound), *parts, schedule)
+
+
+@query("ml_02_denoise_network")
+def ml_02_network(spark, sf_dir):
+    """What to add to a window's last sample to reach the mean of the five around it: held-out errors without, with the ridge and with the network."""
+    around = by_time().rowsBetween(-2, 2)
+    rows = stream(spark, sf_dir).withColumn("residual", F.array(*[F.avg(c).over(around) - F.col(c) for c in IMU]))
+    windows = segments.sliding_windows(rows, 10, 5, 43200.0, arrays=IMU, statistics={"residual": F.last("residual")})
+    flat = _flat(windows, "residual")
+    net = _fitted(flat, (60, 64, 6), SCHEDULE, 0.5)
+    ridge = models.Linear.fit_all(windows.where(split_column() == "train"), "window", "residual", low=-0.5, high=0.5)
+    held = models.infer_rows(flat.where("split = 'test'"), "features", net).select("value", F.transform("prediction", lambda v: F.greatest(F.lit(-0.5), F.least(F.lit(0.5), v))).alias("p"))
+    plain = models.infer(windows.where(split_column() == "test"), "window", ridge).select(F.col("residual").alias("value"), F.col("prediction").alias("p"))
+    error = lambda v, p: F.sqrt(F.avg(F.aggregate(F.zip_with(v, p, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, b: a + b)))
+    out = None
+    for name, df, p in (("none", held, F.array_repeat(F.lit(0.0), 6)), ("ridge", plain, F.col("p")), ("network", held, F.col("p"))):
+        part = df.agg(F.lit(name).alias("model"), F.count("*").alias("windows"), F.round(error(F.col("value"), p), 5).alias("rms"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _displacements(spark, sf_dir):
+    ends = {f"{c}{k}": f(c) for c in ("east", "north") for k, f in ((0, F.first), (1, F.last))}
+    windows = segments.sliding_windows(stream(spark, sf_dir), 10, 5, 43200.0, arrays=IMU, statistics=ends)
+    return _flat(windows.withColumn("moved", F.array((F.col("east1") - F.col("east0")) / 100, (F.col("north1") - F.col("north0")) / 100)), "moved")
+
+
+@query("ml_09_odometry_training")
+def ml_09(spark, sf_dir):
+    """A displacement network trained by likelihood: the epochs' losses and which was the best."""
+    found = _fitted(_displacements(spark, sf_dir), (60, 64, 4), dataclasses.replace(SCHEDULE, loss="nll"))
+    rows = [(h["epoch"], round(h["rate"], 8), round(h["train_loss"], 5), round(h["val_loss"], 5), h["best"]) for h in found.history]
+    return spark.createDataFrame(rows, "epoch int, rate double, train_loss double, val_loss double, best boolean")
+
+
+@query("ml_03_displacement_network")
+def ml_03_network(spark, sf_dir):
+    """Displacements of the held-out drives' windows with the logarithms of their variances, and the loss of each."""
+    rows = _displacements(spark, sf_dir)
+    net = _fitted(rows, (60, 64, 4), dataclasses.replace(SCHEDULE, loss="nll"))
+    p, m = F.col("prediction"), F.col("value")
+    s = [F.greatest(F.lit(-6.0), F.least(F.lit(6.0), p[k])) for k in (2, 3)]
+    loss = models.gaussian_nll(m[0] - p[0], s[0]) + models.gaussian_nll(m[1] - p[1], s[1])
+    found = models.infer_rows(rows.where("split = 'test'"), "features", net)
+    return found.select("drive_id", "segment", "start", *[F.round(c, 4).alias(n) for c, n in zip((p[0], p[1], *s), ("dx", "dy", "log_var_x", "log_var_y"), strict=True)], F.round(loss, 4).alias("loss"))
+
+
 # -- drift corrections ----------------------------------------------------
 
 _BEFORE = 5
