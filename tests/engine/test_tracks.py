@@ -142,3 +142,15 @@ def test_noise_is_normal_and_follows_keys(spark):
     x = got.loc[got["copy"] == 1, ["ax", "ay", "az", "gx", "gy", "gz"]].to_numpy()
     assert np.abs(x.mean(0)).max() < 0.03 and np.abs(x.std(0) - 1).max() < 0.02 and np.abs((x**4).mean(0) - 3).max() < 0.2
     assert np.abs(np.corrcoef(x.T) - np.eye(6)).max() < 0.03
+
+
+def test_a_drive_file_of_another_layout_is_refused(spark, tmp_path):
+    from tidewake.sources import files
+
+    header = "Time (s),Indicated Vehicle Speed (km/h),Yaw Rate"
+    (tmp_path / "V-1.csv").write_text(header + "\n0,2,3\n")
+    (tmp_path / "V-2.csv").write_text(header + "\n0,5,6\n")
+    assert len(files.read_drives(spark, str(tmp_path)).collect()) == 2
+    (tmp_path / "V-3.csv").write_text("Yaw Rate,Time (s),Indicated Vehicle Speed (km/h)\n9,0,5\n")
+    with pytest.raises(Exception, match="(?i)header|conform"):
+        files.read_drives(spark, str(tmp_path)).collect()

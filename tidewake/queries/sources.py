@@ -227,12 +227,16 @@ def snk_05(spark, sf_dir):
     return _through(spark, stream(spark, sf_dir).agg(F.round(F.max("speed"), 4).alias("top"), F.round(F.avg("speed"), 4).alias("mean"), F.count_if(F.col("kind") == "view").alias("fixes")))
 
 
-@query("snk_06_session_listing", "SELECT o_orderkey AS name, CASE WHEN o_orderstatus = 'F' THEN 'DONE' ELSE 'INCOMPLETE' END AS status FROM orders", stream=False)
+@query("snk_06_session_listing", "SELECT drive_id AS name, CASE WHEN drive_id % 3 > 0 THEN 'DONE' ELSE 'INCOMPLETE' END AS status FROM s GROUP BY drive_id")
 def snk_06(spark, sf_dir):
-    orders = table(spark, sf_dir, "orders")
-    listed = orders.select(F.col("o_orderkey").alias("name"), F.col("o_orderdate").alias("modified"))
-    meta = orders.where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("name"), F.lit("DONE").alias("status"))
-    return sinks.sessions(listed, meta).select("name", "status")
+    """One folder a session with its rows, and with a summary where the session was ended: listed from the files, newest first."""
+    folder, rows = _folder(spark), stream(spark, sf_dir).withColumn("session", F.col("drive_id"))
+    rows.select("session", "event_id", "t", "val").repartition("session").write.partitionBy("session").json(f"{folder}/rows")
+    ended = rows.where("drive_id % 3 > 0").groupBy("session").agg(F.count("*").alias("frames"), F.max("speed").alias("top"))
+    ended.repartition("session").write.partitionBy("session").json(f"{folder}/summaries")
+    files = lambda kind: spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").load(f"{folder}/{kind}").select(F.regexp_extract("path", r"session=(\d+)", 1).cast("long").alias("name"), F.col("modificationTime").alias("modified"))
+    listed = files("rows").groupBy("name").agg(F.max("modified").alias("modified"))
+    return sinks.sessions(listed, files("summaries").select("name", F.lit("DONE").alias("status")).distinct()).select("name", "status")
 
 
 @query("snk_07_geojson", "SELECT drive_id, 'FeatureCollection' AS type, count(*) AS points, round(first(lon ORDER BY idx), 5) AS lon, round(last(lat ORDER BY idx), 5) AS lat FROM s GROUP BY drive_id")

@@ -53,10 +53,11 @@ def header(spark: SparkSession, path: str) -> list[str]:
 def read_drives(spark: SparkSession, path: str, kind: str | None = None) -> DataFrame:
     """CSV files of one layout as the canonical table, with the drive's id from the file name.
 
-    ``idx`` tells rows of a file apart and grows inside a file split; the clock
+    Every file's header is checked against the first one's: a file of another
+    layout is an error, it is not read by position. ``idx`` tells rows of a file apart and grows inside a file split; the clock
     column orders a drive.
     """
-    raw = spark.read.option("header", "true").option("encoding", LATIN).csv(path)
+    raw = spark.read.option("header", "true").option("enforceSchema", "false").option("encoding", LATIN).csv(path)
     found = schema.detect(raw.columns, kind)
     columns = [F.col(f"`{source}`").cast("double").alias(name) for name, source in found.columns.items()]
     name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
