@@ -166,8 +166,8 @@ def test_commands_reach_over_micro_batches(spark, tmp_path):
     answers = []
     for name, files in (("one", 1), ("all", 100)):
         stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(f"{tmp_path}/in/*")
-        live.run_available(live.controlled(stream), f"commands_{name}", f"{tmp_path}/{name}")
-        answers.append(sorted(tuple(r) for r in spark.table(f"commands_{name}").collect()))
+        live.run_available(live.controlled(stream), f"{tmp_path}/out-{name}", f"{tmp_path}/{name}")
+        answers.append(sorted(tuple(r) for r in spark.read.parquet(f"{tmp_path}/out-{name}").collect()))
     assert answers[0] == answers[1] == [(1, 0, 0, False), (1, 2, 0, True), (1, 4, 0, True), (1, 6, 1, False), (1, 8, 1, True)]
 
 

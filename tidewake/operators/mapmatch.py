@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import along
-from ..shared import saved
+from ..shared import dealt, saved
 from .numbering import numbered
 
 
@@ -58,8 +58,8 @@ def near_edges(points: DataFrame, edges: DataFrame, radius: float, point: str =
     xs, ys = (cut("x1", "x2", 0), cut("x1", "x2", 1)), (cut("y1", "y2", 0), cut("y1", "y2", 1))
     boxed = pieces.withColumn("_cx", F.explode(_cells(F.least(*xs) - radius, F.greatest(*xs) + radius, size))).withColumn("_cy", F.explode(_cells(F.least(*ys) - radius, F.greatest(*ys) + radius, size)))
     listed = boxed.select("edge", "x1", "y1", "x2", "y2", "_cx", "_cy").distinct()
-    dealt = points.withColumn("_cx", F.floor(F.col("x") / size)).withColumn("_cy", F.floor(F.col("y") / size))
-    both = dealt.join(listed, ["_cx", "_cy"]).withColumn("_at", along(*[F.col(c) for c in ("x", "y", "x1", "y1", "x2", "y2")]))
+    placed = points.withColumn("_cx", F.floor(F.col("x") / size)).withColumn("_cy", F.floor(F.col("y") / size))
+    both = placed.join(listed, ["_cx", "_cy"]).withColumn("_at", along(*[F.col(c) for c in ("x", "y", "x1", "y1", "x2", "y2")]))
     both = both.withColumn("px", F.col("x1") + F.col("_at") * (F.col("x2") - F.col("x1"))).withColumn("py", F.col("y1") + F.col("_at") * (F.col("y2") - F.col("y1")))
     both = both.withColumn("distance", F.hypot(F.col("x") - F.col("px"), F.col("y") - F.col("py"))).withColumn("along", F.col("_at") * F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")))
     return both.where(F.col("distance") <= radius).select(*points.columns, "edge", "distance", "px", "py", "along")
@@ -229,8 +229,8 @@ def matched(points: DataFrame, edges: DataFrame, keys: list[str], order: str = "
         own = (path[t, run] == k) & ((t < size) | (pdf["_step"] == pdf["_n"] - 1).to_numpy())  # a shared step is the later block's
         return pdf.loc[own, [*keys, point, order, "edge", "px", "py"]]
 
-    matrices = rows.groupBy("_bucket").applyInPandas(multiply, f"{declared}, score array<long>, tie array<long>")
+    matrices = dealt(rows, "_bucket").groupBy("_bucket").applyInPandas(multiply, f"{declared}, score array<long>, tie array<long>")
     chosen = saved(matrices.groupBy(*keys).applyInPandas(walk, f"{declared}, _entry int, _end int"), "track-blocks")
     both = rows.alias("r").join(chosen.alias("c"), reduce(lambda a, b: a & b, [F.col(f"r.{k}").eqNullSafe(F.col(f"c.{k}")) for k in names])).select("r.*", "c._entry", "c._end")
     schema = ", ".join(f"{c} {types[c]}" for c in (*keys, point, order, "edge", "px", "py"))
-    return both.groupBy("_bucket").applyInPandas(follow, schema)
+    return dealt(both, "_bucket").groupBy("_bucket").applyInPandas(follow, schema)

@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import shared
 from .kernels import alignment, unscented
 from .kernels.inertial import Inertial
 from .kernels.planar import Planar
@@ -73,7 +74,7 @@ def side_by_side(df: DataFrame, keys: list[str], inputs: tuple[str, ...], output
     buckets = 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = df.select(*named, *["t"] * ("t" not in inputs), *[F.col(c).cast("double") for c in inputs]).withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)))
     schema = [f"{c} {types[c]}" for c in named] + [f"{c} {t}" for c, t in outputs.items()]
-    return dealt.groupBy("_bucket").applyInPandas(work, ", ".join(schema))
+    return shared.dealt(dealt, "_bucket").groupBy("_bucket").applyInPandas(work, ", ".join(schema))
 
 
 def frames(df: DataFrame, keys: list[str], kind: str = "inertial") -> DataFrame:

@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import shared
 from .kernels import rotation
 from .kernels.inertial import GRAVITY, Inertial
 from .kernels.planar import Planar
@@ -169,4 +170,4 @@ def simulate(rows: DataFrame, configs: tuple[Config, ...] = BASELINES, runs_per_
     # the number of buckets is one row, worked out within the job
     buckets = rows.agg(F.greatest(F.lit(1), F.floor(F.approx_count_distinct("run") / runs_per_bucket)).alias("_n"))
     dealt = rows.select("run", "step", *CHANNELS, "moved").join(F.broadcast(buckets)).withColumn("_bucket", F.pmod(F.xxhash64("run"), "_n"))
-    return dealt.groupBy("_bucket").applyInPandas(work, f"run {kind}, config string, step int, east double, north double, err double, inside boolean, moved double")
+    return shared.dealt(dealt, "_bucket").groupBy("_bucket").applyInPandas(work, f"run {kind}, config string, step int, east double, north double, err double, inside boolean, moved double")

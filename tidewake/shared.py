@@ -48,6 +48,12 @@ def saved(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` dealt by ``keys`` into the session's number of shuffle partitions, for maps whose rows cost far more time
+    than bytes: partitions of a given number are not put together again for being small."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def delete(spark: SparkSession, path: str) -> None:
     sc = spark.sparkContext
     where = sc._jvm.org.apache.hadoop.fs.Path(path)
