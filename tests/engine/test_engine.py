@@ -408,9 +408,10 @@ def test_speed_model_learns_from_every_window(spark):
 def test_learned_gains_are_fitted_and_blended(spark, sf_dir):
     from tidewake import queries
     from tidewake.operators import recordings
+    from tidewake.queries.estimators import gain_windows
 
-    triples = recordings.gain_triples(spark, 256).toPandas()
-    x = np.column_stack([np.stack(triples["innovation"]), np.stack(triples["state"]), np.ones(256)])
+    triples = gain_windows(spark, sf_dir).toPandas()
+    x = np.column_stack([np.stack(triples["innovation"]), np.stack(triples["state"]), np.ones(len(triples))])
     gain = np.stack(triples["gain"])
     learned = x @ np.linalg.solve(x.T @ x + 1e-3 * np.eye(x.shape[1]), x.T @ gain)
     got = {n: np.array(sorted(r["innovation"] + r["gain"] for r in queries.QUERIES[n](spark, sf_dir).collect())) for n in ("ml_07_gain_model", "est_17_learned_gain")}

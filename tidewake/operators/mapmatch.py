@@ -22,17 +22,37 @@ from ..shared import dealt, saved
 from .numbering import numbered
 
 
-def grid_graph(spark, extent: int, step: float) -> tuple[DataFrame, DataFrame]:
-    """Nodes and two-way edges of a square grid of streets, centred on the origin."""
-    nodes = spark.range(extent).select(F.col("id").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(extent - 1).cast("long"))).alias("j"))
-    at = lambda c: (F.col(c) - (extent - 1) / 2) * step
-    nodes = nodes.select((F.col("i") * extent + F.col("j")).alias("node"), "i", "j", at("i").alias("x"), at("j").alias("y"))
+def grids(centres: DataFrame, extent: int, step: float, key: str = "drive_id") -> tuple[DataFrame, DataFrame]:
+    """Nodes and two-way edges of a square grid of streets around every centre (key, x, y)."""
+    line = lambda: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(extent - 1).cast("long")))
+    nodes = centres.select(key, F.col("x").alias("cx"), F.col("y").alias("cy"), line().alias("i")).select("*", line().alias("j"))
+    at = lambda c, middle: F.col(middle) + (F.col(c) - (extent - 1) / 2) * step
+    nodes = nodes.select(key, (F.col("i") * extent + F.col("j")).alias("node"), "i", "j", at("i", "cx").alias("x"), at("j", "cy").alias("y"))
     moves = F.explode(F.array(*[F.struct(F.lit(a).alias("di"), F.lit(b).alias("dj")) for a, b in ((1, 0), (0, 1), (-1, 0), (0, -1))]))
-    steps = nodes.select("node", "i", "j", "x", "y", moves.alias("m"))
+    steps = nodes.select(key, "node", "i", "j", "x", "y", moves.alias("m"))
     i, j = F.col("i") + F.col("m.di"), F.col("j") + F.col("m.dj")
     inside = i.between(0, extent - 1) & j.between(0, extent - 1)
-    edges = steps.where(inside).select(F.col("node").alias("u"), (i * extent + j).alias("v"), F.col("x").alias("x1"), F.col("y").alias("y1"), (F.col("x") + F.col("m.di") * step).alias("x2"), (F.col("y") + F.col("m.dj") * step).alias("y2"))
-    return nodes.select("node", "x", "y"), edges.withColumn("edge", F.col("u") * extent * extent + F.col("v"))
+    edges = steps.where(inside).select(key, F.col("node").alias("u"), (i * extent + j).alias("v"), F.col("x").alias("x1"), F.col("y").alias("y1"), (F.col("x") + F.col("m.di") * step).alias("x2"), (F.col("y") + F.col("m.dj") * step).alias("y2"))
+    return nodes.select(key, "node", "x", "y"), edges.withColumn("edge", F.col("u") * extent * extent + F.col("v"))
+
+
+def grid_graph(spark, extent: int, step: float) -> tuple[DataFrame, DataFrame]:
+    """The grid around the origin."""
+    nodes, edges = grids(spark.range(1).select("id", F.lit(0.0).alias("x"), F.lit(0.0).alias("y")), extent, step, "id")
+    return nodes.drop("id"), edges.drop("id")
+
+
+def road_graph(stored: DataFrame, points: DataFrame, key: str = "drive_id") -> DataFrame:
+    """Edges (key, x1, y1, x2, y2, origin) for every key of ``points`` (key, x, y): the stored ones, and where there are
+    none the diagonal of the points' bounding box, both ways."""
+    ends = ("x1", "y1", "x2", "y2")
+    low, high = [F.min("x").alias("x1"), F.min("y").alias("y1")], [F.max("x").alias("x2"), F.max("y").alias("y2")]
+    boxes = points.groupBy(key).agg(*low, *high)
+    bare = boxes.join(stored.select(key).distinct(), key, "left_anti")
+    ways = F.explode(F.array(F.struct(*ends), F.struct(F.col("x2").alias("x1"), F.col("y2").alias("y1"), F.col("x1").alias("x2"), F.col("y1").alias("y2"))))
+    diagonals = bare.select(key, ways.alias("w")).select(key, "w.*", F.lit("diagonal").alias("origin"))
+    kept = stored.join(boxes.select(key), key, "left_semi").select(key, *ends, F.lit("stored").alias("origin"))
+    return kept.unionByName(diagonals)
 
 
 def waypoint_graph(points: DataFrame, allow_truth: bool = False, key: str = "drive_id", order: str = "idx") -> DataFrame:

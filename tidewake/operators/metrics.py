@@ -47,7 +47,7 @@ def best_lag(df: DataFrame, a: str, b: str, most: int, key: str = "drive_id", id
 
 
 def principal_axes(df: DataFrame, channels: tuple[str, str, str], keys: list[str]) -> DataFrame:
-    """Eigenvalues (descending) of the uncentred second-moment matrix: six averages in the plan, a 3 x 3 solve per group."""
+    """The uncentred second-moment matrix (m00 to m22) and its eigenvalues, descending: six averages in the plan, a 3 x 3 solve per group."""
     pairs = [(i, j) for i in range(3) for j in range(i, 3)]
     moments = df.groupBy(*keys).agg(*[F.avg(F.col(channels[i]) * F.col(channels[j])).alias(f"m{i}{j}") for i, j in pairs])
 
@@ -56,4 +56,4 @@ def principal_axes(df: DataFrame, channels: tuple[str, str, str], keys: list[str
         s = np.stack([np.stack([m00, m01, m02], 1), np.stack([m01, m11, m12], 1), np.stack([m02, m12, m22], 1)], 1)
         return pd.Series(list(np.linalg.eigvalsh(s)[:, ::-1]))
 
-    return moments.select(*keys, eigen(*[f"m{i}{j}" for i, j in pairs]).alias("eigenvalues"))
+    return moments.select("*", eigen(*[f"m{i}{j}" for i, j in pairs]).alias("eigenvalues"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import shared
+from ..functions.draws import normal
 from .kernels import alignment, unscented
 from .kernels.inertial import Inertial
 from .kernels.planar import Planar
@@ -139,23 +140,29 @@ def unscented_speed(df: DataFrame, keys: list[str], dt: float = 0.1) -> DataFram
     return side_by_side(df, keys, ("speed",), {"v": "double", "rate": "double"}, lambda n: {"x": np.zeros((n, 2)), "p": np.tile(np.eye(2), (n, 1, 1))}, step)
 
 
-def gain_triples(spark, n: int, seed: int = 42) -> DataFrame:
-    """Simulated (innovation, state, gain) triples, one seeded batch of filters per partition."""
+def gain_triples(windows: DataFrame, seed: int = 42, keys: tuple[str, ...] = ("drive_id", "segment", "start")) -> DataFrame:
+    """(innovation, state, gain) triples of planar filters, one for each window (keys, acc, rate: arrays of like length).
+
+    A filter starts with a drawn velocity, is predicted through the window's
+    forward acceleration and yaw rate and meets a fix with a drawn error. What
+    is drawn follows from the window's keys. No windows give no triples.
+    """
+    several = lambda name, n, size: F.array(*[size * normal(seed, f"{name}{k}", *keys) for k in range(n)]).alias(name)
 
     def work(batches):
         for pdf in batches:
-            for start in pdf["id"]:
-                rng = np.random.default_rng(seed + int(start))
-                f = Planar.start(16)
-                f.x[:, 3:5] = rng.normal(0, 10, (16, 2))
-                for _ in range(5):
-                    f.predict(rng.normal(0, 1, 16), rng.normal(0, 0.1, 16))
-                z = f.x[:, :3] + rng.normal(0, 3, (16, 3))
+            n = len(pdf)
+            if n:
+                f, acc, rate = Planar.start(n), np.stack(pdf["acc"]), np.stack(pdf["rate"])
+                f.x[:, 3:5] = np.stack(pdf["velocity"])
+                for k in range(acc.shape[1]):
+                    f.predict(acc[:, k], rate[:, k])
                 s = f.p[:, :3, :3] + 9 * np.eye(3)
                 gain = np.linalg.solve(s, f.p[:, :3, :]).transpose(0, 2, 1)
-                yield pd.DataFrame({"innovation": (z - f.x[:, :3]).tolist(), "state": f.x.tolist(), "gain": gain.reshape(16, 27).tolist()})
+                yield pd.DataFrame({"innovation": list(np.stack(pdf["error"])), "state": f.x.tolist(), "gain": gain.reshape(n, 27).tolist()})
 
-    return spark.range(n // 16).mapInPandas(work, "innovation array<double>, state array<double>, gain array<double>")
+    seen = windows.select("acc", "rate", several("velocity", 2, 10.0), several("error", 3, 3.0))
+    return seen.mapInPandas(work, "innovation array<double>, state array<double>, gain array<double>")
 
 
 def blended_gain(gain: np.ndarray, learned: np.ndarray, most: float = 10.0) -> np.ndarray:
@@ -189,8 +196,12 @@ def with_learned_gain(triples: DataFrame, weights: np.ndarray) -> DataFrame:
     return triples.mapInPandas(work, "innovation array<double>, state array<double>, gain array<double>, learned array<double>, blended array<double>")
 
 
-def latency(spark, steps: int = 200) -> DataFrame:
-    """(part, ms): the mean time of one call of each part of the step on one inertial filter, timed in one task after a warm-up."""
+def latency(rows: DataFrame) -> DataFrame:
+    """(part, calls, ms): the mean time of one call of each part of the step, called once for every row on its channels.
+
+    Each batch has one inertial filter of its own and a warm-up; times are
+    added inside batches first. No rows give no parts.
+    """
 
     def work(batches):
         import time
@@ -198,19 +209,22 @@ def latency(spark, steps: int = 200) -> DataFrame:
         from .models import Linear
 
         f, model = Inertial.start(1), Linear(np.zeros((19, 1)))
-        acc, gyro, window = np.array([[0.5, 0.0, 9.8]]), np.array([[0.0, 0.0, 0.02]]), np.zeros((1, 6, 50))
-        parts = {"predict": lambda: f.predict(acc, gyro), "sideways": f.sideways, "fix": lambda: f.position(np.zeros((1, 3))), "inference": lambda: model.predict(window)}
+        acc, gyro, origin, window = np.zeros((1, 3)), np.zeros((1, 3)), np.zeros((1, 3)), np.zeros((1, 6, 50))
+        parts = {"predict": lambda: f.predict(acc, gyro), "sideways": f.sideways, "fix": lambda: f.position(origin), "inference": lambda: model.predict(window)}
+        for _ in range(20):
+            for call in parts.values():
+                call()
         for pdf in batches:
-            for _ in range(len(pdf)):
+            spent = dict.fromkeys(parts, 0.0)
+            for acc[0], gyro[0] in zip(pdf[["ax", "ay", "az"]].to_numpy(float), pdf[["gx", "gy", "gz"]].to_numpy(float), strict=True):
                 for name, call in parts.items():
-                    for _ in range(20):
-                        call()
                     begun = time.perf_counter()
-                    for _ in range(steps):
-                        call()
-                    yield pd.DataFrame({"part": [name], "ms": [(time.perf_counter() - begun) / steps * 1000]})
+                    call()
+                    spent[name] += time.perf_counter() - begun
+            yield pd.DataFrame({"part": list(spent), "calls": len(pdf), "seconds": list(spent.values())})
 
-    return spark.range(0, 1, 1, 1).mapInPandas(work, "part string, ms double")
+    timed = rows.select("ax", "ay", "az", "gx", "gy", "gz").mapInPandas(work, "part string, calls long, seconds double")
+    return timed.groupBy("part").agg(F.sum("calls").alias("calls"), (F.sum("seconds") * 1000 / F.sum("calls")).alias("ms")).where("calls > 0")
 
 
 def study(samples: DataFrame, configs: tuple[Config, ...]) -> DataFrame:

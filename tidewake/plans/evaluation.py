@@ -17,6 +17,20 @@ from ..operators.segments import padded_windows
 CHANNELS = ("ax", "ay", "az", "gx", "gy", "gz")
 
 
+def refusals(requests: DataFrame) -> DataFrame:
+    """``requests`` with ``refused``: the gates that an evaluation does not pass, comma-joined, empty where it may run.
+
+    data: not of authentic or field origin. model: one is named that is not
+    registered with its content (``known``, null: no). gain: a learned gain
+    without a model. map: waypoints of the truth. A null map or gain is none.
+    """
+    gates = (
+        ("data", ~trainable(F.col("authenticity"))), ("model", F.col("model").isNotNull() & ~F.coalesce("known", F.lit(False))),
+        ("gain", F.coalesce(F.col("gain") == "learned", F.lit(False)) & F.col("model").isNull()), ("map", F.coalesce(F.col("map_source") == "unsafe_waypoints", F.lit(False))),
+    )
+    return requests.withColumn("refused", F.concat_ws(",", *[F.when(bad, name) for name, bad in gates]))
+
+
 def gated(rows: DataFrame, inside: Column) -> DataFrame:
     """``rows`` (with idx) with ``is_outage`` and the positions that navigation may see, ``nav_east`` and ``nav_north``."""
     shown = lambda c: F.when(~F.col("is_outage"), F.col(c))

@@ -6,12 +6,12 @@ meet it in an equi-join on the drive with a range condition on the row number.
 
 from __future__ import annotations
 
-import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.draws import drawn, normal
 from ..operators.estimators import order, with_steps
 from ..operators.fold import scan
 from ..operators.numbering import numbered
@@ -95,16 +95,6 @@ def samples_of(scenarios: DataFrame, samples: DataFrame, before: int = 0, after:
     return rows.select("s.*", *extra, ((x >= s) & (x < F.col("s.last"))).alias("inside"))
 
 
-def drawn(seed: int, name: str, *keys) -> Column:
-    """A number in (0, 1) that follows from the seed and the row's own keys, not from its place among partitions."""
-    return (F.pmod(F.xxhash64(F.lit(seed), F.lit(name), *keys), F.lit(1 << 53).cast("long")) + 0.5) / float(1 << 53)
-
-
-def normal(seed: int, name: str, *keys) -> Column:
-    """A standard normal number of the same kind (Box and Muller)."""
-    return F.sqrt(-2 * F.log(drawn(seed, name + "|u", *keys))) * F.cos(2 * math.pi * drawn(seed, name + "|v", *keys))
-
-
 def perturbed(scenarios: DataFrame, target: int, seed: int = 42, acc_span: float = 0.3, gyro_span: float = 0.01) -> DataFrame:
     """Copies with uniform accelerometer and gyro biases, round after round, until ``target`` rows are there.
 

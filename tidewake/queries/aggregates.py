@@ -141,11 +141,21 @@ def agg_16(spark, sf_dir):
     return stream(spark, sf_dir).groupBy("drive_id").agg(F.round(taken / F.greatest(F.lit(1), taken + refused), 6).alias("rate"))
 
 
-@query("agg_17_second_moments")
+#: The roots of a symmetric 3 x 3 matrix's characteristic cubic: q + 2 p cos(phi + 2 k pi / 3).
+_CUBIC = """, m AS (SELECT drive_id, avg(ax * ax) AS a, avg(ay * ay) AS b, avg(az * az) AS c, avg(ax * ay) AS d, avg(ax * az) AS e, avg(ay * az) AS f FROM s GROUP BY drive_id),
+    q AS (SELECT *, (a + b + c) / 3 AS q FROM m), p AS (SELECT *, sqrt((pow(a - q, 2) + pow(b - q, 2) + pow(c - q, 2) + 2 * (d * d + e * e + f * f)) / 6) AS p FROM q),
+    r AS (SELECT *, acos(greatest(-1, least(1, ((a - q) * ((b - q) * (c - q) - f * f) - d * (d * (c - q) - f * e) + e * (d * f - (b - q) * e)) / (2 * p * p * p)))) / 3 AS phi FROM p)
+"""
+
+
+@query("agg_17_second_moments", _CUBIC + """SELECT drive_id, round(a, 4) AS xx, round(b, 4) AS yy, round(c, 4) AS zz, round(d, 4) + 0 AS xy, round(e, 4) + 0 AS xz, round(f, 4) + 0 AS yz,
+    round(q + 2 * p * cos(phi), 4) AS largest, round(q + 2 * p * cos(phi + 2 * pi() / 3), 4) AS smallest FROM r""")
 def agg_17(spark, sf_dir):
     from ..operators.metrics import principal_axes
 
-    return principal_axes(stream(spark, sf_dir), ("ax", "ay", "az"), ["drive_id"])
+    found = principal_axes(stream(spark, sf_dir), ("ax", "ay", "az"), ["drive_id"])
+    named = {"xx": "m00", "yy": "m11", "zz": "m22", "xy": "m01", "xz": "m02", "yz": "m12"}
+    return found.select("drive_id", *[(F.round(m, 4) + 0.0).alias(c) for c, m in named.items()], F.round(F.col("eigenvalues")[0], 4).alias("largest"), F.round(F.col("eigenvalues")[2], 4).alias("smallest"))
 
 
 @query("agg_18_iron_fit", ", g AS (SELECT drive_id, (max(ax) + min(ax)) / 2 AS bx, (max(ay) + min(ay)) / 2 AS by_, greatest((max(ax) - min(ax)) / 2, 1) AS sx, greatest((max(ay) - min(ay)) / 2, 1) AS sy, greatest((max(az) - min(az)) / 2, 1) AS sz, count(*) AS n FROM s GROUP BY drive_id) SELECT drive_id, round(bx, 6) AS bias_ax, round(by_, 6) AS bias_ay, round((sx + sy + sz) / 3 / sx, 6) AS scale_ax, round((sx + sy + sz) / 3 / sz, 6) AS scale_az FROM g WHERE n >= 50")
@@ -245,10 +255,7 @@ def srt_04(spark, sf_dir):
     return table(spark, sf_dir, "orders").orderBy(F.desc("o_orderdate"), "o_orderkey").select("o_orderkey")
 
 
-@query("srt_02_eigenvalues", """, m AS (SELECT drive_id, avg(ax * ax) AS a, avg(ay * ay) AS b, avg(az * az) AS c, avg(ax * ay) AS d, avg(ax * az) AS e, avg(ay * az) AS f FROM s GROUP BY drive_id),
-    q AS (SELECT *, (a + b + c) / 3 AS q FROM m), p AS (SELECT *, sqrt((pow(a - q, 2) + pow(b - q, 2) + pow(c - q, 2) + 2 * (d * d + e * e + f * f)) / 6) AS p FROM q),
-    r AS (SELECT *, acos(greatest(-1, least(1, ((a - q) * ((b - q) * (c - q) - f * f) - d * (d * (c - q) - f * e) + e * (d * f - (b - q) * e)) / (2 * p * p * p)))) / 3 AS phi FROM p)
-    SELECT drive_id, round(q + 2 * p * cos(phi), 4) AS first, round(3 * q - (q + 2 * p * cos(phi)) - (q + 2 * p * cos(phi + 2 * pi() / 3)), 4) AS second, round(q + 2 * p * cos(phi + 2 * pi() / 3), 4) AS third FROM r""")
+@query("srt_02_eigenvalues", _CUBIC + """SELECT drive_id, round(q + 2 * p * cos(phi), 4) AS first, round(3 * q - (q + 2 * p * cos(phi)) - (q + 2 * p * cos(phi + 2 * pi() / 3)), 4) AS second, round(q + 2 * p * cos(phi + 2 * pi() / 3), 4) AS third FROM r""")
 def srt_02(spark, sf_dir):
     """Principal moments of the specific force, largest first; the SQL takes the cubic's roots."""
     from ..operators.metrics import principal_axes

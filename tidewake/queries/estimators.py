@@ -8,6 +8,7 @@ from ..operators.simulate import BASELINES
 from ..session import by_time, stream, table
 from . import query
 from .machines import recursive
+from .windows import _SEG
 
 _RUN = "OVER (PARTITION BY drive_id ORDER BY t, event_id ROWS UNBOUNDED PRECEDING)"
 
@@ -94,20 +95,26 @@ def est_15(spark, sf_dir):
 
 @query("est_17_learned_gain")
 def est_17(spark, sf_dir):
-    return learned_gains(spark, "blended")
+    return learned_gains(spark, sf_dir, "blended")
 
 
-def learned_gains(spark, column):
+def learned_gains(spark, sf_dir, column):
     """The gains of a model fitted on the triples, whole: three innovations, nine states by three."""
-    triples = recordings.gain_triples(spark, 256)
+    triples = gain_windows(spark, sf_dir)
     found = recordings.with_learned_gain(triples, recordings.gain_model(triples))
     rounded = lambda c: F.transform(c, lambda v: F.round(v, 6))
     return found.select(rounded("innovation").alias("innovation"), rounded(column).alias("gain"))
 
 
-@query("src_24_gain_triples")
+def gain_windows(spark, sf_dir):
+    """A triple for each window of the stream."""
+    w = F.col("window")
+    return recordings.gain_triples(window_rows(spark, sf_dir).select("drive_id", "segment", "start", w[0].alias("acc"), w[5].alias("rate")))
+
+
+@query("src_24_gain_triples", _SEG + "SELECT 9 AS state, 27 AS gain FROM k WHERE rn >= 9 AND (rn - 9) % 5 = 0")
 def src_24(spark, sf_dir):
-    return recordings.gain_triples(spark, 128).select(F.size("state").alias("state"), F.size("gain").alias("gain"))
+    return gain_windows(spark, sf_dir).select(F.size("state").alias("state"), F.size("gain").alias("gain"))
 
 
 @query("fn_08_rotations", """, n AS (SELECT *, sqrt(gx * gx + gy * gy + gz * gz) AS n FROM s),
@@ -180,7 +187,7 @@ def ml_05(spark, sf_dir):
 
 @query("ml_07_gain_model")
 def ml_07(spark, sf_dir):
-    return learned_gains(spark, "learned")
+    return learned_gains(spark, sf_dir, "learned")
 
 
 @query("gov_04_model_registry", "SELECT n_name AS name, n_nationkey % 5 NOT IN (1, 2) AS known FROM nation", stream=False)

@@ -12,7 +12,8 @@ from ..shared import new_path
 from ..sources import synthetic
 from ..streaming import live
 from . import query
-from .estimators import _RUN, scenario_samples
+from .estimators import _RUN, gov_04, scenario_samples
+from .sources import profiles
 from .windows import _PATH, _SEG
 
 
@@ -45,8 +46,9 @@ def _synthetic_samples(df):
 
 @query("pipe_03_outage_kilometre")
 def pipe_03(spark, sf_dir):
-    found = recordings.study(_synthetic_samples(synthetic.outage_kilometre(spark)), BASELINES)
-    return found.select("config", F.round("distance", 3).alias("distance"), F.round("drift", 3).alias("drift"), "pass")
+    """An outage of 65 s in a recording generated for each drive, through every configuration."""
+    found = recordings.study(_synthetic_samples(synthetic.outage_kilometre(profiles(spark, sf_dir))), BASELINES)
+    return found.select("run", "config", F.round("distance", 3).alias("distance"), F.round("drift", 3).alias("drift"), "pass")
 
 
 @query("pipe_04_scenario_configs")
@@ -86,8 +88,9 @@ def pipe_06_noise(spark, sf_dir):
 
 @query("pipe_08_two_wheeler")
 def pipe_08(spark, sf_dir):
-    found = recordings.study(_synthetic_samples(synthetic.two_wheeler(spark)), (Config("car"), Config("two_wheeler", sideways=False)))
-    return found.select("config", F.round("drift", 3).alias("drift"))
+    """S-curves at each drive's speed, with the sideways constraint of a car and without it."""
+    found = recordings.study(_synthetic_samples(synthetic.two_wheeler(profiles(spark, sf_dir))), (Config("car"), Config("two_wheeler", sideways=False)))
+    return found.select("run", "config", F.round("drift", 3).alias("drift"))
 
 
 @query("pipe_09_field_session", ", d AS (SELECT *, t - lag(t) OVER (PARTITION BY drive_id ORDER BY t, event_id) AS dt, kind = 'error' AND NOT coalesce(lag(kind = 'error') OVER (PARTITION BY drive_id ORDER BY t, event_id), false) AS rise FROM s) SELECT drive_id, count(*) AS n, round(avg(dt), 3) AS dt, count(*) FILTER (rise) AS outages, round(avg(ay * ay), 5) AS nis FROM d GROUP BY drive_id")
@@ -265,12 +268,12 @@ def str_13(spark, sf_dir):
     return spark.read.parquet(f"{folder}/out").groupBy("drive_id").agg(F.count("*").alias("n"))
 
 
-@query("pipe_22_latency", "SELECT * FROM (VALUES ('inference', true), ('predict', true), ('sideways', true), ('fix', true)) v(part, within_budget)", stream=False)
+@query("pipe_22_latency", "SELECT part, count(*) AS calls, true AS within_budget FROM s, (VALUES ('inference'), ('predict'), ('sideways'), ('fix')) v(part) GROUP BY part")
 def pipe_22(spark, sf_dir):
-    """Mean time of each part of a step, and whether 200 predictions and 10 of the part fit into a second."""
-    found = recordings.latency(spark)
+    """Mean time of each part of a step over every row, and whether 200 predictions and 10 of the part fit into a second."""
+    found = recordings.latency(stream(spark, sf_dir))
     load = 200 * F.max(F.when(F.col("part") == "predict", F.col("ms"))).over(Window.partitionBy(F.lit(1))) + 10 * F.col("ms")  # four rows
-    return found.select("part", (load < 1000).alias("within_budget"))
+    return found.select("part", "calls", (load < 1000).alias("within_budget"))
 
 
 @query("pipe_25_summary", ", d AS (SELECT drive_id, count(*) AS n, count(*) FILTER (kind = 'error') AS dark, max(speed) AS top FROM s GROUP BY drive_id) SELECT drive_id, printf('drive %d: %d rows, %d without a fix, top speed %.4f m/s', drive_id, n, dark, top) AS line FROM d")
@@ -311,16 +314,19 @@ def gov_01(spark, sf_dir):
     return manifests.withColumn("allowed", trainable(F.col("authenticity")))
 
 
-@query("gov_02_map_source_gate", "SELECT true AS refused", stream=False)
+@query("gov_02_map_source_gate", """, r AS (SELECT drive_id, drive_id % 3 = 0 AS synthetic, CASE WHEN drive_id % 7 > 0 THEN drive_id % 25 END AS model, drive_id % 4 = 0 AS learned, drive_id % 5 = 0 AS truth FROM s GROUP BY drive_id)
+SELECT drive_id, concat_ws(',', CASE WHEN synthetic THEN 'data' END, CASE WHEN model % 5 IN (1, 2) THEN 'model' END, CASE WHEN learned AND model IS NULL THEN 'gain' END, CASE WHEN truth THEN 'map' END) AS refused FROM r""")
 def gov_02(spark, sf_dir):
-    """A map made of the truth is refused."""
-    from ..operators.mapmatch import waypoint_graph
-
-    try:
-        waypoint_graph(stream(spark, sf_dir))
-    except ValueError:
-        return spark.createDataFrame([(True,)], "refused boolean")
-    return spark.createDataFrame([(False,)], "refused boolean")
+    """An evaluation asked for each drive, by its data's origin, its model in the registry, its gain and its map: which gates refuse it."""
+    from ..plans.evaluation import refusals
+
+    d = F.col("drive_id")
+    names = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("_key"), F.col("n_name").alias("model")).join(gov_04(spark, sf_dir).withColumnRenamed("name", "model"), "model")
+    asked = stream(spark, sf_dir).select("drive_id").distinct().select(
+        "drive_id", F.when(d % 3 == 0, "synthetic").otherwise("field").alias("authenticity"), F.when(d % 7 > 0, d % 25).alias("_key"),
+        F.when(d % 4 == 0, "learned").alias("gain"), F.when(d % 5 == 0, "unsafe_waypoints").otherwise("streets").alias("map_source"),
+    )
+    return refusals(asked.join(names, "_key", "left")).select("drive_id", "refused")
 
 
 def live_frames(rows):

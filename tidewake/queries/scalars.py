@@ -10,11 +10,18 @@ from . import query
 R6 = lambda c: F.round(c, 6)
 
 
-@query("prj_01_detect_schema", "SELECT 'acc_x' AS canonical, 'Acc_x' AS source UNION ALL SELECT 'acc_y', 'Acc_y' UNION ALL SELECT 'acc_z', 'Acc_z' UNION ALL SELECT 'gyro_x', 'Gyro_x' UNION ALL SELECT 'gyro_y', 'Gyro_y' UNION ALL SELECT 'gyro_z', 'Gyro_z' UNION ALL SELECT 'mag_x', 'Mag_x' UNION ALL SELECT 'mag_y', 'Mag_y' UNION ALL SELECT 'mag_z', 'Mag_z' UNION ALL SELECT 'lat', 'Latitude' UNION ALL SELECT 'lon', 'Longitude' UNION ALL SELECT 'timestamp', 'Time'", stream=False)
+_PHONE_FIELDS = "('timestamp', 'Time (s)'), ('acc_x', 'Accelerometer X (m/s²)'), ('acc_y', 'Accelerometer Y (m/s²)'), ('acc_z', 'Accelerometer Z (m/s²)'), ('gyro_x', 'Gyroscope Roll'), ('gyro_y', 'Gyroscope Pitch'), ('gyro_z', 'Gyroscope Yaw'), ('lat', 'GPS Latitude'), ('lon', 'GPS Longitude')"
+_VEHICLE_FIELDS = "('timestamp', 'Time (s)'), ('wheel_speed', 'Indicated Vehicle Speed (km/h)'), ('yaw_rate', 'Yaw Rate')"
+
+
+@query("prj_01_detect_schema", f"""SELECT 'S-' || n_nationkey || '.csv' AS name, canonical, source FROM nation, (VALUES {_PHONE_FIELDS}) v(canonical, source)
+UNION ALL SELECT 'V-' || n_nationkey || '.csv', canonical, source FROM nation, (VALUES {_VEHICLE_FIELDS}) v(canonical, source) WHERE n_nationkey < (SELECT max(n_nationkey) FROM nation)""", stream=False)
 def prj_01(spark, sf_dir):
-    header = ["Time", "Acc_x", "Acc_y", "Acc_z", "Gyro_x", "Gyro_y", "Gyro_z", "Mag_x", "Mag_y", "Mag_z", "Latitude", "Longitude", "Speed", "Heading"]
-    found = schema.detect(header, "phone")
-    return spark.createDataFrame(sorted(found.columns.items()), "canonical string, source string")
+    """The canonical columns of every recorded file, by its header."""
+    from ..sources import files
+    from .sources import _drives
+
+    return files.detected(files.headers(spark, f"{_drives(spark, sf_dir)}/*.csv"))
 
 
 @query("prj_02_normalize_names", r"""SELECT p_partkey, trim(regexp_replace(regexp_replace(lower(trim(p_name || ' (' || p_type || ')')), '[\s\[\](){}<>/\\.,:;-]+', ' ', 'g'), '\s+', ' ', 'g')) AS name FROM part""", stream=False)

@@ -1,4 +1,4 @@
-"""Sources and sinks as queries over the test tables or over generated data (SRC, SNK)."""
+"""Sources and sinks as queries over the test tables or over recordings generated for their drives (SRC, SNK)."""
 
 
 from pyspark.sql import functions as F
@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from ..operators import mapmatch
 from ..sources import files, schema, sinks, synthetic
 from ..session import by_time, stream, table
-from ..shared import new_path
+from ..shared import new_path, saved
 from . import query
 
 
@@ -14,9 +14,9 @@ _PHONE = "Time (s),Accelerometer X (m/s²),Accelerometer Y (m/s²),Accelerometer
 _VEHICLE = "Time (s),Indicated Vehicle Speed (km/h),Yaw Rate"
 
 
-def _drives(spark, sf_dir):
+def _drives(spark, sf_dir, located=False):
     """A folder of drive files as recorders leave them, one drive a nation (25 drives of 20 rows): phone and vehicle CSVs, the last drive
-    without its vehicle file, and every phone file again in one archive."""
+    without its vehicle file, and every phone file again in one archive. ``located``: vehicle files have positions too, every fifth drive's none."""
     import io
     import zipfile
 
@@ -32,11 +32,13 @@ def _drives(spark, sf_dir):
     packed = io.BytesIO()
     with zipfile.ZipFile(packed, "w") as archive:
         for n in nations:
+            head = f"{_VEHICLE},GPS Latitude,GPS Longitude" if located and n % 5 else _VEHICLE
+            place = lambda k: f",12.{n},77.{k}" if located and n % 5 else ""  # noqa: B023, E731
             phone = "\n".join([_PHONE, *(f"{k / 10},{n + k},{k},9.8,0.1,0.2,{n / 100},12.{n},77.{k}" for k in range(20))]).encode("latin1")
             archive.writestr(f"phones/S-{n}.csv", phone)
             put(f"S-{n}.csv", phone)
             if n != nations[-1]:
-                put(f"V-{n}.csv", "\n".join([_VEHICLE, *(f"{k / 10},{n + 2 * k},{n / 50}" for k in range(20))]).encode("latin1"))
+                put(f"V-{n}.csv", "\n".join([head, *(f"{k / 10},{n + 2 * k},{n / 50}{place(k)}" for k in range(20))]).encode("latin1"))
     put("phones.zip", packed.getvalue())
     return folder
 
@@ -75,10 +77,17 @@ def src_05(spark, sf_dir):
     return named.groupBy("drive_id").agg(F.count("*").alias("n"), F.sum(F.col("`Accelerometer X (m/s²)`").cast("double")).alias("acc_x"))
 
 
-@query("src_04_channel_files", "SELECT 'S-acc-1.csv' AS name, 'acc' AS channel UNION ALL SELECT 'S-gyro-1.csv', 'gyro' UNION ALL SELECT 'S-gps-1.csv', 'gps' UNION ALL SELECT 'V-speed-1.csv', 'speed' UNION ALL SELECT 'notes.txt', NULL", stream=False)
+@query("src_04_channel_files", "SELECT drive_id, t AS t, max(ax) AS acc_x, max(gz) AS gyro_z, max(lat) FILTER (kind = 'view') AS lat FROM s GROUP BY drive_id, t")
 def src_04(spark, sf_dir):
-    names = spark.createDataFrame([(n,) for n in ("S-acc-1.csv", "S-gyro-1.csv", "S-gps-1.csv", "V-speed-1.csv", "notes.txt")], "name string")
-    return names.select("name", files.channel_of(F.col("name")).alias("channel"))
+    """A dataset of CSV files a channel, fixes only where there are some, found by their names, read apart and put together; notes are left out."""
+    folder, rows, clock = f"{_folder(spark)}/channels", stream(spark, sf_dir), F.col("t").alias("Time (s)")
+    axes = lambda a, b, c, name: [F.col(x).alias(f"{name} {k}") for x, k in ((a, "X"), (b, "Y"), (c, "Z"))]
+    write = lambda df, name: df.write.option("header", "true").csv(f"{folder}/{name}")
+    write(rows.select("drive_id", clock, *axes("ax", "ay", "az", "Accelerometer")), "S-acc.csv")
+    write(rows.select("drive_id", clock, *axes("gx", "gy", "gz", "Gyroscope")), "S-gyro.csv")
+    write(rows.where("kind = 'view'").select("drive_id", clock, F.col("lat").alias("GPS Latitude"), F.col("lon").alias("GPS Longitude")), "S-gps.csv")
+    write(rows.select("drive_id", "kind").distinct(), "notes.csv")
+    return files.read_channels(spark, folder).select("drive_id", F.col("timestamp").alias("t"), "acc_x", "gyro_z", "lat")
 
 
 @query("src_07_session_replay", "SELECT event_id, kind = 'view' AND lat > 12.902 AS has_fix FROM s")
@@ -93,44 +102,59 @@ def src_08(spark, sf_dir):
     return files.replay(rows).select("event_id", F.round("gnss.lat", 6).alias("lat"), "gnss.accuracy")
 
 
-_DRIVE = "(SELECT i AS idx, CASE WHEN i / 1200.0 < 0.1 THEN i / 1200.0 * 150 WHEN i / 1200.0 < 0.8 THEN 15 ELSE greatest(0, (1 - i / 1200.0) * 75) END AS speed FROM range(1200) r(i))"
+def profiles(spark, sf_dir):
+    """A profile for each drive of the stream, which cruises at the drive's own mean speed."""
+    return stream(spark, sf_dir).groupBy("drive_id").agg(F.round(F.avg("speed"), 3).alias("cruise"))
 
 
-@query("src_09_synthetic_drive", f"SELECT idx::INT AS idx, round(speed, 6) AS speed, idx >= 450 AND idx < 750 AS dark FROM {_DRIVE}", stream=False)
+_PROFILES = ", p AS (SELECT drive_id, round(avg(speed), 3) AS cruise FROM s GROUP BY drive_id)"
+_DRIVE = _PROFILES + ", g AS (SELECT drive_id, i AS idx, CASE WHEN i / 1200.0 < 0.1 THEN i / 1200.0 * 10 * cruise WHEN i / 1200.0 < 0.8 THEN cruise ELSE greatest(0, (1 - i / 1200.0) * 5 * cruise) END AS speed FROM p, range(1200) r(i))"
+
+
+@query("src_09_synthetic_drive", _DRIVE + "SELECT drive_id, idx::INT AS idx, round(speed, 7) AS speed, idx >= 450 AND idx < 750 AS dark FROM g")
 def src_09(spark, sf_dir):
-    return synthetic.drive(spark).select("idx", F.round("speed", 6).alias("speed"), "dark")
+    return synthetic.drive(profiles(spark, sf_dir)).select("drive_id", "idx", F.round("speed", 7).alias("speed"), "dark")
 
 
-@query("src_10_synthetic_walk", "SELECT i::INT AS idx, 1.4::DOUBLE AS speed, i >= 500 AND i < 700 AS dark FROM range(900) r(i)", stream=False)
+@query("src_10_synthetic_walk", _PROFILES + "SELECT drive_id, i::INT AS idx, round(cruise / 10, 6) AS speed, round(i * cruise * 0.01 + cruise * 0.01, 5) AS east, i >= 500 AND i < 700 AS dark FROM p, range(900) r(i)")
 def src_10(spark, sf_dir):
-    return synthetic.walk(spark).select("idx", "speed", "dark")
+    return synthetic.walk(profiles(spark, sf_dir)).select("drive_id", "idx", F.round("speed", 6).alias("speed"), F.round("east", 5).alias("east"), "dark")
 
 
-@query("src_11_mock_dataset", "SELECT d::INT AS drive_id, 1000 AS n FROM range(7) r(d)", stream=False)
+@query("src_11_mock_dataset", _DRIVE.replace("1200", "1000") + "SELECT drive_id, count(*) AS n, round(max(speed), 4) AS top, round(sum(speed) * 0.1, 2) AS metres, true AS noisy FROM g GROUP BY drive_id")
 def src_11(spark, sf_dir):
-    return synthetic.drive(spark, 1000, drives=7).groupBy("drive_id").agg(F.count("*").alias("n"))
+    """A thousand noisy rows for each drive; the noise has its mean at zero and its size as asked, within five standard errors."""
+    made = synthetic.drive(profiles(spark, sf_dir), 1000, noise=0.5).groupBy("drive_id").agg(F.count("*").alias("n"), F.round(F.max("speed"), 4).alias("top"), F.round(F.sum("speed") * 0.1, 2).alias("metres"), F.avg("az").alias("m"), F.stddev("az").alias("sd"))
+    noisy = (F.abs(F.col("m") - synthetic.GRAVITY) < 0.08) & (F.abs(F.col("sd") - 0.5) < 0.06)
+    return made.select("drive_id", "n", "top", "metres", noisy.alias("noisy"))
 
 
-@query("src_12_two_wheeler", "SELECT i::INT AS idx, round(atan2(10 * 0.3 * sin(i * 0.1 * 0.5), 9.80665), 6) AS lean FROM range(600) r(i)", stream=False)
+@query("src_12_two_wheeler", _PROFILES + "SELECT drive_id, i::INT AS idx, round(atan2(cruise * 0.3 * sin(i * 0.1 * 0.5), 9.80665), 6) + 0 AS lean FROM p, range(600) r(i)")
 def src_12(spark, sf_dir):
-    return synthetic.two_wheeler(spark).select("idx", F.round("lean", 6).alias("lean"))
+    return synthetic.two_wheeler(profiles(spark, sf_dir)).select("drive_id", "idx", (F.round("lean", 6) + 0.0).alias("lean"))
 
 
-@query("src_13_outage_kilometre", f"SELECT idx::INT AS idx, round(speed, 6) AS speed, idx >= 300 AND idx < 950 AS dark FROM {_DRIVE}", stream=False)
+@query("src_13_outage_kilometre", _DRIVE + "SELECT drive_id, round(sum(speed) FILTER (idx >= 300 AND idx < 950) * 0.1, 3) AS dark_metres, count(*) FILTER (idx >= 300 AND idx < 950) AS dark_rows FROM g GROUP BY drive_id")
 def src_13(spark, sf_dir):
-    return synthetic.outage_kilometre(spark).select("idx", F.round("speed", 6).alias("speed"), "dark")
+    made = synthetic.outage_kilometre(profiles(spark, sf_dir)).where("dark")
+    return made.groupBy("drive_id").agg(F.round(F.sum("speed") * 0.1, 3).alias("dark_metres"), F.count("*").alias("dark_rows"))
 
 
-@query("src_15_paired_drives", "SELECT 'M' AS drive_id UNION ALL SELECT 'Y1'", stream=False)
+@query("src_15_paired_drives", "SELECT n_nationkey::VARCHAR AS drive_id FROM nation WHERE n_nationkey % 5 > 0 AND n_nationkey < (SELECT max(n_nationkey) FROM nation)", stream=False)
 def src_15(spark, sf_dir):
-    names = spark.createDataFrame([(n, f"/d/{n}") for n in ("S-M.csv", "V-M.csv", "S-Y1.csv", "V-Y1.csv", "S-Vw.csv")], "name string, path string")
-    return files.paired(names).select("drive_id")
+    """Drives with both files and positions in both, by the files' headers."""
+    return files.located_pairs(files.headers(spark, f"{_drives(spark, sf_dir, located=True)}/*.csv"))
 
 
-@query("src_16_manifests", "SELECT 'mock' AS name, 'synthetic' AS authenticity, 10.0::DOUBLE AS hz", stream=False)
+@query("src_16_manifests", "SELECT lower(s_name) AS name, CASE s_suppkey % 3 WHEN 0 THEN 'synthetic' WHEN 1 THEN 'authentic' ELSE 'field' END AS authenticity, (10 + s_nationkey)::DOUBLE AS hz, 2 AS drives FROM supplier WHERE s_suppkey % 7 > 1", stream=False)
 def src_16(spark, sf_dir):
-    text = '{"dataset_name": " Mock ", "source": "x", "authenticity": "synthetic", "sensor_type": "imu", "sampling_rate_hz": 10, "drive_ids": ["M"]}'
-    return files.manifests(spark, {"mock": text}).select("name", "authenticity", "hz")
+    """One manifest file a supplier; every seventh is cut off, another one names no known origin, and both are left out."""
+    key, path = F.col("s_suppkey"), f"{_folder(spark)}/manifests"
+    origin = F.when(key % 7 == 1, "hearsay").when(key % 3 == 0, "synthetic").when(key % 3 == 1, "authentic").otherwise("field")
+    text = F.to_json(F.struct(F.concat(F.lit(" "), "s_name").alias("dataset_name"), F.lit("recorded").alias("source"), origin.alias("authenticity"), F.lit("imu").alias("sensor_type"), (10 + F.col("s_nationkey")).alias("sampling_rate_hz"), F.array(F.lit("M"), key.cast("string")).alias("drive_ids")))
+    made = table(spark, sf_dir, "supplier").withColumn("text", text).select(key.alias("key"), F.when(key % 7 == 0, F.left("text", F.lit(40))).otherwise(F.col("text")).alias("value"))
+    made.write.partitionBy("key").text(path)
+    return files.manifests(spark, path).select("name", "authenticity", "hz", F.size("drives").alias("drives"))
 
 
 def frame_lines(spark, sf_dir):
@@ -167,14 +191,24 @@ def src_20(spark, sf_dir):
     return found.select("drive_id", F.round("t", 3).alias("t"), "last_id")
 
 
-@query("src_21_road_graph", "SELECT count(*) AS edges FROM (SELECT 1 FROM range(5) a(i), range(5) b(j), range(5) c(k), range(5) d(l) WHERE abs(i - k) + abs(j - l) = 1)", stream=False)
+def _centres(spark, sf_dir):
+    return stream(spark, sf_dir).groupBy("drive_id").agg(F.round(F.avg("east"), 2).alias("x"), F.round(F.avg("north"), 2).alias("y"))
+
+
+@query("src_21_road_graph", "SELECT drive_id, CASE WHEN drive_id % 2 = 0 THEN 'stored' ELSE 'diagonal' END AS origin, CASE WHEN drive_id % 2 = 0 THEN 80 ELSE 2 END AS edges, round(CASE WHEN drive_id % 2 = 0 THEN 4000 ELSE 2 * sqrt(pow(max(east) - min(east), 2) + pow(max(north) - min(north), 2)) END, 4) AS metres FROM s GROUP BY drive_id")
 def src_21(spark, sf_dir):
-    return mapmatch.grid_graph(spark, 5, 50.0)[1].agg(F.count("*").alias("edges"))
+    """Streets around every other drive are stored and read back; the others get the diagonal of their bounding box."""
+    _, edges = mapmatch.grids(_centres(spark, sf_dir).where("drive_id % 2 = 0"), 5, 50.0)
+    points = stream(spark, sf_dir).select("drive_id", F.col("east").alias("x"), F.col("north").alias("y"))
+    found = mapmatch.road_graph(saved(edges, "roads"), points)
+    return found.groupBy("drive_id", "origin").agg(F.count("*").alias("edges"), F.round(F.sum(F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))), 4).alias("metres"))
 
 
-@query("src_22_street_grid", "SELECT (i * 5 + j) AS node, (i - 2) * 50.0::DOUBLE AS x, (j - 2) * 50.0::DOUBLE AS y FROM range(5) a(i), range(5) b(j)", stream=False)
+@query("src_22_street_grid", ", c AS (SELECT drive_id, round(avg(east), 2) AS x, round(avg(north), 2) AS y FROM s GROUP BY drive_id) SELECT drive_id, (i * 5 + j) AS node, round(c.x + (i - 2) * 50.0, 3) AS x, round(c.y + (j - 2) * 50.0, 3) AS y FROM c, range(5) a(i), range(5) b(j)")
 def src_22(spark, sf_dir):
-    return mapmatch.grid_graph(spark, 5, 50.0)[0]
+    """A grid of streets around the middle of each drive."""
+    nodes, _ = mapmatch.grids(_centres(spark, sf_dir), 5, 50.0)
+    return nodes.select("drive_id", "node", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"))
 
 
 @query("src_23_waypoint_graph", "SELECT drive_id, idx, x1, x2 FROM (SELECT drive_id, idx, round(east, 4) AS x1, round(lead(east) OVER (PARTITION BY drive_id ORDER BY idx), 4) AS x2 FROM s) WHERE x2 IS NOT NULL")

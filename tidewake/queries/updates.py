@@ -124,15 +124,19 @@ MOTIONS = (
 _MOTIONS = ", ".join(f"('{m}', {k}, {fx}::DOUBLE, {fy}::DOUBLE, {w}::DOUBLE, {v}::DOUBLE)" for m, k, fx, fy, w, v in MOTIONS)
 
 
-@query("pipe_15_motion_audit", f"""WITH m(motion, steps, fx, fy, w, v0) AS (VALUES {_MOTIONS}), k AS (SELECT *, unnest(range(1, steps + 1)) AS k FROM m),
+@query("pipe_15_motion_audit", f""", c AS (SELECT drive_id, round(avg(speed), 2) / 10 AS size FROM s GROUP BY drive_id), m AS (SELECT motion || '/' || drive_id AS motion, steps, fx * size AS fx, fy * size AS fy, w, v0 * size AS v0 FROM (VALUES {_MOTIONS}) v(motion, steps, fx, fy, w, v0), c), k AS (SELECT *, unnest(range(1, steps + 1)) AS k FROM m),
     v AS (SELECT *, fx * cos(w * k * 0.1) - fy * sin(w * k * 0.1) AS ae, fx * sin(w * k * 0.1) + fy * cos(w * k * 0.1) AS an FROM k),
     d AS (SELECT *, v0 + 0.1 * sum(ae) OVER o AS ve, 0.1 * sum(an) OVER o AS vn FROM v WINDOW o AS (PARTITION BY motion ORDER BY k))
-    SELECT motion, round(sum(ve * 0.1 - 0.005 * ae), 4) + 0 AS east, round(sum(vn * 0.1 - 0.005 * an), 4) + 0 AS north, round(max_by(sqrt(ve * ve + vn * vn), k), 4) + 0 AS speed, round(max(w * steps * 0.1), 4) + 0 AS yaw, true AS level FROM d GROUP BY motion""", stream=False)
+    SELECT motion, round(sum(ve * 0.1 - 0.005 * ae), 4) + 0 AS east, round(sum(vn * 0.1 - 0.005 * an), 4) + 0 AS north, round(max_by(sqrt(ve * ve + vn * vn), k), 4) + 0 AS speed, round(max(w * steps * 0.1), 4) + 0 AS yaw, true AS level FROM d GROUP BY motion""")
 def pipe_15(spark, sf_dir):
-    """Six motions with known ends through the inertial prediction: signs and frames agree, and nothing tilts or rises."""
-    given = spark.createDataFrame(MOTIONS, "motion string, steps int, force_x double, force_y double, rate double, speed double")
+    """Six motions with known ends, at the size of each drive's mean speed, through the inertial prediction: signs and frames agree, and nothing tilts or rises."""
+    fields = ("motion", "steps", "force_x", "force_y", "rate", "speed")
+    listed = F.explode(F.array(*[F.struct(*[F.lit(v).alias(c) for c, v in zip(fields, m, strict=True)]) for m in MOTIONS]))
+    drives = stream(spark, sf_dir).groupBy("drive_id").agg((F.round(F.avg("speed"), 2) / 10).alias("size")).select("drive_id", "size", listed.alias("m"))
+    sized = [(F.col(f"m.{c}") * F.col("size")).alias(c) for c in ("force_x", "force_y", "speed")]
+    given = drives.select(F.concat_ws("/", "m.motion", "drive_id").alias("motion"), "m.steps", "m.rate", *sized)
     level = (F.abs("roll") < 1e-6) & (F.abs("pitch") < 1e-6) & (F.abs("up") < 1e-6)
-    return updates.motions(given).select("motion", *[F.round(c, 4).alias(c) for c in ("east", "north", "speed", "yaw")], level.alias("level"))
+    return updates.motions(given).select("motion", *[(F.round(c, 4) + 0.0).alias(c) for c in ("east", "north", "speed", "yaw")], level.alias("level"))
 
 
 @query("pipe_16_jacobian_audit", "SELECT event_id, true AS exact FROM s")

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import io
-import json
 import zipfile
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -50,6 +50,51 @@ def header(spark: SparkSession, path: str) -> list[str]:
     return spark.read.option("header", "true").option("encoding", LATIN).csv(path).limit(0).columns
 
 
+def headers(spark: SparkSession, path: str) -> DataFrame:
+    """(name, header): the first line of every file, which is the one with the least id of the file's first split."""
+    lines = spark.read.schema("line string").option("encoding", LATIN).option("sep", "\u0001").option("quote", "").csv(path)
+    first = lines.where("_metadata.file_block_start = 0").select("_metadata.file_path", "line", F.monotonically_increasing_id().alias("_id"))
+    return first.groupBy("file_path").agg(F.min_by("line", "_id").alias("header")).select(F.element_at(F.split("file_path", "/"), -1).alias("name"), "header")
+
+
+def detected(found: DataFrame) -> DataFrame:
+    """(name, canonical, source): the canonical columns of every file of :func:`headers`, by its kind (S: phone, V: vehicle)."""
+
+    @F.pandas_udf("map<string,string>")
+    def columns(header: pd.Series, kind: pd.Series) -> pd.Series:
+        return pd.Series([schema.detect(h.split(","), k).columns for h, k in zip(header, kind, strict=True)])
+
+    kind = F.when(F.col("name").startswith("S-"), "phone").otherwise("vehicle")
+    return found.select("name", F.explode(columns("header", kind)).alias("canonical", "source"))
+
+
+def located_pairs(found: DataFrame) -> DataFrame:
+    """Drives whose phone and vehicle file both have positions (from :func:`headers`)."""
+    low = F.lower("header")
+    both = found.where(low.contains("latitude") & low.contains("longitude")).groupBy(drive_id(F.col("name")).alias("drive_id"))
+    return both.agg(F.count_distinct(F.substring("name", 1, 1)).alias("_kinds")).where("drive_id <> '' AND _kinds = 2").select("drive_id")
+
+
+def read_channels(spark: SparkSession, folder: str) -> DataFrame:
+    """Drives recorded as one CSV dataset a channel (acc, gyro, gps, speed by its name), each with drive_id and its own clock column.
+
+    Rows of one drive and time are put together by one union and one shuffle; a
+    channel without a row at that time stays null. Other datasets are left
+    out, none at all is an error.
+    """
+    of = F.regexp_extract("path", r"/([^/]+)/[^/]+$", 1)
+    named = listing(spark, folder, "*.csv").select(of.alias("dataset")).distinct().where(channel_of(F.col("dataset")).isNotNull())
+    parts = []
+    for row in named.sort("dataset").collect():  # a dataset each, not a file
+        raw = spark.read.option("header", "true").option("enforceSchema", "false").option("encoding", LATIN).csv(f"{folder}/{row['dataset']}")
+        found = schema.detect([c for c in raw.columns if c != "drive_id"], "channel")
+        parts.append(raw.select(F.col("drive_id").cast("long").alias("drive_id"), *[F.col(f"`{source}`").cast("double").alias(name) for name, source in found.columns.items()]))
+    if not parts:
+        raise ValueError(f"no channel files below {folder}")
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    return rows.groupBy("drive_id", "timestamp").agg(*[F.max(c).alias(c) for c in rows.columns if c not in ("drive_id", "timestamp")])
+
+
 def read_drives(spark: SparkSession, path: str, kind: str | None = None) -> DataFrame:
     """CSV files of one layout as the canonical table, with the drive's id from the file name.
 
@@ -107,16 +152,11 @@ def flat_frames(lines: DataFrame, column: str = "value") -> DataFrame:
     return found.select("type", "imu.*", F.col("gnss.latitude").alias("lat"), F.col("gnss.longitude").alias("lon"), F.coalesce("gnss.accuracy_m", F.lit(3.0)).alias("accuracy"))
 
 
-MANIFEST = {"dataset_name", "source", "authenticity", "sensor_type", "sampling_rate_hz"}
+MANIFEST = "dataset_name string, source string, authenticity string, sensor_type string, sampling_rate_hz double, drive_ids array<string>"
 
 
-def manifests(spark: SparkSession, texts: dict[str, str]) -> DataFrame:
-    """Dataset manifests (JSON text by name). Unknown authenticity or missing keys are an error, not a silent skip."""
-    rows = []
-    for name, text in texts.items():
-        found = json.loads(text)
-        missing = MANIFEST - found.keys()
-        if missing or found["authenticity"] not in ("synthetic", "authentic", "field"):
-            raise ValueError(f"{name}: missing {sorted(missing)} or authenticity {found.get('authenticity')!r}")
-        rows.append((found["dataset_name"].strip().lower(), found["authenticity"], found["sensor_type"], float(found["sampling_rate_hz"]), [str(d) for d in found.get("drive_ids", [])]))
-    return spark.createDataFrame(rows, "name string, authenticity string, sensor string, hz double, drives array<string>")
+def manifests(spark: SparkSession, path: str) -> DataFrame:
+    """Dataset manifests, one JSON file each: those that cannot be parsed, lack a field but the drives, or are of unknown authenticity are left out."""
+    found = spark.read.text(path, wholetext=True).select(F.from_json("value", MANIFEST).alias("m")).select("m.*")
+    whole = found.where("dataset_name IS NOT NULL AND source IS NOT NULL AND sensor_type IS NOT NULL AND sampling_rate_hz IS NOT NULL AND authenticity IN ('synthetic', 'authentic', 'field')")
+    return whole.select(F.lower(F.trim("dataset_name")).alias("name"), "authenticity", F.col("sensor_type").alias("sensor"), F.col("sampling_rate_hz").alias("hz"), F.coalesce("drive_ids", F.array().cast("array<string>")).alias("drives"))

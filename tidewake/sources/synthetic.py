@@ -1,38 +1,59 @@
-"""Generated recordings: piecewise profiles over ``range``, noise by seed."""
+"""Generated recordings: one for every row of a table of profiles, which may be of any size; noise follows from keys.
+
+Profiles are rows of (drive_id, cruise), cruise in m/s. No row of a profile is
+an empty recording table. Samples are exploded where the profile lies, and the
+running sums shuffle by drive.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.draws import normal
 
-def drive(spark: SparkSession, rows: int = 1200, dark: tuple[int, int] = (450, 750), noise: float = 0.0, seed: int = 42, drives: int = 1) -> DataFrame:
-    """Vehicle drives: pulling away, cruising, a turn, braking; a tunnel without fixes."""
-    base = spark.range(drives * rows).select((F.col("id") / rows).cast("int").alias("drive_id"), (F.col("id") % rows).cast("int").alias("idx"))
-    share = F.col("idx") / rows
-    speed = F.when(share < 0.1, share * 150).when(share < 0.8, 15.0).otherwise(F.greatest(F.lit(0.0), (1 - share) * 75))
-    rate = F.when(share.between(0.4, 0.5), 0.1).otherwise(0.0)
-    shake = lambda k: F.randn(seed + k) * noise if noise else F.lit(0.0)
-    df = base.select("drive_id", "idx", (F.col("idx") * 0.1).alias("t"), F.col("idx").cast("long").alias("event_id"), speed.alias("speed"), rate.alias("rate"))
+GRAVITY = 9.80665
+STEP = 0.1
+
+
+def _samples(profiles: DataFrame, rows: int, dark: tuple[int, int]) -> DataFrame:
+    """Steps of 0.1 s of every profile; ``dark`` is the first and the end of the span without fixes."""
+    found = profiles.select("drive_id", "cruise", F.explode(F.sequence(F.lit(0), F.lit(rows - 1))).alias("idx"))
+    return found.withColumns({"t": F.col("idx") * STEP, "dark": (F.col("idx") >= dark[0]) & (F.col("idx") < dark[1])})
+
+
+def _moved(samples: DataFrame, speed: Column, rate: Column, noise: float, seed: int) -> DataFrame:
+    """The recording of a vehicle with this speed and yaw rate: channels, heading and track."""
     o = Window.partitionBy("drive_id").orderBy("idx")
     upto = o.rowsBetween(Window.unboundedPreceding, 0)
-    df = df.withColumn("heading", F.sum(F.col("rate") * 0.1).over(upto)).withColumn("ax", F.coalesce((F.col("speed") - F.lag("speed").over(o)) / 0.1, F.lit(0.0)) + shake(0))
-    df = df.withColumn("ay", F.col("speed") * F.col("rate") + shake(1)).withColumn("az", F.lit(9.80665) + shake(2))
-    df = df.withColumn("gx", F.lit(0.0)).withColumn("gy", F.lit(0.0)).withColumn("gz", F.col("rate") + shake(3) * 0.1)
-    df = df.withColumn("east", F.sum(F.col("speed") * F.cos("heading") * 0.1).over(upto)).withColumn("north", F.sum(F.col("speed") * F.sin("heading") * 0.1).over(upto))
-    return df.withColumn("dark", (F.col("idx") >= dark[0]) & (F.col("idx") < dark[1])).drop("rate")
+    shake = lambda c, size: size * noise * normal(seed, c, "drive_id", "idx") if noise else F.lit(0.0)
+    df = samples.withColumn("speed", speed).withColumn("_rate", rate)
+    df = df.withColumn("heading", F.sum(F.col("_rate") * STEP).over(upto)).withColumn("ax", F.coalesce((F.col("speed") - F.lag("speed").over(o)) / STEP, F.lit(0.0)) + shake("ax", 1.0))
+    df = df.withColumn("ay", F.col("speed") * F.col("_rate") + shake("ay", 1.0)).withColumn("az", F.lit(GRAVITY) + shake("az", 1.0))
+    df = df.withColumn("gx", F.lit(0.0)).withColumn("gy", F.lit(0.0)).withColumn("gz", F.col("_rate") + shake("gz", 0.1))
+    along = lambda turn: F.sum(F.col("speed") * turn("heading") * STEP).over(upto)
+    return df.withColumn("east", along(F.cos)).withColumn("north", along(F.sin)).drop("_rate")
+
+
+def drive(profiles: DataFrame, rows: int = 1200, dark: tuple[int, int] = (450, 750), noise: float = 0.0, seed: int = 42) -> DataFrame:
+    """Vehicle drives: pulling away, cruising, a turn, braking; a tunnel without fixes."""
+    share = F.col("idx") / rows
+    speed = F.when(share < 0.1, share * 10 * F.col("cruise")).when(share < 0.8, F.col("cruise")).otherwise(F.greatest(F.lit(0.0), (1 - share) * 5 * F.col("cruise")))
+    return _moved(_samples(profiles, rows, dark), speed, F.when(share.between(0.4, 0.5), 0.1).otherwise(0.0), noise, seed)
 
 
-def walk(spark: SparkSession, rows: int = 900, dark: tuple[int, int] = (500, 700)) -> DataFrame:
-    """A walk at 1.4 m/s with bobbing steps."""
-    return drive(spark, rows, dark).withColumn("speed", F.lit(1.4)).withColumn("az", F.lit(9.80665) + 2 * F.sin(F.col("t") * 4 * 3.141592653589793))
+def walk(profiles: DataFrame, rows: int = 900, dark: tuple[int, int] = (500, 700), noise: float = 0.0, seed: int = 42) -> DataFrame:
+    """Walks at a tenth of the cruising speed, with bobbing steps twice a second."""
+    found = _moved(_samples(profiles, rows, dark), F.col("cruise") / 10, F.lit(0.0), noise, seed)
+    return found.withColumn("az", F.col("az") + 2 * F.sin(F.col("t") * 4 * F.pi()))
 
 
-def outage_kilometre(spark: SparkSession) -> DataFrame:
-    return drive(spark, 1200, (300, 950))
+def outage_kilometre(profiles: DataFrame) -> DataFrame:
+    """Drives with 65 s in the dark: a kilometre at 15 m/s."""
+    return drive(profiles, 1200, (300, 950))
 
 
-def two_wheeler(spark: SparkSession, rows: int = 600) -> DataFrame:
+def two_wheeler(profiles: DataFrame, rows: int = 600, dark: tuple[int, int] = (200, 400)) -> DataFrame:
     """S-curves with the lean that balances them."""
-    df = drive(spark, rows, (200, 400)).withColumn("gz", 0.3 * F.sin(F.col("t") * 0.5)).withColumn("speed", F.lit(10.0))
-    return df.withColumn("lean", F.atan2(F.col("speed") * F.col("gz"), F.lit(9.80665)))
+    df = _moved(_samples(profiles, rows, dark), F.col("cruise"), 0.3 * F.sin(F.col("t") * 0.5), 0.0, 0)
+    return df.withColumn("lean", F.atan2(F.col("speed") * F.col("gz"), F.lit(GRAVITY)))
