@@ -43,7 +43,8 @@ def main_axis(motion: np.ndarray, up: np.ndarray, energy: float, dominance: floa
     values, vectors = np.linalg.eigh(moment)
     if dominance is not None and values[1] > 1e-5 and values[2] / (values[1] + 1e-6) < dominance:
         return None
-    return unit(across(vectors[:, 2], up))
+    axis = across(vectors[:, 2], up)
+    return unit(axis * np.sign(axis[np.abs(axis).argmax()]))  # of the two signs the one whose largest part is positive
 
 
 class Staged:

@@ -36,7 +36,7 @@ def batch_aligned(df: DataFrame, keys: list[str], gravity_rows: int, motion_rows
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
         acc = pdf.sort_values(["t", "event_id"])[["ax", "ay", "az"]].to_numpy(float)
         turn, state = alignment.whole(acc[:gravity_rows], acc[gravity_rows : gravity_rows + motion_rows])
-        return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in keys}, "state": [state], "rotation": [np.round(turn.ravel(), 6).tolist()]})
+        return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in keys}, "state": [state], "rotation": [turn.ravel().tolist()]})
 
     types = {f.name: f.dataType.simpleString() for f in df.schema}
     return df.select(*keys, "t", "event_id", "ax", "ay", "az").groupBy(*keys).applyInPandas(work, ", ".join(f"{k} {types[k]}" for k in keys) + ", state string, rotation array<double>")

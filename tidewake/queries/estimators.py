@@ -5,8 +5,9 @@ from pyspark.sql import functions as F
 
 from ..operators import estimators, mapmatch, models, recordings, segments
 from ..operators.simulate import BASELINES
-from ..session import by_time, stream, table
+from ..session import STREAM_SQL, by_time, stream, table
 from . import query
+from .joins import _EDGES, street_grid, track_points
 from .machines import recursive
 from .windows import _SEG
 
@@ -85,10 +86,24 @@ def est_14(spark, sf_dir):
     return found.groupBy("config").agg(F.count("*").alias("runs"), F.round(F.percentile("drift", F.lit(0.5)), 3).alias("median_drift"))
 
 
-@query("est_15_viterbi")
-def est_15(spark, sf_dir):
-    from .joins import street_grid, track_points
+#: The decoding as two walks over the steps, forward for the scores and back along the pointers; scores are whole numbers of 2^-20.
+_VITERBI = """, h AS (SELECT n.*, s.drive_id, s.idx, x1 + pos * (x2 - x1) AS px, y1 + pos * (y2 - y1) AS py, pos * sqrt(pow(x2 - x1, 2) + pow(y2 - y1, 2)) AS lat_ FROM n JOIN s USING (event_id)),
+k AS (SELECT *, sqrt(pow(east - px, 2) + pow(north - py, 2)) AS d, row_number() OVER (PARTITION BY event_id ORDER BY sqrt(pow(east - px, 2) + pow(north - py, 2)), edge) AS r FROM h),
+near AS (SELECT drive_id, idx, event_id, east, north, edge, px, py, lat_ AS along, d, r FROM k WHERE d <= 14 AND r <= 5),
+cand AS (SELECT * FROM near UNION ALL SELECT drive_id, idx, event_id, east, north, -1, east, north, 0, 0, 1 FROM s WHERE event_id NOT IN (SELECT event_id FROM near)),
+scored AS (SELECT *, round_even((-0.5 * pow(d / 4, 2) - ln(sqrt(2 * pi()) * 4)) * 1048576, 0)::BIGINT AS seen FROM cand),
+moves AS (SELECT b.drive_id, b.idx, a.r AS origin, b.r, b.seen + round_even((-(abs(sqrt(pow(b.east - a.east, 2) + pow(b.north - a.north, 2)) - CASE WHEN a.edge = b.edge AND b.edge <> -1 THEN abs(a.along - b.along) ELSE sqrt(pow(a.px - b.px, 2) + pow(a.py - b.py, 2)) END)
+    + CASE WHEN a.edge = b.edge THEN 0 ELSE 30 END) / 15 - ln(15)) * 1048576, 0)::BIGINT AS gain FROM scored a JOIN scored b ON a.drive_id = b.drive_id AND b.idx = a.idx + 1),
+ahead AS (SELECT drive_id, idx, r, seen AS score, NULL::BIGINT AS origin FROM scored WHERE idx = 0
+    UNION ALL SELECT m.drive_id, m.idx, m.r, max(f.score + m.gain), first(m.origin ORDER BY f.score + m.gain DESC, m.origin) FROM ahead f JOIN moves m ON m.drive_id = f.drive_id AND m.idx = f.idx + 1 AND m.origin = f.r GROUP BY m.drive_id, m.idx, m.r),
+ends AS (SELECT drive_id, idx, r, origin FROM (SELECT *, row_number() OVER (PARTITION BY drive_id ORDER BY idx DESC, score DESC, r) AS place FROM ahead) WHERE place = 1),
+back AS (SELECT * FROM ends UNION ALL SELECT a.drive_id, a.idx, a.r, a.origin FROM back b JOIN ahead a ON a.drive_id = b.drive_id AND a.idx = b.idx - 1 AND a.r = b.origin)
+SELECT event_id, edge, round(px, 4) AS px, round(py, 4) AS py FROM back JOIN scored USING (drive_id, idx, r)"""
+
 
+@query("est_15_viterbi", f"WITH RECURSIVE {STREAM_SQL}{_EDGES}{_VITERBI}", stream=False)
+def est_15(spark, sf_dir):
+    """Each drive's points on the streets by the most likely path."""
     points = track_points(spark, sf_dir).withColumn("idx", F.row_number().over(by_time()) - 1)
     return mapmatch.matched(points, street_grid(spark), ["drive_id"], sigma=4.0).select("event_id", "edge", F.round("px", 4).alias("px"), F.round("py", 4).alias("py"))
 

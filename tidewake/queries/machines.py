@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ..operators import machines
 from ..operators.estimators import with_steps
+from ..operators.kernels import alignment
 from ..session import STREAM_SQL, by_time, stream
 from . import query
 
@@ -144,11 +145,29 @@ def fsm_10(spark, sf_dir):
     return aligned(stream(spark, sf_dir), ["drive_id"]).select("event_id", "state", F.transform("rotation", lambda x: F.round(x, 4)).alias("rotation"))
 
 
-@query("fsm_11_batch_aligner")
+#: The level plane's own basis b, c (b as near to x as it goes) turns the axis of the largest moment into half an angle.
+_ALIGNED = """, g AS (SELECT drive_id, avg(ax) AS x, avg(ay) AS y, avg(az) AS z FROM s WHERE idx < 30 GROUP BY drive_id),
+u AS (SELECT drive_id, x / sqrt(x * x + y * y + z * z) AS ux, y / sqrt(x * x + y * y + z * z) AS uy, z / sqrt(x * x + y * y + z * z) AS uz FROM g),
+b AS (SELECT *, sqrt(1 - ux * ux) AS bx, -ux * uy / sqrt(1 - ux * ux) AS by_, -ux * uz / sqrt(1 - ux * ux) AS bz FROM u),
+c AS (SELECT *, 0 AS cx, uz * bx - ux * bz AS cy, ux * by_ - uy * bx AS cz FROM b),
+f AS (SELECT c.*, ax * bx + ay * by_ + az * bz AS p, ax * cx + ay * cy + az * cz AS q FROM s JOIN c USING (drive_id) WHERE idx BETWEEN 30 AND 59),
+m AS (SELECT drive_id, count(*) AS n, avg(p) AS mp, avg(q) AS mq, 0.5 * atan2(2 * avg(p * q), avg(p * p) - avg(q * q)) AS a FROM f GROUP BY drive_id),
+v AS (SELECT c.*, n, mp, mq, a, cos(a) * bx + sin(a) * cx AS vx, cos(a) * by_ + sin(a) * cy AS vy, cos(a) * bz + sin(a) * cz AS vz FROM c LEFT JOIN m USING (drive_id)),
+w AS (SELECT *, CASE WHEN sqrt(mp * mp + mq * mq) > 0.05 THEN CASE WHEN cos(a) * mp + sin(a) * mq < 0 THEN -1 ELSE 1 END
+    WHEN CASE WHEN abs(vx) >= abs(vy) AND abs(vx) >= abs(vz) THEN vx WHEN abs(vy) >= abs(vz) THEN vy ELSE vz END < 0 THEN -1 ELSE 1 END AS way FROM v),
+o AS (SELECT *, coalesce(n, 0) > 1 AS moved, sqrt(1 - uy * uy) AS r FROM w),
+z AS (SELECT *, CASE WHEN moved THEN way * vx ELSE -uy * ux / r END AS fx, CASE WHEN moved THEN way * vy ELSE r END AS fy, CASE WHEN moved THEN way * vz ELSE -uy * uz / r END AS fz FROM o)
+SELECT drive_id, CASE WHEN moved THEN '{calibrated}' ELSE '{forward}' END AS state, round(fx, 5) + 0 AS forward_x, round(fy, 5) + 0 AS forward_y, round(fz, 5) + 0 AS forward_z, round(uy * fz - uz * fy, 5) + 0 AS left_x, round(uz * fx - ux * fz, 5) + 0 AS left_y, round(ux * fy - uy * fx, 5) + 0 AS left_z, round(ux, 5) + 0 AS up_x, round(uy, 5) + 0 AS up_y, round(uz, 5) + 0 AS up_z FROM z"""
+
+
+@query("fsm_11_batch_aligner", _ALIGNED.format(calibrated=alignment.CALIBRATED, forward=alignment.FORWARD_STAGE))
 def fsm_11(spark, sf_dir):
+    """Rotation of each drive's phone: gravity from its first 30 rows, the forward axis from the next 30. The SQL goes by angles in the level plane."""
     from ..operators.recordings import batch_aligned
 
-    return batch_aligned(stream(spark, sf_dir), ["drive_id"], 30, 30)
+    axes = [f"{a}_{c}" for a in ("forward", "left", "up") for c in "xyz"]
+    found = batch_aligned(stream(spark, sf_dir), ["drive_id"], 30, 30)
+    return found.select("drive_id", "state", *[(F.round(F.col("rotation")[k], 5) + 0.0).alias(name) for k, name in enumerate(axes)])
 
 
 @query("fsm_12_absolute_latch", "SELECT event_id, bool_or(kind = 'click') OVER (PARTITION BY drive_id ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) AS latched FROM s")
