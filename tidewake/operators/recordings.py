@@ -223,7 +223,7 @@ def latency(rows: DataFrame) -> DataFrame:
                     spent[name] += time.perf_counter() - begun
             yield pd.DataFrame({"part": list(spent), "calls": len(pdf), "seconds": list(spent.values())})
 
-    timed = rows.select("ax", "ay", "az", "gx", "gy", "gz").mapInPandas(work, "part string, calls long, seconds double")
+    timed = shared.dealt(rows.select("ax", "ay", "az", "gx", "gy", "gz"), "ax", "ay", "gx").mapInPandas(work, "part string, calls long, seconds double")
     return timed.groupBy("part").agg(F.sum("calls").alias("calls"), (F.sum("seconds") * 1000 / F.sum("calls")).alias("ms")).where("calls > 0")
 
 

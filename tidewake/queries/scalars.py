@@ -21,7 +21,7 @@ def prj_01(spark, sf_dir):
     from ..sources import files
     from .sources import _drives
 
-    return files.detected(files.headers(spark, f"{_drives(spark, sf_dir)}/*.csv"))
+    return files.detected(files.headers(spark, f"{_drives(spark, sf_dir)}/*.csv")).select("name", "canonical", "source")
 
 
 @query("prj_02_normalize_names", r"""SELECT p_partkey, trim(regexp_replace(regexp_replace(lower(trim(p_name || ' (' || p_type || ')')), '[\s\[\](){}<>/\\.,:;-]+', ' ', 'g'), '\s+', ' ', 'g')) AS name FROM part""", stream=False)

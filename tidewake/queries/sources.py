@@ -55,13 +55,12 @@ def src_01(spark, sf_dir):
     return both.groupBy("drive_id").agg(F.count("*").alias("n"), F.sum("acc_x").alias("acc_x"), F.round(F.sum("wheel_speed"), 3).alias("wheel_speed"))
 
 
-@query("src_02_header_sniff", "SELECT 'S-0.csv' AS name, 9::BIGINT AS columns, 'phone' AS kind UNION ALL SELECT 'V-0.csv', 3, 'vehicle'", stream=False)
+@query("src_02_header_sniff", "SELECT 'S-' || n_nationkey || '.csv' AS name, 9 AS columns, 'phone' AS kind FROM nation UNION ALL SELECT 'V-' || n_nationkey || '.csv', 3, 'vehicle' FROM nation WHERE n_nationkey < (SELECT max(n_nationkey) FROM nation)", stream=False)
 def src_02(spark, sf_dir):
-    from ..sources import schema
-
-    folder = _drives(spark, sf_dir)
-    found = [(name, schema.detect(files.header(spark, f"{folder}/{name}"))) for name in ("S-0.csv", "V-0.csv")]
-    return spark.createDataFrame([(name, len(x.columns), x.kind) for name, x in found], "name string, columns long, kind string")
+    """What every file is, by its header's columns: a vehicle has a wheel speed and no accelerometer."""
+    found = files.headers(spark, f"{_drives(spark, sf_dir)}/*.csv")
+    kinds = files.detected(found).select("name", "kind").distinct()
+    return found.join(kinds, "name").select("name", F.size(F.split("header", ",")).alias("columns"), "kind")
 
 
 @query("src_03_discovery", "SELECT n_nationkey::VARCHAR AS drive_id, n_nationkey < (SELECT max(n_nationkey) FROM nation) AS complete FROM nation", stream=False)

@@ -58,14 +58,15 @@ def headers(spark: SparkSession, path: str) -> DataFrame:
 
 
 def detected(found: DataFrame) -> DataFrame:
-    """(name, canonical, source): the canonical columns of every file of :func:`headers`, by its kind (S: phone, V: vehicle)."""
+    """(name, kind, canonical, source): each file of :func:`headers` as its header shows it. A phone file without inertial
+    channels or a vehicle file without a speed is an error."""
 
-    @F.pandas_udf("map<string,string>")
-    def columns(header: pd.Series, kind: pd.Series) -> pd.Series:
-        return pd.Series([schema.detect(h.split(","), k).columns for h, k in zip(header, kind, strict=True)])
+    @F.pandas_udf("struct<kind:string,columns:map<string,string>>")
+    def shown(header: pd.Series) -> pd.DataFrame:
+        each = [schema.detect(h.split(",")) for h in header]
+        return pd.DataFrame({"kind": [x.kind for x in each], "columns": [x.columns for x in each]})
 
-    kind = F.when(F.col("name").startswith("S-"), "phone").otherwise("vehicle")
-    return found.select("name", F.explode(columns("header", kind)).alias("canonical", "source"))
+    return found.select("name", shown("header").alias("s")).select("name", "s.kind", F.explode("s.columns").alias("canonical", "source"))
 
 
 def located_pairs(found: DataFrame) -> DataFrame:
