@@ -12,6 +12,7 @@ from tidewake.operators.kernels import rotation
 from tidewake.operators.kernels.inertial import Inertial
 from tidewake.operators.simulate import CHANNELS, LEVELING, Config, run
 from tidewake.plans import scenarios
+from tidewake.session import stream as stream_of
 from tidewake.streaming import live
 
 
@@ -171,8 +172,8 @@ def test_commands_reach_over_micro_batches(spark, tmp_path):
     assert answers[0] == answers[1] == [(1, 0, 0, False), (1, 2, 0, True), (1, 4, 0, True), (1, 6, 1, False), (1, 8, 1, True)]
 
 
-def test_latency_names_its_parts(spark):
-    assert {r["part"] for r in recordings.latency(spark, 5).where("ms > 0").collect()} == {"predict", "sideways", "fix", "inference"}
+def test_latency_names_its_parts(spark, sf_dir):
+    assert {r["part"] for r in recordings.latency(stream_of(spark, sf_dir)).where("ms > 0").collect()} == {"predict", "sideways", "fix", "inference"}
 
 
 def test_oracle_interventions_remove_their_error():
