@@ -297,13 +297,13 @@ def str_03(spark, sf_dir):
     return stream(spark, sf_dir).select("event_id", F.coalesce(F.col("t") < before, F.lit(False)).alias("late"))
 
 
-@query("src_06_window_files", _SEG + "SELECT CASE WHEN drive_id % 10 < 7 THEN 'train' WHEN drive_id % 10 < 9 THEN 'val' ELSE 'test' END AS split, drive_id, segment, rn - 4 AS start, round(speed, 4) AS target, round(az, 6) AS last_az FROM k WHERE rn >= 4 AND (rn - 4) % 2 = 0")
+@query("src_06_window_files", _SEG + "SELECT CASE WHEN drive_id % 10 < 7 THEN 'train' WHEN drive_id % 10 < 9 THEN 'val' ELSE 'test' END AS split, drive_id, segment, rn - 4 AS start, round(speed, 4) AS target, round(az, 5) AS last_az FROM k WHERE rn >= 4 AND (rn - 4) % 2 = 0")
 def src_06(spark, sf_dir):
     """Windows written by split and read back: where each begins, its target and the last value of a channel."""
     path = new_path(spark, "windows")
     prepare.windows(stream(spark, sf_dir), split_column(), 5, 2, 43200.0).write.partitionBy("split").parquet(path)
     found = spark.read.parquet(path)
-    return found.select("split", "drive_id", F.col("segment").cast("long").alias("segment"), F.col("start").cast("long").alias("start"), F.round("target", 4).alias("target"), F.round(F.element_at(F.col("window")[2], -1), 6).alias("last_az"))
+    return found.select("split", "drive_id", F.col("segment").cast("long").alias("segment"), F.col("start").cast("long").alias("start"), F.round("target", 4).alias("target"), F.round(F.element_at(F.col("window")[2], -1).cast("double"), 5).alias("last_az"))
 
 
 @query("gov_01_training_gate", "SELECT o_orderkey AS dataset, CASE o_orderstatus WHEN 'F' THEN 'authentic' WHEN 'O' THEN 'synthetic' ELSE 'field' END AS authenticity, o_orderstatus <> 'O' AS allowed FROM orders", stream=False)
