@@ -438,3 +438,16 @@ def test_entry_and_registry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_crash_clock_is_the_decimal_one_of_its_sql(spark, tmp_path):
+    """An impact on row 4 at 0.8 s: row 14 is at the double next to 2.8, not yet two seconds after it; 14 * 0.2 was."""
+    import datetime
+
+    from tidewake.queries.machines import fsm_03
+
+    start = datetime.datetime(2024, 1, 1)
+    rows = [(i, start + datetime.timedelta(seconds=i), 1, "view", 600.0 if i == 4 else 20.0, "") for i in range(17)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double, props string").write.parquet(str(tmp_path / "events.parquet"))
+    states = [r["state"] for r in fsm_03(spark, str(tmp_path)).orderBy("event_id").collect()]
+    assert states == ["NORMAL"] * 4 + ["CONFIRMING"] * 11 + ["CONFIRMED"] * 2

@@ -67,7 +67,7 @@ WHEN 'IMPACT' THEN 'IMPACT' WHEN 'NORMAL' THEN 'NORMAL' ELSE 'CONFIRMED' END""",
 
 @query("fsm_03_crash", _CRASH, stream=False)
 def fsm_03(spark, sf_dir):
-    rows = stream(spark, sf_dir).withColumn("t", (F.row_number().over(by_time()) - 1) * 0.2)
+    rows = stream(spark, sf_dir).withColumn("t", (F.row_number().over(by_time()) - 1) / 5)  # as in SQL, the double next to the decimal: 3 * 0.2 is above 0.6
     rows = rows.select("drive_id", "event_id", "t", (F.col("val") / 100).alias("g"), (F.abs("gz") * 4000).alias("rate"), (F.col("speed") / 5).alias("speed"))
     return machines.crashes(rows, ["drive_id"]).select("event_id", "state")
 
