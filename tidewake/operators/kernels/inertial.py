@@ -14,9 +14,14 @@ NOISE = {"acc": 0.1, "gyro": 0.01, "acc_walk": 0.001, "gyro_walk": 0.0001}
 INITIAL = np.repeat([5.0, 0.5, 0.05, 0.05, 0.005], 3)
 GATES = {1: 6.635, 2: 9.210, 3: 11.345}
 MOST_SPEED = 80.0
+_TURN = [6, 7, 8, 12, 13, 14]
 POLICIES = ("decouple", "disable_lateral", "coupled")
 
 
+def _nobody(where: np.ndarray | None) -> bool:
+    return where is not None and not where.any()
+
+
 @dataclass
 class Inertial:
     """A batch of filters: p, v, ba, bg (n, 3), q (n, 4), cov (n, 15, 15)."""
@@ -43,7 +48,7 @@ class Inertial:
 
     @property
     def body_velocity(self) -> np.ndarray:
-        return (self.body.transpose(0, 2, 1) @ self.v[..., None])[..., 0]
+        return rot.turned(self.body.transpose(0, 2, 1), self.v)
 
     def level(self, acc: np.ndarray, yaw: np.ndarray) -> None:
         """Roll and pitch from gravity, yaw given; the norm's excess becomes bias."""
@@ -56,18 +61,44 @@ class Inertial:
         self.ba = (size + GRAVITY[2]) * u
 
     def transition(self, force: np.ndarray, omega: np.ndarray, dt: np.ndarray) -> np.ndarray:
-        n, r = len(self.p), self.body
+        """The derivative F of a step, whole; :meth:`moved` applies its blocks."""
+        f = np.zeros((len(self.p), 15, 15))
+        push, spin = self.blocks(self.body, force, omega, dt)
         dt = dt[:, None, None]
-        pull = -r @ rot.skew(force)
-        f = np.tile(np.eye(15), (n, 1, 1))
+        f[:, range(15), range(15)] = 1
         f[:, :3, 3:6] = np.eye(3) * dt
-        f[:, :3, 6:9], f[:, :3, 9:12] = 0.5 * pull * dt**2, -0.5 * r * dt**2
-        f[:, 3:6, 6:9], f[:, 3:6, 9:12] = pull * dt, -r * dt
-        turn = omega * dt[:, 0]
-        f[:, 6:9, 6:9] = rot.matrix(rot.exponential(turn)).transpose(0, 2, 1)
-        f[:, 6:9, 12:15] = -rot.right_jacobian(turn) * dt
+        f[:, :3, 6:12], f[:, 3:6, 6:12] = 0.5 * dt * push, push
+        f[:, 6:9, 6:9], f[:, 6:9, 12:15] = spin[:, :, :3], spin[:, :, 3:]
         return f
 
+    @staticmethod
+    def blocks(r: np.ndarray, force: np.ndarray, omega: np.ndarray, dt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Velocity by attitude and accelerometer bias, attitude by itself and gyroscope bias: (n, 3, 6) each."""
+        push, spin, dt = np.empty((len(r), 3, 6)), np.empty((len(r), 3, 6)), dt[:, None, None]
+        x, y, z = (force[:, k, None] for k in range(3))
+        # -R [force]x by columns, then -R
+        push[:, :, 0], push[:, :, 1], push[:, :, 2] = r[:, :, 2] * y - r[:, :, 1] * z, r[:, :, 0] * z - r[:, :, 2] * x, r[:, :, 1] * x - r[:, :, 0] * y
+        push[:, :, 3:] = -r
+        turn = omega * dt[:, 0]
+        spin[:, :, :3] = rot.matrix(rot.exponential(-turn))
+        spin[:, :, 3:] = rot.right_jacobian(turn) * -dt
+        return push * dt, spin
+
+    def moved(self, r: np.ndarray, force: np.ndarray, omega: np.ndarray, dt: np.ndarray) -> np.ndarray:
+        """F cov F' for the transition F, by its blocks: rows first, then columns."""
+        (push, spin), cov = self.blocks(r, force, omega, dt), self.cov.copy()
+        dt = dt[:, None, None]
+        pushed, spun = push @ cov[:, 6:12], spin @ cov[:, _TURN]
+        cov[:, :3] += dt * (cov[:, 3:6] + 0.5 * pushed)
+        cov[:, 3:6] += pushed
+        cov[:, 6:9] = spun
+        push, spin = push.transpose(0, 2, 1), spin.transpose(0, 2, 1)
+        pushed, spun = cov[:, :, 6:12] @ push, cov[:, :, _TURN] @ spin
+        cov[:, :, :3] += dt * (cov[:, :, 3:6] + 0.5 * pushed)
+        cov[:, :, 3:6] += pushed
+        cov[:, :, 6:9] = spun
+        return cov
+
     def predict(self, acc: np.ndarray, gyro: np.ndarray, dt: np.ndarray | float = 0.1) -> None:
         dt = np.broadcast_to(np.asarray(dt, float), (len(self.p),))
         dt = np.where(np.isfinite(dt) & (dt > 0) & (dt <= 1), dt, 0.1)
@@ -76,40 +107,66 @@ class Inertial:
         self.rate = gyro
         force, omega = acc - self.ba, gyro - self.bg
         q = rot.product(self.q, rot.exponential(omega * dt[:, None]))
-        self.q = q / np.linalg.norm(q, axis=1, keepdims=True)
-        push = (self.body @ force[..., None])[..., 0] + GRAVITY
+        self.q = q / np.sqrt((q * q).sum(1, keepdims=True))
+        r = self.body
+        push = rot.turned(r, force) + GRAVITY
         self.p = self.p + self.v * dt[:, None] + 0.5 * push * dt[:, None] ** 2
         v = self.v + push * dt[:, None]
-        self.v = v * np.minimum(1.0, MOST_SPEED / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9))
-        f = self.transition(force, omega, dt)
+        self.v = v * np.minimum(1.0, MOST_SPEED / np.maximum(np.sqrt((v * v).sum(1, keepdims=True)), 1e-9))
+        cov = self.moved(r, force, omega, dt)
         noise = np.zeros((len(dt), 15))
         for k, (density, power) in enumerate(((NOISE["acc"] / 2, 4), (NOISE["acc"], 1), (NOISE["gyro"], 1), (NOISE["acc_walk"], 1), (NOISE["gyro_walk"], 1))):
             noise[:, 3 * k : 3 * k + 3] = (density**2 * dt**power)[:, None]
-        cov = f @ self.cov @ f.transpose(0, 2, 1)
-        cov[:, range(15), range(15)] += noise
-        self.cov = (cov + cov.transpose(0, 2, 1)) / 2
-
-    def update(self, innovation: np.ndarray, h: np.ndarray, r: np.ndarray, gate: float | None = None, where: np.ndarray | None = None) -> np.ndarray:
-        """Gated Joseph update, error injection and covariance reset; returns which runs took it."""
-        ht = h.transpose(0, 2, 1)
-        s = h @ self.cov @ ht + r
-        clean = np.nan_to_num(innovation)
-        nis = (clean * np.linalg.solve(s, clean[..., None])[..., 0]).sum(1)
+        cov = (cov + cov.transpose(0, 2, 1)) / 2
+        cov.reshape(len(dt), 225)[:, ::16] += noise
+        self.cov = cov
+
+    def update(self, innovation: np.ndarray, h: np.ndarray | slice, r: np.ndarray, gate: float | None = None, where: np.ndarray | None = None) -> np.ndarray:
+        """Gated Joseph update, multiplied out, error injection and covariance reset; returns which runs took it.
+
+        Only the runs in ``where`` are worked on. ``h`` is a derivative for each
+        run, or the slice of states that is measured itself.
+        """
         take = np.isfinite(innovation).all(1) & (True if where is None else where)
+        at = np.flatnonzero(take)
+        if not len(at):
+            return take
+        whole = len(at) == len(take)
+        pick = (lambda x: x) if whole else (lambda x: x[at])
+        cov, clean = pick(self.cov), pick(innovation)
+        if isinstance(h, slice):
+            hc = cov[:, h]
+            s = hc[:, :, h] + (r if r.ndim == 2 else pick(r))
+        else:
+            h = pick(h)
+            hc = h @ cov
+            s = hc @ h.transpose(0, 2, 1) + (r if r.ndim == 2 else pick(r))
+        both = np.concatenate([hc, clean[..., None]], 2)
+        solved = both / s if s.shape[1] == 1 else np.linalg.solve(s, both)
         if gate is not None:
-            take &= nis <= gate
-        gain = np.linalg.solve(s, h @ self.cov).transpose(0, 2, 1)
-        step = np.where(take[:, None], (gain @ clean[..., None])[..., 0], 0.0)
-        keep = np.eye(15) - gain @ h
-        cov = keep @ self.cov @ keep.transpose(0, 2, 1) + gain @ r @ gain.transpose(0, 2, 1)
-        self.p, self.v = self.p + step[:, :3], self.v + step[:, 3:6]
-        q = rot.product(self.q, rot.exponential(step[:, 6:9]))
-        self.q = q / np.linalg.norm(q, axis=1, keepdims=True)
-        self.ba, self.bg = self.ba + step[:, 9:12], self.bg + step[:, 12:15]
-        g = np.tile(np.eye(15), (len(step), 1, 1))
-        g[:, 6:9, 6:9] -= 0.5 * rot.skew(step[:, 6:9])
-        cov = g @ cov @ g.transpose(0, 2, 1)
-        self.cov = np.where(take[:, None, None], (cov + cov.transpose(0, 2, 1)) / 2, self.cov)
+            fit = (clean * solved[..., -1]).sum(1) <= gate
+            if not fit.all():
+                take[at[~fit]] = False
+                at, whole, cov, clean, hc, s, solved = at[fit], False, cov[fit], clean[fit], hc[fit], s[fit], solved[fit]
+                if not len(at):
+                    return take
+        gain = solved[..., :-1].transpose(0, 2, 1)
+        step = rot.turned(gain, clean) if gain.shape[2] == 3 else (gain * clean[:, None]).sum(2)
+        lost = gain @ hc
+        cov = cov - (lost + lost.transpose(0, 2, 1) - (gain @ s) @ gain.transpose(0, 2, 1))
+        half = 0.5 * rot.skew(step[:, 6:9])
+        cov[:, 6:9] -= half @ cov[:, 6:9]
+        cov[:, :, 6:9] -= cov[:, :, 6:9] @ half.transpose(0, 2, 1)
+        cov = (cov + cov.transpose(0, 2, 1)) / 2
+        q = rot.product(self.q if whole else self.q[at], rot.exponential(step[:, 6:9]))
+        q /= np.sqrt((q * q).sum(1, keepdims=True))
+        if whole:
+            self.p, self.v, self.ba, self.bg, self.q, self.cov = self.p + step[:, :3], self.v + step[:, 3:6], self.ba + step[:, 9:12], self.bg + step[:, 12:15], q, cov
+            return take
+        for name, value in (("p", self.p[at] + step[:, :3]), ("v", self.v[at] + step[:, 3:6]), ("ba", self.ba[at] + step[:, 9:12]), ("bg", self.bg[at] + step[:, 12:15]), ("q", q), ("cov", cov)):
+            held = getattr(self, name).copy()
+            held[at] = value
+            setattr(self, name, held)
         return take
 
     def _rows(self, m: int) -> np.ndarray:
@@ -124,17 +181,15 @@ class Inertial:
         return h
 
     def position(self, enu: np.ndarray, sigma: float = 3.0, trusted: bool = True, where: np.ndarray | None = None) -> np.ndarray:
-        h = self._rows(3)
-        h[:, :, :3] = np.eye(3)
-        return self.update(enu - self.p, h, np.diag([sigma**2, sigma**2, 4 * sigma**2]), None if trusted else GATES[3], where)
+        return self.update(enu - self.p, slice(0, 3), np.diag([sigma**2, sigma**2, 4 * sigma**2]), None if trusted else GATES[3], where)
 
     def velocity(self, enu: np.ndarray, sigma: float = 0.2, trusted: bool = True, where: np.ndarray | None = None) -> np.ndarray:
-        h = self._rows(3)
-        h[:, :, 3:6] = np.eye(3)
-        return self.update(enu - self.v, h, np.eye(3) * sigma**2, None if trusted else GATES[3], where)
+        return self.update(enu - self.v, slice(3, 6), np.eye(3) * sigma**2, None if trusted else GATES[3], where)
 
     def speed(self, forward: np.ndarray, sigma: float = 1.5, where: np.ndarray | None = None) -> np.ndarray:
         """A model's forward speed (0..80); a run that is fast while the model says slow is anchored anew."""
+        if _nobody(where):
+            return np.zeros(len(self.p), bool)
         sigma = float(np.clip(sigma, 0.5, 10.0))
         r, vb = self.body, self.body_velocity
         h = self.velocity_jacobian((0,))
@@ -154,12 +209,10 @@ class Inertial:
             if floor:
                 at = self.cov[:, 6 + k, 6 + k]
                 self.cov[:, 6 + k, 6 + k] = np.where(known[:, k] & (at < 4 * sigma**2), 4 * sigma**2, at)
-        h = self._rows(3)
-        h[:, :, 6:9] = np.eye(3)
         off = rot.wrap(np.where(known, angles, 0) - rot.euler(self.body))
         r = np.zeros((len(self.p), 3, 3))
         r[:, range(3), range(3)] = np.where(known, sigma**2, 1e12)
-        return self.update(np.where(known, off, 0.0), h, r, None, known.any(1))
+        return self.update(np.where(known, off, 0.0), slice(6, 9), r, None, known.any(1))
 
     def heading(self, yaw: np.ndarray, sigma: float = 0.05, where: np.ndarray | None = None) -> np.ndarray:
         h = self._rows(1)
@@ -168,6 +221,8 @@ class Inertial:
 
     def sideways(self, lateral: float = 0.05, vertical: float = 0.05, policy: str = "decouple", cornering: float = 0.5, where: np.ndarray | None = None) -> np.ndarray:
         """No sideways and no vertical body velocity. In sharp turns the policy decouples the sideways row from attitude or drops it."""
+        if _nobody(where):
+            return np.zeros(len(self.p), bool)
         vb = self.body_velocity
         turning = np.abs((self.rate[:, 2] - self.bg[:, 2]) * vb[:, 0]) > cornering
         h = self.velocity_jacobian((1, 2))
@@ -180,9 +235,7 @@ class Inertial:
 
     def standstill(self, gyro: np.ndarray, sigma: float = 0.01, rate_sigma: float = 0.001, where: np.ndarray | None = None) -> None:
         self.velocity(np.zeros_like(self.v), sigma, True, where)
-        h = self._rows(3)
-        h[:, :, 12:15] = np.eye(3)
-        self.update(gyro - self.bg, h, np.eye(3) * rate_sigma**2, None, where)
+        self.update(gyro - self.bg, slice(12, 15), np.eye(3) * rate_sigma**2, None, where)
 
     def gravity(self, acc: np.ndarray, sigma: float | np.ndarray = 0.5, forward: np.ndarray | float = 0.0, where: np.ndarray | None = None) -> np.ndarray:
         """Levelling by the two horizontal body axes, gated at 99 %.

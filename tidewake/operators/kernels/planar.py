@@ -68,20 +68,25 @@ class Planar:
         self.p = f @ self.p @ f.transpose(0, 2, 1) + np.diag(PROCESS**2)
 
     def update(self, innovation: np.ndarray, h: np.ndarray, r: np.ndarray, gate: float | None = None, where: np.ndarray | None = None) -> np.ndarray:
-        """Joseph-form update of the runs in ``where`` whose innovation passes the gate; returns which were taken."""
-        ht = h.transpose(0, 2, 1)
-        cov = h @ self.p @ ht + r
-        gain = np.linalg.solve(cov, h @ self.p).transpose(0, 2, 1)
-        nis = (innovation * np.linalg.solve(cov, innovation[..., None])[..., 0]).sum(1)
+        """Joseph-form update, multiplied out, of the runs in ``where`` whose innovation passes the gate; returns which were taken."""
         take = np.isfinite(innovation).all(1) & (True if where is None else where)
+        at = np.flatnonzero(take)
+        if not len(at):
+            return take
+        p, h, clean = self.p[at], h[at], innovation[at]
+        hp = h @ p
+        cov = hp @ h.transpose(0, 2, 1) + (r if r.ndim == 2 else r[at])
+        both = np.concatenate([hp, clean[..., None]], 2)
+        solved = both / cov if cov.shape[1] == 1 else np.linalg.solve(cov, both)
         if gate is not None:
-            take &= nis <= gate
-        step = np.where(take[:, None], (gain @ np.nan_to_num(innovation)[..., None])[..., 0], 0.0)
-        self.x = self.x + step
-        self.x[:, 6] = wrap(self.x[:, 6])
-        keep = np.eye(9) - gain @ h
-        after = keep @ self.p @ keep.transpose(0, 2, 1) + gain @ r @ gain.transpose(0, 2, 1)
-        self.p = np.where(take[:, None, None], after, self.p)
+            fit = (clean * solved[..., -1]).sum(1) <= gate
+            take[at[~fit]] = False
+            at, p, hp, clean, cov, solved = at[fit], p[fit], hp[fit], clean[fit], cov[fit], solved[fit]
+        gain = solved[..., :-1].transpose(0, 2, 1)
+        x, lost = self.x[at] + (gain * clean[:, None]).sum(2), gain @ hp
+        x[:, 6] = wrap(x[:, 6])
+        self.x, self.p = self.x.copy(), self.p.copy()
+        self.x[at], self.p[at] = x, p - (lost + lost.transpose(0, 2, 1) - (gain @ cov) @ gain.transpose(0, 2, 1))
         return take
 
     def _rows(self, m: int) -> np.ndarray:

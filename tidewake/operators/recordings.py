@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -12,8 +14,8 @@ from ..functions.draws import normal
 from .kernels import alignment, unscented
 from .kernels.inertial import Inertial
 from .kernels.planar import Planar
-from .models import normal_equations, ridge
-from .simulate import Config, by_length, simulate
+from .models import Linear, normal_equations, ridge
+from .simulate import Config, by_length, scores
 
 
 def aligned(df: DataFrame, keys: list[str], still_speed: float = 5.0) -> DataFrame:
@@ -196,31 +198,36 @@ def with_learned_gain(triples: DataFrame, weights: np.ndarray) -> DataFrame:
     return triples.mapInPandas(work, "innovation array<double>, state array<double>, gain array<double>, learned array<double>, blended array<double>")
 
 
+#: Devices that a call serves in the latency profile.
+LIVE = 32
+
+
 def latency(rows: DataFrame) -> DataFrame:
-    """(part, calls, ms): the mean time of one call of each part of the step, called once for every row on its channels.
+    """(part, calls, ms): the mean time that a row waits for each part of the step, called for every row on its channels.
 
-    Each batch has one inertial filter of its own and a warm-up; times are
-    added inside batches first. No rows give no parts.
+    As in the stream, rows are served side by side, ``LIVE`` devices a call, and
+    every row of a call waits for the whole of it. Each batch has inertial
+    filters of its own and a warm-up; times are added inside batches first. No
+    rows give no parts.
     """
 
     def work(batches):
-        import time
-
-        from .models import Linear
-
-        f, model = Inertial.start(1), Linear(np.zeros((19, 1)))
-        acc, gyro, origin, window = np.zeros((1, 3)), np.zeros((1, 3)), np.zeros((1, 3)), np.zeros((1, 6, 50))
+        f, model = Inertial.start(LIVE), Linear(np.zeros((19, 1)))
+        acc, gyro, origin, window = np.zeros((LIVE, 3)), np.zeros((LIVE, 3)), np.zeros((LIVE, 3)), np.zeros((LIVE, 6, 50))
         parts = {"predict": lambda: f.predict(acc, gyro), "sideways": f.sideways, "fix": lambda: f.position(origin), "inference": lambda: model.predict(window)}
         for _ in range(20):
             for call in parts.values():
                 call()
         for pdf in batches:
             spent = dict.fromkeys(parts, 0.0)
-            for acc[0], gyro[0] in zip(pdf[["ax", "ay", "az"]].to_numpy(float), pdf[["gx", "gy", "gz"]].to_numpy(float), strict=True):
+            forces, rates = (pdf[list(c)].to_numpy(float) for c in (("ax", "ay", "az"), ("gx", "gy", "gz")))
+            for k in range(0, len(pdf), LIVE):
+                n = min(LIVE, len(pdf) - k)
+                acc[:n], gyro[:n] = forces[k : k + n], rates[k : k + n]
                 for name, call in parts.items():
                     begun = time.perf_counter()
                     call()
-                    spent[name] += time.perf_counter() - begun
+                    spent[name] += n * (time.perf_counter() - begun)
             yield pd.DataFrame({"part": list(spent), "calls": len(pdf), "seconds": list(spent.values())})
 
     timed = shared.dealt(rows.select("ax", "ay", "az", "gx", "gy", "gz"), "ax", "ay", "gx").mapInPandas(work, "part string, calls long, seconds double")
@@ -229,8 +236,5 @@ def latency(rows: DataFrame) -> DataFrame:
 
 def study(samples: DataFrame, configs: tuple[Config, ...]) -> DataFrame:
     """Errors inside the outage per run and configuration: distance, final error, drift, pass."""
-    found = simulate(samples, configs).where("inside")
-    final = F.max_by("err", "step")
-    rmse = F.sqrt(F.avg(F.col("err") * F.col("err")))
-    scored = found.groupBy("run", "config").agg(final.alias("final"), rmse.alias("rmse"), F.max("err").alias("worst"), F.sum("moved").alias("distance"))
+    scored = scores(samples, configs)
     return scored.withColumn("drift", 100 * F.col("final") / F.greatest(F.col("distance"), F.lit(1.0))).withColumn("pass", F.col("drift") < 10)

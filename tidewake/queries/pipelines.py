@@ -272,7 +272,7 @@ def str_13(spark, sf_dir):
 
 @query("pipe_22_latency", "SELECT part, count(*) AS calls, true AS within_budget FROM s, (VALUES ('inference'), ('predict'), ('sideways'), ('fix')) v(part) GROUP BY part")
 def pipe_22(spark, sf_dir):
-    """Mean time of each part of a step over every row, and whether 200 predictions and 10 of the part fit into a second."""
+    """Mean wait of every row for each part of a step, and whether 200 predictions and 10 of the part fit into a second."""
     found = recordings.latency(stream(spark, sf_dir))
     load = 200 * F.max(F.when(F.col("part") == "predict", F.col("ms"))).over(Window.partitionBy(F.lit(1))) + 10 * F.col("ms")  # four rows
     return found.select("part", "calls", (load < 1000).alias("within_budget"))

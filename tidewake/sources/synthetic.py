@@ -1,8 +1,9 @@
 """Generated recordings: one for every row of a table of profiles, which may be of any size; noise follows from keys.
 
 Profiles are rows of (drive_id, cruise), cruise in m/s. No row of a profile is
-an empty recording table. Samples are exploded where the profile lies, and the
-running sums shuffle by drive.
+an empty recording table. Profiles, small as they are, are dealt by drive into
+the session's number of partitions; samples are exploded where the profile lies
+and stay there for the running sums.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.draws import normal
+from ..shared import dealt
 
 GRAVITY = 9.80665
 STEP = 0.1
@@ -18,7 +20,7 @@ STEP = 0.1
 
 def _samples(profiles: DataFrame, rows: int, dark: tuple[int, int]) -> DataFrame:
     """Steps of 0.1 s of every profile; ``dark`` is the first and the end of the span without fixes."""
-    found = profiles.select("drive_id", "cruise", F.explode(F.sequence(F.lit(0), F.lit(rows - 1))).alias("idx"))
+    found = dealt(profiles.select("drive_id", "cruise"), "drive_id").select("drive_id", "cruise", F.explode(F.sequence(F.lit(0), F.lit(rows - 1))).alias("idx"))
     return found.withColumns({"t": F.col("idx") * STEP, "dark": (F.col("idx") >= dark[0]) & (F.col("idx") < dark[1])})
 
 
