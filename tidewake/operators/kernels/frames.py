@@ -33,7 +33,7 @@ def _nan(n: int) -> np.ndarray:
 
 class Frames:
     def __init__(self, n: int, kind: str = "inertial"):
-        self.n, self.kind = n, kind
+        self.kind = kind
         self.filter = Planar.start(n) if kind == "planar" else Inertial.start(n)
         self.aligners = [Staged() for _ in range(n)]
         self.turn, self.up, self.aligned = np.tile(np.eye(3), (n, 1, 1)), np.tile([0.0, 0.0, 1.0], (n, 1)), np.zeros(n, bool)
@@ -50,6 +50,10 @@ class Frames:
         self.dark, self.dark_at, self.dark_metres = np.zeros(n, bool), np.zeros((n, 2)), np.zeros(n)
         self.blend, self.target = np.full(n, BLEND), np.zeros((n, 2))
 
+    @property
+    def n(self) -> int:
+        return len(self.clock)
+
     # -- the filter's view -------------------------------------------------
 
     def position(self) -> np.ndarray:
