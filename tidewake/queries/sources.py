@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from ..operators import mapmatch
 from ..sources import files, schema, sinks, synthetic
-from ..session import by_time, stream, table
+from .. import shared
+from ..session import by_time, exact_mean, stream, table
 from ..shared import new_path, saved
 from . import query
 
@@ -103,7 +104,7 @@ def src_08(spark, sf_dir):
 
 def profiles(spark, sf_dir):
     """A profile for each drive of the stream, which cruises at the drive's own mean speed."""
-    return stream(spark, sf_dir).groupBy("drive_id").agg(F.round(F.avg("speed"), 3).alias("cruise"))
+    return stream(spark, sf_dir).groupBy("drive_id").agg(F.round(exact_mean("speed"), 3).cast("double").alias("cruise"))
 
 
 _PROFILES = ", p AS (SELECT drive_id, round(avg(speed), 3) AS cruise FROM s GROUP BY drive_id)"
@@ -152,7 +153,7 @@ def src_16(spark, sf_dir):
     origin = F.when(key % 7 == 1, "hearsay").when(key % 3 == 0, "synthetic").when(key % 3 == 1, "authentic").otherwise("field")
     text = F.to_json(F.struct(F.concat(F.lit(" "), "s_name").alias("dataset_name"), F.lit("recorded").alias("source"), origin.alias("authenticity"), F.lit("imu").alias("sensor_type"), (10 + F.col("s_nationkey")).alias("sampling_rate_hz"), F.array(F.lit("M"), key.cast("string")).alias("drive_ids")))
     made = table(spark, sf_dir, "supplier").withColumn("text", text).select(key.alias("key"), F.when(key % 7 == 0, F.left("text", F.lit(40))).otherwise(F.col("text")).alias("value"))
-    made.write.partitionBy("key").text(path)
+    shared.dealt(made, "key").write.partitionBy("key").text(path)
     return files.manifests(spark, path).select("name", "authenticity", "hz", F.size("drives").alias("drives"))
 
 
@@ -264,9 +265,9 @@ def snk_05(spark, sf_dir):
 def snk_06(spark, sf_dir):
     """One folder a session with its rows, and with a summary where the session was ended: listed from the files, newest first."""
     folder, rows = _folder(spark), stream(spark, sf_dir).withColumn("session", F.col("drive_id"))
-    rows.select("session", "event_id", "t", "val").repartition("session").write.partitionBy("session").json(f"{folder}/rows")
+    shared.dealt(rows.select("session", "event_id", "t", "val"), "session").write.partitionBy("session").json(f"{folder}/rows")
     ended = rows.where("drive_id % 3 > 0").groupBy("session").agg(F.count("*").alias("frames"), F.max("speed").alias("top"))
-    ended.repartition("session").write.partitionBy("session").json(f"{folder}/summaries")
+    shared.dealt(ended, "session").write.partitionBy("session").json(f"{folder}/summaries")
     files = lambda kind: spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").load(f"{folder}/{kind}").select(F.regexp_extract("path", r"session=(\d+)", 1).cast("long").alias("name"), F.col("modificationTime").alias("modified"))
     listed = files("rows").groupBy("name").agg(F.max("modified").alias("modified"))
     return sinks.sessions(listed, files("summaries").select("name", F.lit("DONE").alias("status")).distinct()).select("name", "status")

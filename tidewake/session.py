@@ -43,6 +43,11 @@ def stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(F.col("user_id").alias("drive_id"), "event_id", t, F.col("event_type").alias("kind"), F.col("value").alias("val"), *channels)
 
 
+def exact_mean(column: str):
+    """Mean of a column to ten decimals, added up as decimals: the order of rows cannot turn a tie that is rounded afterwards."""
+    return F.avg(F.col(column).cast("decimal(20,10)"))
+
+
 def by_time(*more: str):
     """The window of a drive in time order; the event id breaks ties."""
     return Window.partitionBy("drive_id", *more).orderBy("t", "event_id")
