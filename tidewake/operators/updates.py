@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from .. import shared
 from .kernels import rotation
 from .kernels.inertial import GRAVITY, Inertial
 
@@ -47,7 +48,7 @@ def motions(df: DataFrame, dt: float = 0.1) -> DataFrame:
         angles = rotation.euler(rotation.matrix(q))
         return {"east": p[:, 0], "north": p[:, 1], "up": p[:, 2], "speed": np.linalg.norm(v, axis=1), "roll": angles[:, 0], "pitch": angles[:, 1], "yaw": angles[:, 2]}
 
-    return each(df, "motion", ("steps", "force_x", "force_y", "rate", "speed"), "east double, north double, up double, speed double, roll double, pitch double, yaw double", step)
+    return each(shared.dealt(df, "motion"), "motion", ("steps", "force_x", "force_y", "rate", "speed"), "east double, north double, up double, speed double, roll double, pitch double, yaw double", step)
 
 
 def jacobian_errors(df: DataFrame, key: str, eps: float = 1e-6) -> DataFrame:
