@@ -32,9 +32,9 @@ def _paced(spark, sf_dir, name, late=None):
         rows = rows.withColumn("_part", F.when(late, _FILES + 1).otherwise(F.col("_part")))
     end = events.agg(F.lit(-1).cast("long").alias("event_id"), F.timestamp_micros(F.max(F.unix_micros("ts")) + _END * 1_000_000).alias("ts"), F.lit(-1).cast("long").alias("user_id"))
     end = end.withColumn("_part", F.lit(_FILES + 2)).withColumns({"event_type": F.lit("view"), "value": F.lit(0.0), "props": F.lit(None).cast("string")})
-    timed.in_files(rows.unionByName(end), F.col("_part"), list(range(1, _FILES + 3)), f"{folder}/in")
+    files = timed.in_files(rows.unionByName(end), F.col("_part"), list(range(1, _FILES + 3)), f"{folder}/in")
     schema = rows.drop("_part").schema
-    return folder, lambda: live.paced(spark, schema, f"{folder}/in", 1).select(F.col("user_id").alias("drive_id"), "event_id", "ts", F.col("event_type").alias("kind"), F.col("value").alias("val"))
+    return folder, lambda: live.paced(spark, schema, f"{folder}/in", files).select(F.col("user_id").alias("drive_id"), "event_id", "ts", F.col("event_type").alias("kind"), F.col("value").alias("val"))
 
 
 _GAP = 43_200
