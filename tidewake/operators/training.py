@@ -8,8 +8,11 @@ is rounded to fixed-point integers before it is added to others, so the sums,
 and with them the weights, are the same whatever the number of tasks, cores or
 executors.
 
-A round reads ``batch`` blocks, a parameter: what reaches the driver is at most
-``batch`` vectors of the model's size, however large the table is.
+A round reads ``batch`` blocks, a parameter. An epoch has at most :data:`ROUNDS`
+rounds: a larger table has larger batches, not more rounds, as each costs a job
+however small it is. Every example counts in every epoch. What reaches the
+driver from a round is at most a vector of the model's size for each of
+:data:`SLICES` files.
 """
 
 from __future__ import annotations
@@ -28,6 +31,8 @@ from .numbering import numbered
 
 #: Gradients are summed as multiples of this.
 UNIT = 2.0**-32
+#: Most rounds of an epoch, and most files of a batch, whose blocks are worked on side by side.
+ROUNDS, SLICES = 64, 64
 
 
 @dataclass(frozen=True)
@@ -83,16 +88,18 @@ def huber(error: np.ndarray, delta: float) -> tuple[np.ndarray, np.ndarray]:
     return np.where(size <= delta, 0.5 * error**2, delta * (size - 0.5 * delta)), np.clip(error, -delta, delta)
 
 
-def blocks(df: DataFrame, keys: list[str], inputs: str, target: str, rows: int = 256, batch: int = 8) -> DataFrame:
-    """(``block``, ``batch``, ``n``, ``x``, ``y``): the examples packed as arrays of doubles, written once.
+def blocks(df: DataFrame, keys: list[str], inputs: str, target: str, rows: int = 256, batch: int = 8, rounds: int = ROUNDS) -> DataFrame:
+    """(``block``, ``n``, ``shape``, ``x``, ``y``, ``batch``): the examples packed as arrays of doubles, written once, a folder a batch.
 
     ``inputs`` is a window (channels of values) or an array of features,
     ``target`` a number or an array. Examples with a value that is not finite
-    are left out. Blocks are dealt to batches in turn, so all batches but the
-    last have the same number of blocks.
+    are left out. A batch is ``batch`` consecutive blocks, or as many as make
+    ``rounds`` batches of the table; the last may be smaller.
     """
-    mixed = df.select(F.xxhash64(*keys).alias("_mix"), *keys, F.col(inputs).alias("_x"), F.col(target).alias("_y"))
-    placed = numbered(saved(mixed, "examples"), [], ["_mix", *keys], "_idx", "_n").withColumn("block", F.floor(F.col("_idx") / rows))
+    mixed = saved(df.select(F.xxhash64(*keys).alias("_mix"), *keys, F.col(inputs).alias("_x"), F.col(target).alias("_y")), "examples")
+    whole = -(-mixed.count() // rows)
+    batch = max(batch, -(-whole // rounds))
+    placed = numbered(mixed, [], ["_mix", *keys], "_idx", "_n").withColumn("block", F.floor(F.col("_idx") / rows))
 
     def pack(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_idx")
@@ -101,8 +108,10 @@ def blocks(df: DataFrame, keys: list[str], inputs: str, target: str, rows: int =
         good = np.isfinite(x.reshape(len(x), -1)).all(1) & np.isfinite(y).all(1)
         return pd.DataFrame({"block": [key[0]], "n": [int(good.sum())], "shape": [list(x.shape[1:])], "x": [x[good].tobytes()], "y": [y[good].tobytes()]})
 
-    packed = placed.groupBy("block").applyInPandas(pack, "block long, n long, shape array<long>, x binary, y binary")
-    return saved(packed.withColumn("batch", F.floor(F.col("block") / batch)).repartitionByRange("batch", "block").sortWithinPartitions("batch", "block"), "blocks")
+    packed = placed.groupBy("block").applyInPandas(pack, "block long, n long, shape array<long>, x binary, y binary").withColumn("batch", F.floor(F.col("block") / batch))
+    # a file for each slice of a batch, of at least eight blocks: a round's tasks are its files
+    slices = max(1, min(SLICES, batch // 8))
+    return saved(packed.repartition("batch", F.col("block") % slices), "blocks", "batch")
 
 
 def arrays(row) -> tuple[np.ndarray, np.ndarray]:
@@ -179,7 +188,7 @@ def train(net, training: DataFrame, validation: DataFrame, schedule: Schedule =
     validation blocks the last epoch's.
     """
     theta, step = net.start(schedule.seed), AdamW(net.size, schedule.decay, schedule.clip)
-    batches = sorted(r["batch"] for r in training.select("batch").distinct().collect())
+    batches = sorted(r["batch"] for r in training.select("batch").distinct().collect())  # at most the rounds of an epoch
     best, least, history = theta, float("inf"), []
     for epoch in range(schedule.epochs if batches else 0):
         rate, total, rows = schedule.rate_at(epoch), 0.0, 0

@@ -10,7 +10,7 @@ from ..operators import metrics, models, segments, training
 from ..operators.kernels.network import Perceptron, SpeedNet
 from ..plans import scenarios
 from ..session import STREAM_SQL, by_time, stream, table
-from ..shared import new_path
+from ..shared import new_path, saved
 from ..sources.store import Store
 from . import query
 from .windows import _SEG
@@ -218,7 +218,7 @@ def ml_06_targets(spark, sf_dir):
 def ml_06(spark, sf_dir):
     """Mean drift of every split before and after the learned correction; trained on one split's outages, chosen on the second's."""
     rows = drift_targets(spark, sf_dir).withColumn("split", split_column())
-    rows = rows.select("drive_id", "first", "split", F.array(*FEATURES).alias("state"), F.array(*_TARGETS).alias("error"))
+    rows = saved(rows.select("drive_id", "first", "split", F.array(*FEATURES).alias("state"), F.array(*_TARGETS).alias("error")), "drift")
     fit = rows.where("split = 'train'")
     mean, std = _moments(fit, [F.col("state")[k] for k in range(len(FEATURES))])
     _, scale = _moments(fit, [F.col("error")[k] for k in range(len(_TARGETS))])
