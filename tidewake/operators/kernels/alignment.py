@@ -109,6 +109,105 @@ class Staged:
         return float(np.sign(along)) if np.linalg.norm(push) > 0.4 and abs(along) > 0.1 else 0.0
 
 
+_NAMES = (NOT_CALIBRATED, GRAVITY_STAGE, FORWARD_STAGE, CALIBRATED)
+
+
+class Stages:
+    """:class:`Staged` of many recordings side by side, without satellite velocities: rings are arrays, a frame of each is one call."""
+
+    def __init__(self, n: int) -> None:
+        self.stage, self.rotation = np.zeros(n, np.int8), np.tile(np.eye(3), (n, 1, 1))
+        self.up, self.upright = np.tile([0.0, 0.0, 1.0], (n, 1)), np.zeros(n, bool)
+        # rings with the number of rows that were ever put in
+        self.still, self.rested = np.zeros((n, STILL_ROWS, 3)), np.zeros(n, int)
+        self.motion, self.moved = np.zeros((n, RING, 3)), np.zeros(n, int)
+        self.speeds, self.known = np.zeros((n, RING)), np.zeros(n, int)
+
+    @property
+    def done(self) -> np.ndarray:
+        return self.stage == 3
+
+    def states(self) -> list[str]:
+        return [_NAMES[k] for k in self.stage]
+
+    def update(self, acc: np.ndarray, still: np.ndarray, speed: np.ndarray, on: np.ndarray) -> None:
+        """A frame of each recording in ``on``; see :meth:`Staged.update`."""
+        live = on & (self.stage != 3) & np.isfinite(acc).all(1)
+        level_ = np.flatnonzero(live & (self.stage != 2))
+        if len(level_):
+            self._gravity(level_, acc[level_], still[level_])
+        ahead = np.flatnonzero(live & (self.stage == 2) & ~still)
+        if len(ahead):
+            self._forward(ahead, acc[ahead], speed[ahead])
+
+    def _gravity(self, at: np.ndarray, acc: np.ndarray, still: np.ndarray) -> None:
+        size = np.linalg.norm(acc, axis=1)
+        first = ~self.upright[at] & (LIGHT <= size) & (size <= HEAVY)
+        self._upright(at[first], acc[first])
+        self.stage[at[~still & self.upright[at]]] = 2
+        at, acc = at[still], acc[still]
+        self.stage[at] = 1
+        self.still[at, self.rested[at] % STILL_ROWS] = acc
+        self.rested[at] += 1
+        at = at[self.rested[at] >= STILL_ROWS]
+        rows = self.still[at]
+        mean = rows.mean(1)
+        size = np.linalg.norm(mean, axis=1)
+        fine = (np.linalg.norm(rows, axis=2).var(1) <= STILL_VARIANCE) & (LIGHT <= size) & (size <= HEAVY)
+        self._upright(at[fine], mean[fine])
+        self.stage[at[fine]] = 2
+
+    def _upright(self, at: np.ndarray, gravity: np.ndarray) -> None:
+        if len(at):
+            up = gravity / np.linalg.norm(gravity, axis=1, keepdims=True)
+            top = np.where((np.abs(up[:, 1]) < 0.9)[:, None], [0.0, 1.0, 0.0], [1.0, 0.0, 0.0])
+            flat = top - (top * up).sum(1, keepdims=True) * up
+            self.up[at], self.upright[at] = up, True
+            self.rotation[at] = _frames(flat / np.linalg.norm(flat, axis=1, keepdims=True), up)
+
+    def _forward(self, at: np.ndarray, acc: np.ndarray, speed: np.ndarray) -> None:
+        up = self.up[at]
+        self.motion[at, self.moved[at] % RING] = acc - (acc * up).sum(1, keepdims=True) * up
+        self.moved[at] += 1
+        seen = np.isfinite(speed)
+        self.speeds[at[seen], self.known[at[seen]] % RING] = speed[seen]
+        self.known[at[seen]] += 1
+        at = at[self.moved[at] >= MOTION_ROWS]
+        if not len(at):
+            return
+        count = np.minimum(self.moved[at], RING)
+        motion = self.motion[at, : count.max()]  # rows that were not filled yet are zero
+        count = count[:, None]
+        with np.errstate(over="ignore", invalid="ignore"):
+            moment, push = motion.transpose(0, 2, 1) @ motion / count[..., None], motion.sum(1) / count
+        strong = np.isfinite(moment).all((1, 2)) & ~(np.trace(moment, axis1=1, axis2=2) < ENERGY)
+        at, moment, push = at[strong], moment[strong], push[strong]
+        values, vectors = np.linalg.eigh(moment)
+        up, axis = self.up[at], vectors[:, :, 2]
+        axis = axis - (axis * up).sum(1, keepdims=True) * up
+        axis = axis * np.sign(np.take_along_axis(axis, np.abs(axis).argmax(1)[:, None], 1))
+        size = np.linalg.norm(axis, axis=1)
+        fine = ~((values[:, 1] > 1e-5) & (values[:, 2] / (values[:, 1] + 1e-6) < DOMINANCE)) & (size > 1e-4)
+        axis = axis / np.where(fine, size, 1.0)[:, None]
+        along, known = (push * axis).sum(1), self.known[at]
+        ring = self.speeds[at]
+        rows = np.arange(len(at))
+        gained = ring[rows, (known - 1) % RING] - ring[rows, np.where(known > RING, known % RING, 0)]
+        by_speed = (known >= MOTION_ROWS) & (np.abs(gained) > 0.8) & (np.abs(along) > 1e-3)
+        burst = (np.linalg.norm(push, axis=1) > 0.4) & (np.abs(along) > 0.1)
+        sign = np.where(by_speed, np.sign(along * gained), np.where(burst, np.sign(along), 0.0))
+        found = fine & (sign != 0)
+        self.rotation[at[found]], self.stage[at[found]] = _frames(sign[found, None] * axis[found], up[found]), 3
+
+
+def _frames(forward: np.ndarray, up: np.ndarray) -> np.ndarray:
+    """:func:`frame` of each row."""
+    left = np.cross(up, forward)
+    size = np.linalg.norm(left, axis=1, keepdims=True)
+    left = np.where(size > 1e-4, left / np.where(size > 1e-4, size, 1.0), [0.0, 1.0, 0.0])
+    return np.stack([np.cross(left, up), left, up], 1)
+
+
 def whole(still: np.ndarray, motion: np.ndarray, velocities: np.ndarray | None = None) -> tuple[np.ndarray, str]:
     """(rotation, state) from a stretch of standstill and one of motion, each (rows, 3); broken rows are left out."""
     still, motion = (x[np.isfinite(x).all(1)] for x in (still, motion))

@@ -9,10 +9,11 @@ from __future__ import annotations
 
 import numpy as np
 
-from .alignment import CALIBRATED, Staged
+from .alignment import Stages
 from .inertial import Inertial
 from .planar import Planar
 from .rotation import wrap
+from .solving import solve
 
 GRAVITY = 9.80665
 # Nominal step, the range of a believed step, seconds until a fix is stale, rows of a return's blend.
@@ -35,8 +36,7 @@ class Frames:
     def __init__(self, n: int, kind: str = "inertial"):
         self.kind = kind
         self.filter = Planar.start(n) if kind == "planar" else Inertial.start(n)
-        self.aligners = [Staged() for _ in range(n)]
-        self.turn, self.up, self.aligned = np.tile(np.eye(3), (n, 1, 1)), np.tile([0.0, 0.0, 1.0], (n, 1)), np.zeros(n, bool)
+        self.aligner = Stages(n)
         self.clock, self.levelled = _nan(n), np.zeros(n, bool)
         self.ring, self.pushed, self.calm = np.zeros((n, 10, 6)), np.zeros(n, int), np.zeros(n, int)
         # the last fix seen, the last trusted one, and the trust in them
@@ -90,22 +90,14 @@ class Frames:
         mean = self.ring.mean(1)
         calm = (np.abs(np.linalg.norm(mean[:, :3], axis=1) - GRAVITY) <= 1.2) & (size.var(1) < 0.15) & (np.linalg.norm(mean[:, 3:], axis=1) < 0.05) & (rate.max(1) < 0.125)
         self.calm = np.where(push & (self.pushed >= 10) & calm, self.calm + 1, 0)
-        return (self.calm >= 2) & (np.linalg.norm(acc - GRAVITY * self.up, axis=1) <= 0.40)
-
-    def _align(self, acc: np.ndarray, still: np.ndarray, speed: np.ndarray, on: np.ndarray) -> None:
-        for k in np.flatnonzero(on & ~self.aligned).tolist():
-            a = self.aligners[k]
-            a.update(acc[k], bool(still[k]), float(speed[k]))
-            self.turn[k], self.aligned[k] = a.rotation, a.state == CALIBRATED
-            if a.up is not None:
-                self.up[k] = a.up
+        return (self.calm >= 2) & (np.linalg.norm(acc - GRAVITY * self.aligner.up, axis=1) <= 0.40)
 
     def _judge(self, fix: np.ndarray, accuracy: np.ndarray, t: np.ndarray, new: np.ndarray) -> np.ndarray:
         """The trust engine on the new fixes; which of them are taken."""
         off = fix - self.position()
         own = np.where(np.isfinite(accuracy) & (accuracy != 0), accuracy, 3.0)
         cov = self.spread() + own[:, None, None] ** 2 * np.eye(2)
-        far = np.sqrt(np.maximum(0, (off * np.linalg.solve(cov, off[..., None])[..., 0]).sum(1)))
+        far = np.sqrt(np.maximum(0, (off * solve(cov, off[..., None])[0][..., 0]).sum(1)))
         moved = np.hypot(*(fix - self.good[:, :2]).T)
         quick = moved / np.maximum(t - self.good[:, 2], 1e-3) > np.hypot(*self.velocity()[:, :2].T) * 2.5 + 15
         case = np.select([accuracy > 50, (moved > 25) & quick, (far > 3.5) & (self.rejected > 15), far > 3.5], [0, 1, 2, 3], 4)
@@ -131,8 +123,8 @@ class Frames:
         dt, late = self._time(a["t"])
         has_fix = np.isfinite(a["east"]) & np.isfinite(a["north"])
         still = self._still(acc, gyro, np.where(has_fix & self.anchored, a["fix_speed"], np.nan), on) & on
-        self._align(acc, still, np.where(has_fix, a["fix_speed"], np.nan), on)
-        acc, gyro = (np.einsum("nij,nj->ni", self.turn, x) for x in (acc, gyro))
+        self.aligner.update(acc, still, np.where(has_fix, a["fix_speed"], np.nan), on)
+        acc, gyro = (np.einsum("nij,nj->ni", self.aligner.rotation, x) for x in (acc, gyro))
         compass = wrap(np.deg2rad(90.0 - a["yaw"]))
 
         if self.kind == "planar":
@@ -211,5 +203,5 @@ class Frames:
         return {
             "pe": out[:, 0], "pn": out[:, 1], "v": np.where(still, 0.0, v[:, 0] * np.cos(yaw) + v[:, 1] * np.sin(yaw)), "heading": (90 - np.rad2deg(yaw)) % 360,
             "sd": np.sqrt(np.maximum(np.trace(self.spread(), axis1=1, axis2=2), 0)), "mode": mode, "status": shown, "score": trust, "still": still, "blackout": self.dark.copy(),
-            "aligned": self.aligned.copy(), "out_of_order": late & on, "dark_metres": self.dark_metres.copy(),
+            "aligned": self.aligner.done, "out_of_order": late & on, "dark_metres": self.dark_metres.copy(),
         }

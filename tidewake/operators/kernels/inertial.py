@@ -7,6 +7,7 @@ from dataclasses import dataclass
 import numpy as np
 
 from . import rotation as rot
+from .solving import solve
 
 GRAVITY = np.array([0.0, 0.0, -9.80665])
 # Noise densities, initial deviations, chi-square gates at 99 %.
@@ -142,14 +143,14 @@ class Inertial:
             hc = h @ cov
             s = hc @ h.transpose(0, 2, 1) + (r if r.ndim == 2 else pick(r))
         both = np.concatenate([hc, clean[..., None]], 2)
-        solved = both / s if s.shape[1] == 1 else np.linalg.solve(s, both)
+        solved, fit = (both / s, np.ones(len(at), bool)) if s.shape[1] == 1 else solve(s, both)
         if gate is not None:
-            fit = (clean * solved[..., -1]).sum(1) <= gate
-            if not fit.all():
-                take[at[~fit]] = False
-                at, whole, cov, clean, hc, s, solved = at[fit], False, cov[fit], clean[fit], hc[fit], s[fit], solved[fit]
-                if not len(at):
-                    return take
+            fit &= (clean * solved[..., -1]).sum(1) <= gate
+        if not fit.all():
+            take[at[~fit]] = False
+            at, whole, cov, clean, hc, s, solved = at[fit], False, cov[fit], clean[fit], hc[fit], s[fit], solved[fit]
+            if not len(at):
+                return take
         gain = solved[..., :-1].transpose(0, 2, 1)
         step = rot.turned(gain, clean) if gain.shape[2] == 3 else (gain * clean[:, None]).sum(2)
         lost = gain @ hc

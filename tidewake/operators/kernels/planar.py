@@ -7,6 +7,7 @@ from dataclasses import dataclass
 import numpy as np
 
 from .rotation import wrap
+from .solving import solve
 
 GRAVITY = 9.80665
 # Initial deviations and process noise per step, by state.
@@ -77,9 +78,10 @@ class Planar:
         hp = h @ p
         cov = hp @ h.transpose(0, 2, 1) + (r if r.ndim == 2 else r[at])
         both = np.concatenate([hp, clean[..., None]], 2)
-        solved = both / cov if cov.shape[1] == 1 else np.linalg.solve(cov, both)
+        solved, fit = (both / cov, np.ones(len(at), bool)) if cov.shape[1] == 1 else solve(cov, both)
         if gate is not None:
-            fit = (clean * solved[..., -1]).sum(1) <= gate
+            fit &= (clean * solved[..., -1]).sum(1) <= gate
+        if not fit.all():
             take[at[~fit]] = False
             at, p, hp, clean, cov, solved = at[fit], p[fit], hp[fit], clean[fit], cov[fit], solved[fit]
         gain = solved[..., :-1].transpose(0, 2, 1)

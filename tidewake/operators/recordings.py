@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .. import shared
 from ..functions.draws import normal
-from .kernels import alignment, unscented
+from .kernels import alignment, devices, unscented
 from .kernels.inertial import Inertial
 from .kernels.planar import Planar
 from .models import Linear, normal_equations, ridge
@@ -44,13 +45,19 @@ def batch_aligned(df: DataFrame, keys: list[str], gravity_rows: int, motion_rows
     return df.select(*keys, "t", "event_id", "ax", "ay", "az").groupBy(*keys).applyInPandas(work, ", ".join(f"{k} {types[k]}" for k in keys) + ", state string, rotation array<double>")
 
 
-def side_by_side(df: DataFrame, keys: list[str], inputs: tuple[str, ...], outputs: dict[str, str], begin, step, last: bool = False) -> DataFrame:
+#: Rows that a task steps at once.
+MOST = 400_000
+
+
+def side_by_side(df: DataFrame, keys: list[str], inputs: tuple[str, ...], outputs: dict[str, str], begin, step, last: bool = False, carried: tuple[str, ...] = ()) -> DataFrame:
     """Recordings in order of time through a state machine, many at once: a row of ``outputs`` for every row, or for the last of each.
 
     ``begin(n)`` makes the state of n recordings; ``step(state, values, on)``
     gets the inputs by name, (n,) each, and a mask of the recordings that still
-    run, and returns the outputs by name. Recordings are dealt into buckets by
-    key in one shuffle; inside a bucket those of like length advance together.
+    run, and returns the outputs by name. Recordings are dealt by key in one
+    shuffle and sorted; a task takes whole ones until it has about :data:`MOST`
+    rows. Those of like length advance together, and leave once they have
+    ended. ``carried`` are columns of ``df`` that the rows keep.
     """
 
     def advance(pdf: pd.DataFrame, run: np.ndarray) -> pd.DataFrame:
@@ -58,36 +65,57 @@ def side_by_side(df: DataFrame, keys: list[str], inputs: tuple[str, ...], output
         first = np.r_[0, np.cumsum(lengths)[:-1]]
         state, values = begin(len(lengths)), pdf[list(inputs)].astype(float).to_numpy()
         out = {c: np.empty(len(pdf), {"string": object, "boolean": bool}.get(t, float)) for c, t in outputs.items()}
+        here = np.arange(len(lengths))
         for k in range(int(lengths.max())):
-            on = k < lengths
-            at = np.minimum(first + k, len(pdf) - 1)
+            on = k < lengths[here]
+            if np.count_nonzero(on) < 0.9 * len(here):
+                state, here, on = devices.taken(state, on), here[on], on[on]
+            at = np.minimum(first[here] + k, len(pdf) - 1)
             found = step(state, dict(zip(inputs, values[at].T, strict=True)), on)
-            for c, v in found.items():
-                out[c][at[on]] = v[on]
+            for c in out:
+                out[c][at[on]] = found[c][on]
         kept = first + lengths - 1 if last else slice(None)
         return pd.DataFrame({**{c: pdf[c].to_numpy()[kept] for c in named}, **{c: v[kept] for c, v in out.items()}})
 
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([*keys, "t", "event_id"])
-        run = pdf.groupby(keys, sort=False).ngroup().to_numpy()
-        return pd.concat([advance(pdf[part], run[part]) for part in by_length(run)])
+    def numbered(pdf: pd.DataFrame) -> np.ndarray:
+        return pdf.groupby(keys, sort=False, dropna=False).ngroup().to_numpy()
 
-    named = [*keys, "event_id"] if "event_id" not in keys else keys
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, rows, most = [], 0, MOST
+        for pdf in batches:
+            held.append(pdf)
+            rows += len(pdf)
+            if rows >= most:
+                whole = pd.concat(held, ignore_index=True)
+                run = numbered(whole)
+                end = int((run < run[-1]).sum())  # the last recording may go on in the next batch
+                for part in by_length(run[:end]) if end else ():
+                    yield advance(whole[:end][part], run[:end][part])
+                held, rows = [whole[end:]], len(whole) - end
+                most = max(MOST, 2 * rows)
+        if rows:
+            whole = pd.concat(held, ignore_index=True)
+            run = numbered(whole)
+            for part in by_length(run):
+                yield advance(whole[part], run[part])
+
+    named = list(dict.fromkeys([*keys, "event_id", *carried]))
     types = {f.name: f.dataType.simpleString() for f in df.schema}
-    buckets = 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = df.select(*named, *["t"] * ("t" not in inputs), *[F.col(c).cast("double") for c in inputs]).withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)))
+    taken = df.select(*named, *["t"] * ("t" not in (*inputs, *named)), *[F.col(c).cast("double") for c in inputs if c not in named])
     schema = [f"{c} {types[c]}" for c in named] + [f"{c} {t}" for c, t in outputs.items()]
-    return shared.dealt(dealt, "_bucket").groupBy("_bucket").applyInPandas(work, ", ".join(schema))
+    ordered = shared.dealt(taken, *keys).sortWithinPartitions(*keys, F.col("t").asc_nulls_last(), F.col("event_id").asc_nulls_last())
+    return ordered.mapInPandas(work, ", ".join(schema))
 
 
-def frames(df: DataFrame, keys: list[str], kind: str = "inertial") -> DataFrame:
-    """The live frame step over finished recordings: one row for each, with the columns of ``OUTPUTS``.
+def frames(df: DataFrame, keys: list[str], kind: str = "inertial", shown: tuple[str, ...] | None = None, carried: tuple[str, ...] = ()) -> DataFrame:
+    """The live frame step over finished recordings: one row for each, with the columns of ``OUTPUTS`` or those ``shown``.
 
-    ``df`` has ``event_id`` and the columns of ``INPUTS``.
+    ``df`` has ``event_id`` and the columns of ``INPUTS``; its columns ``carried`` stay.
     """
     from .kernels.frames import INPUTS, OUTPUTS, Frames
 
-    return side_by_side(df, keys, INPUTS, OUTPUTS, lambda n: Frames(n, kind), lambda machine, values, on: machine.step(values, on))
+    outputs = {c: OUTPUTS[c] for c in shown or OUTPUTS}
+    return side_by_side(df, keys, INPUTS, outputs, lambda n: Frames(n, kind), lambda machine, values, on: machine.step(values, on), carried=carried)
 
 
 def fused(df: DataFrame, keys: list[str], kind: str = "planar", dark: str | None = None) -> DataFrame:

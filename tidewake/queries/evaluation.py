@@ -80,8 +80,7 @@ def pipe_20(spark, sf_dir):
     joined = align.latest(frames, fixes.withColumn("fix_t", F.col("t")), ["fix_t", "east", "north"])
     missing = F.lit(None).cast("double")
     inputs = joined.withColumns({"yaw": missing, "accuracy": F.when(F.col("fix_t").isNotNull(), 5.0), "fix_speed": F.when(F.col("fix_t").isNotNull(), 0.0), "fix_heading": missing, "denied": F.lit(0.0), "model_speed": missing})
-    found = recordings.frames(inputs, ["drive_id"], "planar").select("drive_id", "event_id", "status")
-    both = joined.select("drive_id", "event_id", "t", "fix_t").join(found, ["drive_id", "event_id"])
+    both = recordings.frames(inputs, ["drive_id"], "planar", ("status",), ("t", "fix_t"))
     arrived = F.min("t").over(Window.partitionBy("drive_id", "fix_t"))
     both = both.withColumn("late", F.coalesce(F.col("fix_t").isNotNull() & (F.round(F.col("t") - arrived, 6) > _STALE), F.lit(False)))
     return both.groupBy("drive_id").agg(
