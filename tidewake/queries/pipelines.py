@@ -345,6 +345,7 @@ def live_frames(rows):
 
 
 _SHOWN = ("mode", "status", "still", "blackout", "aligned", "out_of_order")
+_ALL = (*_SHOWN, "pe", "pn", "v", "score")
 
 
 def _rounded(found):
@@ -353,12 +354,12 @@ def _rounded(found):
 
 @query("est_16_frame_step")
 def est_16(spark, sf_dir):
-    return _rounded(recordings.frames(live_frames(stream(spark, sf_dir)), ["drive_id"]))
+    return _rounded(recordings.frames(live_frames(stream(spark, sf_dir)), ["drive_id"], shown=_ALL))
 
 
 @query("est_16_frame_step_planar")
 def est_16_planar(spark, sf_dir):
-    return _rounded(recordings.frames(live_frames(stream(spark, sf_dir)), ["drive_id"], "planar"))
+    return _rounded(recordings.frames(live_frames(stream(spark, sf_dir)), ["drive_id"], "planar", _ALL))
 
 
 @query("str_07_frame_step")
