@@ -203,13 +203,32 @@ def chained(blocks: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[int, int]
     return out[::-1]
 
 
+def walked(matrix: np.ndarray, order: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """:func:`chained` of many tracks side by side: (blocks, n, n) of track after track with ``lengths`` blocks each."""
+    first, n = np.r_[0, np.cumsum(lengths)[:-1]], matrix.shape[1]
+    score, back = np.zeros((len(lengths), n), np.int64), np.empty(matrix.shape[:2], np.int64)
+    for k in range(int(lengths.max())):
+        on = np.flatnonzero(lengths > k)
+        at = first[on] + k
+        total = np.maximum(score[on][:, :, None] + matrix[at], _NEVER)
+        score[on] = total.max(1)
+        back[at] = np.where(total == score[on][:, None], order[at], n * n).argmin(1)
+    end, entries, ends = score.argmax(1), np.empty(len(matrix), int), np.empty(len(matrix), int)
+    for k in reversed(range(int(lengths.max()))):
+        on = np.flatnonzero(lengths > k)
+        at = first[on] + k
+        ends[at], entries[at] = end[on], back[at, end[on]]
+        end[on] = entries[at]
+    return entries, ends
+
+
 def matched(points: DataFrame, edges: DataFrame, keys: list[str], order: str = "idx", sigma: float = 10.0, beta: float = 15.0, most: int = 5, point: str = "event_id", size: int = 512, bucket: int = 50_000) -> DataFrame:
     """Most likely road positions per track: candidates by the grid join, Viterbi by blocks of ``size`` steps.
 
     Blocks are tasks' work, not tracks: first each block's max-plus matrix from
     its first step's candidates to its last one's, then a short walk over a
     track's matrices, then each block's path between the two candidates that
-    the walk has chosen. Blocks of about ``bucket`` rows are advanced side by
+    the walk has chosen. Tracks are walked many at once. Blocks of about ``bucket`` rows are advanced side by
     side. Scores are whole numbers and ties are broken by the same rule for
     every ``size``, so the path does not depend on it.
     """
@@ -234,10 +253,11 @@ def matched(points: DataFrame, edges: DataFrame, keys: list[str], order: str = "
         return runs[names].assign(score=full(score, _NEVER), tie=full(tie, most * most))
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_block")
-        square = lambda v: np.asarray(v, np.int64).reshape(most, most)
-        ends = chained([(square(a), square(b)) for a, b in zip(pdf["score"], pdf["tie"], strict=True)])
-        return pdf[names].assign(_entry=[e for e, _ in ends], _end=[e for _, e in ends])
+        pdf = pdf.sort_values([*keys, "_block"])
+        lengths = np.bincount(pdf.groupby(keys, dropna=False, sort=False).ngroup())
+        square = lambda c: np.stack(pdf[c]).astype(np.int64).reshape(-1, most, most)
+        entries, ends = walked(square("score"), square("tie"), lengths)
+        return pdf[names].assign(_entry=entries, _end=ends)
 
     def follow(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = numbered_runs(pdf)
@@ -250,7 +270,8 @@ def matched(points: DataFrame, edges: DataFrame, keys: list[str], order: str = "
         return pdf.loc[own, [*keys, point, order, "edge", "px", "py"]]
 
     matrices = dealt(rows, "_bucket").groupBy("_bucket").applyInPandas(multiply, f"{declared}, score array<long>, tie array<long>")
-    chosen = saved(matrices.groupBy(*keys).applyInPandas(walk, f"{declared}, _entry int, _end int"), "track-blocks")
+    tracks = matrices.withColumn("_tracks", F.pmod(F.xxhash64(*keys), F.lit(many)))
+    chosen = saved(dealt(tracks, "_tracks").groupBy("_tracks").applyInPandas(walk, f"{declared}, _entry int, _end int"), "track-blocks")
     both = rows.alias("r").join(chosen.alias("c"), reduce(lambda a, b: a & b, [F.col(f"r.{k}").eqNullSafe(F.col(f"c.{k}")) for k in names])).select("r.*", "c._entry", "c._end")
     schema = ", ".join(f"{c} {types[c]}" for c in (*keys, point, order, "edge", "px", "py"))
     return dealt(both, "_bucket").groupBy("_bucket").applyInPandas(follow, schema)
