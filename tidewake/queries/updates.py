@@ -7,7 +7,7 @@ from ..operators import updates
 from ..operators.kernels import rotation
 from ..operators.kernels.inertial import Inertial
 from ..operators.kernels.planar import Planar
-from ..session import exact_mean, stream
+from ..session import stored_mean, stream
 from . import query
 
 # Prior variances of a fresh planar filter, for the SQL: position 10, velocity 1, yaw (5 degrees)^2, rate bias 0.02^2.
@@ -132,7 +132,7 @@ def pipe_15(spark, sf_dir):
     """Six motions with known ends, at the size of each drive's mean speed, through the inertial prediction: signs and frames agree, and nothing tilts or rises."""
     fields = ("motion", "steps", "force_x", "force_y", "rate", "speed")
     listed = F.explode(F.array(*[F.struct(*[F.lit(v).alias(c) for c, v in zip(fields, m, strict=True)]) for m in MOTIONS]))
-    drives = stream(spark, sf_dir).groupBy("drive_id").agg((F.round(exact_mean("speed"), 2).cast("double") / 10).alias("size")).select("drive_id", "size", listed.alias("m"))
+    drives = stored_mean(stream(spark, sf_dir), "speed", 2, "mean").select("drive_id", (F.col("mean") / 10).alias("size"), listed.alias("m"))
     sized = [(F.col(f"m.{c}") * F.col("size")).alias(c) for c in ("force_x", "force_y", "speed")]
     given = drives.select(F.concat_ws("/", "m.motion", "drive_id").alias("motion"), "m.steps", "m.rate", *sized)
     level = (F.abs("roll") < 1e-6) & (F.abs("pitch") < 1e-6) & (F.abs("up") < 1e-6)

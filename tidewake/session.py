@@ -48,6 +48,15 @@ def exact_mean(column: str):
     return F.avg(F.col(column).cast("decimal(20,10)"))
 
 
+def stored_mean(rows: DataFrame, column: str, places: int, name: str) -> DataFrame:
+    """A drive's mean, rounded, to the last bit as one DuckDB thread gets it: doubles added up one by one as the rows are
+    stored, then scaled, rounded half away from zero and scaled back. An exact tie so falls as in the SQL, whatever Spark's splits."""
+    read = rows.select("drive_id", column, F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    so_far = F.sum(column).over(Window.partitionBy("drive_id").orderBy("file", "row").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    mean = F.max_by("so_far", F.struct("file", "row")) / F.count(column)
+    return read.withColumn("so_far", so_far).groupBy("drive_id").agg((F.round(mean * 10**places) / 10**places).alias(name))
+
+
 def by_time(*more: str):
     """The window of a drive in time order; the event id breaks ties."""
     return Window.partitionBy("drive_id", *more).orderBy("t", "event_id")
