@@ -264,13 +264,12 @@ def snk_05(spark, sf_dir):
 @query("snk_06_session_listing", "SELECT drive_id AS name, CASE WHEN drive_id % 3 > 0 THEN 'DONE' ELSE 'INCOMPLETE' END AS status FROM s GROUP BY drive_id")
 def snk_06(spark, sf_dir):
     """One folder a session with its rows, and with a summary where the session was ended: listed from the files, newest first."""
-    folder, rows = _folder(spark), stream(spark, sf_dir).withColumn("session", F.col("drive_id"))
-    shared.dealt(rows.select("session", "event_id", "t", "val"), "session").write.partitionBy("session").json(f"{folder}/rows")
-    ended = rows.where("drive_id % 3 > 0").groupBy("session").agg(F.count("*").alias("frames"), F.max("speed").alias("top"))
-    shared.dealt(ended, "session").write.partitionBy("session").json(f"{folder}/summaries")
-    files = lambda kind: spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").load(f"{folder}/{kind}").select(F.regexp_extract("path", r"session=(\d+)", 1).cast("long").alias("name"), F.col("modificationTime").alias("modified"))
-    listed = files("rows").groupBy("name").agg(F.max("modified").alias("modified"))
-    return sinks.sessions(listed, files("summaries").select("name", F.lit("DONE").alias("status")).distinct()).select("name", "status")
+    folder, rows = f"{_folder(spark)}/sessions", stream(spark, sf_dir).withColumn("session", F.col("drive_id"))
+    sinks.write_folders(rows.select("session", "event_id", "t", "val"), folder, "rows.json", ("t", "event_id"))
+    sinks.write_folders(rows.where("drive_id % 3 > 0").groupBy("session").agg(F.count("*").alias("frames"), F.max("speed").alias("top")), folder, "summary.json")
+    found = files.folders(spark, folder).withColumn("name", F.expr("try_cast(session AS bigint)"))
+    listed = found.where("file = 'rows.json'").groupBy("name").agg(F.max("modified").alias("modified"))
+    return sinks.sessions(listed, found.where("file = 'summary.json'").select("name", F.lit("DONE").alias("status")).distinct()).select("name", "status")
 
 
 @query("snk_07_geojson", "SELECT drive_id, 'FeatureCollection' AS type, count(*) AS points, round(first(lon ORDER BY idx), 5) AS lon, round(last(lat ORDER BY idx), 5) AS lat FROM s GROUP BY drive_id")

@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import io
+import os
 import zipfile
 from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import shared
 from . import schema
 
 LATIN = "ISO-8859-1"
@@ -22,6 +25,26 @@ def listing(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     return files.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), "length", F.col("modificationTime").alias("modified"))
 
 
+def folders(spark: SparkSession, folder: str) -> DataFrame:
+    """(session, file, modified) of what ``sinks.write_folders`` wrote, as the files lie there; contents are not read.
+
+    On a mounted folder every bucket's folder is listed by a task, and no file's name passes through the driver.
+    """
+    place = shared.mounted(spark, folder)
+    if place is None:
+        at = lambda k: F.regexp_extract("path", r"/([^/]+)/bucket=[^/]+/session=([^/]+)/[^/]+$", k)
+        return listing(spark, folder).select(at(2).alias("session"), at(1).alias("file"), "modified")
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket in (b for batch in batches for b in batch.column("bucket").to_pylist()):
+            with os.scandir(f"{place}/{bucket}") as sessions:
+                found = [(s.name.removeprefix("session="), f.name, f.stat().st_mtime_ns // 1000) for s in sessions for f in os.scandir(s.path) if not f.name.startswith(".")]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], t) for k, t in enumerate((pa.string(), pa.string(), pa.int64()))], ["session", "file", "at"])
+
+    buckets = spark.createDataFrame([(b,) for b in sorted(os.listdir(place))] if os.path.isdir(place) else [], "bucket string")  # at most sinks.BUCKETS
+    return shared.dealt(buckets, "bucket").mapInArrow(listed, "session string, file string, at long").select("session", "file", F.timestamp_micros("at").alias("modified"))
+
+
 def drive_id(name):
     """``S-M.csv`` and ``V-M.csv`` are drive M's phone and vehicle files."""
     return F.regexp_extract(name, r"^[SV]-(.+)\.csv$", 1)
